@@ -7,73 +7,62 @@ from pyspark.sql import functions as F
 
 # Calendar offset and the feed date shapes.
 ROC_YEAR_OFFSET = 1911
-SLASH_DATE = r"^([0-9]+)/([0-9]+)/([0-9]+)$"
-COMPACT_ROC_DATE = r"^([0-9]{3})([0-9]{2})([0-9]{2})$"
-COMPACT_DATE = r"^([0-9]{4})([0-9]{2})([0-9]{2})$"
-DOTTED_DATE = r"^([0-9]{4})[.]([0-9]{1,2})[.]([0-9]{1,2})$"
-ISO_DATE = r"^[0-9]{4}(-[0-9]{1,2}(-[0-9]{1,2}([ T].*)?)?)?$"
-QUARTER_DATE = r"^([0-9]{4})[Qq]([1-4])$"
-ROC_MONTH = r"^([0-9]{3})([0-9]{2})$"
-COMPACT_MONTH = r"^([0-9]{4})(0[1-9]|1[0-2])$"
-WHOLE_NUMBER = r"^([0-9]+)(\.0*)?$"
+COMPACT_DATE = "^([0-9]{3,4})([0-9]{2})([0-9]{2})$"  # yyyMMdd (ROC) or yyyyMMdd
+FOUR_DIGIT_YEAR = "^[0-9]{4}(-.*)?$"
+COMPACT_ROC_DATE = "^[0-9]{7}$"
+QUARTER = "^[0-9]{4}[Qq][1-4]$"
+ROC_MONTH = "^[0-9]{5}$"
+COMPACT_MONTH = "^[0-9]{4}(0[1-9]|1[0-2])$"
+WHOLE_NUMBER = r"\.0*$"
 MONTH_FORMAT = "yyyy-MM"
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
+def _dashed(text: Column) -> Column:
+    """Compact, slash and dot dates in the Y-M-D order of an ISO date."""
+    return F.translate(F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3"), "/.", "--")
 
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    """Null instead of an error for days that do not exist."""
-    return F.concat_ws("-", year.cast("string"), month, day).try_cast("date")
+def _year(dashed: Column) -> Column:
+    return F.substring_index(dashed, "-", 1).try_cast("int")
 
 
-def _generic_date(text: Column) -> Column:
-    """Gregorian text dates: ISO (optionally with a time), compact, dotted."""
-    return (
-        F.when(text.rlike(ISO_DATE), text.try_cast("date"))
-        .when(text.rlike(COMPACT_DATE), F.regexp_replace(text, COMPACT_DATE, "$1-$2-$3").try_cast("date"))
-        .when(text.rlike(DOTTED_DATE), F.regexp_replace(text, DOTTED_DATE, "$1-$2-$3").try_cast("date"))
-    )
+def _calendar_date(dashed: Column) -> Column:
+    """DATE, or null for text that is no date and for days that do not exist.
+
+    The argument is used once: Spark repeats it when it pushes a filter on the result down.
+    """
+    return F.regexp_extract(dashed, FOUR_DIGIT_YEAR, 0).try_cast("date")
 
 
 def trade_date(raw: Column) -> Column:
     """DATE from 'Y/M/D' (ROC or Gregorian year), ROC 'yyyMMdd', or a Gregorian text date."""
     text = F.trim(raw.cast("string"))
-    year = _part(text, SLASH_DATE, 1).try_cast("int")
-    full_year = F.when(year < ROC_YEAR_OFFSET, year + ROC_YEAR_OFFSET).otherwise(year)
-    roc_year = _part(text, COMPACT_ROC_DATE, 1).try_cast("int") + ROC_YEAR_OFFSET
-    return (
-        F.when(text.rlike(SLASH_DATE), _ymd(full_year, _part(text, SLASH_DATE, 2), _part(text, SLASH_DATE, 3)))
-        .when(
-            text.rlike(COMPACT_ROC_DATE),
-            _ymd(roc_year, _part(text, COMPACT_ROC_DATE, 2), _part(text, COMPACT_ROC_DATE, 3)),
-        )
-        .otherwise(_generic_date(text))
+    dashed = _dashed(text)
+    year = _year(dashed)
+    roc = (year < ROC_YEAR_OFFSET) & ~text.contains("-") & ~text.contains(".")
+    gregorian = F.concat_ws(
+        "-", (year + ROC_YEAR_OFFSET).cast("string"), F.substring_index(F.substring_index(dashed, "-", -2), "-", 2)
     )
+    return _calendar_date(F.when(roc, gregorian).otherwise(dashed))
 
 
 def plain_date(raw: Column) -> Column:
-    """DATE from a Gregorian text date, with or without slashes; no ROC years."""
-    text = F.trim(raw.cast("string"))
-    return F.coalesce(
-        _generic_date(text),
-        F.when(text.rlike(r"^[0-9]{4}/"), F.translate(text, "/", "-").try_cast("date")),
-    )
+    """DATE from a Gregorian text date; no ROC years."""
+    return _calendar_date(_dashed(F.trim(raw.cast("string"))))
 
 
 def statement_date(raw: Column) -> Column:
     """ISO text of a statement date. Text that is no date is kept, as it still keys the rows."""
     text = F.trim(raw.cast("string"))
-    roc_year = _part(text, COMPACT_ROC_DATE, 1).try_cast("int") + ROC_YEAR_OFFSET
-    roc_text = F.concat_ws(
-        "-", roc_year.cast("string"), _part(text, COMPACT_ROC_DATE, 2), _part(text, COMPACT_ROC_DATE, 3)
-    )
-    first_month = F.lpad((_part(text, QUARTER_DATE, 2).try_cast("int") * 3 - 2).cast("string"), 2, "0")
+    roc_year = (F.substring(text, 1, 3).try_cast("int") + ROC_YEAR_OFFSET).cast("string")
+    first_month = F.lpad((F.substring(text, 6, 1).try_cast("int") * 3 - 2).cast("string"), 2, "0")
     return (
-        F.when(text.rlike(COMPACT_ROC_DATE), roc_text)
-        .when(text.rlike(QUARTER_DATE), F.concat_ws("-", _part(text, QUARTER_DATE, 1), first_month, F.lit("01")))
-        .otherwise(F.coalesce(plain_date(text).cast("string"), text))
+        F.when(
+            text.rlike(COMPACT_ROC_DATE),
+            F.concat_ws("-", roc_year, F.substring(text, 4, 2), F.substring(text, 6, 2)),
+        )
+        .when(text.rlike(QUARTER), F.concat_ws("-", F.substring(text, 1, 4), first_month, F.lit("01")))
+        .otherwise(F.coalesce(_calendar_date(_dashed(text)).cast("string"), text))
     )
 
 
@@ -83,10 +72,10 @@ def month_of(day: Column) -> Column:
 
 def feed_month(raw: Column) -> Column:
     """'yyyy-MM' from ROC 'yyyMM' or Gregorian 'yyyyMM'; whole numbers such as 11302.0 count."""
-    text = F.regexp_extract(F.trim(raw.cast("string")), WHOLE_NUMBER, 1)
-    roc_year = _part(text, ROC_MONTH, 1).try_cast("int") + ROC_YEAR_OFFSET
-    return F.when(text.rlike(ROC_MONTH), F.concat_ws("-", roc_year.cast("string"), _part(text, ROC_MONTH, 2))).when(
-        text.rlike(COMPACT_MONTH), F.regexp_replace(text, COMPACT_MONTH, "$1-$2")
+    text = F.regexp_replace(F.trim(raw.cast("string")), WHOLE_NUMBER, "")
+    roc_year = (F.substring(text, 1, 3).try_cast("int") + ROC_YEAR_OFFSET).cast("string")
+    return F.when(text.rlike(ROC_MONTH), F.concat_ws("-", roc_year, F.substring(text, 4, 2))).when(
+        text.rlike(COMPACT_MONTH), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2))
     )
 
 

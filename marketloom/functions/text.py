@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Only plain decimal or exponent notation is a number. A bare try_cast would also
-# accept 'NaN', 'Infinity' and Java suffixes such as '1.0d'.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Only plain decimal or exponent notation is a number. A bare try_cast would also accept 'NaN',
+# 'Infinity', hexadecimal forms and Java suffixes such as '1.0d', all of which have other characters.
+NUMBER_PATTERN = "^[0-9eE.+-]*[0-9.]$"
 
 
 def normalize_id(raw: Column) -> Column:

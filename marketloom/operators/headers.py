@@ -9,9 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SOURCE_PRIORITY = "source_priority"
+# BIGINT place of a row in its feed (see sources.readers), below 2^56.
 LANDING_ORDER = "landing_order"
-LANDING_ORDER_TYPE = "struct<file:string,block:bigint,row:bigint>"
+# BIGINT place over several feeds: the feed's precedence above the place in the feed. One number,
+# so that aggregates on it keep fixed-width buffers and Spark hash-aggregates them.
+FEED_ORDER = "feed_order"
+PRECEDENCE_BIT = 56
 
 
 def quoted(name: str) -> Column:
@@ -50,11 +53,10 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
 
 def stack_sources(feeds: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of feeds in precedence order; a later feed wins a keep-last over an earlier one."""
-    ordered = [
-        feed.withColumn(SOURCE_PRIORITY, F.lit(place)).withColumn(
-            LANDING_ORDER,
-            (F.col(LANDING_ORDER) if LANDING_ORDER in feed.columns else F.lit(None)).cast(LANDING_ORDER_TYPE),
-        )
-        for place, feed in enumerate(feeds)
-    ]
-    return stack(ordered)
+
+    def ordered(feed: DataFrame, precedence: int) -> DataFrame:
+        landed = F.col(LANDING_ORDER) if LANDING_ORDER in feed.columns else F.lit(0)
+        place = F.lit(precedence << PRECEDENCE_BIT).cast("bigint") + landed
+        return feed.withColumn(FEED_ORDER, place).drop(LANDING_ORDER)
+
+    return stack([ordered(feed, precedence) for precedence, feed in enumerate(feeds)])

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.rules import ratio
-from marketloom.operators.headers import LANDING_ORDER, SOURCE_PRIORITY
+from marketloom.operators.headers import FEED_ORDER, LANDING_ORDER
 
 # Columns that identify a statement row; all others of a wide feed are accounts.
 STATEMENT_IDS = ("date", "year", "quarter", "stock_id", "stock_name", "statement_category", "source_url")
-ROW_ORDER = (SOURCE_PRIORITY, LANDING_ORDER)
+# Bit above the feed order for the preference between the names of one item.
+PREFERENCE_BIT = 59
 
 # The names under which each input of a ratio may appear, in order of preference.
 RATIO_INPUTS = {
@@ -31,41 +32,45 @@ RATIO_INPUTS = {
 
 def unpivot_accounts(wide: DataFrame) -> DataFrame:
     """One row per account column of a wide statement, as (type, value) text."""
-    ids = [name for name in wide.columns if name in STATEMENT_IDS or name in ROW_ORDER]
+    ids = [name for name in wide.columns if name in STATEMENT_IDS or name == LANDING_ORDER]
     accounts = [name for name in wide.columns if name not in ids]
     text = wide.select(*ids, *[F.col(f"`{name}`").cast("string").alias(name) for name in accounts])
     return text.unpivot(ids, [f"`{name}`" for name in accounts], "type", "value")
 
 
-def pivot_metrics(long: DataFrame, metrics: Sequence[str], order: Column) -> DataFrame:
-    """One row per (stock_id, date) with the last known value of each listed metric.
+def pivot_metrics(long: DataFrame, items: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per (stock_id, date) with one column per item.
 
-    The metric list is fixed, so this is one aggregate and needs no job to discover the columns.
+    An item takes the last known value of the first of its metric names that has one. The names are
+    fixed, so one aggregate does it and no job has to discover the columns.
     """
     known = long.dropna(subset=["stock_id", "date", "value"])
-    last = [
-        F.max_by("value", F.when(F.col("normalized_metric_name") == metric, order)).alias(metric)
-        for metric in metrics
-    ]
-    return known.groupBy("stock_id", "date").agg(*last)
+    metric = F.col("normalized_metric_name")
 
+    def last(item: str) -> Column:
+        rank = F.lit(None).cast("bigint")
+        for preference, name in enumerate(reversed(items[item])):
+            rank = F.when(metric == name, F.lit(preference << PREFERENCE_BIT) + F.col(FEED_ORDER)).otherwise(rank)
+        return F.max_by("value", rank).alias(item)
 
-def fundamental_ratios(long: DataFrame, order: Column) -> DataFrame:
+    return known.groupBy("stock_id", "date").agg(*[last(item) for item in items])
+
+
+def fundamental_ratios(long: DataFrame) -> DataFrame:
     """ROE, ROA, margins, debt and current ratio, EPS per (stock_id, date)."""
-    metrics = list(dict.fromkeys(name for names in RATIO_INPUTS.values() for name in names))
-    wide = pivot_metrics(long, metrics, order)
+    items = pivot_metrics(long, RATIO_INPUTS)
 
-    def first(item: str) -> Column:
-        return F.coalesce(*[F.col(f"`{name}`") for name in RATIO_INPUTS[item]])
+    def over(numerator: str, denominator: str) -> Column:
+        return ratio(F.col(numerator), F.col(denominator))
 
-    return wide.select(
+    return items.select(
         "date",
         "stock_id",
-        ratio(first("net_income"), first("total_equity")).alias("roe"),
-        ratio(first("net_income"), first("total_assets")).alias("roa"),
-        ratio(first("gross_profit"), first("revenue")).alias("gross_margin"),
-        ratio(first("operating_income"), first("revenue")).alias("operating_margin"),
-        ratio(first("total_liabilities"), first("total_assets")).alias("debt_ratio"),
-        ratio(first("current_assets"), first("current_liabilities")).alias("current_ratio"),
-        first("eps").alias("eps"),
+        over("net_income", "total_equity").alias("roe"),
+        over("net_income", "total_assets").alias("roa"),
+        over("gross_profit", "revenue").alias("gross_margin"),
+        over("operating_income", "revenue").alias("operating_margin"),
+        over("total_liabilities", "total_assets").alias("debt_ratio"),
+        over("current_assets", "current_liabilities").alias("current_ratio"),
+        "eps",
     )

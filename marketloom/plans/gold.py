@@ -44,8 +44,9 @@ def monthly_valuation(valuation: DataFrame) -> DataFrame:
 
 def monthly_fundamentals(fundamentals: DataFrame) -> DataFrame:
     """Statement dates that are no calendar date have no month and match nothing."""
-    monthly = fundamentals.withColumn("month", dates.month_of(dates.plain_date(F.col("date"))))
-    return last_non_null(monthly.dropna(subset=["month"]), ["stock_id", "month"], RATIO_COLUMNS, ["date"])
+    day = F.col("date").try_cast("date")
+    monthly = fundamentals.withColumns({"month": dates.month_of(day), "date": day})
+    return last_non_null(monthly, ["stock_id", "month"], RATIO_COLUMNS, ["date"])
 
 
 def named_revenue(revenue: DataFrame, company: DataFrame) -> DataFrame:

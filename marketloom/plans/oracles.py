@@ -350,7 +350,7 @@ _ROUNDED = {
 
 def _cols(*names: str) -> str:
     """Select list with the doubles rounded to six places."""
-    return ", ".join(f"round({name}, 6) AS {name}" if name in _ROUNDED else name for name in names)
+    return ", ".join(f"round({name} + 1e-9, 6) AS {name}" if name in _ROUNDED else name for name in names)
 
 
 def _select(source: str, names: list[str], tail: str = "") -> str:
@@ -504,7 +504,7 @@ ORDER BY month DESC LIMIT 1"""
         "SELECT risk_level, count(*) AS company_count FROM monitored GROUP BY risk_level", "monitored"
     )
     sql["overview_kpis"] = _with(
-        """SELECT round(avg(financial_health_score), 6) AS avg_health_score,
+        """SELECT round(avg(financial_health_score) + 1e-9, 6) AS avg_health_score,
         CAST(count(*) FILTER (risk_level = 'Low') AS BIGINT) AS low_companies,
         CAST(count(*) FILTER (risk_level = 'Mid') AS BIGINT) AS mid_companies,
         CAST(count(*) FILTER (risk_level = 'High') AS BIGINT) AS high_companies,
@@ -518,9 +518,9 @@ ORDER BY month DESC LIMIT 1"""
     )
     sql["signal_summary"] = _with(
         """SELECT revenue_growth_signal, count(DISTINCT stock_id) AS company_count,
-        round(avg(revenue_yoy), 6) AS avg_revenue_yoy, round(median(revenue_yoy), 6) AS median_revenue_yoy,
-        round(avg(revenue_mom), 6) AS avg_revenue_mom, round(coalesce(sum(revenue), 0), 2) AS total_revenue,
-        round(count(DISTINCT stock_id) / CAST((SELECT count(*) FROM latest_growth) AS DOUBLE), 6) AS company_share
+        round(avg(revenue_yoy) + 1e-9, 6) AS avg_revenue_yoy, round(median(revenue_yoy) + 1e-9, 6) AS median_revenue_yoy,
+        round(avg(revenue_mom) + 1e-9, 6) AS avg_revenue_mom, round(coalesce(sum(revenue), 0), 2) AS total_revenue,
+        round(count(DISTINCT stock_id) / CAST((SELECT count(*) FROM latest_growth) AS DOUBLE) + 1e-9, 6) AS company_share
         FROM latest_growth GROUP BY revenue_growth_signal""",
         "latest_growth",
     )
@@ -586,7 +586,7 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
         "li",
     )
     sql["snapshot_append"] = _with(
-        f"""SELECT stock_id, date, round(trading_money, 6) AS trading_money, snapshot_date FROM (
+        f"""SELECT stock_id, date, round(trading_money + 1e-9, 6) AS trading_money, snapshot_date FROM (
         SELECT stock_id, date, sum(money) / CAST(100 AS DOUBLE) AS trading_money,
                CASE WHEN flag = 'N' THEN CAST(date AS VARCHAR) ELSE '{TODAY}' END AS snapshot_date
         FROM li WHERE flag IN ('N', 'R') GROUP BY stock_id, date, flag
@@ -596,7 +596,7 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
         "li",
     )
     sql["history_append"] = _with(
-        """SELECT stock_id, date, flag, round(sum(money) / CAST(100 AS DOUBLE), 6) AS trading_money FROM li
+        """SELECT stock_id, date, flag, round(sum(money) / CAST(100 AS DOUBLE) + 1e-9, 6) AS trading_money FROM li
         GROUP BY stock_id, date, flag
         QUALIFY row_number() OVER (PARTITION BY stock_id, date
                                    ORDER BY CASE flag WHEN 'R' THEN 2 WHEN 'N' THEN 1 ELSE 0 END DESC) = 1""",

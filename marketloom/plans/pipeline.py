@@ -88,8 +88,8 @@ def build_silver(
     # Ratios are taken from the feed rows, which still know their landing order.
     lake.store(silver.fundamentals_table(list(rows.values())), "silver_fundamental_metrics")
 
-    valuation = silver.valuation_table(lake.feed(RATIO_DATASET, True), lake.feed(DIVIDEND_DATASET, True))
-    lake.store(valuation, "silver_per_dividend")
+    valuation = silver.clean_valuation(lake.feed(RATIO_DATASET, True), lake.feed(DIVIDEND_DATASET, True))
+    lake.store(silver.valuation_table(valuation), "silver_per_dividend")
 
 
 def build_gold(lake: Lake, focus_id: str = gold.FOCUS_ID) -> None:

@@ -1,6 +1,7 @@
 """Every registered query: feeds from the benchmark tables -> operators -> DataFrame.
 
-Doubles are rounded to six places at the very end, for the comparison with the SQL twin.
+Doubles are rounded to six places at the very end, for the comparison with the SQL twin. A
+billionth is added first: engines round an exact half of the last place differently.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class Market:
 
     @cached_property
     def valuation(self) -> DataFrame:
-        return silver.valuation_table(*self.feed(order_feeds.valuation_feeds))
+        return self.feed(order_feeds.daily_valuation)
 
     @cached_property
     def statement_rows(self) -> list[DataFrame]:
@@ -67,11 +68,11 @@ class Market:
 
     @cached_property
     def statements(self) -> DataFrame:
-        return silver.statement_table(stack(self.statement_rows))
+        return self.feed(order_feeds.statement_items)
 
     @cached_property
     def fundamentals(self) -> DataFrame:
-        return silver.fundamentals_table(self.statement_rows)
+        return silver.fundamentals_table([self.statements])
 
     @cached_property
     def snapshot(self) -> DataFrame:
@@ -115,11 +116,14 @@ class Market:
         return reports.traded_universe(self.dashboard, required=[FOCUS])
 
 
+ROUNDING_SHIFT = 1e-9
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     ranks = {name for name in df.columns if name.endswith("rank")}
     return df.select(
         *[
-            F.round(name, places).alias(name) if kind == "double" and name not in ranks else F.col(f"`{name}`")
+            F.round(F.col(name) + ROUNDING_SHIFT, places).alias(name) if kind == "double" and name not in ranks else F.col(f"`{name}`")
             for name, kind in df.dtypes
         ]
     )
@@ -247,9 +251,11 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
         silver.clean_revenue(m.feed(order_feeds.revenue_feeds)), START[:7]
     ),
     "company_dim": company_dim,
-    "statement_long": lambda m: m.statements,
-    "fundamental_metrics": lambda m: m.fundamentals,
-    "valuation_last": lambda m: m.valuation,
+    "statement_long": lambda m: silver.statement_table(stack(m.statement_rows)),
+    "fundamental_metrics": lambda m: silver.fundamentals_table(m.statement_rows),
+    "valuation_last": lambda m: silver.valuation_table(
+        silver.clean_valuation(*m.feed(order_feeds.valuation_feeds))
+    ),
     "valuation_monthly": lambda m: gold.monthly_valuation(m.valuation),
     "month_end_prices": lambda m: reports.monthly_prices(m.prices).select(
         "stock_id", "month", *gold.MONTH_PRICE_COLUMNS

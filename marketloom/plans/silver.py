@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from marketloom import schemas
 from marketloom.functions import dates, rules, text
 from marketloom.operators.headers import (
+    FEED_ORDER,
     LANDING_ORDER,
-    SOURCE_PRIORITY,
     conform,
     quoted,
     stack,
     stack_sources,
     unify_headers,
 )
-from marketloom.operators.latest import FEED_ORDER, keep_last, last_non_null
+from marketloom.operators.latest import keep_last, last_non_null
 from marketloom.operators.series import add_price_features, add_revenue_growth
 from marketloom.operators.statements import fundamental_ratios, unpivot_accounts
 
@@ -52,6 +52,7 @@ REVENUE_HEADERS = {
     "revenue_month": ("revenue_month",),
     "feed_month": ("資料年月",),
 }
+REPORTED_BIT = 61  # above every feed order
 FEED_REVENUE_UNIT = 1000  # feeds with a 資料年月 column report in thousands
 
 COMPANY_HEADERS = {
@@ -98,10 +99,9 @@ NUMERIC_PRICES = tuple(name for name in PRICE_HEADERS if name not in ("stock_id"
 def company_table(feed: DataFrame, configured: DataFrame) -> DataFrame:
     """One row per company: the feed's last record, the configured focus flag, and configured
     companies that the feed lacks."""
-    listed = unify_headers(feed, COMPANY_HEADERS, keep=FEED_ORDER)
+    listed = stack_sources([unify_headers(feed, COMPANY_HEADERS, keep=[LANDING_ORDER])])
     listed = listed.withColumn("stock_id", text.normalize_id(F.col("stock_id"))).dropna(subset=["stock_id"])
-    order = [name for name in FEED_ORDER if name in listed.columns] or [F.lit(0)]
-    listed = keep_last(listed, ["stock_id"], order)
+    listed = keep_last(listed, ["stock_id"])
 
     own = configured.dropna(subset=["stock_id"])
     if "place" in own.columns:  # the first entry of an id counts
@@ -124,7 +124,7 @@ def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_
         dates.trade_date(F.col("date")).alias("date"),
         text.normalize_id(F.col("stock_id")).alias("stock_id"),
         *[text.price_number(F.col(name)).alias(name) for name in NUMERIC_PRICES],
-        *FEED_ORDER,
+        FEED_ORDER,
     )
     kept = typed.dropna(subset=["date", "stock_id"]).where(~F.col("stock_id").isin(*excluded))
     return conform(keep_last(kept, ["stock_id", "date"]), schemas.PRICE_INPUT)
@@ -159,11 +159,12 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         F.when(F.col("feed_month").isNotNull(), amount * FEED_REVENUE_UNIT).otherwise(amount).alias("revenue"),
         (text.plain_number(F.col("mom_percent")) / 100).alias("reported_mom"),
         (text.plain_number(F.col("yoy_percent")) / 100).alias("reported_yoy"),
-        *FEED_ORDER,
+        FEED_ORDER,
     )
     reported = F.col("reported_mom").isNotNull() | F.col("reported_yoy").isNotNull()
+    reported_order = F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)
     kept = typed.dropna(subset=["month", "stock_id"])
-    return keep_last(kept, ["stock_id", "month"], [reported, *FEED_ORDER]).drop(*FEED_ORDER)
+    return keep_last(kept, ["stock_id", "month"], [reported_order]).drop(FEED_ORDER)
 
 
 def revenue_table(
@@ -207,7 +208,7 @@ def statement_rows(feed: DataFrame, category: str) -> DataFrame:
     for name in ("date", "stock_id", "type", "value"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    order = F.col(LANDING_ORDER) if LANDING_ORDER in rows.columns else F.lit(None)
+    order = F.col(LANDING_ORDER) if LANDING_ORDER in rows.columns else F.lit(0)
     return rows.select(
         dates.statement_date(F.col("date")).alias("date"),
         F.coalesce(text.normalize_id(F.col("stock_id")), F.lit("")).alias("stock_id"),
@@ -215,7 +216,7 @@ def statement_rows(feed: DataFrame, category: str) -> DataFrame:
         "type",
         text.plain_number(F.col("value")).alias("value"),
         rules.metric_name(F.col("type")).alias("normalized_metric_name"),
-        order.cast("struct<file:string,block:bigint,row:bigint>").alias(LANDING_ORDER),
+        order.cast("bigint").alias(LANDING_ORDER),
     )
 
 
@@ -223,24 +224,20 @@ def statement_table(rows: DataFrame) -> DataFrame:
     return conform(rows, schemas.SILVER_STATEMENT)
 
 
-def statement_place() -> Column:
-    """Precedence between the statements: income, then balance, then cash flow."""
-    category = F.col("statement_category")
-    return rules.label_position(category, STATEMENT_CATEGORIES)
-
-
 def fundamentals_table(statements: Sequence[DataFrame]) -> DataFrame:
-    """Ratios per (stock_id, date) over all statement rows; the last known value of an item counts."""
-    rows = stack(statements)
-    order = [statement_place()] + ([F.col(LANDING_ORDER)] if LANDING_ORDER in rows.columns else [])
-    return conform(fundamental_ratios(rows, F.struct(*order)), schemas.SILVER_FUNDAMENTALS)
+    """Ratios per (stock_id, date) over the income, balance and cash flow rows, in this precedence;
+    the last known value of an item counts."""
+    return conform(fundamental_ratios(stack_sources(statements)), schemas.SILVER_FUNDAMENTALS)
 
 
 # --- valuation ---------------------------------------------------------------
 
 
-def valuation_table(ratios: DataFrame | None, dividends: DataFrame | None) -> DataFrame:
-    """PE, yield and price/book per (stock_id, date); dividend rows come after ratio rows."""
+VALUATION_VALUES = ("pe_ratio", "dividend_yield", "price_book_ratio")
+
+
+def clean_valuation(ratios: DataFrame | None, dividends: DataFrame | None) -> DataFrame:
+    """Typed ratio and dividend rows; dividend rows come after ratio rows."""
     feeds = []
     if ratios is not None:
         feeds.append(unify_headers(ratios, VALUATION_HEADERS, keep=[LANDING_ORDER]))
@@ -250,16 +247,16 @@ def valuation_table(ratios: DataFrame | None, dividends: DataFrame | None) -> Da
         feeds.append(unify_headers(dividends, DIVIDEND_HEADERS, keep=[LANDING_ORDER]))
     if not feeds:
         raise ValueError("at least one valuation feed is needed")
-    values = ("pe_ratio", "dividend_yield", "price_book_ratio")
-    typed = (
-        stack_sources(feeds)
-        .select(
-            dates.plain_date(F.col("date")).alias("date"),
-            text.normalize_id(F.col("stock_id")).alias("stock_id"),
-            *[text.plain_number(F.col(name)).alias(name) for name in values],
-            SOURCE_PRIORITY,
-            LANDING_ORDER,
-        )
-        .dropna(subset=["date", "stock_id"])
+    typed = stack_sources(feeds).select(
+        dates.plain_date(F.col("date")).alias("date"),
+        text.normalize_id(F.col("stock_id")).alias("stock_id"),
+        *[text.plain_number(F.col(name)).alias(name) for name in VALUATION_VALUES],
+        FEED_ORDER,
     )
-    return conform(last_non_null(typed, ["stock_id", "date"], values, FEED_ORDER), schemas.SILVER_VALUATION)
+    return typed.dropna(subset=["date", "stock_id"])
+
+
+def valuation_table(valuation: DataFrame) -> DataFrame:
+    """PE, yield and price/book per (stock_id, date), each the last known of its typed rows."""
+    last = last_non_null(valuation, ["stock_id", "date"], VALUATION_VALUES, [FEED_ORDER])
+    return conform(last, schemas.SILVER_VALUATION)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import ROC_YEAR_OFFSET, month_of
+from marketloom.functions.rules import metric_name
 from marketloom.operators.headers import stack
 
 # Industry per region key, to reach every form of the peer predicate.
@@ -206,7 +207,7 @@ def company_feed(spark: SparkSession, folder: str) -> DataFrame:
             F.col("stock_id").alias("公司代號"),
             F.col("stock_name").alias("公司名稱"),
             F.when(F.col("industry_group") == "25", "025").otherwise(F.col("industry_group")).alias("產業別"),
-            F.lit(place).alias("source_priority"),
+            F.lit(place).alias("landing_order"),
         )
 
     return stack([landed(first, 0), landed(second, 1)])
@@ -243,15 +244,38 @@ def valuation_feeds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     return ratio_feed, paid.select(day, key, F.col("cash").cast("string").alias("CashEarningsDistribution"))
 
 
+def daily_valuation(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed valuation rows in one pass: per stock and day the ratios, and the dividend if one was paid."""
+    returned = F.col("flag") == "R"
+    money, tax = F.col("money"), F.col("tax")
+    values = shipments(spark, folder).groupBy("key", "date").agg(
+        F.try_divide(total(money) * 100, total(money * F.col("discount"))).alias("pe_ratio"),
+        (total(money * tax) / (total(money) * 100)).alias("yield_ratio"),
+        (total(F.when(returned, money * tax)) / (total(F.when(returned, money)) * 100)).alias("cash"),
+    )
+    return values.select(
+        "date",
+        stock_id(F.col("key")).alias("stock_id"),
+        "pe_ratio",
+        F.coalesce("cash", "yield_ratio").alias("dividend_yield"),
+        (F.col("pe_ratio") / 10).alias("price_book_ratio"),
+    )
+
+
 # --- statements --------------------------------------------------------------
 
 
-def statement_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Raw quarterly statements: income and balance in wide form, cash flow in long form."""
+# The account names of the derived statements.
+INCOME = ("營業收入", "營業毛利（毛損）", "營業利益（損失）", "本期淨利（淨損）", "基本每股盈餘（元）")
+BALANCE = ("資產總額", "負債總額", "權益總額", "流動資產", "流動負債")
+CASH_FLOW = ("營業活動之淨現金流入（流出）",)
+
+
+def _quarters(spark: SparkSession, folder: str) -> DataFrame:
     rows = shipments(spark, folder).withColumn("quarter_start", F.trunc("date", "quarter"))
     money, discount, tax = F.col("money"), F.col("discount"), F.col("tax")
     flag, status = F.col("flag"), F.col("status")
-    sums = rows.groupBy("key", "quarter_start").agg(
+    return rows.groupBy("key", "quarter_start").agg(
         (total(money) / 100).alias("營業收入"),
         (total(net_amount()) / 10000).alias("營業毛利（毛損）"),
         (total(money * (100 - discount - tax)) / 10000).alias("營業利益（損失）"),
@@ -264,21 +288,44 @@ def statement_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         (total(F.when(flag == "N", money)) / 100).alias("流動負債"),
         (total(money * (discount - tax)) / 10000).alias("營業活動之淨現金流入（流出）"),
     )
+
+
+def _quarter_end() -> Column:
+    return F.last_day(F.add_months("quarter_start", 2))
+
+
+def statement_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed long statement rows, all accounts in one pass."""
+    accounts = [*INCOME, *BALANCE, *CASH_FLOW]
+    wide = _quarters(spark, folder).select(
+        _quarter_end().cast("string").alias("date"), stock_id(F.col("key")).alias("stock_id"),
+        *[F.col(name).alias(name) for name in accounts],
+    )
+    category = F.when(F.col("type").isin(*INCOME), "income_statement").when(
+        F.col("type").isin(*BALANCE), "balance_sheet"
+    )
+    return wide.unpivot(["date", "stock_id"], accounts, "type", "value").select(
+        "date", "stock_id", category.otherwise("cash_flow_statement").alias("statement_category"), "type", "value",
+        metric_name(F.col("type")).alias("normalized_metric_name"),
+    )
+
+
+def statement_feeds(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Raw quarterly statements: income and balance in wide form, cash flow in long form."""
+    sums = _quarters(spark, folder)
     ids = [
-        roc_compact(F.last_day(F.add_months("quarter_start", 2))).alias("出表日期"),
+        roc_compact(_quarter_end()).alias("出表日期"),
         stock_id(F.col("key")).alias("公司代號"),
     ]
 
     def amount(name: str, places: int) -> Column:
         return F.format_number(F.col(name), places).alias(name)
 
+    sales, *profits, per_share = INCOME
     income = sums.select(
-        *ids, amount("營業收入", 2), amount("營業毛利（毛損）", 4), amount("營業利益（損失）", 4),
-        amount("本期淨利（淨損）", 4), F.col("基本每股盈餘（元）").cast("string").alias("基本每股盈餘（元）"),
-    )
-    balance = sums.select(
-        *ids, *[amount(name, 2) for name in ("資產總額", "負債總額", "權益總額", "流動資產", "流動負債")]
+        *ids, amount(sales, 2), *[amount(name, 4) for name in profits], F.col(per_share).cast("string").alias(per_share)
     )
-    cash_name = "營業活動之淨現金流入（流出）"
-    cash_flow = sums.select(*ids, F.lit(cash_name).alias("會計項目"), F.format_number(F.col(cash_name), 4).alias("本期金額"))
+    balance = sums.select(*ids, *[amount(name, 2) for name in BALANCE])
+    (cash,) = CASH_FLOW
+    cash_flow = sums.select(*ids, F.lit(cash).alias("會計項目"), F.format_number(F.col(cash), 4).alias("本期金額"))
     return {"income_statement": income, "balance_sheet": balance, "cash_flow_statement": cash_flow}

@@ -38,19 +38,12 @@ def empty(spark: SparkSession, schema: T.StructType | str = "stock_id string") -
 
 
 def with_landing_order(df: DataFrame) -> DataFrame:
-    """Adds the place of each row in its feed: file, block in the file, row in the block.
+    """Adds a number that grows with the row's place in its file.
 
-    A text split is read in order by one task, so the row id grows within a block, and the result
-    does not depend on which executor reads it.
+    A task reads its part of a file in order, and the parts of a file are assigned to tasks in
+    order. The number depends on the file layout only, not on which executor reads it or how often.
     """
-    return df.withColumn(
-        LANDING_ORDER,
-        F.struct(
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-    )
+    return df.withColumn(LANDING_ORDER, F.monotonically_increasing_id())
 
 
 # --- raw CSV -------------------------------------------------------------------
@@ -107,14 +100,14 @@ def read_raw_files(spark: SparkSession, path: str, lineage: str | None = None) -
     for scan in scans:
         frame = with_landing_order(_csv(spark, scan))
         if lineage:
-            frame = frame.withColumn(lineage, F.col(f"{LANDING_ORDER}.file"))
+            frame = frame.withColumn(lineage, F.col("_metadata.file_path"))
         frames.append(frame)
     return stack(frames)
 
 
-def entity_id_from_file(dataset: str) -> Column:
-    """The id in the file name ``{dataset}_{id}.csv`` of a row with a landing order."""
-    return F.regexp_extract(F.col(f"{LANDING_ORDER}.file"), rf"{dataset}_([^/]+)\.csv", 1)
+def entity_id(dataset: str, file: Column) -> Column:
+    """The id in the file name ``{dataset}_{id}.csv``."""
+    return F.regexp_extract(file, rf"{dataset}_([^/]+)\.csv", 1)
 
 
 # --- landed payloads -------------------------------------------------------------
