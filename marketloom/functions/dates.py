@@ -36,14 +36,11 @@ def _calendar_date(dashed: Column) -> Column:
 
 def trade_date(raw: Column) -> Column:
     """DATE from 'Y/M/D' (ROC or Gregorian year), ROC 'yyyMMdd', or a Gregorian text date."""
-    text = F.trim(raw.cast("string"))
-    dashed = _dashed(text)
+    dashed = _dashed(F.trim(raw.cast("string")))
     year = _year(dashed)
-    roc = (year < ROC_YEAR_OFFSET) & ~text.contains("-") & ~text.contains(".")
-    gregorian = F.concat_ws(
-        "-", (year + ROC_YEAR_OFFSET).cast("string"), F.substring_index(F.substring_index(dashed, "-", -2), "-", 2)
-    )
-    return _calendar_date(F.when(roc, gregorian).otherwise(dashed))
+    gregorian = F.concat_ws("-", (year + ROC_YEAR_OFFSET).cast("string"), F.substring_index(dashed, "-", -2))
+    in_roc_form = (year < ROC_YEAR_OFFSET) & ~raw.contains("-")
+    return _calendar_date(F.when(in_roc_form, gregorian).otherwise(dashed))
 
 
 def plain_date(raw: Column) -> Column:

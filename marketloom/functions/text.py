@@ -15,15 +15,23 @@ def normalize_id(raw: Column) -> Column:
     return F.regexp_replace(F.trim(raw.cast("string")), r"\.0$", "")
 
 
-def plain_number(raw: Column) -> Column:
-    """Double from text with thousands commas; anything that is not a number is null."""
-    text = F.trim(F.translate(raw.cast("string"), ",", ""))
+def without(raw: Column, mark: str) -> Column:
+    return F.replace(raw, F.lit(mark), F.lit(""))
+
+
+def number(text: Column) -> Column:
+    """Double from bare number text; anything that is not a number is null. Uses the text twice."""
     return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
-def price_number(raw: Column) -> Column:
-    """As plain_number, and explicit plus signs are dropped ('+1.5', '--', '-')."""
-    return plain_number(F.translate(raw.cast("string"), "+", ""))
+def plain_number(raw: Column) -> Column:
+    """Double from text with thousands commas."""
+    return number(F.trim(without(raw.cast("string"), ",")))
+
+
+def price_text(raw: Column) -> Column:
+    """Bare text of a price feed number: no commas, no plus signs ('+1,234.5', '--', '-')."""
+    return F.trim(without(without(raw.cast("string"), ","), "+"))
 
 
 def lower_snake(raw: Column) -> Column:

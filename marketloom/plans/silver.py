@@ -120,12 +120,14 @@ def company_table(feed: DataFrame, configured: DataFrame) -> DataFrame:
 def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_IDS) -> DataFrame:
     """Typed daily prices, one row per (stock_id, date); later feeds and later rows win."""
     unified = [unify_headers(feed, PRICE_HEADERS, keep=[LANDING_ORDER]) for feed in feeds]
-    typed = stack_sources(unified).select(
+    # Two steps, so that each text is stripped once although the number rule reads it twice.
+    stripped = stack_sources(unified).select(
         dates.trade_date(F.col("date")).alias("date"),
         text.normalize_id(F.col("stock_id")).alias("stock_id"),
-        *[text.price_number(F.col(name)).alias(name) for name in NUMERIC_PRICES],
+        *[text.price_text(F.col(name)).alias(name) for name in NUMERIC_PRICES],
         FEED_ORDER,
     )
+    typed = stripped.withColumns({name: text.number(F.col(name)) for name in NUMERIC_PRICES})
     kept = typed.dropna(subset=["date", "stock_id"]).where(~F.col("stock_id").isin(*excluded))
     return conform(keep_last(kept, ["stock_id", "date"]), schemas.PRICE_INPUT)
 

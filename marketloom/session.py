@@ -12,6 +12,8 @@ SETTINGS = {
     # Inputs partitioned by stock_id may join on (stock_id, month) without another exchange: the
     # rows of one stock are bounded by the calendar, so the coarser key is safe.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # HotSpot interprets methods above 8000 bytes of code; plain operators are faster than that.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 

@@ -17,6 +17,8 @@ ERROR_TEXT = "PAGE CANNOT BE ACCESSED"
 BYTE_ORDER_MARK = "\ufeff"
 PAYLOAD_OK = "OK"
 
+CSV_FIELD = ',("(?:[^"]|"")*"|[^,]*)'
+
 # Distinct header layouts of one dataset. A layout is a list of column names in a feed's format, so
 # their number does not grow with the rows; more than this means that the path is no dataset.
 MAX_LAYOUTS = 500
@@ -139,26 +141,34 @@ def rejected_bodies(bodies: DataFrame) -> DataFrame:
     return bodies.where(~is_tabular(F.col("body")))
 
 
-def csv_body_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of accepted CSV bodies with the wanted columns by header name; absent ones are null."""
-    width = 200  # columns parsed per line, above any feed's
-    line_schema = ", ".join(f"c{i} string" for i in range(width))
-    options = {"escape": '"'}
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line as an array, quotes removed. Every field follows a comma here, so
+    empty fields at either end are kept."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_FIELD), F.lit(1))
+    return F.transform(
+        quoted,
+        lambda field: F.when(
+            field.startswith('"'), F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+        ).otherwise(field),
+    )
 
-    def fields(line: Column) -> Column:
-        parsed = F.from_csv(line, line_schema, options)
-        return F.array(*[parsed[f"c{i}"] for i in range(width)])
 
+def csv_body_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of accepted CSV bodies with the wanted columns by header name; absent ones are null."""
     passed = [name for name in bodies.columns if name != "body"]
-    lines = F.filter(F.split(F.col("body"), r"\r?\n"), lambda line: F.trim(line) != "")
-    header = bodies.select(*passed, lines.alias("_lines")).withColumn("_header", fields(F.col("_lines")[0]))
-    rows = header.select(
-        *passed, "_header", F.explode(F.slice("_lines", F.lit(2), F.greatest(F.size("_lines") - 1, F.lit(0)))).alias("_line")
-    ).withColumn("_values", fields(F.col("_line")))
+    lines = F.filter(F.split("body", r"\r?\n"), lambda line: F.trim(line) != "")
+    parsed = bodies.select(*passed, lines.alias("_lines")).select(
+        *passed,
+        csv_fields(F.col("_lines")[0]).alias("_header"),
+        F.posexplode("_lines").alias("_place", "_line"),
+    )
+    places = F.struct(*[F.array_position("_header", name).cast("int").alias(name) for name in columns])
+    rows = parsed.where(F.col("_place") > 0).select(*passed, places.alias("_at"), csv_fields(F.col("_line")).alias("_row"))
 
     def value(name: str) -> Column:
-        place = F.array_position("_header", name)
-        return F.when(place > 0, F.try_element_at("_values", place.cast("int"))).alias(name)
+        place = F.col(f"_at.{name}")
+        field = F.when(place > 0, F.try_element_at("_row", place))
+        return F.when(field != "", field).alias(name)
 
     return rows.select(*passed, *[value(name) for name in columns])
 
