@@ -28,22 +28,27 @@ def unify_headers(df: DataFrame, aliases: Mapping[str, Sequence[str]], keep: Seq
     Columns in ``keep`` pass through when the frame has them.
     """
 
+    columns = set(df.columns)
+
     def merged(name: str) -> Column:
-        present = [quoted(header) for header in aliases[name] if header in df.columns]
+        present = [quoted(header) for header in aliases[name] if header in columns]
         return (F.coalesce(*present) if present else F.lit(None).cast("string")).alias(name)
 
-    passed = [quoted(name) for name in keep if name in df.columns and name not in aliases]
+    passed = [quoted(name) for name in keep if name in columns and name not in aliases]
     return df.select(*[merged(name) for name in aliases], *passed)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Exactly the schema's columns, in order and type; absent ones are null."""
-    return df.select(
-        *[
-            (F.col(field.name) if field.name in df.columns else F.lit(None)).cast(field.dataType).alias(field.name)
-            for field in schema.fields
-        ]
-    )
+    types = {field.name: field.dataType for field in df.schema.fields}
+
+    def typed(field: T.StructField) -> Column | str:
+        if types.get(field.name) == field.dataType:
+            return field.name
+        value = F.col(field.name) if field.name in types else F.lit(None)
+        return value.cast(field.dataType).alias(field.name)
+
+    return df.select(*[typed(field) for field in schema.fields])
 
 
 def stack(frames: Sequence[DataFrame]) -> DataFrame:

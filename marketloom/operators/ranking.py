@@ -123,23 +123,18 @@ def _spread_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], k
 
 
 def grouped_median(df: DataFrame, group: str, value: str, key: str, name: str) -> DataFrame:
-    """Exact median per group without holding a group's values in one buffer.
+    """Exact median per group without holding a group's values in one buffer or task.
 
-    The positions of a group are consecutive, so its middle one or two rows are found by counting.
+    The positions of a group are consecutive, so counting gives the positions of its middle one or
+    two rows. These are looked up by position, a unique key, and not by the group.
     """
     known = df.select(group, value, key).where(F.col(value).isNotNull())
     placed = ordered_positions(known, [F.col(group).asc_nulls_first(), F.col(value), F.col(key)])
-    spans = placed.groupBy(F.col(group).alias("_group")).agg(
-        F.min("position").alias("_start"), F.count(F.lit(1)).alias("_rows")
-    )
-    place = F.col("position") - F.col("_start")
-    lower, upper = F.floor((F.col("_rows") - 1) / 2), F.floor(F.col("_rows") / 2)
-    return (
-        placed.join(spans, F.col(group).eqNullSafe(F.col("_group")))
-        .where((place == lower) | (place == upper))
-        .groupBy(group)
-        .agg(F.avg(value).alias(name))
-    )
+    spans = placed.groupBy(group).agg(F.min("position").alias("_start"), F.max("position").alias("_end"))
+    middle = F.col("_start") + F.col("_end")
+    both = F.array_distinct(F.array(F.floor(middle / 2), F.ceil(middle / 2)))
+    wanted = spans.select(F.explode(both).alias("position"))
+    return placed.join(wanted, "position").groupBy(group).agg(F.avg(value).alias(name))
 
 
 # Shares of the companies that are put on watch and marked high.

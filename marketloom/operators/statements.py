@@ -31,9 +31,11 @@ RATIO_INPUTS = {
 
 
 def unpivot_accounts(wide: DataFrame) -> DataFrame:
-    """One row per account column of a wide statement, as (type, value) text."""
+    """One row per account column of a wide statement, as (type, value) text; without any, the input."""
     ids = [name for name in wide.columns if name in STATEMENT_IDS or name == LANDING_ORDER]
     accounts = [name for name in wide.columns if name not in ids]
+    if not accounts:
+        return wide
     text = wide.select(*ids, *[F.col(f"`{name}`").cast("string").alias(name) for name in accounts])
     return text.unpivot(ids, [f"`{name}`" for name in accounts], "type", "value")
 

@@ -123,7 +123,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     ranks = {name for name in df.columns if name.endswith("rank")}
     return df.select(
         *[
-            F.round(F.col(name) + ROUNDING_SHIFT, places).alias(name) if kind == "double" and name not in ranks else F.col(f"`{name}`")
+            F.round(F.col(name) + ROUNDING_SHIFT, places).alias(name) if kind == "double" and name not in ranks else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # HotSpot interprets methods above 8000 bytes of code; plain operators are faster than that.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Checkpoint files go away with the DataFrame they belong to.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Recording the Python line of every column expression more than doubles the time to build a plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

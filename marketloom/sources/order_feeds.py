@@ -19,8 +19,18 @@ from marketloom.operators.headers import stack
 REGION_INDUSTRY = {0: "24", 1: "半導體業", 2: "Semiconductor", 3: "25", 4: "17"}
 
 
+# The columns in use. With a given schema Spark starts no job to read one.
+TABLES = {
+    "lineitem": "l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def stock_id(key: Column) -> Column:
