@@ -122,19 +122,24 @@ def _spread_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], k
     return result.select(*df.columns, *[rank.name for rank in ranks])
 
 
-def grouped_median(df: DataFrame, group: str, value: str, key: str, name: str) -> DataFrame:
-    """Exact median per group without holding a group's values in one buffer or task.
+def group_positions(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
+    """Positions by group, then value with nulls last, then key: each group's known values are consecutive."""
+    order = [F.col(group).asc_nulls_first(), F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last()]
+    return ordered_positions(df, order)
 
-    The positions of a group are consecutive, so counting gives the positions of its middle one or
-    two rows. These are looked up by position, a unique key, and not by the group.
+
+def group_medians(placed: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Exact median per group over ``group_positions``, without a group's values in one buffer or task.
+
+    Counting gives the positions of a group's middle one or two known values. These are looked up
+    by position, a unique key, and not by the group.
     """
-    known = df.select(group, value, key).where(F.col(value).isNotNull())
-    placed = ordered_positions(known, [F.col(group).asc_nulls_first(), F.col(value), F.col(key)])
-    spans = placed.groupBy(group).agg(F.min("position").alias("_start"), F.max("position").alias("_end"))
+    known = placed.where(F.col(value).isNotNull())
+    spans = known.groupBy(group).agg(F.min("position").alias("_start"), F.max("position").alias("_end"))
     middle = F.col("_start") + F.col("_end")
     both = F.array_distinct(F.array(F.floor(middle / 2), F.ceil(middle / 2)))
     wanted = spans.select(F.explode(both).alias("position"))
-    return placed.join(wanted, "position").groupBy(group).agg(F.avg(value).alias(name))
+    return known.join(wanted, "position").groupBy(group).agg(F.avg(value).alias(name))
 
 
 # Shares of the companies that are put on watch and marked high.

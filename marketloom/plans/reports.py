@@ -16,7 +16,7 @@ from marketloom.operators.latest import (
     latest_per_stock,
     month_end_rows,
 )
-from marketloom.operators.ranking import Rank, add_min_ranks, add_risk_bands, grouped_median
+from marketloom.operators.ranking import Rank, add_min_ranks, add_risk_bands, group_medians, group_positions
 
 # Report sizes and labels.
 TOP_ROWS = 10
@@ -142,16 +142,17 @@ def latest_price_date(price_features: DataFrame, dashboard: DataFrame) -> DataFr
 
 def signal_summary(growth: DataFrame) -> DataFrame:
     """Per growth signal of the latest month: companies, growth averages, revenue and share."""
-    latest = latest_month_rows(growth)
     signal = "revenue_growth_signal"
-    summary = latest.groupBy(signal).agg(
+    latest = latest_month_rows(growth).select("stock_id", signal, "revenue", "revenue_yoy", "revenue_mom")
+    # Placed rows are stored, so the summary and the medians share one pass over the revenue.
+    placed = group_positions(latest, signal, "revenue_yoy", "stock_id")
+    summary = placed.groupBy(signal).agg(
         F.count_distinct("stock_id").alias("company_count"),
         F.avg("revenue_yoy").alias("avg_revenue_yoy"),
         F.avg("revenue_mom").alias("avg_revenue_mom"),
         F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"),
     )
-    medians = grouped_median(latest, signal, "revenue_yoy", "stock_id", "median_revenue_yoy")
-    medians = medians.withColumnRenamed(signal, "_signal")
+    medians = group_medians(placed, signal, "revenue_yoy", "median_revenue_yoy").withColumnRenamed(signal, "_signal")
     joined = summary.join(medians, F.col(signal).eqNullSafe(F.col("_signal")), "left").drop("_signal")
     # One row per signal, so the total over all of them is a window over a handful of rows.
     total = F.sum("company_count").over(Window.partitionBy())

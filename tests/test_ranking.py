@@ -11,7 +11,8 @@ from marketloom.operators.ranking import (
     add_min_ranks,
     add_risk_bands,
     ensure_checkpoint_dir,
-    grouped_median,
+    group_medians,
+    group_positions,
     ordered_positions,
 )
 
@@ -54,8 +55,8 @@ def test_min_ranks_match_pandas(spark, sample, group_rows):
 
 def test_grouped_median_matches_pandas(spark, sample):
     data = [(None if m == "2024-05" else m, *rest) for m, *rest in sample]
-    df = spark.createDataFrame(data, SCHEMA)
-    got = {row.month: row.median for row in grouped_median(df, "month", "value", "stock_id", "median").collect()}
+    placed = group_positions(spark.createDataFrame(data, SCHEMA), "month", "value", "stock_id")
+    got = {row.month: row.median for row in group_medians(placed, "month", "value", "median").collect()}
     frame = pd.DataFrame(data, columns=["month", "stock_id", "value", "score"])
     expected = frame.groupby("month", dropna=False)["value"].median()
     assert {k: pytest.approx(v) for k, v in ((None if pd.isna(m) else m, v) for m, v in expected.items())} == got

@@ -206,3 +206,17 @@ def test_valuation_takes_the_last_known_per_column(text_frame, rows):
     (row,) = rows(silver.valuation_table(silver.clean_valuation(per, dividends)))
     assert (row["pe_ratio"], row["price_book_ratio"], row["dividend_yield"]) == (10.0, 2.0, 2.5)
     assert silver.valuation_table(silver.clean_valuation(None, dividends)).count() == 1
+
+
+def test_a_stock_with_a_third_of_all_rows(spark, rows):
+    """One stock-day is landed thousands of times; the last landing wins and nothing else changes."""
+    hot = spark.range(3000).selectExpr(
+        "'hot' AS stock_id", "'2024-01-02' AS date", "cast(id AS string) AS close", "id AS landing_order"
+    )
+    cold = spark.range(6000).selectExpr(
+        "concat('s', id % 20) AS stock_id", "cast(date_add(date'2023-01-01', cast(id / 20 AS int)) AS string) AS date",
+        "cast(10 + id % 7 AS string) AS close", "id AS landing_order",
+    )
+    clean = silver.clean_prices([hot.union(cold).repartition(8)])
+    assert clean.count() == 6001
+    assert rows(clean.where("stock_id = 'hot'"))[0]["close_price"] == 2999.0
