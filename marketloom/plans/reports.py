@@ -188,7 +188,7 @@ def industry_ranks(
     if stock_id is not None:
         # Only the industry of this stock takes part, so prune before ranking.
         industry = of_stock(industry, stock_id)
-        df = df.join(industry.select("industry_group"), "industry_group", "left_semi")
+        df = df.where(F.col("industry_group") == industry.select("industry_group").scalar())
     counts = df.groupBy("industry_group", "month").agg(F.count_distinct("stock_id").alias("industry_peer_count"))
     ranked = add_min_ranks(
         df.where(F.col("industry_group").isNotNull()), ["industry_group", "month"], INDUSTRY_RANKS,
