@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,11 +56,24 @@ def durable(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The frame stored as a compressed table in the checkpoint folder, for what is too large to store plain."""
+    ensure_checkpoint_dir(frame.sparkSession)
+    path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def small_side(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A stored frame, marked for broadcast if its counted rows stay within the bound."""
     return F.broadcast(frame) if frame.count() <= rows else frame
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """Identifies a row by id and text, so that missing or repeated ids do no harm. Rows that
     agree in both are interchangeable."""

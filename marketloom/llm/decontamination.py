@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, durable, free_name, row_key, small_side
+from marketloom.llm.common import NOT_WORD, SHINGLE_WORDS, SIMILARITY, bound, durable, free_name, row_key, small_side
 
 
 def words(text: Column) -> Column:
@@ -23,14 +23,14 @@ def words(text: Column) -> Column:
 
 
 def _shingles(word_list: Column, of: Callable[[Column], Column]) -> Column:
-    """The shingles of a word list. It is bound to a name first (the outer transform), or else every shingle would split the text anew."""
+    """The shingles of a word list. The list is bound first, or else every shingle would split the text anew."""
 
     def all_of(known: Column) -> Column:
         starts = F.sequence(F.lit(1), F.size(known) - SHINGLE_WORDS + 1)
         starts = F.when(F.size(known) >= SHINGLE_WORDS, starts).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: of(F.slice(known, i, F.lit(SHINGLE_WORDS))))
 
-    return F.transform(F.array(word_list), all_of)[0]
+    return bound(word_list, all_of)
 
 
 def shingle_hashes(word_list: Column) -> Column:

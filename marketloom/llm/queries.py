@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontamination, mixing, near_join, quality, toxicity
+from marketloom.llm import (
+    chat,
+    decontamination,
+    fingerprints,
+    html_text,
+    language_model,
+    mixing,
+    near_join,
+    quality,
+    toxicity,
+    url_filter,
+)
 from marketloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,17 +44,42 @@ def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.drop("doc_key")
 
 
+def op5_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, folder, "documents"))
+
+
+def op6_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(table(spark, folder, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     classes = near_join.near_classes(table(spark, folder, "documents"))
     return classes.select("doc_id", "class_id", "n_links", "n_shingles")
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(table(spark, folder, "pages"))
+
+
+def op9_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
+def op10_chat_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.linked_messages(table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
     "op3_source_mixing": op3_source_mixing,
     "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_lm_scores": op6_lm_scores,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_url_filter": op8_url_filter,
+    "op9_html_text": op9_html_text,
+    "op10_chat_quotes": op10_chat_quotes,
 }
 
 ORACLES = {
