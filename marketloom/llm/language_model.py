@@ -30,19 +30,20 @@ from marketloom.llm.quality import is_held_out
 END = "\n"  # the token after the last word; no word has white space
 FOLDS, HELD_FOLD = 7, 2
 HEAD_SHARE = 100_000  # words that are at least one in so many tokens are in the shared dictionary: so many at most
-WORD_CLASSES, ENDING_CLASSES = 192, 64
+WORD_CLASSES, ENDING_CLASSES = 96, 32
 CLASSES = WORD_CLASSES + ENDING_CLASSES
-CONTEXT, WIDTH, NOISE = 4, 16, 48
-BATCH, RATE = 512, 0.05
-SCORED = 4096  # positions in one matrix product
+CONTEXT, WIDTH, NOISE = 4, 12, 24
+BATCH, RATE = 1024, 0.07
+SCORED = 1024  # positions in one matrix product
+TRAINED_PART = 4  # a round takes steps on a random one in so many positions of every batch of texts
 PARTIAL_WORDS = 400_000  # distinct words that a task counts before it hands them on
 CACHED_WORDS = 1_000_000
 LN10 = math.log(10)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in bytes, A-Z lower-cased, separated by ASCII white space; then the end."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(text: bytes | None) -> list[bytes]:
+    """Words of a text in bytes, A-Z lower-cased, separated by ASCII white space; then the end."""
+    found = (text or b"").lower().split()
     found.append(END.encode())
     return found
 
@@ -51,21 +52,33 @@ def ending_class(word: Column) -> Column:
     return F.lit(WORD_CLASSES) + F.pmod(F.crc32(F.right(word, F.lit(2))), F.lit(ENDING_CLASSES)).cast("int")
 
 
-class Classes(dict):
-    """Class of a word in bytes, remembered up to a bound."""
+class Places(dict):
+    """Place of a word in the shared dictionary; of any other word, the size of the dictionary plus its class. Other words are remembered
+    up to a bound."""
 
-    def __init__(self, own: dict[bytes, int]):
-        super().__init__(own)
-        self.own = own
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.words = words
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= CACHED_WORDS + len(self.words):
             self.clear()
-            self.update(self.own)
-        end = word.decode("utf-8", "surrogatepass")[-2:].encode("utf-8", "surrogatepass")
-        self[word] = value = WORD_CLASSES + zlib.crc32(end) % ENDING_CLASSES
+            self.update(zip(self.words, range(len(self.words))))
+        end = word.decode("utf-8", "replace")[-2:].encode()
+        self[word] = value = len(self.words) + WORD_CLASSES + zlib.crc32(end) % ENDING_CLASSES
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def classes_of(words: list[bytes]) -> np.ndarray:
+    """Class by place: the first words of the dictionary are classes of their own, the others and all words outside fall into those of
+    their endings."""
+    ends = [w.decode("utf-8", "replace")[-2:].encode() for w in words[WORD_CLASSES:]]
+    inside = [*range(min(WORD_CLASSES, len(words))), *(WORD_CLASSES + zlib.crc32(e) % ENDING_CLASSES for e in ends)]
+    return np.array([*inside, *range(CLASSES)], np.int64)
+
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(token, c) of all texts; each task counts on its own first."""
@@ -112,30 +125,44 @@ class Parameters:
         return found
 
     def context_vectors(self, before: np.ndarray) -> np.ndarray:
-        out = self.R[before[:, 0]] * self.C[0]
+        """The context vectors of positions with the classes ``before`` them, one row for each distance."""
+        out = (self.R * self.C[0]).take(before[0], axis=0)
         for k in range(1, CONTEXT):
-            out += self.R[before[:, k]] * self.C[k]
+            out += (self.R * self.C[k]).take(before[k], axis=0)
         return out
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of P(target | before), normalised over all classes."""
         out = np.empty(len(target))
+        ones = np.ones(CLASSES, np.float32)
+        one, two, three, four = (self.R * c for c in self.C)
+        near = (one[:, None] + two).reshape(-1, WIDTH)  # a row for each pair of classes: half as many look-ups
+        far = (three[:, None] + four).reshape(-1, WIDTH)
+        near_at, far_at = before[0] * CLASSES + before[1], before[2] * CLASSES + before[3]
         for start in range(0, len(target), SCORED):
             part = slice(start, start + SCORED)
-            scores = self.context_vectors(before[part]) @ self.Q.T
+            h = near.take(near_at[part], axis=0)
+            h += far.take(far_at[part], axis=0)
+            scores = h @ self.Q.T
             scores += self.b
             own = scores[np.arange(len(scores)), target[part]].astype(np.float64)
-            top = scores.max(axis=1, keepdims=True)
-            scores -= top
-            np.exp(scores, out=scores)
-            out[part] = own - top[:, 0] - np.log(scores.sum(axis=1, dtype=np.float64))
+            top = float(scores.max())
+            scores -= top  # one shift for all: exponents stay in range unless scores differ by more than 80
+            np.exp(np.maximum(scores, -80, out=scores), out=scores)
+            out[part] = own - top - np.log(scores @ ones)
         return out
 
 
 def contexts(ids: np.ndarray, end: int) -> np.ndarray:
-    """For each position the CONTEXT classes before it, nearest first; ends stand before the beginning."""
+    """For each distance, nearest first, the classes that stand so far before each position; ends stand before the beginning."""
     padded = np.concatenate([np.full(CONTEXT, end), ids])
-    return np.stack([padded[CONTEXT - k - 1 : CONTEXT - k - 1 + len(ids)] for k in range(CONTEXT)], axis=1)
+    return np.stack([padded[CONTEXT - k - 1 : CONTEXT - k - 1 + len(ids)] for k in range(CONTEXT)])
+
+
+def _sums(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows that belong to each class."""
+    cells = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    return np.bincount(cells, rows.ravel(), CLASSES * WIDTH).astype(np.float32).reshape(CLASSES, WIDTH)
 
 
 class Trainer:
@@ -156,24 +183,20 @@ class Trainer:
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
         p, n = self.p, len(target)
         noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), CLASSES - 1)
-        h = p.context_vectors(before)
-        q = p.Q[target]
-        data = 1 / (1 + np.exp(np.clip((h * q).sum(axis=1) + p.b[target] - self.log_noise[target], -30, 30)))
-        false = -1 / (1 + np.exp(-np.clip(h @ p.Q[noise].T + (p.b[noise] - self.log_noise[noise]), -30, 30)))
-        data, false = data / n, false / n
-        ones = np.zeros((CLASSES, n), np.float32)
-        ones[target, np.arange(n)] = data
-        dq, db = ones @ h, ones.sum(axis=1)
+        h, q, false_q = p.context_vectors(before), p.Q.take(target, axis=0), p.Q[noise]
+        true_score = np.einsum("ij,ij->i", h, q) + (p.b - self.log_noise)[target]
+        data = 1 / (1 + np.exp(np.clip(true_score, -30, 30))) / n
+        false_score = h @ false_q.T
+        false_score += p.b[noise] - self.log_noise[noise]
+        false = -1 / (1 + np.exp(-np.clip(false_score, -30, 30))) / n
+        dq = _sums(target, h * data[:, None])
+        db = np.bincount(target, data, CLASSES).astype(np.float32)
         np.add.at(dq, noise, false.T @ h)
         np.add.at(db, noise, false.sum(axis=0))
-        dh = q * data[:, None] + false @ p.Q[noise]
-        dr, dc = np.zeros_like(p.R), np.empty_like(p.C)
-        for k in range(CONTEXT):
-            at = before[:, k]
-            dc[k] = (p.R[at] * dh).sum(axis=0)
-            ones[...] = 0
-            ones[at, np.arange(n)] = 1
-            dr += (ones @ dh) * p.C[k]
+        dh = q * data[:, None] + false @ false_q
+        by_class = [_sums(at, dh) for at in before]
+        dc = np.stack([(p.R * found).sum(axis=0) for found in by_class])
+        dr = sum(found * p.C[k] for k, found in enumerate(by_class))
         for name, gradient in (("R", dr), ("C", dc), ("Q", dq), ("b", db)):
             self._move(name, gradient)
 
@@ -189,39 +212,37 @@ def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
 
 
-def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, own: dict[bytes, int]) -> np.ndarray:
+def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The parameters after one run of every partition through its documents, averaged in two steps."""
-    shared = docs.sparkSession.sparkContext.broadcast((start, share, own))
+    shared = docs.sparkSession.sparkContext.broadcast((start, share, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, noise, own_classes = shared.value
-        trainer, classes = Trainer(flat, noise), Classes(own_classes)
-        end, seen = own_classes[END.encode()], 0
+        flat, noise, known = shared.value
+        trainer, places, class_at = Trainer(flat, noise), Places(known), classes_of(known)
         held: list[np.ndarray] = []
-        waiting = 0
+        waiting = seen = 0
 
-        def steps(last: bool) -> None:
-            nonlocal held, waiting
+        def steps() -> None:
             ids = np.concatenate(held)
-            before, done = contexts(ids, end), 0
+            before = contexts(ids, 0)
             order = trainer.random.permutation(len(ids))  # neighbours in a batch come from many documents
-            for done in range(0, len(ids), BATCH):
-                at = order[done : done + BATCH]
-                trainer.step(before[at], ids[at])
-            held, waiting = [], 0
+            order = order[: -(-len(ids) // TRAINED_PART)]
+            for first in range(0, len(ids), BATCH):
+                at = order[first : first + BATCH]
+                trainer.step(before[:, at], ids[at])
+            held.clear()
 
         for batch in batches:
             for text in batch["text"]:
-                found = tokens(text)
-                held.append(np.fromiter(map(classes.__getitem__, found), np.int64, len(found)))
-                waiting += len(found)
-                seen += len(found)
+                held.append(class_at[places.of(tokens(text))])
+                waiting += len(held[-1])
                 if waiting >= 64 * BATCH:
-                    steps(False)
+                    steps()
+                    seen, waiting = seen + waiting, 0
         if waiting:
-            steps(True)
-        if seen:
-            yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen)]})
+            steps()
+        if seen + waiting:
+            yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen + waiting)]})
 
     schema = "flat binary, weight double"
     trained = docs.select("text").mapInPandas(run, schema)
@@ -238,7 +259,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     all counts are 0. An empty table gives no rows.
     """
     base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), is_held_out(doc_id, FOLDS, HELD_FOLD).alias("held_out")
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"), is_held_out(doc_id, FOLDS, HELD_FOLD).alias("held_out")
     )
     training = base.where(~F.col("held_out"))
     counts = written(count_tokens(training))
@@ -246,25 +267,24 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     n, v = totals[0] or 0, totals[1]
     in_head = F.col("c") * HEAD_SHARE >= n
     head = sorted(((r["token"], r["c"]) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
-    named = [END] + [w for w, _ in head if w != END][: WORD_CLASSES - 1]
-    own = {word.encode(): i for i, word in enumerate(named)}
+    vocabulary = [END] + [w for w, _ in head if w != END]  # the end has place and class 0
+    words, named = [w.encode() for w in vocabulary], vocabulary[:WORD_CLASSES]
     rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in named], "token string")), "token", "left_anti")
     by_class = rest.groupBy(ending_class(F.col("token")).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
+    count_of = dict(head)
+    logs = np.array([math.log10(count_of.get(w, 0) + 1) for w in vocabulary])
     size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for word, c in head:
-        if (at := own.get(word.encode())) is not None:
-            size[at] = c
+    size[: len(named)] = [count_of.get(w, 0) for w in named]
     for row in by_class:
         size[row["k"]], kinds[row["k"]] = row["n"], row["v"]
     share = (size + 1) / (size + 1).sum()
 
     flat = Parameters.start(share).flat
-    flat = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0), flat, share, own)
-    flat = train_round(training, flat, share, own)
+    flat = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0), flat, share, words)
+    flat = train_round(training, flat, share, words)
 
     inside = np.log10(np.where(np.arange(CLASSES) < WORD_CLASSES, 1.0, size + kinds + 1))
-    known = {word.encode(): math.log10(c + 1) for word, c in head}
-    shared = docs.sparkSession.sparkContext.broadcast((flat, own, inside, known))
+    shared = docs.sparkSession.sparkContext.broadcast((flat, words, inside, logs))
     stats = written(_text_stats(base, shared).withColumn("uid", F.monotonically_increasing_id()))
 
     tail = stats.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", "t.rare", "t.times")
@@ -292,43 +312,45 @@ def _text_stats(base: DataFrame, shared) -> DataFrame:
     kind = dict(base.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, own, inside, known = shared.value
-        model, classes, end = Parameters(flat), Classes(own), own[END.encode()]
+        flat, words, inside, logs = shared.value
+        model, places, class_at = Parameters(flat), Places(words), classes_of(words)
+        size = len(words)
+        in_class = inside[class_at]
+        # By place: log10(c + 1) of the words of the dictionary, and of those that share their class with others.
+        head_logs = np.concatenate([logs, np.zeros(CLASSES)])
+        mid_logs = np.where(np.arange(len(head_logs)) < WORD_CLASSES, 0.0, head_logs)
         for batch in batches:
-            found = [tokens(text) for text in batch["text"]]
-            lengths = np.array([len(f) for f in found])
-            class_log = np.empty(len(found))
+            texts = batch["text"].tolist()
+            parts = []
             first = 0
-            while first < len(found):  # texts are scored together up to a bound, longer ones alone
-                last, total = first + 1, lengths[first]
-                while last < len(found) and total + lengths[last] <= 16 * SCORED:
-                    total += lengths[last]
-                    last += 1
-                ids = [np.fromiter(map(classes.__getitem__, f), np.int64, len(f)) for f in found[first:last]]
-                flat_ids = np.concatenate(ids)
-                logs = model.log_probabilities(np.concatenate([contexts(i, end) for i in ids]), flat_ids) / LN10 - inside[flat_ids]
-                starts = np.concatenate([[0], np.cumsum(lengths[first : last - 1])])
-                class_log[first:last] = np.add.reduceat(logs, starts)
-                first = last
-            columns: dict[str, list] = {name: [] for name in ("head_known", "head_log", "mid_log", "rare", "times")}
-            for words in found:
-                number, head_known, head_log, mid_log = Counter(words), 0, [], []
-                rare, times = [], []
-                for word, count in number.items():
-                    log = known.get(word)
-                    if log is None:
-                        rare.append(word.decode("utf-8", "replace"))
-                        times.append(count)
-                    else:
-                        head_known += count
-                        head_log.append(count * log)
-                        if word not in own:
-                            mid_log.append(count * log)
-                for name, value in zip(columns, (head_known, math.fsum(head_log), math.fsum(mid_log), rare, times)):
-                    columns[name].append(value)
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": lengths, **columns, "class_log": class_log}
-            )
+            while first < len(texts):  # texts are scored together up to a bound, longer ones alone
+                found, total = [], 0
+                while first + len(found) < len(texts) and total < 64 * SCORED:
+                    found.append(tokens(texts[first + len(found)]))
+                    total += len(found[-1])
+                first += len(found)
+                at = [places.of(words_of) for words_of in found]
+                flat_at = np.concatenate(at)
+                classes = class_at[flat_at]
+                lengths = np.array([len(a) for a in at])
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                before = np.concatenate([contexts(c, 0) for c in np.split(classes, starts[1:])], axis=1)
+                class_log = model.log_probabilities(before, classes) / LN10 - in_class[flat_at]
+                rare = [Counter([w[i] for i in np.flatnonzero(a >= size)]) for w, a in zip(found, at)]
+                parts.append(
+                    {
+                        "n_tokens": lengths,
+                        "head_known": np.add.reduceat((head_logs[flat_at] > 0).astype(np.int64), starts),
+                        "head_log": np.add.reduceat(head_logs[flat_at], starts),
+                        "mid_log": np.add.reduceat(mid_logs[flat_at], starts),
+                        "rare": [[w.decode("utf-8", "replace") for w in r] for r in rare],
+                        "times": [list(r.values()) for r in rare],
+                        "class_log": np.add.reduceat(class_log, starts),
+                    }
+                )
+            columns = {k: [x for part in parts for x in part[k]] for k in parts[0]} if parts else {}
+            if columns:
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], **columns})
 
     return base.mapInPandas(
         run,
