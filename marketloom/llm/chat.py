@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import durable
+from marketloom.llm.common import bound, durable
 
 MARK = r"^\s{0,3}((?:>\s?)+)"  # quote marks at the beginning of a line
 SAID = r"(?i)^\s*(on\b.*\bwrote|.{1,80}\b(wrote|writes|said)|le\b.*a écrit|am\b.*schrieb|el\b.*escribió)\s*:\s*$"
@@ -20,7 +20,7 @@ def _lines(text: Column) -> Column:
     """[(level, body)] of the lines of a text; level 0 is the message's own."""
     marks = lambda line: F.regexp_extract(line, MARK, 1)
     return F.transform(
-        F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n"),
+        F.split(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  "), r"\r\n|\r|\n"),
         lambda line: F.struct(
             F.length(F.regexp_replace(marks(line), r"[^>]", "")).alias("level"), F.regexp_replace(line, MARK, "").alias("body")
         ),
@@ -34,40 +34,48 @@ def _normal(body: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """[(level, passage)]: every line with words, and every run of lines of one level (joined lines), normalised. A blank line ends a run;
-    so a run is a paragraph, and a quoted paragraph is found even if it was wrapped anew."""
-    empty = F.array().cast("array<struct<level:int,body:string>>")
-
-    def add(runs: Column, line: Column) -> Column:
-        last = F.element_at(runs, -1)
-        grown = F.concat(
-            F.slice(runs, F.lit(1), F.size(runs) - 1),
-            F.array(F.struct(last["level"].alias("level"), F.concat_ws(" ", last["body"], line["body"]).alias("body"))),
+    so a run is a paragraph, and a quoted paragraph is found even if it was wrapped anew.
+
+    Lines are written with their level at both ends, so that one replacement joins all neighbours of equal level.
+    """
+
+    def both(known: Column) -> Column:
+        marked = F.transform(
+            known,
+            lambda x: F.when(F.trim(x["body"]) == "", "-").otherwise(
+                F.concat(x["level"].cast("string"), F.lit("\x01"), x["body"], F.lit("\x01"), x["level"].cast("string"))
+            ),
+        )
+        joined = F.regexp_replace(F.array_join(marked, "\x02"), r"\x01(\d+)\x02\1\x01", " ")
+        runs = F.transform(
+            F.filter(F.split(joined, "\x02"), lambda run: run != "-"),
+            lambda run: F.struct(
+                F.substring_index(run, "\x01", 1).cast("int").alias("level"), F.get(F.split(run, "\x01"), F.lit(1)).alias("body")
+            ),
         )
-        joins = (F.size(runs) > 0) & (last["level"] == line["level"]) & (F.trim(line["body"]) != "") & (F.trim(last["body"]) != "")
-        return F.when(joins, grown).otherwise(F.concat(runs, F.array(line)))
+        return F.concat(known, runs)
 
-    runs = F.aggregate(lines, empty, add)
-    both = F.array_union(lines, runs)
-    normal = F.transform(both, lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("passage")))
+    normal = F.transform(
+        bound(lines, both), lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("passage"))
+    )
     return F.array_distinct(F.filter(normal, lambda x: x["passage"] != ""))
 
 
 def unquoted(text: Column) -> Column:
     """The text without quoted lines, lines that announce a quote, and the blank lines around them."""
-    lines = _lines(text)
-    own = F.filter(
-        F.transform(
+
+    def own(lines: Column) -> Column:
+        marked = F.transform(
             lines,
             lambda x, i: F.struct(
-                x["level"].alias("level"),
                 x["body"].alias("body"),
-                (x["body"].rlike(SAID) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)).alias("announces"),
+                ((x["level"] > 0) | (x["body"].rlike(SAID) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0))).alias("goes"),
             ),
-        ),
-        lambda x: (x["level"] == 0) & ~x["announces"],
-    )
-    bare = F.array_join(F.transform(own, lambda x: x["body"]), "\n")
-    return F.trim(F.regexp_replace(bare, r"\n{3,}", "\n\n"))
+        )
+        return F.transform(F.filter(marked, lambda x: ~x["goes"]), lambda x: x["body"])
+
+    bare = F.regexp_replace(F.array_join(bound(_lines(text), own), "\n"), r"\n{3,}", "\n\n")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def linked_messages(

@@ -1,0 +1,28 @@
+import corpus_pipeline
+from marketloom.llm import decontamination, near_join, queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_take_effect(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    count = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns, name
+        docs = spark.createDataFrame(kept.collect(), docs.schema)
+        assert 0 < docs.count() <= count
+        count = docs.count()
+    assert count > 100  # clean documents stay
+    assert decontamination.find_leaks(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).isEmpty()
+    assert near_join.near_classes(docs).where("n_links > 0").isEmpty()
+
+
+def test_run(spark):
+    mixed = corpus_pipeline.run(spark, FOLDER)
+    assert mixed.columns[-1] == "copy" and mixed.count() > 0
+
+
+def test_oracles_name_registered_queries():
+    assert set(queries.ORACLES) <= set(queries.QUERIES)
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
