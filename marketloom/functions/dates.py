@@ -77,9 +77,9 @@ def feed_month(raw: Column) -> Column:
 
 
 def year_month(year: Column, month: Column) -> Column:
-    """'yyyy-MM' from separate year and month columns; null when either is missing."""
-    whole_year = year.try_cast("double").cast("int")
-    whole_month = month.try_cast("double").cast("int")
+    """'yyyy-MM' from separate year and month columns; null when either is missing or no number."""
+    whole_year = year.try_cast("double").try_cast("int")
+    whole_month = month.try_cast("double").try_cast("int")
     return F.concat(whole_year.cast("string"), F.lit("-"), F.lpad(whole_month.cast("string"), 2, "0"))
 
 

@@ -29,6 +29,11 @@ def plain_number(raw: Column) -> Column:
     return number(F.trim(without(raw.cast("string"), ",")))
 
 
+def strict_number(raw: Column) -> Column:
+    """Double from text without separators: '1,234' is no number here."""
+    return number(F.trim(raw.cast("string")))
+
+
 def price_text(raw: Column) -> Column:
     """Bare text of a price feed number: no commas, no plus signs ('+1,234.5', '--', '-')."""
     return F.trim(without(without(raw.cast("string"), ","), "+"))

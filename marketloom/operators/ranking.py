@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,25 +81,34 @@ def add_min_ranks(
     key: str = "stock_id",
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Competition ranks ('1, 2, 2, 4') within groups; a null value has a null rank.
+    """Competition ranks ('1, 2, 2, 4') within groups; a null value, one that is not a number, and a row without
+    group have a null rank.
 
     ``group_rows`` is an upper bound on the rows of one group that the caller has established. Up
     to ONE_TASK_ROWS a window per group does the work; without a bound, or above it, positions do.
     """
     if group_rows is not None and group_rows <= ONE_TASK_ROWS:
-        return df.withColumns({rank.name: _window_rank(rank, groups) for rank in ranks})
+        return df.withColumns({rank.name: _window_rank(df, rank, groups) for rank in ranks})
     return _spread_ranks(df, groups, ranks, key)
 
 
-def _window_rank(rank: Rank, groups: Sequence[str]) -> Column:
+def _known(df: DataFrame, rank: Rank) -> Column:
+    """The value to rank by: not a number is as good as missing."""
     value = F.col(rank.value)
+    return F.when(~F.isnan(value), value) if dict(df.dtypes)[rank.value] in ("float", "double") else value
+
+
+def _window_rank(df: DataFrame, rank: Rank, groups: Sequence[str]) -> Column:
+    value = _known(df, rank)
     order = value.asc_nulls_last() if rank.ascending else value.desc_nulls_last()
-    return F.when(value.isNotNull(), F.rank().over(Window.partitionBy(*groups).orderBy(order))).cast("double")
+    place = F.rank().over(Window.partitionBy(*groups).orderBy(order)).cast("double")
+    in_group = [F.col(name).isNotNull() for name in groups]
+    return F.when(reduce(Column.__and__, in_group, value.isNotNull()), place)
 
 
 def _spread_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], key: str) -> DataFrame:
     def sort_value(rank: Rank) -> Column:
-        value = F.col(rank.value).cast("double")
+        value = _known(df, rank).cast("double")
         return (value if rank.ascending else -value).alias(rank.name)
 
     long = (

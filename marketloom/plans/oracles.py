@@ -301,6 +301,9 @@ PARTS["latest"] = f"""
 SELECT * FROM scored WHERE month BETWEEN '{MONTHS[0]}' AND '{MONTHS[1]}' AND industry_group = '{INDUSTRY}'
 QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY month DESC) = 1"""
 
+PARTS["latest_all"] = """
+SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY month DESC) = 1"""
+
 PARTS["monitored"] = """
 SELECT * EXCLUDE (place, total, watch) REPLACE (
     CASE WHEN place <= watch THEN 'Watch'
@@ -310,7 +313,7 @@ SELECT * EXCLUDE (place, total, watch) REPLACE (
 FROM (
     SELECT *, greatest(1, ceil(total * CAST(0.15 AS DOUBLE))) AS watch
     FROM (SELECT *, row_number() OVER (ORDER BY financial_health_score ASC NULLS LAST, stock_id) AS place,
-                 count(*) OVER () AS total FROM latest)
+                 count(*) OVER () AS total FROM latest_all)
 )"""
 
 PARTS["latest_growth"] = "SELECT * FROM growth_gold WHERE month = (SELECT max(month) FROM growth_gold)"
@@ -323,7 +326,7 @@ _NEEDS = {
     "scored": ["silver_rev", "company", "month_end", "month_val", "month_ratios"],
     "dashboard": ["scored", "silver_px", "ratios"], "growth_gold": ["silver_rev", "company"],
     "features_gold": ["silver_px", "company"], "peers": ["scored"], "focus": ["scored", "peers"],
-    "ranked": ["dashboard"], "latest": ["scored"], "monitored": ["latest"], "latest_growth": ["growth_gold"],
+    "ranked": ["dashboard"], "latest": ["scored"], "latest_all": ["scored"], "monitored": ["latest_all"], "latest_growth": ["growth_gold"],
 }
 
 
@@ -588,8 +591,8 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
     sql["snapshot_append"] = _with(
         f"""SELECT stock_id, date, round(trading_money + 1e-9, 6) AS trading_money, snapshot_date FROM (
         SELECT stock_id, date, sum(money) / CAST(100 AS DOUBLE) AS trading_money,
-               CASE WHEN flag = 'N' THEN CAST(date AS VARCHAR) ELSE '{TODAY}' END AS snapshot_date
-        FROM li WHERE flag IN ('N', 'R') GROUP BY stock_id, date, flag
+               CASE WHEN flag <> 'R' THEN CAST(date AS VARCHAR) ELSE '{TODAY}' END AS snapshot_date
+        FROM li GROUP BY stock_id, date, flag
         UNION
         SELECT stock_id, date, sum(money) / CAST(100 AS DOUBLE), '{TODAY}' FROM li WHERE flag = 'R'
         GROUP BY stock_id, date)""",

@@ -109,7 +109,7 @@ class Market:
 
     @cached_property
     def monitored(self) -> DataFrame:
-        return reports.monitored_companies(self.snapshot, MONTHS, INDUSTRY)
+        return reports.monitored_companies(self.snapshot)
 
     @cached_property
     def universe(self) -> DataFrame:
@@ -166,7 +166,7 @@ def _landed_days(market: Market, flags: list[str]) -> DataFrame:
 
 
 def snapshot_append(market: Market) -> DataFrame:
-    earlier = _landed_days(market, ["N"]).withColumn("snapshot_date", F.col("date").cast("string")).drop("flag")
+    earlier = _landed_days(market, ["A", "N"]).withColumn("snapshot_date", F.col("date").cast("string")).drop("flag")
     incoming = _landed_days(market, ["R"]).drop("flag")
     held = landing.append_snapshot(earlier, incoming, TODAY)
     return landing.append_snapshot(held, incoming, TODAY)  # the same landing again changes nothing

@@ -70,8 +70,13 @@ def of_stock(df: DataFrame, stock_id: str) -> DataFrame:
 
 
 def in_universe(df: DataFrame, universe: DataFrame | None) -> DataFrame:
-    """Rows of the listed stocks; no universe keeps everything."""
-    return df if universe is None else df.join(universe.select("stock_id"), "stock_id", "left_semi")
+    """Rows of the listed stocks; no universe, or one without stocks, keeps everything."""
+    if universe is None:
+        return df
+    listed = universe.select("stock_id", F.lit(True).alias("_listed")).distinct()
+    stocks = universe.agg(F.count("stock_id")).scalar()
+    found = df.join(listed, "stock_id", "left").where(F.col("_listed").isNotNull() | (stocks == 0))
+    return found.select(*df.columns)
 
 
 def text_keys(df: DataFrame) -> DataFrame:
@@ -79,14 +84,6 @@ def text_keys(df: DataFrame) -> DataFrame:
     return df.withColumns({name: F.col(name).cast("string") for name in ("stock_id", "month") if name in df.columns})
 
 
-def first_non_empty(*tables: DataFrame) -> DataFrame:
-    """The first table with a row, else the last one. Each check reads at most one row."""
-    for table in tables[:-1]:
-        if not table.isEmpty():
-            return table
-    return tables[-1]
-
-
 def top_rows(df: DataFrame, column: str, rows: int = TOP_ROWS, ascending: bool = False) -> DataFrame:
     """Highest (or lowest) rows with nulls last in both directions; stock_id breaks ties."""
     value = F.col(column)
@@ -268,9 +265,11 @@ def statement_trend(statements: DataFrame, stock_id: str, metrics: Sequence[str]
 
 def latest_peers(peers: DataFrame, months: tuple[str, str] | None = None) -> DataFrame:
     """Peers of the last month in range; of the last month at all when the range is empty."""
-    chosen = first_non_empty(in_months(peers, months), peers)
+    month = F.col("month")
+    in_range = F.lit(True) if months is None else month.between(*months)
+    chosen = peers.agg(F.coalesce(F.max(F.when(in_range, month)), F.max(month))).scalar()
     order = [F.col("health_score_rank").asc_nulls_last(), F.col("stock_id")]
-    return latest_month_rows(chosen).orderBy(*order)
+    return peers.where(month == chosen).orderBy(*order)
 
 
 # --- universe -------------------------------------------------------------------

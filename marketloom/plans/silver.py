@@ -159,8 +159,8 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         month.alias("month"),
         text.normalize_id(F.col("stock_id")).alias("stock_id"),
         F.when(F.col("feed_month").isNotNull(), amount * FEED_REVENUE_UNIT).otherwise(amount).alias("revenue"),
-        (text.plain_number(F.col("mom_percent")) / 100).alias("reported_mom"),
-        (text.plain_number(F.col("yoy_percent")) / 100).alias("reported_yoy"),
+        (text.strict_number(F.col("mom_percent")) / 100).alias("reported_mom"),
+        (text.strict_number(F.col("yoy_percent")) / 100).alias("reported_yoy"),
         FEED_ORDER,
     )
     reported = F.col("reported_mom").isNotNull() | F.col("reported_yoy").isNotNull()
@@ -252,7 +252,7 @@ def clean_valuation(ratios: DataFrame | None, dividends: DataFrame | None) -> Da
     typed = stack_sources(feeds).select(
         dates.plain_date(F.col("date")).alias("date"),
         text.normalize_id(F.col("stock_id")).alias("stock_id"),
-        *[text.plain_number(F.col(name)).alias(name) for name in VALUATION_VALUES],
+        *[text.strict_number(F.col(name)).alias(name) for name in VALUATION_VALUES],
         FEED_ORDER,
     )
     return typed.dropna(subset=["date", "stock_id"])

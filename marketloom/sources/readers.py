@@ -19,10 +19,6 @@ PAYLOAD_OK = "OK"
 
 CSV_FIELD = ',("(?:[^"]|"")*"|[^,]*)'
 
-# Distinct header layouts of one dataset. A layout is a list of column names in a feed's format, so
-# their number does not grow with the rows; more than this means that the path is no dataset.
-MAX_LAYOUTS = 500
-
 
 # --- paths ---------------------------------------------------------------------
 
@@ -80,14 +76,13 @@ def header_layouts(spark: SparkSession, path: str) -> DataFrame:
 def read_raw_files(spark: SparkSession, path: str, lineage: str | None = None) -> DataFrame:
     """The union of raw files whose headers may differ, each column by its name.
 
-    One read per distinct header, not per file. ``lineage`` names a column for the source file.
+    One read per distinct header, not per file. A header is a list of column names in a feed's format, so
+    their number does not grow with the rows. ``lineage`` names a column for the source file.
     """
     if not path_exists(spark, path):
         return empty(spark)
     layouts = header_layouts(spark, path)
-    found = sorted(row.header for row in layouts.select("header").distinct().limit(MAX_LAYOUTS + 1).collect())
-    if len(found) > MAX_LAYOUTS:
-        raise ValueError(f"more than {MAX_LAYOUTS} header layouts under {path}")
+    found = sorted(row.header for row in layouts.select("header").distinct().collect())
     if not found:
         return empty(spark)
     if len(found) == 1:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import month_of
-from marketloom.operators.headers import stack
+from marketloom.operators.headers import LANDING_ORDER, stack
 from marketloom.operators.latest import keep_last
 
 # The earliest month the price feed serves, and the key columns of its rows.
@@ -27,7 +27,10 @@ def append_snapshot(held: DataFrame, incoming: DataFrame, run_date: Column | str
 def append_history(
     held: DataFrame, incoming: DataFrame, keys: Sequence[str] = HISTORY_KEY, order: Sequence[str] = ()
 ) -> DataFrame:
-    """Held and new rows, the last per key: new beats held, then the given order within a load."""
+    """Held and new rows, the last per key: new beats held, then the given order within a load, which is the
+    landing order unless one is named."""
+    if not order and LANDING_ORDER in held.columns and LANDING_ORDER in incoming.columns:
+        order = (LANDING_ORDER,)
     loads = stack([held.withColumn("_load", F.lit(0)), incoming.withColumn("_load", F.lit(1))])
     return keep_last(loads, keys, ["_load", *order]).drop("_load")
 

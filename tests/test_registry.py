@@ -8,13 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as engine
-from marketloom.plans import registry
+from marketloom.plans import oracles, registry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark tables are not here")
 
-QUERIES = engine.queries() if os.path.isdir(FOLDER) else {}
-TWINS = engine.oracle_sql()
+QUERIES = registry.queries() if os.path.isdir(FOLDER) else {}
+TWINS = oracles.build()
 
 
 @pytest.fixture(scope="module")
