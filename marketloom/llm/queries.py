@@ -86,4 +86,5 @@ ORACLES = {
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op4_benchmark_leaks": decontamination.ORACLE_SQL,
     "op7_ngram_jaccard_join": near_join.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
 }

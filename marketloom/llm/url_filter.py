@@ -154,3 +154,69 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, page_id: str = "page_
         F.coalesce("verdict", F.when(by_alias, "block"), F.lit("allow")).alias("verdict"),
         by_alias.alias("by_alias"),
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE rules(rule_host, rule_path, verdict) AS (
+  VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+p AS (
+  SELECT page_id, url, html,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query
+  FROM pages),
+tags AS (
+  SELECT host, path, query, unnest(regexp_extract_all(
+    regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'),
+    '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM p WHERE host <> ''),
+links AS (
+  SELECT host, path, query, replace(CASE
+    WHEN lower(trim(regexp_extract(tag, '(?is)\srel\s*=\s*["'']?([^"''>]*)', 1))) = 'canonical'
+      THEN trim(regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''>]*)', 1))
+    WHEN lower(trim(regexp_extract(tag, '(?is)\shttp-equiv\s*=\s*["'']?([^"''>]*)', 1))) = 'refresh'
+      THEN regexp_extract(trim(regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?([^"''>]*)', 1)),
+                          '(?is)^[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?(\S+)', 1)
+    ELSE '' END, '&amp;', '&') AS link
+  FROM tags),
+targets AS (
+  SELECT host || path || query AS a, CASE
+    WHEN link = '' OR link LIKE '#%' THEN NULL
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN link LIKE '//%' THEN 'x:' || link
+    WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+    WHEN link LIKE '/%' THEN 'x://' || host || link
+    WHEN regexp_extract(path, '(?s)^(.*/)', 1) = '' THEN 'x://' || host || '/' || link
+    ELSE 'x://' || host || regexp_extract(path, '(?s)^(.*/)', 1) || link END AS target
+  FROM links),
+ends AS (
+  SELECT a,
+    translate(regexp_extract(target, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(target, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(target, '(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query
+  FROM targets WHERE target IS NOT NULL),
+edges AS (
+  SELECT a, host || path || query AS b FROM ends WHERE host <> ''
+  UNION SELECT host || path || query, a FROM ends WHERE host <> ''),
+reach AS (
+  SELECT a, b FROM edges
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+places AS (
+  SELECT DISTINCT host, path FROM p WHERE host <> ''
+  UNION SELECT host, path FROM ends WHERE host <> ''),
+own AS (
+  SELECT host, path, rule_host || rule_path AS rule, verdict FROM places JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, verdict, rule_host || rule_path DESC) = 1),
+nodes AS (
+  SELECT host || path || query AS node, host, path FROM p WHERE host <> ''
+  UNION SELECT host || path || query, host, path FROM ends WHERE host <> ''),
+blocked AS (
+  SELECT node FROM nodes JOIN own USING (host, path) WHERE verdict = 'block'),
+aliases AS (
+  SELECT DISTINCT r.a AS node FROM reach r JOIN blocked ON blocked.node = r.b)
+SELECT page_id, host, path, rule,
+  coalesce(own.verdict, CASE WHEN aliases.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  rule IS NULL AND aliases.node IS NOT NULL AS by_alias
+FROM p LEFT JOIN own USING (host, path) LEFT JOIN aliases ON aliases.node = host || path || query AND host <> ''
+"""

@@ -1,5 +1,6 @@
 from hashlib import sha256
 
+import duckdb
 import pytest
 
 from marketloom.llm import chat, decontamination, fingerprints, html_text, near_join, url_filter
@@ -151,6 +152,11 @@ def test_url_filter(spark):
         6: ("b.org", "/xx", None, "block", True), 7: ("c.org", "/yy", None, "block", True), 8: ("", "", None, "allow", False),
         9: ("", "", None, "allow", False), 10: ("d.org", "/a/b", None, "allow", False), 11: ("fakenet", "/", None, "allow", False),
     }
+    connection = duckdb.connect()
+    pages = frame.drop("verdict").toPandas()
+    connection.register("pages", pages)
+    twin = connection.execute(url_filter.ORACLE_SQL).fetchall()
+    assert sorted(map(str, twin)) == sorted(str(tuple(r)) for r in url_filter.judge(frame).collect())
     assert url_filter.judge(frame).count() == len(rows) and url_filter.judge(frame.limit(0)).collect() == []
 
 
