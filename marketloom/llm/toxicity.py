@@ -25,7 +25,7 @@ SAMPLE_ROWS = 12_000  # labelled rows that training takes at most, chosen by has
 LEAST_TEXTS = 3  # labelled texts that must hold a word
 MARKER_LOG_ODDS, SEVERE_MARKERS = 3.0, 3
 STEPS, RATE, L1 = 300, 0.3, 1e-4
-REJECT = 0.5  # probability of a grade above 0 from which a document is rejected
+REJECT = 0.4  # probability of a grade above 0 from which a document is rejected
 STEMS = (5, 7)  # letters in the beginnings of words that are features, too
 CACHED_WORDS = 1_000_000
 WORDS = re.compile(r"\w+").findall
