@@ -163,11 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def grade_probabilities(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """Struct (p1, p2): the probabilities of a grade above 0 and above 1. Null and empty texts have those of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.by_hash, model.thresholds))
 
     @F.pandas_udf("p1 double, p2 double")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        fitted = shared.value
+        fitted = Model(*shared.value)
         weights = Weights(fitted.by_hash)
         for texts in batches:
             yield pd.DataFrame(fitted.probabilities(texts.tolist(), weights), columns=["p1", "p2"])
