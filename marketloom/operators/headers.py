@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# BIGINT place of a row in its feed (see sources.readers), below 2^56.
+# Place of a row in its feed: a BIGINT below 2^56, or for rows read from files a struct (see sources.readers).
 LANDING_ORDER = "landing_order"
-# BIGINT place over several feeds: the feed's precedence above the place in the feed. One number,
-# so that aggregates on it keep fixed-width buffers and Spark hash-aggregates them.
+PLACE_IN_FILES = "struct<file:string,start:bigint,row:bigint>"
+# Place over several feeds: the feed's precedence above the place in the feed. Of BIGINT places it is one BIGINT,
+# so that aggregates on it keep fixed-width buffers and Spark hash-aggregates them; of places in files, a struct.
 FEED_ORDER = "feed_order"
 PRECEDENCE_BIT = 56
 
@@ -59,9 +60,17 @@ def stack(frames: Sequence[DataFrame]) -> DataFrame:
 def stack_sources(feeds: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL of feeds in precedence order; a later feed wins a keep-last over an earlier one."""
 
-    def ordered(feed: DataFrame, precedence: int) -> DataFrame:
-        landed = F.col(LANDING_ORDER) if LANDING_ORDER in feed.columns else F.lit(0)
-        place = F.lit(precedence << PRECEDENCE_BIT).cast("bigint") + landed
+    kinds = [dict(feed.dtypes).get(LANDING_ORDER) for feed in feeds]
+    from_files = PLACE_IN_FILES in kinds
+
+    def ordered(feed: DataFrame, kind: str | None, precedence: int) -> DataFrame:
+        landed = F.col(LANDING_ORDER) if kind else F.lit(0)
+        if from_files:
+            if kind != PLACE_IN_FILES:
+                landed = F.struct(F.lit("").alias("file"), F.lit(0).alias("start"), landed.alias("row"))
+            place = F.struct(F.lit(precedence).alias("feed"), landed.cast(PLACE_IN_FILES).alias("place"))
+        else:
+            place = F.lit(precedence << PRECEDENCE_BIT).cast("bigint") + landed
         return feed.withColumn(FEED_ORDER, place).drop(LANDING_ORDER)
 
-    return stack([ordered(feed, precedence) for precedence, feed in enumerate(feeds)])
+    return stack([ordered(feed, kind, precedence) for precedence, (feed, kind) in enumerate(zip(feeds, kinds))])

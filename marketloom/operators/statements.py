@@ -47,12 +47,14 @@ def pivot_metrics(long: DataFrame, items: Mapping[str, Sequence[str]]) -> DataFr
     fixed, so one aggregate does it and no job has to discover the columns.
     """
     known = long.dropna(subset=["stock_id", "date", "value"])
-    metric = F.col("normalized_metric_name")
+    metric, place = F.col("normalized_metric_name"), F.col(FEED_ORDER)
+    one_number = dict(long.dtypes)[FEED_ORDER] == "bigint"
 
     def last(item: str) -> Column:
-        rank = F.lit(None).cast("bigint")
+        rank = F.lit(None)
         for preference, name in enumerate(reversed(items[item])):
-            rank = F.when(metric == name, F.lit(preference << PREFERENCE_BIT) + F.col(FEED_ORDER)).otherwise(rank)
+            preferred = F.lit(preference << PREFERENCE_BIT) + place if one_number else F.struct(F.lit(preference), place)
+            rank = F.when(metric == name, preferred).otherwise(rank)
         return F.max_by("value", rank).alias(item)
 
     return known.groupBy("stock_id", "date").agg(*[last(item) for item in items])

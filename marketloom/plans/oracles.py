@@ -125,6 +125,19 @@ SELECT {_id('s_suppkey')} AS stock_id, s_name AS stock_name,
        'Listed' AS market_type, FALSE AS focus_flag
 FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey"""
 
+PARTS["listed"] = PARTS["company"]
+PARTS["dim"] = f"""
+WITH feed AS (
+    SELECT c.stock_id, CASE WHEN s_acctbal < 0 THEN stock_name || ' (restated)' ELSE stock_name END AS stock_name,
+           CASE industry_group WHEN '25' THEN '025' ELSE industry_group END AS industry_group
+    FROM listed c JOIN supplier ON {_id('s_suppkey')} = c.stock_id),
+own AS (SELECT {_id('c_custkey')} AS stock_id, c_name, c_mktsegment = 'BUILDING' AS focus FROM customer)
+SELECT feed.stock_id, feed.stock_name, feed.industry_group, CAST(NULL AS VARCHAR) AS market_type,
+       coalesce(own.focus, FALSE) AS focus_flag
+FROM feed LEFT JOIN own USING (stock_id)
+UNION ALL
+SELECT stock_id, c_name, 'Financial', 'Listed', focus FROM own WHERE stock_id NOT IN (SELECT stock_id FROM feed)"""
+
 PARTS["valuation"] = f"""
 SELECT stock_id, date, {_sum('money')} * 100 / nullif({_sum('money * discount')}, 0) AS pe_ratio,
        coalesce({_sum("CASE WHEN flag = 'R' THEN money * tax END")}
@@ -319,7 +332,7 @@ FROM (
 PARTS["latest_growth"] = "SELECT * FROM growth_gold WHERE month = (SELECT max(month) FROM growth_gold)"
 
 _NEEDS = {
-    "prices": ["li"], "feed_prices": ["li"], "px": ["prices"], "feed_px": ["feed_prices"], "revenue": ["li"],
+    "dim": ["listed"], "prices": ["li"], "feed_prices": ["li"], "px": ["prices"], "feed_px": ["feed_prices"], "revenue": ["li"],
     "feed_revenue": ["li"], "growth": ["revenue"], "feed_growth": ["feed_revenue"], "valuation": ["li"],
     "accounts": ["li"], "statements": ["accounts"], "ratios": ["statements"], "silver_px": ["px"],
     "silver_rev": ["growth"], "month_end": ["silver_px"], "month_val": ["valuation"], "month_ratios": ["ratios"],
@@ -330,18 +343,28 @@ _NEEDS = {
 }
 
 
-def _with(select: str, *parts: str) -> str:
+# The silver tables as they are cleaned from raw text, with the part that each is taken from.
+_FROM_RAW = {
+    "silver_px": ("feed_px", f"SELECT * FROM feed_px WHERE date >= DATE '{START}'"),
+    "silver_rev": ("feed_growth", f"SELECT * FROM feed_growth WHERE month >= '{START[:7]}'"),
+    "company": ("dim", "SELECT * FROM dim"),
+}
+
+
+def _with(select: str, *parts: str, raw: bool = False) -> str:
     needed: list[str] = []
+    swapped = _FROM_RAW if raw else {}
 
     def add(part: str) -> None:
-        for other in _NEEDS.get(part, []):
+        for other in [swapped[part][0]] if part in swapped else _NEEDS.get(part, []):
             add(other)
         if part not in needed:
             needed.append(part)
 
     for part in parts:
         add(part)
-    return "WITH " + ", ".join(f"{part} AS ({PARTS[part]})" for part in needed) + " " + select
+    texts = {part: swapped[part][1] if part in swapped else PARTS[part] for part in needed}
+    return "WITH " + ", ".join(f"{part} AS ({text})" for part, text in texts.items()) + " " + select
 
 
 _ROUNDED = {
@@ -356,8 +379,8 @@ def _cols(*names: str) -> str:
     return ", ".join(f"round({name} + 1e-9, 6) AS {name}" if name in _ROUNDED else name for name in names)
 
 
-def _select(source: str, names: list[str], tail: str = "") -> str:
-    return _with(f"SELECT {_cols(*names)} FROM {source} {tail}", source)
+def _select(source: str, names: list[str], tail: str = "", raw: bool = False) -> str:
+    return _with(f"SELECT {_cols(*names)} FROM {source} {tail}", source, raw=raw)
 
 
 PRICE_INPUT = ["date", "stock_id", "open_price", "high_price", "low_price", "close_price", "price_change",
@@ -416,22 +439,7 @@ def build() -> dict[str, str]:
     sql["price_clean"] = _select("feed_prices", PRICE_INPUT)
     sql["silver_stock_price"] = _select("feed_px", PRICE, f"WHERE date >= DATE '{START}' AND date <= DATE '{END}'")
     sql["revenue_growth"] = _select("feed_growth", REVENUE, f"WHERE month >= '{START[:7]}'")
-    sql["company_dim"] = _with(
-        f"""
-, feed AS (
-    SELECT c.stock_id, CASE WHEN s_acctbal < 0 THEN stock_name || ' (restated)' ELSE stock_name END AS stock_name,
-           CASE industry_group WHEN '25' THEN '025' ELSE industry_group END AS industry_group
-    FROM company c JOIN supplier ON {_id('s_suppkey')} = c.stock_id),
-own AS (SELECT {_id('c_custkey')} AS stock_id, c_name, c_mktsegment = 'BUILDING' AS focus FROM customer)
-SELECT *, {_label('industry_group')} AS industry_label FROM (
-    SELECT feed.stock_id, feed.stock_name, feed.industry_group, CAST(NULL AS VARCHAR) AS market_type,
-           coalesce(own.focus, FALSE) AS focus_flag
-    FROM feed LEFT JOIN own USING (stock_id)
-    UNION ALL
-    SELECT stock_id, c_name, 'Financial', 'Listed', focus FROM own WHERE stock_id NOT IN (SELECT stock_id FROM feed)
-)""",
-        "company",
-    )
+    sql["company_dim"] = _with(f"SELECT *, {_label('industry_group')} AS industry_label FROM dim", "dim")
     sql["statement_long"] = _select(
         "statements", ["date", "stock_id", "statement_category", "type", "value", "normalized_metric_name"]
     )
@@ -622,6 +630,20 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
         "li",
     )
     sql["roundtrip_tables"] = sql["price_clean"]
+    sql["landed_files"] = f"""
+SELECT CAST(l_shipdate AS DATE) AS date, {_id('l_suppkey')} AS stock_id,
+       round(arg_max(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) + 1e-9, 6) AS close_price,
+       round(arg_max(l_quantity, (l_orderkey, l_linenumber, l_extendedprice, l_quantity)) + 1e-9, 6) AS trading_volume
+FROM lineitem WHERE {_id('l_suppkey')} <> '0050' GROUP BY 1, 2"""
+    sql["statement_files"] = f"SELECT *, statement_category AS template FROM ({sql['statement_long']})"
+    sql["catalog_growth"] = _with(
+        """SELECT month, revenue_growth_signal, count(*) AS companies, count(DISTINCT industry_group) AS industries
+        FROM growth_gold GROUP BY 1, 2""",
+        "growth_gold",
+    )
+    sql["snapshot_from_raw"] = _select("scored", SNAPSHOT, raw=True)
+    sql["dashboard_from_raw"] = _select("dashboard", DASHBOARD, raw=True)
+    sql["peers_from_raw"] = _select("peers", PEERS, raw=True)
     sql["latest_friday"] = _with(
         """SELECT DISTINCT date, CAST(date - CAST((isodow(date) + 2) % 7 AS INTEGER) AS DATE) AS latest_friday
         FROM li""",

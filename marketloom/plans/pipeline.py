@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketloom import schemas
+from marketloom.operators.headers import stack
 from marketloom.plans import gold, silver
 from marketloom.sources import readers, writers
 
@@ -47,10 +48,15 @@ class Lake:
         return self.silver if name in schemas.SILVER_TABLES else self.gold
 
     def feed(self, dataset: str, per_stock: bool = False) -> DataFrame:
-        """A raw dataset: one file, or one file per stock."""
-        if per_stock:
-            return readers.read_raw_files(self.spark, f"{self.raw}/{dataset}_*.csv")
-        return readers.read_raw(self.spark, f"{self.raw}/{dataset}.csv")
+        """A raw dataset: one file or folder, or one file per stock, or one folder per stock as
+        ``write_raw(by_stock=True)`` lays them out; files and folders of one dataset are united."""
+        whole = f"{self.raw}/{dataset}.csv"
+        if not per_stock:
+            return readers.read_raw(self.spark, whole)
+        files = readers.read_raw_files(self.spark, f"{self.raw}/{dataset}_*.csv")
+        if not readers.path_exists(self.spark, whole):
+            return files
+        return stack([files, readers.read_raw(self.spark, whole)])
 
     def table(self, name: str) -> DataFrame:
         return readers.read_table(self.spark, self.folder(name), name, TABLES[name])

@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom import schemas
 from marketloom.functions import dates, rules
 from marketloom.functions.formats import report_table
 from marketloom.operators.headers import stack
@@ -116,6 +117,38 @@ class Market:
         return reports.traded_universe(self.dashboard, required=[FOCUS])
 
 
+class RawMarket(Market):
+    """The same tables, each cleaned from its raw text feeds, as the batch run builds them."""
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return silver.price_table(self.clean_prices, START)
+
+    @cached_property
+    def revenue(self) -> DataFrame:
+        return silver.revenue_table(silver.clean_revenue(self.feed(order_feeds.revenue_feeds)), START[:7])
+
+    @cached_property
+    def company(self) -> DataFrame:
+        return silver.company_table(self.feed(order_feeds.company_feed), self.feed(order_feeds.configured_companies))
+
+    @cached_property
+    def companies(self) -> int:
+        return super().companies + order_feeds.table(self.spark, self.folder, "customer").count()
+
+    @cached_property
+    def valuation(self) -> DataFrame:
+        return silver.valuation_table(silver.clean_valuation(*self.feed(order_feeds.valuation_feeds)))
+
+    @cached_property
+    def fundamentals(self) -> DataFrame:
+        return silver.fundamentals_table(self.statement_rows)
+
+
+def from_raw(market: Market) -> RawMarket:
+    return RawMarket(market.spark, market.folder)
+
+
 ROUNDING_SHIFT = 1e-9
 
 
@@ -234,6 +267,45 @@ def roundtrip_tables(market: Market) -> DataFrame:
     return readers.read_table(spark, folder, "prices", cleaned.schema)
 
 
+def landed_files(market: Market) -> DataFrame:
+    """Quotes of one stock and day that lie in several files of unequal size: the one landed last counts."""
+    spark = market.spark
+    folder = f"{ensure_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    quotes = market.feed(order_feeds.landed_quotes).drop("l_orderkey", "l_linenumber")
+    writers.write_raw(quotes, "TaiwanStockPrice", folder)
+    cleaned = silver.clean_prices([readers.read_raw(spark, f"{folder}/TaiwanStockPrice.csv")])
+    return cleaned.select("date", "stock_id", "close_price", "trading_volume")
+
+
+def statement_files(market: Market) -> DataFrame:
+    """Statements of several templates, one file set each, read as one table and told apart by their file."""
+    spark = market.spark
+    folder = f"{ensure_checkpoint_dir(spark)}/statements-{uuid.uuid4().hex}"
+    feeds = market.feed(order_feeds.statement_feeds)
+    for category, feed in feeds.items():
+        writers.write_raw(feed, f"Statement_{category}", folder)
+    read = readers.read_raw_files(spark, f"{folder}/Statement_*.csv", lineage="source_url")
+    template = F.regexp_extract("source_url", r"Statement_([a-z_]+)\.csv", 1)
+    return stack([
+        silver.statement_table(
+            silver.statement_rows(read.where(template == category).select(*feed.columns), category)
+        ).withColumn("template", F.lit(category))
+        for category, feed in feeds.items()
+    ])
+
+
+def catalog_growth(market: Market) -> DataFrame:
+    """A table that is stored, published under its name and queried by SQL."""
+    spark = market.spark
+    folder = f"{ensure_checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    writers.write_table(market.growth, "gold_revenue_growth", folder, partition="month", sort=("stock_id",))
+    (name,) = writers.publish_tables(spark, schemas.GOLD_TABLES, folder, ["gold_revenue_growth"], views=True)
+    return spark.sql(
+        "SELECT month, revenue_growth_signal, count(*) AS companies, count(DISTINCT industry_group) AS industries"
+        f" FROM {name} GROUP BY month, revenue_growth_signal"
+    )
+
+
 def latest_friday(market: Market) -> DataFrame:
     days = market.feed(order_feeds.shipments).select("date").distinct()
     return days.withColumn("latest_friday", dates.latest_friday(F.col("date")))
@@ -317,6 +389,12 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     ),
     "payload_valid": payload_valid,
     "roundtrip_tables": roundtrip_tables,
+    "landed_files": landed_files,
+    "statement_files": statement_files,
+    "catalog_growth": catalog_growth,
+    "snapshot_from_raw": lambda m: from_raw(m).snapshot,
+    "dashboard_from_raw": lambda m: from_raw(m).dashboard,
+    "peers_from_raw": lambda m: from_raw(m).peers,
     "latest_friday": latest_friday,
     "default_start": default_start,
 }

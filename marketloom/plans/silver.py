@@ -164,9 +164,12 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         FEED_ORDER,
     )
     reported = F.col("reported_mom").isNotNull() | F.col("reported_yoy").isNotNull()
-    reported_order = F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)
     kept = typed.dropna(subset=["month", "stock_id"])
-    return keep_last(kept, ["stock_id", "month"], [reported_order]).drop(FEED_ORDER)
+    if dict(kept.dtypes)[FEED_ORDER] == "bigint":  # one number, for hash aggregation
+        order = [F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)]
+    else:
+        order = [reported.alias("reported"), FEED_ORDER]
+    return keep_last(kept, ["stock_id", "month"], order).drop(FEED_ORDER)
 
 
 def revenue_table(
@@ -210,7 +213,7 @@ def statement_rows(feed: DataFrame, category: str) -> DataFrame:
     for name in ("date", "stock_id", "type", "value"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))
-    order = F.col(LANDING_ORDER) if LANDING_ORDER in rows.columns else F.lit(0)
+    order = F.col(LANDING_ORDER) if LANDING_ORDER in rows.columns else F.lit(0).cast("bigint")
     return rows.select(
         dates.statement_date(F.col("date")).alias("date"),
         F.coalesce(text.normalize_id(F.col("stock_id")), F.lit("")).alias("stock_id"),
@@ -218,7 +221,7 @@ def statement_rows(feed: DataFrame, category: str) -> DataFrame:
         "type",
         text.plain_number(F.col("value")).alias("value"),
         rules.metric_name(F.col("type")).alias("normalized_metric_name"),
-        order.cast("bigint").alias(LANDING_ORDER),
+        order.alias(LANDING_ORDER),
     )
 
 

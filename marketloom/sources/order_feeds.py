@@ -21,8 +21,8 @@ REGION_INDUSTRY = {0: "24", 1: "半導體業", 2: "Semiconductor", 3: "25", 4: "
 
 # The columns in use. With a given schema Spark starts no job to read one.
 TABLES = {
-    "lineitem": "l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
-    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_quantity double,"
+    " l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
     "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
     "nation": "n_nationkey int, n_regionkey int",
     "customer": "c_custkey bigint, c_name string, c_mktsegment string",
@@ -134,6 +134,18 @@ def price_feeds(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [snapshot, history, third_party]
 
 
+def landed_quotes(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw quotes, one per shipment, so that a stock and day may have several, with the order they land in."""
+    return table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_extendedprice").cast("string").alias("close"),
+        F.col("l_quantity").cast("string").alias("Trading_Volume"),
+        F.col("l_shipdate").cast("date").cast("string").alias("date"),
+        stock_id(F.col("l_suppkey")).alias("stock_id"),
+    ).orderBy("l_orderkey", "l_linenumber", F.col("close").cast("double"), F.col("Trading_Volume").cast("double"))
+
+
 # --- revenue -----------------------------------------------------------------
 
 

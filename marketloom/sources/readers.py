@@ -36,12 +36,18 @@ def empty(spark: SparkSession, schema: T.StructType | str = "stock_id string") -
 
 
 def with_landing_order(df: DataFrame) -> DataFrame:
-    """Adds a number that grows with the row's place in its file.
+    """Adds a struct that orders the rows of a file scan: by the name of the file, the start of the part of it that
+    a task reads, and the row in this part.
 
-    A task reads its part of a file in order, and the parts of a file are assigned to tasks in
-    order. The number depends on the file layout only, not on which executor reads it or how often.
+    Tasks read their parts in an order that depends on the sizes, so a running number alone would not do. The struct
+    depends on the files only, not on which executor reads them, in which order or how often.
     """
-    return df.withColumn(LANDING_ORDER, F.monotonically_increasing_id())
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    return df.withColumn(LANDING_ORDER, place)
 
 
 # --- raw CSV -------------------------------------------------------------------
@@ -51,7 +57,11 @@ def _csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """All columns as text. Without inference Spark reads one header line and no rows here."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", True).option("inferSchema", False).option("escape", '"')
-    return reader.csv(paths)
+    df = reader.csv(paths)
+    if any(kind != "string" for _, kind in df.dtypes):  # of folders like stock_id=0050, whose value is text as well
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in df.columns])
+        df = reader.schema(schema).csv(paths)
+    return df
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +87,8 @@ def read_raw_files(spark: SparkSession, path: str, lineage: str | None = None) -
     """The union of raw files whose headers may differ, each column by its name.
 
     One read per distinct header, not per file. A header is a list of column names in a feed's format, so
-    their number does not grow with the rows. ``lineage`` names a column for the source file.
+    their number does not grow with the rows. ``lineage`` names a column for the source file. Landing order is one
+    order over all layouts: by file name, then place in the file.
     """
     if not path_exists(spark, path):
         return empty(spark)
@@ -168,33 +179,56 @@ def csv_body_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.select(*passed, *[value(name) for name in columns])
 
 
+OBJECTS = "array<map<string,string>>"
+
+
+def _payload_shape(body: Column) -> Column:
+    """Which of the known shapes a JSON body has: list, fields, matrix, data or answer; null for any other text.
+
+    An answer is a status without rows, such as the one for a month without trading.
+    """
+    fields, data = F.get_json_object(body, "$.fields"), F.get_json_object(body, "$.data")
+    listed = F.ltrim(body).startswith("[") & F.from_json(body, OBJECTS).isNotNull()
+    return (
+        F.when(listed, "list")
+        .when(data.isNull() & F.get_json_object(body, "$.fields[0]").startswith("{"), "fields")
+        .when(fields.startswith("[") & data.startswith("["), "matrix")
+        .when(data.startswith("["), "data")
+        .when(F.get_json_object(body, "$.stat").isNotNull(), "answer")
+    )
+
+
 def payload_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of landed JSON bodies with the wanted columns by name.
 
-    Three shapes are known: a list of objects, ``{"data": [objects]}``, and a matrix
-    ``{"stat": "OK", "fields": [names], "data": [[values]]}``. A matrix with another status, or
-    without rows or fields, gives no rows.
+    Four shapes have rows: a list of objects, ``{"data": [objects]}``, ``{"fields": [objects]}``, and a matrix
+    ``{"stat": "OK", "fields": [names], "data": [[values]]}``. A matrix with another status gives no rows. The first
+    of equal names in a matrix counts, values beyond the names are left out, and absent values are null.
     """
     passed = [name for name in bodies.columns if name != "body"]
-    body = F.col("body")
-    objects = "array<map<string,string>>"
-    listed = F.from_json(body, objects)
-    wrapped = F.from_json(body, f"struct<data:{objects}>")["data"]
+    body, shape = F.col("body"), _payload_shape(F.col("body"))
     matrix = F.from_json(body, "struct<stat:string,fields:array<string>,data:array<array<string>>>")
-    is_matrix = F.get_json_object(body, "$.fields").isNotNull()
-    matrix_rows = F.when(
-        matrix["stat"] == PAYLOAD_OK,
-        F.transform(matrix["data"], lambda row: F.map_from_arrays(matrix["fields"], row)),
-    )
+    names = F.array(*[F.lit(name) for name in columns])
+
+    def picked(row: Column) -> Column:
+        places = [F.nullif(F.array_position(matrix["fields"], name), F.lit(0)).cast("int") for name in columns]
+        return F.map_from_arrays(names, F.array(*[F.try_element_at(row, place) for place in places]))
+
     rows = (
-        F.when(F.ltrim(body).startswith("["), listed)
-        .when(is_matrix, matrix_rows)
-        .otherwise(wrapped)
+        F.when(shape == "list", F.from_json(body, OBJECTS))
+        .when(shape == "fields", F.from_json(body, f"struct<fields:{OBJECTS}>")["fields"])
+        .when((shape == "matrix") & (matrix["stat"] == PAYLOAD_OK), F.transform(matrix["data"], picked))
+        .when(shape == "data", F.from_json(body, f"struct<data:{OBJECTS}>")["data"])
     )
     exploded = bodies.select(*passed, F.explode(rows).alias("_row"))
     return exploded.select(*passed, *[F.try_element_at("_row", F.lit(name)).alias(name) for name in columns])
 
 
+def rejected_payloads(bodies: DataFrame) -> DataFrame:
+    """Bodies that are no JSON, or JSON of no known shape."""
+    return bodies.where(_payload_shape(F.col("body")).isNull())
+
+
 # --- tables ----------------------------------------------------------------------
 
 

@@ -61,6 +61,63 @@ def test_landed_json_shapes(spark, tmp_path, rows):
     assert got == [("1", "2"), ("3", None), ("4", "5"), ("6", "7")]
 
 
+def test_odd_json_bodies(spark, rows):
+    texts = {
+        "fields": '{"fields": [{"date": "1", "x": "2"}, {"x": "3"}]}',
+        "repeated": '{"stat": "OK", "fields": ["x", "date", "x"], "data": [["4", "5", "6"], ["7"], ["8", "9", "10", "11"]]}',
+        "answer": '{"stat": "no rows"}',
+        "broken": '{"data": [',
+        "cut": '[{"date": "1"',
+        "other": '{"msg": "limit reached"}',
+        "page": "<html>",
+        "empty": "",
+        "null": None,
+    }
+    bodies = spark.createDataFrame(list(texts.items()), "path string, body string")
+    got = [(r["path"], r["date"], r["x"]) for r in rows(readers.payload_rows(bodies, ["date", "x"]), "path", "x")]
+    assert got == [
+        ("fields", "1", "2"), ("fields", None, "3"), ("repeated", "5", "4"), ("repeated", None, "7"), ("repeated", "9", "8"),
+    ]
+    rejected = {row.path for row in readers.rejected_payloads(bodies).collect()}
+    assert rejected == {"broken", "cut", "other", "page", "empty", "null"}
+
+
+def test_landing_order_follows_files_and_not_their_sizes(spark, tmp_path, rows):
+    put(tmp_path, "p.csv/part-00000.csv", "stock_id,date,close\n1,2024-01-02,1\n1,2024-01-03,1\n")
+    filler = "".join(f"9,2024-01-{2 + i % 20:02d},{i}\n" for i in range(20_000))
+    put(tmp_path, "p.csv/part-00001.csv", f"stock_id,date,close\n{filler}1,2024-01-02,2\n1,2024-01-02,3\n")
+    put(tmp_path, "p.csv/part-00002.csv", "stock_id,date,close\n1,2024-01-03,4\n")
+    last = silver.clean_prices([readers.read_raw(spark, f"{tmp_path}/p.csv")]).where("stock_id = '0001' OR stock_id = '1'")
+    assert [r["close_price"] for r in rows(last, "date")] == [3.0, 4.0]
+    put(tmp_path, "q_1.csv", f"stock_id,date,close\n{filler}1,2024-01-02,5\n")
+    put(tmp_path, "q_2.csv", "date,stock_id,close,open\n2024-01-02,1,6,7\n")
+    both = silver.clean_prices([readers.read_raw_files(spark, f"{tmp_path}/q_*.csv")])
+    assert [r["close_price"] for r in rows(both.where("stock_id LIKE '%1'"), "date")] == [6.0]
+
+
+def test_folders_per_stock_are_read_back(spark, tmp_path, text_frame, rows):
+    feed = text_frame([
+        dict(date="2024-01-02", stock_id="0051", close="1"), dict(date="2024-01-02", stock_id="2330", close="2"),
+    ])
+    writers.write_raw(feed, "TaiwanStockPrice", f"{tmp_path}/raw", by_stock=True)
+    put(tmp_path / "raw", "TaiwanStockPrice_7.csv", "date,stock_id,close,open\n2024-01-02,0007,3,4\n")
+    read = pipeline.Lake(spark, str(tmp_path)).feed("TaiwanStockPrice", per_stock=True)
+    assert [(r["stock_id"], r["close"]) for r in rows(read, "stock_id")] == [("0007", "3"), ("0051", "1"), ("2330", "2")]
+    assert silver.clean_prices([read]).count() == 3
+
+
+def test_tables_are_saved_in_the_catalog(spark, tmp_path, rows):
+    df = spark.createDataFrame([("2024-01", "1", 1.5, None, -0.25, "Mixed")], schemas.SILVER_MONTHLY_REVENUE)
+    tables = {"silver_monthly_revenue": schemas.SILVER_MONTHLY_REVENUE, "silver_company": schemas.SILVER_COMPANY}
+    writers.write_table(df, "silver_monthly_revenue", str(tmp_path))
+    try:
+        assert writers.publish_tables(spark, tables, str(tmp_path)) == ["silver_monthly_revenue"]
+        assert rows(spark.table("silver_monthly_revenue")) == rows(df)
+        assert readers.missing_tables(spark, tables) == ["silver_company"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS silver_monthly_revenue")
+
+
 def test_landed_csv_bodies(spark, tmp_path, rows):
     wide = ",".join(f"c{i}" for i in range(300))
     put(tmp_path, "good.csv", '﻿id,name,amount\r\n1,"a, ""b""","1,000"\r\n,x,\r\n2\r\n')
