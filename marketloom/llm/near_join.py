@@ -38,6 +38,7 @@ BUCKET_BLOCK = 256  # members of a bucket that one comparison takes; larger buck
 GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21  # the same for the sets of a candidate group
 SLACK_DEVIATIONS = 6  # a signature may understate the similarity by so many standard deviations
 CACHED_WORDS = 1_000_000
+ROUNDING = 1 - 1e-12  # a pair exactly at the threshold counts however its products are rounded
 
 
 def choose_bands(similarity: float = SIMILARITY, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -179,7 +180,7 @@ def bucket_edges(batches: Iterator[pd.DataFrame], similarity: float, hashes: int
                 break
             j = i + step
             fits = ~(cross[i] & (block[i] == block[j]))
-            fits &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+            fits &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) * ROUNDING
             i, j = i[fits], j[fits]
             near = (marks[i] == marks[j]).mean(axis=1) >= slack
             found.append((node[i[near]], node[j[near]]))
@@ -202,14 +203,14 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     owner, (_, column) = owner[shared], np.unique(column[shared], return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)), np.float32)
+    common = np.zeros((len(sets), len(sets)))
     width = 4096
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         low, high = np.searchsorted(column, [start, start + width])
         dense = np.zeros((len(sets), width), np.float32)
         dense[owner[low:high], column[low:high] - start] = 1
-        common += dense @ dense.T
-    linked = common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) - 1e-6
+        common += dense @ dense.T  # whole numbers up to the width, exact in both
+    linked = common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) * ROUNDING
     np.fill_diagonal(linked, False)
     if frame["low"].iloc[0] != frame["high"].iloc[0]:
         block = frame["block"].to_numpy()

@@ -51,6 +51,33 @@ def test_near_classes_against_brute_force(spark, monkeypatch, blocks):
     assert kept.count() == len(classes) and {r["doc_id"] for r in kept.collect()} >= {0, 100, 300, 302, None}
 
 
+def exact_pairs(sizes):
+    """Texts of 5k shingles, each beside a beginning of 4k (a similarity of exactly 0.8) and one of 4k - 1 shingles of words of its own."""
+    for k in sizes:
+        for kind, shorter in (("at", 4 * k), ("below", 4 * k - 1)):
+            words = [f"{kind}{k}n{i}" for i in range(5 * k + 4)]
+            yield kind, k, " ".join(words), " ".join(words[: shorter + 4])
+
+
+@pytest.mark.parametrize("k", [1, 3, 7, 40, 79, 1000, 4001])
+def test_pairs_exactly_at_the_threshold_are_linked(k):
+    hashes = WordHashes()
+    for kind, _, whole, part in exact_pairs([k]):
+        sets = [shingle_set(t, hashes) for t in (whole, part)]
+        assert [len(s) for s in sets] == [5 * k, 4 * k - (kind == "below")]
+        frame = near_join.pd.DataFrame({"uid": [0, 1], "shingles": [s.tobytes() for s in sets], "copies": [1, 1], "block": 0, "low": 0, "high": 0})
+        assert near_join.verified(frame, 0.8)["links"].tolist() == ([1, 1] if kind == "at" else [0, 0])
+
+
+def test_near_classes_at_the_threshold_against_brute_force(spark):
+    rows = []
+    for _, _, whole, part in exact_pairs([3, 5, 8, 12, 20, 33, 60]):
+        rows += [(len(rows), whole), (len(rows) + 1, part)]
+    got = near_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in got) == brute_classes(rows)
+    assert sum(r["n_links"] for r in got) == len(rows) // 2
+
+
 def test_near_classes_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_join.near_classes(empty).collect() == [] and near_join.keep_one_of_each(empty).collect() == []
