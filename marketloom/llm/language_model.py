@@ -35,7 +35,7 @@ CLASSES = WORD_CLASSES + ENDING_CLASSES
 CONTEXT, WIDTH, NOISE = 4, 12, 24
 BATCH, RATE = 1024, 0.07
 SCORED = 1024  # positions in one matrix product
-TRAINED_PART = 4  # a round takes steps on a random one in so many positions of every batch of texts
+HELD_BATCHES = 64  # so many batches of positions are shuffled together
 PARTIAL_WORDS = 400_000  # distinct words that a task counts before it hands them on
 CACHED_WORDS = 1_000_000
 LN10 = math.log(10)
@@ -212,37 +212,41 @@ def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
 
 
+def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places, class_at: np.ndarray) -> int:
+    """Takes steps on every position of the texts once; returns how many there were."""
+    held: list[np.ndarray] = []
+    waiting = seen = 0
+
+    def steps() -> None:
+        ids = np.concatenate(held)
+        before = contexts(ids, 0)
+        order = trainer.random.permutation(len(ids))  # neighbours in a batch come from many documents
+        for first in range(0, len(order), BATCH):
+            at = order[first : first + BATCH]
+            trainer.step(before[:, at], ids[at])
+        held.clear()
+
+    for text in texts:
+        held.append(class_at[places.of(tokens(text))])
+        waiting += len(held[-1])
+        if waiting >= HELD_BATCHES * BATCH:
+            steps()
+            seen, waiting = seen + waiting, 0
+    if waiting:
+        steps()
+    return seen + waiting
+
+
 def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The parameters after one run of every partition through its documents, averaged in two steps."""
     shared = docs.sparkSession.sparkContext.broadcast((start, share, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, noise, known = shared.value
-        trainer, places, class_at = Trainer(flat, noise), Places(known), classes_of(known)
-        held: list[np.ndarray] = []
-        waiting = seen = 0
-
-        def steps() -> None:
-            ids = np.concatenate(held)
-            before = contexts(ids, 0)
-            order = trainer.random.permutation(len(ids))  # neighbours in a batch come from many documents
-            order = order[: -(-len(ids) // TRAINED_PART)]
-            for first in range(0, len(ids), BATCH):
-                at = order[first : first + BATCH]
-                trainer.step(before[:, at], ids[at])
-            held.clear()
-
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(class_at[places.of(tokens(text))])
-                waiting += len(held[-1])
-                if waiting >= 64 * BATCH:
-                    steps()
-                    seen, waiting = seen + waiting, 0
-        if waiting:
-            steps()
-        if seen + waiting:
-            yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen + waiting)]})
+        trainer = Trainer(flat, noise)
+        seen = train_on((text for batch in batches for text in batch["text"]), trainer, Places(known), classes_of(known))
+        if seen:
+            yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen)]})
 
     schema = "flat binary, weight double"
     trained = docs.select("text").mapInPandas(run, schema)

@@ -109,6 +109,30 @@ def test_language_model_is_normalised():
     assert abs(total - 1) < 1e-4 and len(share) == language_model.CLASSES
 
 
+def test_a_training_round_steps_on_every_position_once():
+    steps = []
+
+    class Recorder:
+        random = np.random.default_rng(3)
+
+        def step(self, before, target):
+            steps.append(Counter(zip(target.tolist(), *before.tolist())))
+
+    words = [language_model.END.encode(), *(f"w{i}".encode() for i in range(70))]
+    texts = [" ".join(f"w{(i * j + j) % 70}" for j in range(500 + i)).encode() for i in range(300)] + [None, b""]
+    places = language_model.Places(words)
+    seen = language_model.train_on(iter(texts), Recorder(), places, language_model.classes_of(words))
+    wanted = Counter()
+    for text in texts:
+        wanted.update(places.of(language_model.tokens(text)).tolist())
+    targets = Counter()
+    for step in steps:
+        for (target, *_), times in step.items():
+            targets[target] += times
+    assert seen == sum(wanted.values()) > 2 * language_model.HELD_BATCHES * language_model.BATCH
+    assert targets == wanted and all(steps)  # and no empty step; here every word is a class of its own
+
+
 def test_language_model_edges(spark):
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "A b " * 50_000, 3)], "doc_id long, text string, score int")
     rows = language_model.score_texts(odd).collect()
