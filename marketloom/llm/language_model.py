@@ -1,15 +1,19 @@
-"""Language-model scoring: a log-bilinear model over word classes, trained by noise-contrastive estimation.
-
-Frequent words are classes of their own, all others fall into classes by their last two letters. A context vector is the sum of the vectors of the
-CONTEXT classes before a word, each scaled for its distance; a class's score is the product of that vector with its own plus a bias. Scores are normalised
-over all classes, by one matrix product for a batch of positions. Within a class a word has its share of the class's count, with one
-place for unknown words:
-
-    P(word | context) = P(class | context) * (c + 1) / (N_class + V_class + 1)        (1 for a class of one word)
-
-Training is distributed: every partition runs through its documents with shared noise samples, and the parameters are averaged, weighted by
-tokens; a first round over an eighth of the documents gives the second, over all of them, its start. Counts cover all training documents. Words too rare for the
-shared dictionary, whose size is bounded by their share of the tokens, get their counts by a join.
+"""Language-model scoring: a log-bilinear model over words, trained by noise-contrastive estimation.
+
+Every word of the shared dictionary has a context vector and a score vector of its own. The most frequent ones are classes of their own, the others
+form groups of neighbours in frequency, about as many groups as words in each; words outside the dictionary fall into classes by their last two letters.
+The vector of a context is the sum of the context vectors of the CONTEXT words before, each scaled for its distance; a class's score is the
+product of that vector with its own plus a bias, and so is the score of a word in its group. Both are normalised, over all classes and over all words of the group, by
+matrix products for a batch of positions. Only outside the dictionary words have their share of the class's count, with one place for
+unknown words:
+
+    P(word | context) = P(class | context) * P(word | class, context)                                in the dictionary (1 for a class of one word)
+    P(word | context) = P(class | context) * (c + 1) / (N_class + V_class + 1)                       outside
+
+Training is distributed: every partition runs through its documents with noise samples, and the parameters are averaged, weighted by
+tokens; a first round over an eighth of the documents gives the second, over all of them, its start. Counts cover all training documents. The size
+of the dictionary is bounded by its words' share of the tokens, which also gives each of them many occurrences in a partition. Words too rare for it get their counts by
+a join.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ FOLDS, HELD_FOLD = 7, 2
 HEAD_SHARE = 100_000  # words that are at least one in so many tokens are in the shared dictionary: so many at most
 WORD_CLASSES, ENDING_CLASSES = 96, 32
 CLASSES = WORD_CLASSES + ENDING_CLASSES
-CONTEXT, WIDTH, NOISE = 4, 12, 24
+CONTEXT, WIDTH, NOISE, GROUP_NOISE = 4, 12, 24, 8
 BATCH, RATE = 1024, 0.07
 SCORED = 1024  # positions in one matrix product
 HELD_BATCHES = 64  # so many batches of positions are shuffled together
@@ -72,12 +76,18 @@ class Places(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+def group_bounds(words: int) -> np.ndarray:
+    """Where groups of the dictionary's words after those that are classes begin, and the end of the last: about as many groups as words in each."""
+    others = max(words - WORD_CLASSES, 0)
+    size = math.isqrt(max(others - 1, 0)) + 1
+    return np.minimum(np.arange(0, others + size, size), others)
+
+
 def classes_of(words: list[bytes]) -> np.ndarray:
-    """Class by place: the first words of the dictionary are classes of their own, the others and all words outside fall into those of
-    their endings."""
-    ends = [w.decode("utf-8", "replace")[-2:].encode() for w in words[WORD_CLASSES:]]
-    inside = [*range(min(WORD_CLASSES, len(words))), *(WORD_CLASSES + zlib.crc32(e) % ENDING_CLASSES for e in ends)]
-    return np.array([*inside, *range(CLASSES)], np.int64)
+    """Class by place: the first words of the dictionary are classes of their own, the others form groups, all words outside fall into
+    the classes of their endings."""
+    groups = np.repeat(np.arange(len(group_bounds(len(words))) - 1), np.diff(group_bounds(len(words))))
+    return np.concatenate([np.arange(min(WORD_CLASSES, len(words))), CLASSES + groups, np.arange(CLASSES)])
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -101,105 +111,179 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
+def sizes_of(words: int) -> tuple[int, ...]:
+    """Numbers of parameters for a dictionary of so many words; without one, places are classes."""
+    bounds = group_bounds(words)
+    classes = CLASSES + len(bounds) - 1
+    return (words + CLASSES) * WIDTH, CONTEXT * WIDTH, classes * WIDTH, classes, int(bounds[-1]) * WIDTH, int(bounds[-1])
+
+
 class Parameters:
-    """Context vectors R, distance scales C, class vectors Q and biases b, as one flat array."""
+    """Context vectors R by place, distance scales C, class vectors Q and biases b, vectors T and biases t of the words in groups, as one flat
+    array."""
 
-    SIZES = (CLASSES * WIDTH, CONTEXT * WIDTH, CLASSES * WIDTH, CLASSES)
+    SIZES = sizes_of(0)
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        at = np.cumsum((0, *self.SIZES))
-        self.R = flat[at[0] : at[1]].reshape(CLASSES, WIDTH)
+    def __init__(self, flat: np.ndarray, words: int = 0):
+        self.flat, self.words, self.bounds = flat, words, group_bounds(words)
+        at = np.cumsum((0, *sizes_of(words)))
+        self.R = flat[at[0] : at[1]].reshape(-1, WIDTH)
         self.C = flat[at[1] : at[2]].reshape(CONTEXT, WIDTH)
-        self.Q = flat[at[2] : at[3]].reshape(CLASSES, WIDTH)
+        self.Q = flat[at[2] : at[3]].reshape(-1, WIDTH)
         self.b = flat[at[3] : at[4]]
+        self.T = flat[at[4] : at[5]].reshape(-1, WIDTH)
+        self.t = flat[at[5] : at[6]]
 
     @classmethod
-    def start(cls, share: np.ndarray) -> Parameters:
-        """Small vectors and the classes' own log shares as biases: the unigram model."""
+    def start(cls, share: np.ndarray, in_group: np.ndarray, words: int) -> Parameters:
+        """Small vectors and the log shares of classes, and of words in their groups, as biases: the unigram model."""
         random = np.random.default_rng(7)
-        flat = (random.standard_normal(sum(cls.SIZES)) * 0.1).astype(np.float32)
-        found = cls(flat)
+        flat = (random.standard_normal(sum(sizes_of(words))) * 0.1).astype(np.float32)
+        found = cls(flat, words)
         found.C[:] = 1 / CONTEXT
         found.b[:] = np.log(share)
+        found.t[:] = np.log(in_group)
         return found
 
     def context_vectors(self, before: np.ndarray) -> np.ndarray:
-        """The context vectors of positions with the classes ``before`` them, one row for each distance."""
-        out = (self.R * self.C[0]).take(before[0], axis=0)
+        """The context vectors of positions with the places ``before`` them, one row for each distance."""
+        out = self.R.take(before[0], axis=0) * self.C[0]
         for k in range(1, CONTEXT):
-            out += (self.R * self.C[k]).take(before[k], axis=0)
+            out += self.R.take(before[k], axis=0) * self.C[k]
         return out
 
     def log_probabilities(self, before: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of P(target | before), normalised over all classes."""
+        """Natural log of P(target class | before), normalised over all classes."""
+        return self._of_classes(self._contexts_in_parts(before), target)
+
+    def word_log_probabilities(self, before: np.ndarray, place: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of P(word | before) for words of the dictionary, of P(target class | before) for others."""
+        h = self._contexts_in_parts(before)
+        out = self._of_classes(h, target)
+        grouped = np.flatnonzero(target >= CLASSES)
+        grouped = grouped[np.argsort(target[grouped], kind="stable")]
+        first = np.searchsorted(target[grouped], np.arange(CLASSES, CLASSES + len(self.bounds)))
+        for group, (low, high) in enumerate(zip(self.bounds[:-1], self.bounds[1:])):
+            for start in range(first[group], first[group + 1], SCORED):
+                at = grouped[start : min(start + SCORED, first[group + 1])]
+                scores = h[at] @ self.T[low:high].T
+                scores += self.t[low:high]
+                out[at] += _normalised(scores, place[at] - WORD_CLASSES - low)
+        return out
+
+    def _contexts_in_parts(self, before: np.ndarray) -> np.ndarray:
+        scaled = [self.R * c for c in self.C]
+        h = np.empty((before.shape[1], WIDTH), np.float32)
+        for start in range(0, len(h), SCORED):
+            part = slice(start, start + SCORED)
+            h[part] = scaled[0].take(before[0, part], axis=0)
+            for k in range(1, CONTEXT):
+                h[part] += scaled[k].take(before[k, part], axis=0)
+        return h
+
+    def _of_classes(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
-        ones = np.ones(CLASSES, np.float32)
-        one, two, three, four = (self.R * c for c in self.C)
-        near = (one[:, None] + two).reshape(-1, WIDTH)  # a row for each pair of classes: half as many look-ups
-        far = (three[:, None] + four).reshape(-1, WIDTH)
-        near_at, far_at = before[0] * CLASSES + before[1], before[2] * CLASSES + before[3]
         for start in range(0, len(target), SCORED):
             part = slice(start, start + SCORED)
-            h = near.take(near_at[part], axis=0)
-            h += far.take(far_at[part], axis=0)
-            scores = h @ self.Q.T
+            scores = h[part] @ self.Q.T
             scores += self.b
-            own = scores[np.arange(len(scores)), target[part]].astype(np.float64)
-            top = float(scores.max())
-            scores -= top  # one shift for all: exponents stay in range unless scores differ by more than 80
-            np.exp(np.maximum(scores, -80, out=scores), out=scores)
-            out[part] = own - top - np.log(scores @ ones)
+            out[part] = _normalised(scores, target[part])
         return out
 
 
+def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at its own column; overwrites the scores."""
+    found = scores[np.arange(len(scores)), own].astype(np.float64)
+    top = float(scores.max())
+    scores -= top  # one shift for all: exponents stay in range unless scores differ by more than 80
+    np.exp(np.maximum(scores, -80, out=scores), out=scores)
+    return found - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
+
+
 def contexts(ids: np.ndarray, end: int) -> np.ndarray:
-    """For each distance, nearest first, the classes that stand so far before each position; ends stand before the beginning."""
+    """For each distance, nearest first, the places that stand so far before each position; ends stand before the beginning."""
     padded = np.concatenate([np.full(CONTEXT, end), ids])
     return np.stack([padded[CONTEXT - k - 1 : CONTEXT - k - 1 + len(ids)] for k in range(CONTEXT)])
 
 
-def _sums(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sums of the rows that belong to each class."""
+def _sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
+    """Sums of the rows that belong to each of ``count`` numbers."""
     cells = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(cells, rows.ravel(), CLASSES * WIDTH).astype(np.float32).reshape(CLASSES, WIDTH)
+    return np.bincount(cells, rows.ravel(), count * WIDTH).astype(np.float32).reshape(count, WIDTH)
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad steps on batches that share their noise samples."""
+    """Noise-contrastive estimation by AdaGrad steps on batches. Classes share their noise samples, which come from all classes; a word in a
+    group has samples of its own from that group. Of places and words only those of the batch move."""
 
-    def __init__(self, start: np.ndarray, share: np.ndarray):
-        self.p = Parameters(start.copy())
+    def __init__(self, start: np.ndarray, share: np.ndarray, in_group: np.ndarray, class_at: np.ndarray):
+        words = len(class_at) - CLASSES
+        self.p, self.class_at = Parameters(start.copy(), words), class_at
         self.log_noise = (np.log(share) + math.log(NOISE)).astype(np.float32)
         self.cumulative = np.cumsum(share)
+        self.log_group_noise = (np.log(in_group) + math.log(GROUP_NOISE)).astype(np.float32)
+        # Rises from g to g + 1 over the words of group g, so one search finds a word in any group.
+        groups = [np.cumsum(in_group[low:high]) for low, high in zip(self.p.bounds[:-1], self.p.bounds[1:])]
+        self.group_cumulative = np.concatenate([g + c / c[-1] for g, c in enumerate(groups)]) if groups else np.empty(0)
         self.random = np.random.default_rng(11)
-        self.g = {name: np.full_like(getattr(self.p, name), 1e-2) for name in "RCQb"}
+        self.g = {name: np.full_like(getattr(self.p, name), 1e-2 if name in "CQb" else 1e-5) for name in "RCQbTt"}
+        self.slot = np.empty(max(len(self.p.R), len(self.p.T)), np.int64)
 
-    def _move(self, name: str, gradient: np.ndarray) -> None:
+    def _move(self, name: str, gradient: np.ndarray, at=...) -> None:
         g = self.g[name]
-        g += gradient * gradient
-        getattr(self.p, name)[...] += RATE * gradient / np.sqrt(g)
-
-    def step(self, before: np.ndarray, target: np.ndarray) -> None:
-        p, n = self.p, len(target)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), CLASSES - 1)
-        h, q, false_q = p.context_vectors(before), p.Q.take(target, axis=0), p.Q[noise]
+        g[at] += gradient * gradient
+        getattr(self.p, name)[at] += RATE * gradient / np.sqrt(g[at])
+
+    def _numbered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct ids and, for each of ``ids``, the number of its own among them."""
+        every = np.arange(len(ids))
+        self.slot[ids] = every
+        last = self.slot[ids]
+        chosen = last == every
+        return ids[chosen], (np.cumsum(chosen) - 1)[last]
+
+    def step(self, before: np.ndarray, place: np.ndarray) -> None:
+        p, n, target = self.p, len(place), self.class_at[place]
+        classes = len(p.b)
+        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), classes - 1)
+        rows = p.R.take(before, axis=0)
+        h, q, false_q = np.einsum("knw,kw->nw", rows, p.C), p.Q.take(target, axis=0), p.Q[noise]
         true_score = np.einsum("ij,ij->i", h, q) + (p.b - self.log_noise)[target]
         data = 1 / (1 + np.exp(np.clip(true_score, -30, 30))) / n
         false_score = h @ false_q.T
         false_score += p.b[noise] - self.log_noise[noise]
         false = -1 / (1 + np.exp(-np.clip(false_score, -30, 30))) / n
-        dq = _sums(target, h * data[:, None])
-        db = np.bincount(target, data, CLASSES).astype(np.float32)
+        dq = _sums(target, h * data[:, None], classes)
+        db = np.bincount(target, data, classes).astype(np.float32)
         np.add.at(dq, noise, false.T @ h)
         np.add.at(db, noise, false.sum(axis=0))
         dh = q * data[:, None] + false @ false_q
-        by_class = [_sums(at, dh) for at in before]
-        dc = np.stack([(p.R * found).sum(axis=0) for found in by_class])
-        dr = sum(found * p.C[k] for k, found in enumerate(by_class))
-        for name, gradient in (("R", dr), ("C", dc), ("Q", dq), ("b", db)):
+        grouped = np.flatnonzero(target >= CLASSES)
+        if len(grouped):
+            dh[grouped] += self._words(h[grouped], place[grouped] - WORD_CLASSES, target[grouped] - CLASSES, n)
+        dc = np.einsum("knw,nw->kw", rows, dh)
+        ids, number = self._numbered(before.ravel())
+        dr = _sums(number, dh[None] * p.C[:, None], len(ids))
+        self._move("R", dr, ids)
+        for name, gradient in (("C", dc), ("Q", dq), ("b", db)):
             self._move(name, gradient)
 
+    def _words(self, h: np.ndarray, own: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+        """Moves the vectors of words in groups; returns the gradient of their context vectors."""
+        p = self.p
+        drawn = np.searchsorted(self.group_cumulative, group + self.random.random((GROUP_NOISE, len(own))))
+        ids = np.concatenate([own[None], np.minimum(drawn, p.bounds[group + 1] - 1)])
+        vectors = p.T.take(ids, axis=0)
+        score = np.einsum("kmw,mw->km", vectors, h) + (p.t - self.log_group_noise).take(ids)
+        chance = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        error = -chance / n
+        error[0] += 1 / n
+        found, number = self._numbered(ids.ravel())
+        dt = np.bincount(number, error.ravel(), len(found)).astype(np.float32)
+        self._move("T", _sums(number, error[:, :, None] * h, len(found)), found)
+        self._move("t", dt, found)
+        return np.einsum("km,kmw->mw", error, vectors)
+
 
 def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Parameters averaged by weight, as one row."""
@@ -212,7 +296,7 @@ def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
 
 
-def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places, class_at: np.ndarray) -> int:
+def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places) -> int:
     """Takes steps on every position of the texts once; returns how many there were."""
     held: list[np.ndarray] = []
     waiting = seen = 0
@@ -227,7 +311,7 @@ def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places, cl
         held.clear()
 
     for text in texts:
-        held.append(class_at[places.of(tokens(text))])
+        held.append(places.of(tokens(text)))
         waiting += len(held[-1])
         if waiting >= HELD_BATCHES * BATCH:
             steps()
@@ -237,14 +321,14 @@ def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places, cl
     return seen + waiting
 
 
-def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, words: list[bytes]) -> np.ndarray:
+def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, in_group: np.ndarray, words: list[bytes]) -> np.ndarray:
     """The parameters after one run of every partition through its documents, averaged in two steps."""
-    shared = docs.sparkSession.sparkContext.broadcast((start, share, words))
+    shared = docs.sparkSession.sparkContext.broadcast((start, share, in_group, words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, noise, known = shared.value
-        trainer = Trainer(flat, noise)
-        seen = train_on((text for batch in batches for text in batch["text"]), trainer, Places(known), classes_of(known))
+        flat, noise, group_noise, known = shared.value
+        trainer = Trainer(flat, noise, group_noise, classes_of(known))
+        seen = train_on((text for batch in batches for text in batch["text"]), trainer, Places(known))
         if seen:
             yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen)]})
 
@@ -269,30 +353,35 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     counts = written(count_tokens(training))
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = totals[0] or 0, totals[1]
-    in_head = F.col("c") * HEAD_SHARE >= n
+    in_head = (F.col("c") * HEAD_SHARE >= n) | (F.col("token") == END)
     head = sorted(((r["token"], r["c"]) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
     vocabulary = [END] + [w for w, _ in head if w != END]  # the end has place and class 0
-    words, named = [w.encode() for w in vocabulary], vocabulary[:WORD_CLASSES]
-    rest = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in named], "token string")), "token", "left_anti")
+    words = [w.encode() for w in vocabulary]
+    rest = counts.where(~in_head)
     by_class = rest.groupBy(ending_class(F.col("token")).alias("k")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     count_of = dict(head)
-    logs = np.array([math.log10(count_of.get(w, 0) + 1) for w in vocabulary])
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    size[: len(named)] = [count_of.get(w, 0) for w in named]
+    own = np.array([count_of.get(w, 0) for w in vocabulary], np.float64)
+    class_at, bounds = classes_of(words), group_bounds(len(words))
+    size = np.bincount(class_at[: len(words)], own, CLASSES + len(bounds) - 1)
+    kinds = np.zeros(len(size))
     for row in by_class:
         size[row["k"]], kinds[row["k"]] = row["n"], row["v"]
     share = (size + 1) / (size + 1).sum()
+    others = own[WORD_CLASSES:] + 1
+    in_group = others / np.repeat(np.add.reduceat(others, bounds[:-1]), np.diff(bounds)) if len(others) else others
 
-    flat = Parameters.start(share).flat
-    flat = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0), flat, share, words)
-    flat = train_round(training, flat, share, words)
+    flat = Parameters.start(share, in_group, len(words)).flat
+    flat = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0), flat, share, in_group, words)
+    flat = train_round(training, flat, share, in_group, words)
 
-    inside = np.log10(np.where(np.arange(CLASSES) < WORD_CLASSES, 1.0, size + kinds + 1))
-    shared = docs.sparkSession.sparkContext.broadcast((flat, words, inside, logs))
+    # What is left of a word's probability once its class and, in a group, the word itself are scored.
+    inside = np.zeros(len(size))
+    inside[WORD_CLASSES:CLASSES] = np.log10((size + kinds + 1)[WORD_CLASSES:CLASSES])
+    shared = docs.sparkSession.sparkContext.broadcast((flat, words, inside, np.log10(own + 1)))
     stats = written(_text_stats(base, shared).withColumn("uid", F.monotonically_increasing_id()))
 
     tail = stats.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", "t.rare", "t.times")
-    rare = counts.where(~in_head).select(F.col("token").alias("rare"), "c").hint("shuffle_hash")
+    rare = rest.select(F.col("token").alias("rare"), "c").hint("shuffle_hash")
     found = tail.join(rare, "rare")
     sums = found.groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("times").alias("tail_known")
@@ -306,23 +395,22 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("head_log") + tail_log - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-        (F.col("class_log") + F.col("mid_log") + tail_log).alias("score"),
+        (F.col("class_log") + tail_log).alias("score"),
     )
 
 
 def _text_stats(base: DataFrame, shared) -> DataFrame:
-    """Per document what needs no join: sums over the words of the shared dictionary, the model's class scores, and the rarer
+    """Per document what needs no join: sums over the words of the shared dictionary, the model's scores, and the rarer
     words with their numbers."""
     kind = dict(base.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flat, words, inside, logs = shared.value
-        model, places, class_at = Parameters(flat), Places(words), classes_of(words)
+        model, places, class_at = Parameters(flat, len(words)), Places(words), classes_of(words)
         size = len(words)
         in_class = inside[class_at]
-        # By place: log10(c + 1) of the words of the dictionary, and of those that share their class with others.
+        # By place: log10(c + 1) of the words of the dictionary.
         head_logs = np.concatenate([logs, np.zeros(CLASSES)])
-        mid_logs = np.where(np.arange(len(head_logs)) < WORD_CLASSES, 0.0, head_logs)
         for batch in batches:
             texts = batch["text"].tolist()
             parts = []
@@ -338,15 +426,14 @@ def _text_stats(base: DataFrame, shared) -> DataFrame:
                 classes = class_at[flat_at]
                 lengths = np.array([len(a) for a in at])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                before = np.concatenate([contexts(c, 0) for c in np.split(classes, starts[1:])], axis=1)
-                class_log = model.log_probabilities(before, classes) / LN10 - in_class[flat_at]
+                before = np.concatenate([contexts(a, 0) for a in at], axis=1)
+                class_log = model.word_log_probabilities(before, flat_at, classes) / LN10 - in_class[flat_at]
                 rare = [Counter([w[i] for i in np.flatnonzero(a >= size)]) for w, a in zip(found, at)]
                 parts.append(
                     {
                         "n_tokens": lengths,
                         "head_known": np.add.reduceat((head_logs[flat_at] > 0).astype(np.int64), starts),
                         "head_log": np.add.reduceat(head_logs[flat_at], starts),
-                        "mid_log": np.add.reduceat(mid_logs[flat_at], starts),
                         "rare": [[w.decode("utf-8", "replace") for w in r] for r in rare],
                         "times": [list(r.values()) for r in rare],
                         "class_log": np.add.reduceat(class_log, starts),
@@ -358,6 +445,6 @@ def _text_stats(base: DataFrame, shared) -> DataFrame:
 
     return base.mapInPandas(
         run,
-        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, mid_log double, rare array<string>, "
+        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, rare array<string>, "
         "times array<long>, class_log double",
     )

@@ -121,7 +121,7 @@ def test_a_training_round_steps_on_every_position_once():
     words = [language_model.END.encode(), *(f"w{i}".encode() for i in range(70))]
     texts = [" ".join(f"w{(i * j + j) % 70}" for j in range(500 + i)).encode() for i in range(300)] + [None, b""]
     places = language_model.Places(words)
-    seen = language_model.train_on(iter(texts), Recorder(), places, language_model.classes_of(words))
+    seen = language_model.train_on(iter(texts), Recorder(), places)
     wanted = Counter()
     for text in texts:
         wanted.update(places.of(language_model.tokens(text)).tolist())
@@ -133,6 +133,39 @@ def test_a_training_round_steps_on_every_position_once():
     assert targets == wanted and all(steps)  # and no empty step; here every word is a class of its own
 
 
+@pytest.mark.parametrize("words", [1, 96, 97, 98, 105, 106, 1500])
+def test_language_model_is_normalised_over_words(words):
+    bounds = language_model.group_bounds(words)
+    class_at = language_model.classes_of([str(i).encode() for i in range(words)])
+    assert bounds[-1] == max(words - 96, 0) and (np.diff(bounds) > 0).all() and len(class_at) == words + language_model.CLASSES
+    flat = np.random.default_rng(1).standard_normal(sum(language_model.sizes_of(words))).astype(np.float32)
+    model = language_model.Parameters(flat, words)
+    assert len(model.R) == words + language_model.CLASSES and len(model.T) == bounds[-1]  # own vectors for every word
+    classes_left = [c for c in range(language_model.CLASSES) if c >= min(words, 96)]
+    place = np.concatenate([np.arange(words), words + np.array(classes_left)])
+    before = np.tile(np.array([[words], [0], [words - 1], [words + 127]]), (1, len(place)))
+    total = np.exp(model.word_log_probabilities(before, place, class_at[place])).sum()
+    assert abs(total - 1) < 1e-4
+
+
+def test_language_model_tells_words_of_one_ending_apart(spark):
+    random = np.random.default_rng(5)
+    frequent = [f"f{i}" for i in range(120)]
+    ids = [i for i in range(900) if not held(i, 7, 2)]
+
+    def text(*pairs):
+        parts = [random.choice(frequent, 60) for _ in range(len(pairs) + 1)]
+        return " ".join(" ".join(part) + " " + pair for part, pair in zip(parts, [*pairs, ""]))
+
+    rows = [(i, text(*random.permutation(["left uvwxed", "right mnoped"]))) for i in ids]
+    probes = ["left uvwxed", "left mnoped", "right mnoped", "right uvwxed"]
+    around = text("{}")
+    rows += list(zip([i for i in range(2000) if held(i, 7, 2)], map(around.format, probes)))
+    scored = {r["doc_id"]: r["score"] for r in language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    a, b, c, d = (scored[i] for i, _ in rows[-4:])
+    assert a - b + c - d > 0.1, (a, b, c, d)  # the words' own frequencies cancel out
+
+
 def test_language_model_edges(spark):
     odd = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 2), (2, "A b " * 50_000, 3)], "doc_id long, text string, score int")
     rows = language_model.score_texts(odd).collect()
