@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for their length and commas to the elements around them, half as many to the next ones; an element's points
-are discounted by the share of its text that stands in links. The best container and those of its siblings that score well are kept,
-without the parts that are no article (menus, forms, notices, comments and the like).
+are discounted by the share of its text that stands in links. The best container is kept with all of the article or main element around it but
+lists of links, and with those siblings of it that score well, without the parts that are no article (menus, forms, notices, comments and the like).
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ UNLIKELY = re.compile(
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "blockquote": 2.0, "pre": 2.0, "td": 2.0,
          "ul": -3.0, "ol": -3.0, "dl": -3.0, "form": -10.0, "body": -5.0, "html": -10.0}
 
@@ -203,6 +204,23 @@ def _blocks(node: Node, out: list[str]) -> None:
     end()
 
 
+def _whole(best: Node) -> Node:
+    """The outermost article or main element around the best container, or the container itself. What stands beside the container in it is
+    text of its own, however short; only what consists mostly of links is dropped, unless it is a heading."""
+    top = node = best
+    while node is not None:
+        if node.tag in ("article", "main"):
+            top = node
+        node = node.parent
+    node = best
+    while node is not top:
+        for sibling in node.parent.children:
+            if isinstance(sibling, Node) and sibling is not node and sibling.tag not in HEADINGS:
+                sibling.dropped |= sibling.length > 0 and sibling.linked >= 0.5 * sibling.length
+        node = node.parent
+    return top
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, one to a line; empty if there are none."""
     if not html:
@@ -212,14 +230,15 @@ def main_text(html: str | None) -> str:
     if not holders:
         return ""
     best = max(holders, key=lambda n: n.points)
-    if best.parent is None:
-        kept = [best]
+    top = _whole(best)
+    if top.parent is None:
+        kept = [top]
     else:
         least = max(10.0, best.points * 0.2)
         kept = []
-        for sibling in best.parent.children:
-            if sibling is best:
-                kept.append(best)
+        for sibling in top.parent.children:
+            if sibling is top:
+                kept.append(top)
             elif isinstance(sibling, Node) and not sibling.dropped and sibling.length:
                 density = sibling.linked / sibling.length
                 prose = sibling.tag == "p" and sibling.length > 80 and density < 0.25

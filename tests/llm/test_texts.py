@@ -153,6 +153,20 @@ def test_main_text():
         assert html_text.main_text(empty) == ""
 
 
+@pytest.mark.parametrize("outer", ["article", "main"])
+@pytest.mark.parametrize("paragraphs", [1, 4, 5, 20])
+def test_long_bodies_keep_titles_and_short_sections(outer, paragraphs):
+    body = [f"Paragraph {i}, with commas, " + "and words " * 27 for i in range(paragraphs)]
+    page = f"""<body><header><a href=/>Site</a></header><{outer}><h1><a href=/t>Title</a></h1><p>Short lead.</p>By someone
+    <div class=content>{"".join(f"<p>{p}</p>" for p in body)}</div><section><h2>Note</h2><p>Few words.</p></section>
+    <div class=share><a href=/s>Share</a></div></{outer}><footer>foot</footer></body>"""
+    wanted = ["Title", "Short lead.", "By someone", *(p.strip() for p in body), "Note", "Few words."]
+    assert html_text.main_text(page).split("\n") == wanted
+    links = "<ul>" + "<li><a href=/x>Another story, with commas</a>" * 4 + "</ul>"
+    if paragraphs == 20:
+        assert html_text.main_text(page.replace("<section>", links + "<section>")).split("\n") == wanted
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (None, None, "<p>a</p>"), (2, "u", "<div>" * 3000 + "deep"), (2, "u", "<p>" + "word, " * 100_000)]
     frame = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
