@@ -19,6 +19,9 @@ from marketloom.llm.components import connected_components
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
+# Name and value of an attribute: a value ends with its quote, or without quotes at white space.
+ATTRIBUTE = r"""[^\s=/"'<>]+\s*=\s*(?:"[^">]*"?|'[^'>]*'?|[^\s"'>]+)"""
+
 
 class Rule(NamedTuple):
     host: str
@@ -92,18 +95,25 @@ def _resolved(link: Column, url: Column) -> Column:
     return bound(F.replace(link, F.lit("&amp;"), F.lit("&")), absolute)
 
 
-def _attribute(tag: Column, name: str) -> Column:
-    return F.trim(F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']?([^"'>]*)""", 1))
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of the first attribute of that name, without its quotes, or an empty text."""
+    own = F.get(F.filter(attributes, lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    return F.trim(F.coalesce(F.regexp_replace(own, r"""(?s)^[^=]*=\s*["']?|["']$""", ""), F.lit("")))
 
 
 def _link(tag: Column) -> Column:
     """The target that a link or meta tag names, or an empty text."""
-    refresh = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?(\S+)", 1)
-    return (
-        F.when(F.lower(_attribute(tag, "rel")) == "canonical", _attribute(tag, "href"))
-        .when(F.lower(_attribute(tag, "http-equiv")) == "refresh", refresh)
-        .otherwise("")
-    )
+
+    def named(attributes: Column) -> Column:
+        refresh = F.regexp_extract(_attribute(attributes, "content"), r"(?is)^[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?(\S+)", 1)
+        words = F.split(F.lower(_attribute(attributes, "rel")), r"\s+")
+        return (
+            F.when(F.array_contains(words, "canonical"), _attribute(attributes, "href"))
+            .when(F.lower(_attribute(attributes, "http-equiv")) == "refresh", F.regexp_replace(refresh, r"""^["']|["']$""", ""))
+            .otherwise("")
+        )
+
+    return bound(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(0)), named)
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

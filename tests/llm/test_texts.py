@@ -201,6 +201,25 @@ def test_url_filter(spark):
     assert url_filter.judge(frame).count() == len(rows) and url_filter.judge(frame.limit(0)).collect() == []
 
 
+def test_alias_links_in_any_quoting(spark):
+    bad = "http://bad.net/page"
+    marks = [
+        f'<link rel=canonical href="{bad}">', f'<link href="{bad}" rel=canonical>', f"<link rel=canonical href={bad}>", f"<link href={bad} rel=canonical>",
+        f'<link rel="canonical nofollow" href={bad}>', f"<LINK HREF='{bad}' REL='nofollow  Canonical'/>", f'<link rel="canonical"href="{bad}">',
+        f'<meta http-equiv=refresh content="0; url={bad}">', f'<meta content="0;url={bad}" http-equiv=refresh>', f"<meta http-equiv=refresh content=0;url={bad}>",
+        f"<meta content=0;URL={bad} http-equiv=Refresh>", f"<meta http-equiv='refresh' content='3, {bad}'>",
+    ]
+    others = [
+        f"<link rel=canonicals href={bad}>", f'<link rel=stylesheet title="x rel=canonical" href={bad}>', f"<link data-rel=canonical href={bad}>",
+        f"<meta name=refresh content=0;url={bad}>", "<link rel=canonical href=>", "<link rel=canonical>",
+    ]
+    rows = [(i, f"http://p{i}.org/x", "<head>" + mark) for i, mark in enumerate([*marks, *others])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = sorted((r["a"], r["b"]) for r in url_filter.alias_edges(frame).collect())
+    assert edges == sorted((f"p{i}.org/x", "bad.net/page") for i in range(len(marks)))
+    assert {r["page_id"] for r in url_filter.judge(frame).collect() if r["verdict"] == "block"} == set(range(len(marks)))
+
+
 def test_chat_threads(spark):
     rows = [
         (1, 0, "user", "First question here.\n\nA second\nparagraph."), (1, 1, "assistant", "> first  question here\n\nAn answer."),
