@@ -23,7 +23,7 @@ LEAST, USUAL, MOST = 16, 64, 256  # bytes of a chunk
 STRICT_BITS, LOOSE_BITS = 8, 4  # leading zero bits that end a chunk before and after the usual length
 DIGEST_BYTES = 6
 GEAR = np.random.default_rng(64).integers(0, 2**32, 256, np.uint32)
-BINS_PER_PARTITION = 16
+KEY_CHARACTERS = 64  # so much of a text, besides its id, decides its range
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
@@ -130,32 +130,28 @@ COLUMNS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerpr
 
 
 def _in_order(docs: DataFrame, partitions: int) -> DataFrame:
-    """Documents dealt by ranges of ids, each range followed by the first document of the next one, marked as a guest.
+    """Documents dealt by ranges of ids and beginnings of texts, each range followed by the first document of the next one, marked as a guest.
 
-    Ranges come from counts of ids in equal bins, so what reaches the driver is bounded by the number of partitions. Only one shuffle
-    moves texts.
+    Ranges follow the quantiles of these keys, whatever the spread of the ids: a shuffle of the keys alone finds where each
+    begins, which is one row for each on the driver. Only one shuffle moves texts. Documents of one id whose texts begin alike share a range.
     """
-    limits = docs.agg(F.min("doc_id").cast("long"), F.max("doc_id").cast("long")).first()
-    low = (limits[0] if limits[0] is not None else 0) - 1  # the place of null ids, before all others
-    width = ((limits[1] if limits[1] is not None else 0) - low) // (partitions * BINS_PER_PARTITION) + 1
-    placed = docs.withColumn("place", F.coalesce(F.col("doc_id").cast("long"), F.lit(low)))
-    placed = placed.withColumn("bin", F.floor((F.col("place") - low) / width).cast("int"))
-    bins = sorted(tuple(r) for r in placed.groupBy("bin").agg(F.count(F.lit(1)), F.min("place")).collect())
-    total = max(sum(count for _, count, _ in bins), 1)
-    ranges, heads, before = [], {}, 0
-    for number, count, first in bins:
-        part = before * partitions // total
-        ranges.append((number, part))
-        heads.setdefault(part, first)
-        before += count
+    key = F.struct(F.col("doc_id").cast("long").alias("place"), F.left(F.coalesce("text", F.lit("")), F.lit(KEY_CHARACTERS)).alias("beginning"))
+    keyed = docs.withColumn("key", key)
+    dealt = keyed.select("key").repartitionByRange(partitions, "key.place", "key.beginning")
+    heads = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("head")).orderBy("head").collect()
     spark = docs.sparkSession
-    parts = sorted(heads)
-    guests = [(heads[part], parts[i - 1]) for i, part in enumerate(parts)]  # the first one goes to the last range
-    by_bin = F.broadcast(spark.createDataFrame(ranges, "bin int, part int"))
-    own = placed.join(by_bin, "bin").select("part", F.lit(0).alias("guest"), "place", "doc_id", "text")
-    visiting = placed.join(F.broadcast(spark.createDataFrame(guests, "place long, part int")), "place")
-    both = own.unionByName(visiting.select("part", F.lit(1).alias("guest"), "place", "doc_id", "text"))
-    return both.repartitionById(partitions, F.col("part")).sortWithinPartitions("part", "guest", "place", "text")
+    kind = "place long, beginning string"
+    starts = spark.createDataFrame([([r["head"] for r in heads],)], f"starts array<struct<{kind}>>")
+    part = F.greatest(F.size(F.filter("starts", lambda head: head <= F.col("key"))) - 1, F.lit(0))
+    placed = keyed.crossJoin(F.broadcast(starts)).withColumn("part", part)
+    own = placed.select("part", F.lit(0).alias("guest"), F.col("key.place").alias("place"), "doc_id", "text")
+    # The first of a range goes to the range before it, that of the first to the last one.
+    first = placed.where(F.element_at("starts", F.col("part") + 1) == F.col("key"))
+    visiting = first.groupBy("part").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("doc_id").alias("doc_id"), F.first("key.place").alias("place"))
+    visiting = visiting.select(
+        F.pmod(F.col("part") - 1, F.lit(max(len(heads), 1))).alias("part"), F.lit(1).alias("guest"), "place", "doc_id", "text"
+    )
+    return own.unionByName(visiting).repartitionById(partitions, F.col("part")).sortWithinPartitions("part", "guest", "place", "text")
 
 
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -137,6 +137,27 @@ def test_fingerprints_against_brute_force(spark):
     assert fingerprints.with_fingerprints(frame).columns[-1] == "fingerprint"
 
 
+@pytest.mark.parametrize("spread", ["whole", "far", "clustered", "null"])
+def test_fingerprint_ranges_follow_any_spread_of_ids(spark, spread):
+    ids = {
+        "whole": [-(2**63), 2**63 - 1] + [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(598)],
+        "far": [2**62, *range(599)],
+        "clustered": [10**9 * (i % 3) + i for i in range(600)],
+        "null": [None if i % 3 == 0 else i for i in range(600)],
+    }[spread]
+    rows = [(doc_id, f"{i * 7919 % 600} " + text_of(i, 20)) for i, doc_id in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sizes = fingerprints._in_order(frame, 4).where("guest = 0").rdd.glom().map(len).collect()
+    assert sum(sizes) == 600 and max(sizes) < 300
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    wanted = []
+    for i, (doc_id, text) in enumerate(order):
+        edited = fingerprints.edit(text, order[(i + 1) % 600][1])
+        wanted.append((doc_id, sha256(edited.encode()).hexdigest()))
+    got = [(r["doc_id"], r["edited_sha256"]) for r in fingerprints.compare_with_next(frame).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, wanted))
+
+
 def test_chunks_resist_shifts():
     text = text_of(0, 3000)
     shifted = fingerprints.fingerprint("some words put before " + text)
