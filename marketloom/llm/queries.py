@@ -16,8 +16,11 @@ from marketloom.llm import (
     mixing,
     near_join,
     quality,
+    resampling,
+    token_counts,
     toxicity,
     url_filter,
+    whitening,
 )
 from marketloom.llm.common import table
 
@@ -69,6 +72,20 @@ def op10_chat_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return chat.linked_messages(table(spark, folder, "conversations"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.component_rows(table(spark, folder, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_toxicity": op2_toxicity,
@@ -80,6 +97,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_html_text": op9_html_text,
     "op10_chat_quotes": op10_chat_quotes,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
