@@ -1,25 +1,29 @@
-"""Order-based operators that stay exact when one group is too large for one task.
+"""Order-based operators that stay exact when one group is too large for one task, without a job while a plan is built.
 
-``ordered_positions`` numbers rows over a range-partitioned sort: each task numbers its own range
-and adds the sizes of the ranges before it. Grouped ranks and medians are read off these positions.
-The sorted rows go through a reliable checkpoint, so that the ranges seen by the counting pass and
-by the result are the same, also after an executor is lost.
+All of them rank by weighted counts. Rows fold to (group, value, count). Approximate quantiles of all rows, combined inside the
+map tasks and read as one scalar subquery, cut the values into ranges; a quantile itself is a range of one value, so that a value with
+many ties gets a range of its own. Running sums over the counts of each group's ranges say how many rows lie before a range, and only within a
+range of a group are values ordered. So no task orders more than about one range of all rows, however large a group is. Quantiles
+that miss the true ones change the size of ranges, never a result.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group up to this size is sorted by one task without strain; larger ones are split.
-ONE_TASK_ROWS = 1_000_000
+CUTS = 256  # quantiles at most
+RANGE_ROWS = 10_000  # rows that a range holds at least, so that small tables have few ranges
+SLOTS = 16  # tasks that share the rows of one value
+COPIES = 100_000  # repeated rows that one array brings back
+EXACT = 2.0**53  # whole numbers below it keep their value as DOUBLE
+IMAGE_DIGITS = 14  # hexadecimal digits of a text, seven bytes, that its range is chosen by
 
-_ROW_BITS = 33  # monotonically_increasing_id: partition above, row number below this bit
+BEFORE = (Window.unboundedPreceding, -1)
 
 
 @dataclass(frozen=True)
@@ -31,147 +35,196 @@ class Rank:
     ascending: bool = False
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Only a local-mode session without one gets a temporary one."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        current = tempfile.mkdtemp(prefix="marketloom-checkpoint-")
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(current)
-    return current
-
-
-def ordered_positions(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """Adds ``position`` (1-based, over all rows) and ``total``. Include a unique key in the order:
-    it makes the result deterministic and lets equal values spread over several ranges."""
-    ensure_checkpoint_dir(df.sparkSession)
-    slot = F.col("_slot")
-    numbered = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .checkpoint()
-        .withColumns({"_range": F.shiftright(slot, _ROW_BITS), "_row": slot.bitwiseAND((1 << _ROW_BITS) - 1)})
+# --- value ranges ----------------------------------------------------------------
+
+
+def _join_alike(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """A join on equal keys, where nulls are equal, too; the keys appear once."""
+    renamed = {name: f"_key{i}" for i, name in enumerate(keys)}
+    same = [F.col(name).eqNullSafe(F.col(other)) for name, other in renamed.items()]
+    return left.join(right.withColumnsRenamed(renamed), reduce(Column.__and__, same), how).drop(*renamed.values())
+
+
+def _marks(rows: DataFrame, values: Sequence[Column]) -> Column:
+    """Quantiles of each value over all rows, as an array of arrays in one scalar subquery. ``rows`` have ``_rows``: summing them
+    makes this aggregate read the same columns as the others, so that all share one exchange."""
+    shares = F.array(*[F.lit(k / (CUTS + 1)) for k in range(1, CUTS + 1)])
+    step = F.ceil(F.lit(CUTS * RANGE_ROWS) / F.sum("_rows"))
+    found = [
+        F.array_distinct(F.filter(F.percentile_approx(value, shares), lambda mark, place: (place + 1) % step == 0))
+        for value in values
+    ]
+    return rows.agg(F.array(*found).alias("marks")).scalar()
+
+
+def _with_range(df: DataFrame, marks: Column, value: Column, exact: Column | bool = True) -> DataFrame:
+    """Adds ``_range``: even between two quantiles, odd for a quantile itself, in the order of the values. Where ``exact`` does not
+    hold, equal values may stand for different ones and share the range below."""
+    on_mark = F.array_contains("_marks", value) & exact
+    place = 2 * F.size(F.filter("_marks", lambda mark: mark < value)) + on_mark.cast("int")
+    return df.withColumn("_marks", marks).withColumn("_range", place).drop("_marks")
+
+
+def _range_starts(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per range of each group, its rows and the rows before it."""
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_rows").alias("_size"))
+    order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*BEFORE)
+    return sizes.withColumn("_before", F.coalesce(F.sum("_size").over(order), F.lit(0)))
+
+
+# --- ranks in groups ---------------------------------------------------------------
+
+
+def _sort_value(df: DataFrame, rank: Rank) -> tuple[Column, Column]:
+    """Numbers that ascend with the rank: as DOUBLE, and whole numbers as themselves, since DOUBLE merges neighbours
+    beyond 2 ** 53. Not a number is as good as missing."""
+    value, kind = F.col(rank.value), dict(df.dtypes)[rank.value]
+    if kind in ("float", "double"):
+        value = F.when(~F.isnan(value), value.cast("double") + 0.0)
+    coarse = value.cast("double") if rank.ascending else -value.cast("double")
+    whole = value.cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(None).cast("long")
+    return coarse, whole if rank.ascending else F.bitwise_not(whole)
+
+
+def add_min_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], key: str = "stock_id") -> DataFrame:
+    """Competition ranks ('1, 2, 2, 4') within groups; a null value, one that is not a number, and a row without
+    group have a null rank. Repeated rows count as often as they occur. Whole numbers and floating point numbers rank exactly,
+    decimals as DOUBLE. The rows are computed once, for an exchange that all steps read.
+    """
+    columns = df.columns
+    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    values = [_sort_value(df, rank) for rank in ranks]
+    marks = _marks(rows, [coarse for coarse, _ in values])
+    # Rows that agree in these have the same ranks.
+    identity = list(dict.fromkeys([*groups, key, *[rank.value for rank in ranks]]))
+    entries = F.array(
+        *[F.struct(F.lit(i).alias("_rank"), coarse.alias("_value"), fine.alias("_fine")) for i, (coarse, fine) in enumerate(values)]
     )
-    # One row per shuffle partition, whatever the data size: one task and a broadcast are bounded.
-    ranges = Window.orderBy("_range")
-    sizes = (
-        numbered.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .select(
-            "_range",
-            (F.sum("_size").over(ranges) - F.col("_size")).alias("_before"),
-            F.sum("_size").over(Window.partitionBy()).alias("total"),
-        )
+    long = rows.select(*identity, "_rows", F.inline(entries)).where(F.col("_value").isNotNull())
+    exact = F.col("_fine").isNull() | (F.abs("_value") < EXACT)
+    ranged = _with_range(long, F.element_at(marks, F.col("_rank") + 1), F.col("_value"), exact)
+    # All values of an odd range are equal, so its rows need no order and spread over the slots.
+    odd = F.col("_range") % 2 == 1
+    spread = F.when(odd, F.pmod(F.xxhash64(key), F.lit(SLOTS))).otherwise(-1)
+    slots = F.when(odd, F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))).otherwise(F.array(F.lit(-1).cast("long")))
+    parts = ["_rank", *groups]
+    starts = _range_starts(ranged, parts).drop("_size").withColumn("_spread", F.explode(slots))
+    inside = [*parts, "_range", "_spread"]
+    placed = _join_alike(ranged.withColumn("_spread", spread), starts, inside)
+    running = Window.partitionBy(*inside).orderBy("_value", "_fine").rowsBetween(*BEFORE)
+    ties = Window.partitionBy(*inside, "_value", "_fine")
+    placed = placed.withColumn("_running", F.coalesce(F.sum("_rows").over(running), F.lit(0)))
+    first = F.when(F.col("_spread") >= 0, F.lit(0)).otherwise(F.min("_running").over(ties))
+    placed = placed.withColumn("_place", (F.col("_before") + first + 1).cast("double"))
+    names = [f"_place{i}" for i in range(len(ranks))]
+    places = placed.groupBy(*identity).agg(
+        *[F.max(F.when(F.col("_rank") == i, F.col("_place"))).alias(name) for i, name in enumerate(names)]
     )
-    return (
-        numbered.join(F.broadcast(sizes), "_range")
-        .withColumn("position", F.col("_before") + F.col("_row") + 1)
-        .select(*df.columns, "position", "total")
+    in_group = reduce(Column.__and__, [F.col(name).isNotNull() for name in groups])
+    found = _join_alike(rows, places, identity).select(
+        *columns, *[F.when(in_group, F.col(name)).alias(rank.name) for name, rank in zip(names, ranks)], "_rows"
     )
+    return _repeated(found)
 
 
-def add_min_ranks(
-    df: DataFrame,
-    groups: Sequence[str],
-    ranks: Sequence[Rank],
-    key: str = "stock_id",
-    group_rows: int | None = None,
-) -> DataFrame:
-    """Competition ranks ('1, 2, 2, 4') within groups; a null value, one that is not a number, and a row without
-    group have a null rank.
+def _repeated(df: DataFrame) -> DataFrame:
+    """Each row ``_rows`` times, by arrays of bounded length."""
+    last = F.floor((F.col("_rows") - 1) / COPIES)
+    parts = df.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    size = F.least(F.lit(COPIES).cast("long"), F.col("_rows") - F.col("_part") * COPIES)
+    return parts.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("_rows", "_part", "_copy")
 
-    ``group_rows`` is an upper bound on the rows of one group that the caller has established. Up
-    to ONE_TASK_ROWS a window per group does the work; without a bound, or above it, positions do.
-    """
-    if group_rows is not None and group_rows <= ONE_TASK_ROWS:
-        return df.withColumns({rank.name: _window_rank(df, rank, groups) for rank in ranks})
-    return _spread_ranks(df, groups, ranks, key)
 
+# --- selection by position ---------------------------------------------------------
 
-def _known(df: DataFrame, rank: Rank) -> Column:
-    """The value to rank by: not a number is as good as missing."""
-    value = F.col(rank.value)
-    return F.when(~F.isnan(value), value) if dict(df.dtypes)[rank.value] in ("float", "double") else value
 
+def values_at(rows: DataFrame, group: str, value: str, wanted: DataFrame) -> DataFrame:
+    """(group, position, value): the numbers at wanted positions (from 1) of their group, in ascending order. Rows have a known value.
 
-def _window_rank(df: DataFrame, rank: Rank, groups: Sequence[str]) -> Column:
-    value = _known(df, rank)
-    order = value.asc_nulls_last() if rank.ascending else value.desc_nulls_last()
-    place = F.rank().over(Window.partitionBy(*groups).orderBy(order)).cast("double")
-    in_group = [F.col(name).isNotNull() for name in groups]
-    return F.when(reduce(Column.__and__, in_group, value.isNotNull()), place)
+    ``wanted`` holds (group, position), few for a group. Two passes over the folded rows: range counts lead to the ranges that
+    hold a wanted position, and only the rows of these are ordered.
+    """
+    folded = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("_rows"))
+    ranged = _with_range(folded, _marks(folded, [F.col(value)])[0], F.col(value))
+    inside = (F.col("_before") < F.col("position")) & (F.col("position") <= F.col("_before") + F.col("_size"))
+    chosen = _join_alike(_range_starts(ranged, [group]), wanted, [group], "inner").where(inside).drop("_size")
+    found = _join_alike(ranged, chosen, [group, "_range"], "inner")
+    upto = Window.partitionBy(group, "position").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_last", F.col("_before") + F.sum("_rows").over(upto))
+    hit = (F.col("position") <= F.col("_last")) & (F.col("position") > F.col("_last") - F.col("_rows"))
+    return found.where(hit).select(group, "position", value)
 
 
-def _spread_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], key: str) -> DataFrame:
-    def sort_value(rank: Rank) -> Column:
-        value = _known(df, rank).cast("double")
-        return (value if rank.ascending else -value).alias(rank.name)
+def group_medians(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """Exact median of the known values per group; a group without one has no row. NaN counts as missing."""
+    known = df.select(group, value).where(F.col(value).isNotNull() & ~F.isnan(value))
+    totals = known.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    middle = (F.col("_rows") + 1) / 2
+    both = F.array_distinct(F.array(F.floor(middle), F.ceil(middle)))
+    wanted = totals.select(group, F.explode(both).alias("position"))
+    return values_at(known, group, value, wanted).groupBy(group).agg(F.avg(value).alias(name))
 
-    long = (
-        df.select(*groups, key, *[sort_value(rank) for rank in ranks])
-        .unpivot([*groups, key], [rank.name for rank in ranks], "_rank", "_value")
-        .where(F.col("_value").isNotNull())
-    )
-    by_group = ["_rank", *groups]
-    placed = ordered_positions(long, [F.col(name) for name in (*by_group, "_value", key)])
-    starts = placed.groupBy(*by_group).agg(F.min("position").alias("_start"))
-    ties = placed.groupBy(*by_group, "_value").agg(F.min("position").alias("_first"))
-    values = ties.join(starts, by_group).withColumn("_place", (F.col("_first") - F.col("_start") + 1).cast("double"))
-    result = df
-    for rank in ranks:
-        place = values.where(F.col("_rank") == rank.name).select(
-            *groups, F.col("_value").alias("_sort"), F.col("_place").alias(rank.name)
-        )
-        result = (
-            result.withColumn("_sort", sort_value(rank)).join(place, [*groups, "_sort"], "left").drop("_sort")
-        )
-    return result.select(*df.columns, *[rank.name for rank in ranks])
-
-
-def group_positions(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """Positions by group, then value with nulls last, then key: each group's known values are consecutive."""
-    order = [F.col(group).asc_nulls_first(), F.col(value).asc_nulls_last(), F.col(key).asc_nulls_last()]
-    return ordered_positions(df, order)
-
-
-def group_medians(placed: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Exact median per group over ``group_positions``, without a group's values in one buffer or task.
-
-    Counting gives the positions of a group's middle one or two known values. These are looked up
-    by position, a unique key, and not by the group.
-    """
-    known = placed.where(F.col(value).isNotNull())
-    spans = known.groupBy(group).agg(F.min("position").alias("_start"), F.max("position").alias("_end"))
-    middle = F.col("_start") + F.col("_end")
-    both = F.array_distinct(F.array(F.floor(middle / 2), F.ceil(middle / 2)))
-    wanted = spans.select(F.explode(both).alias("position"))
-    return known.join(wanted, "position").groupBy(group).agg(F.avg(value).alias(name))
 
+# --- risk bands --------------------------------------------------------------------
 
 # Shares of the companies that are put on watch and marked high.
 WATCH_SHARE = 0.15
 HIGH_SHARE = 0.25
 
 
+def _text_image(text: Column) -> Column:
+    """The first bytes of a text as a whole number, in the order of the texts."""
+    return F.conv(F.substring(F.rpad(F.hex(text), IMAGE_DIGITS, "0"), 1, IMAGE_DIGITS), 16, 10).cast("long")
+
+
+def _band_ends(latest: DataFrame, score: str) -> DataFrame:
+    """(band, _score, _id): the last company of the watch band and of the high band, if there is one.
+
+    A histogram of the scores, whole numbers from 0 to 100, and of ranges of ids finds the score and range that hold a band's end;
+    only companies in these are ordered.
+    """
+    ids = latest.select(F.col(score).alias("_score"), F.coalesce("stock_id", F.lit("")).alias("_id"), F.lit(1).alias("_rows"))
+    image = _text_image(F.col("_id"))
+    ids = _with_range(ids, _marks(ids, [image])[0], image)
+    histogram = ids.groupBy("_score", "_range").agg(F.sum("_rows").alias("_size"))
+    # At most 102 scores with 2 * CUTS + 1 ranges each.
+    ordered = Window.orderBy(F.col("_score").asc_nulls_last(), "_range")
+    steps = histogram.withColumns(
+        {
+            "_total": F.sum("_size").over(Window.partitionBy()),
+            "_before": F.coalesce(F.sum("_size").over(ordered.rowsBetween(*BEFORE)), F.lit(0)),
+        }
+    )
+
+    def companies(share: float) -> Column:
+        return F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(share)))
+
+    watch = companies(WATCH_SHARE)
+    high = F.when(F.col("_total") > watch, watch + companies(HIGH_SHARE))
+    ends = F.array(*[F.struct(F.lit(band).alias("band"), end.alias("end")) for band, end in (("Watch", watch), ("High", high))])
+    chosen = steps.select("*", F.inline(ends)).where(
+        (F.col("end") > F.col("_before")) & (F.col("end") <= F.col("_before") + F.col("_size"))
+    )
+    chosen = chosen.select("_score", "_range", "band", (F.col("end") - F.col("_before")).alias("_position"))
+    # At most two rows, one per band, so the broadcast is bounded.
+    inside = _join_alike(ids, F.broadcast(chosen), ["_score", "_range"], "inner")
+    place = F.row_number().over(Window.partitionBy("band").orderBy("_id"))
+    return inside.withColumn("_place", place).where(F.col("_place") == F.col("_position")).select("band", "_score", "_id")
+
+
 def add_risk_bands(latest: DataFrame, level_of, score: str = "financial_health_score") -> DataFrame:
     """Relative risk levels over one row per stock: the lowest scores become Watch, then High.
 
     Ordered by score (nulls last), then stock_id. The bands round up and hold at least one company;
     the rest keep the level of their own score, ``level_of(score)``.
     """
-    placed = ordered_positions(latest, [F.col(score).asc_nulls_last(), F.col("stock_id").asc()])
-    total, position = F.col("total"), F.col("position")
 
-    def band(share: float) -> Column:
-        return F.greatest(F.lit(1), F.ceil(total * F.lit(share)))
+    def place(score: Column, stock: Column) -> Column:
+        return F.struct(score.isNull().alias("unknown"), score.alias("score"), stock.alias("stock"))
 
-    watch = band(WATCH_SHARE)
-    high = F.when(total > watch, band(HIGH_SHARE)).otherwise(0)
-    level = (
-        F.when(position <= watch, "Watch").when(position <= watch + high, "High").otherwise(level_of(F.col(score)))
-    )
-    return placed.withColumn("risk_level", level).select(*latest.columns)
+    end = place(F.col("_score"), F.col("_id"))
+    both = F.struct(*[F.max(F.when(F.col("band") == band, end)).alias(band) for band in ("Watch", "High")])
+    limits = _band_ends(latest, score).agg(both.alias("limits")).scalar()
+    own = place(F.col(score), F.coalesce("stock_id", F.lit("")))
+    level = F.when(own <= limits["Watch"], "Watch").when(own <= limits["High"], "High").otherwise(level_of(F.col(score)))
+    return latest.withColumn("risk_level", level).select(*latest.columns)

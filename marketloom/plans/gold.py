@@ -117,14 +117,10 @@ def operating_dashboard(snapshot: DataFrame, prices: DataFrame, fundamentals: Da
     return conform(joined.withColumns(filled), schemas.GOLD_DASHBOARD)
 
 
-def peer_comparison(snapshot: DataFrame, group_rows: int | None = None) -> DataFrame:
-    """Monthly ranks within the peer industry.
-
-    ``group_rows``: an established upper bound on the peers of one month. The number of companies
-    is one, because only months with a company row have an industry.
-    """
+def peer_comparison(snapshot: DataFrame) -> DataFrame:
+    """Monthly ranks within the peer industry."""
     peers = snapshot.where(rules.in_peer_industry(F.col("industry_group")))
-    return conform(add_min_ranks(peers, ["month"], PEER_RANKS, group_rows=group_rows), schemas.GOLD_PEERS)
+    return conform(add_min_ranks(peers, ["month"], PEER_RANKS), schemas.GOLD_PEERS)
 
 
 def focus_snapshot(snapshot: DataFrame, peers: DataFrame, stock_id: str = FOCUS_ID) -> DataFrame:

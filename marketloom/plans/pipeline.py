@@ -107,9 +107,7 @@ def build_gold(lake: Lake, focus_id: str = gold.FOCUS_ID) -> None:
     snapshot = lake.store(gold.company_snapshot(scored), "gold_company_monthly_snapshot")
     lake.store(gold.price_features(prices, company), "gold_stock_price_features")
     lake.store(gold.operating_dashboard(snapshot, prices, fundamentals), "gold_operating_dashboard")
-    peers = lake.store(
-        gold.peer_comparison(snapshot, group_rows=company.count()), "gold_semiconductor_peer_comparison"
-    )
+    peers = lake.store(gold.peer_comparison(snapshot), "gold_semiconductor_peer_comparison")
     lake.store(gold.focus_snapshot(snapshot, peers, focus_id), "gold_focus_snapshot")
 
 

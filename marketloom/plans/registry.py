@@ -18,9 +18,9 @@ from marketloom.functions import dates, rules
 from marketloom.functions.formats import report_table
 from marketloom.operators.headers import stack
 from marketloom.operators.latest import latest_month_rows, latest_per_stock
-from marketloom.operators.ranking import ensure_checkpoint_dir
 from marketloom.plans import gold, reports, silver, sql_queries
 from marketloom.plans.settings import EARLIEST, END, FOCUS, INDUSTRY, MONTHS, START, TODAY
+from marketloom.session import shared_folder
 from marketloom.sources import order_feeds, readers, writers
 from marketloom.streaming import landing
 
@@ -52,12 +52,6 @@ class Market:
     def company(self) -> DataFrame:
         return self.feed(order_feeds.companies)
 
-    @cached_property
-    def companies(self) -> int:
-        """Number of companies, the bound on the rows of one month and industry. Answered from
-        Parquet footers: the company query adds columns to supplier, not rows."""
-        return order_feeds.table(self.spark, self.folder, "supplier").count()
-
     @cached_property
     def valuation(self) -> DataFrame:
         return self.feed(order_feeds.daily_valuation)
@@ -94,7 +88,7 @@ class Market:
 
     @cached_property
     def peers(self) -> DataFrame:
-        return gold.peer_comparison(self.snapshot, group_rows=self.companies)
+        return gold.peer_comparison(self.snapshot)
 
     @cached_property
     def focus(self) -> DataFrame:
@@ -102,11 +96,11 @@ class Market:
 
     @cached_property
     def ranks(self) -> DataFrame:
-        return reports.industry_ranks(self.dashboard, MONTHS, group_rows=self.companies)
+        return reports.industry_ranks(self.dashboard, MONTHS)
 
     @cached_property
     def focus_ranks(self) -> DataFrame:
-        return reports.industry_ranks(self.dashboard, MONTHS, FOCUS, group_rows=self.companies)
+        return reports.industry_ranks(self.dashboard, MONTHS, FOCUS)
 
     @cached_property
     def monitored(self) -> DataFrame:
@@ -132,10 +126,6 @@ class RawMarket(Market):
     def company(self) -> DataFrame:
         return silver.company_table(self.feed(order_feeds.company_feed), self.feed(order_feeds.configured_companies))
 
-    @cached_property
-    def companies(self) -> int:
-        return super().companies + order_feeds.table(self.spark, self.folder, "customer").count()
-
     @cached_property
     def valuation(self) -> DataFrame:
         return silver.valuation_table(silver.clean_valuation(*self.feed(order_feeds.valuation_feeds)))
@@ -257,7 +247,7 @@ def payload_valid(market: Market) -> DataFrame:
 def roundtrip_tables(market: Market) -> DataFrame:
     """Raw feeds written as CSV, read back and cleaned; the result written as a table and read back."""
     spark = market.spark
-    folder = f"{ensure_checkpoint_dir(spark)}/roundtrip-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/roundtrip-{uuid.uuid4().hex}"
     names = ("TWSEStockDayAll", "TWSEStockDayHistory", "TaiwanStockPrice")
     for name, feed in zip(names, market.feed(order_feeds.price_feeds)):
         writers.write_raw(feed, name, folder)
@@ -270,7 +260,7 @@ def roundtrip_tables(market: Market) -> DataFrame:
 def landed_files(market: Market) -> DataFrame:
     """Quotes of one stock and day that lie in several files of unequal size: the one landed last counts."""
     spark = market.spark
-    folder = f"{ensure_checkpoint_dir(spark)}/landed-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
     quotes = market.feed(order_feeds.landed_quotes).drop("l_orderkey", "l_linenumber")
     writers.write_raw(quotes, "TaiwanStockPrice", folder)
     cleaned = silver.clean_prices([readers.read_raw(spark, f"{folder}/TaiwanStockPrice.csv")])
@@ -280,7 +270,7 @@ def landed_files(market: Market) -> DataFrame:
 def statement_files(market: Market) -> DataFrame:
     """Statements of several templates, one file set each, read as one table and told apart by their file."""
     spark = market.spark
-    folder = f"{ensure_checkpoint_dir(spark)}/statements-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/statements-{uuid.uuid4().hex}"
     feeds = market.feed(order_feeds.statement_feeds)
     for category, feed in feeds.items():
         writers.write_raw(feed, f"Statement_{category}", folder)
@@ -297,7 +287,7 @@ def statement_files(market: Market) -> DataFrame:
 def catalog_growth(market: Market) -> DataFrame:
     """A table that is stored, published under its name and queried by SQL."""
     spark = market.spark
-    folder = f"{ensure_checkpoint_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
     writers.write_table(market.growth, "gold_revenue_growth", folder, partition="month", sort=("stock_id",))
     (name,) = writers.publish_tables(spark, schemas.GOLD_TABLES, folder, ["gold_revenue_growth"], views=True)
     return spark.sql(

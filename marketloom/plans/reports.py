@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import dates, rules
-from marketloom.functions.formats import report_table  # noqa: F401  (part of the report surface)
 from marketloom.operators.latest import (
     keep_last,
     last_non_null,
@@ -16,7 +15,7 @@ from marketloom.operators.latest import (
     latest_per_stock,
     month_end_rows,
 )
-from marketloom.operators.ranking import Rank, add_min_ranks, add_risk_bands, group_medians, group_positions
+from marketloom.operators.ranking import Rank, add_min_ranks, add_risk_bands, group_medians
 
 # Report sizes and labels.
 TOP_ROWS = 10
@@ -141,15 +140,13 @@ def signal_summary(growth: DataFrame) -> DataFrame:
     """Per growth signal of the latest month: companies, growth averages, revenue and share."""
     signal = "revenue_growth_signal"
     latest = latest_month_rows(growth).select("stock_id", signal, "revenue", "revenue_yoy", "revenue_mom")
-    # Placed rows are stored, so the summary and the medians share one pass over the revenue.
-    placed = group_positions(latest, signal, "revenue_yoy", "stock_id")
-    summary = placed.groupBy(signal).agg(
+    summary = latest.groupBy(signal).agg(
         F.count_distinct("stock_id").alias("company_count"),
         F.avg("revenue_yoy").alias("avg_revenue_yoy"),
         F.avg("revenue_mom").alias("avg_revenue_mom"),
         F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("total_revenue"),
     )
-    medians = group_medians(placed, signal, "revenue_yoy", "median_revenue_yoy").withColumnRenamed(signal, "_signal")
+    medians = group_medians(latest, signal, "revenue_yoy", "median_revenue_yoy").withColumnRenamed(signal, "_signal")
     joined = summary.join(medians, F.col(signal).eqNullSafe(F.col("_signal")), "left").drop("_signal")
     # One row per signal, so the total over all of them is a window over a handful of rows.
     total = F.sum("company_count").over(Window.partitionBy())
@@ -174,23 +171,21 @@ def industry_ranks(
     source: DataFrame,
     months: tuple[str, str] | None = None,
     stock_id: str | None = None,
-    group_rows: int | None = None,
 ) -> DataFrame:
     """Monthly ranks of each stock among the stocks of its last known industry.
 
     All stocks are ranked in one pass; ``stock_id`` selects one stock from the result.
     """
     df = in_months(source, months)
-    industry = last_non_null(df, ["stock_id"], ["industry_group"], ["month"])
+    # A maximum of structs, which does not mind repeated rows, lets Spark leave out the joins below that only add columns.
+    last = F.max(F.when(F.col("industry_group").isNotNull(), F.struct("month", "industry_group")))
+    industry = df.groupBy("stock_id").agg(last["industry_group"].alias("industry_group"))
     if stock_id is not None:
         # Only the industry of this stock takes part, so prune before ranking.
         industry = of_stock(industry, stock_id)
         df = df.where(F.col("industry_group") == industry.select("industry_group").scalar())
     counts = df.groupBy("industry_group", "month").agg(F.count_distinct("stock_id").alias("industry_peer_count"))
-    ranked = add_min_ranks(
-        df.where(F.col("industry_group").isNotNull()), ["industry_group", "month"], INDUSTRY_RANKS,
-        group_rows=group_rows,
-    )
+    ranked = add_min_ranks(df.where(F.col("industry_group").isNotNull()), ["industry_group", "month"], INDUSTRY_RANKS)
     return (
         ranked.join(industry, ["stock_id", "industry_group"], "left_semi")
         .join(counts, ["industry_group", "month"], "left")

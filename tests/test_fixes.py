@@ -39,11 +39,10 @@ def test_latest_peers_falls_back_to_the_last_month(spark):
     assert months(("2019-01", "2019-02")) == months(None) == [("2020-03", "1"), ("2020-03", "2")]
 
 
-@pytest.mark.parametrize("group_rows", [10, None])
-def test_ranks_of_missing_values_and_groups(spark, group_rows):
+def test_ranks_of_missing_values_and_groups(spark):
     rows = [("a", "1", math.nan), ("a", "2", 2.0), ("a", "3", 1.0), ("a", "4", None), (None, "5", 1.0), ("a", "6", 2.0)]
     frame = spark.createDataFrame(rows, "g string, stock_id string, v double")
-    ranked = add_min_ranks(frame, ["g"], [Rank("v", "r")], group_rows=group_rows)
+    ranked = add_min_ranks(frame, ["g"], [Rank("v", "r")])
     assert {r["stock_id"]: r["r"] for r in ranked.collect()} == {"1": None, "2": 1.0, "3": 3.0, "4": None, "5": None, "6": 1.0}
 
 

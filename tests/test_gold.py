@@ -24,9 +24,8 @@ def peers_input(spark):
     return conform(df, schemas.GOLD_SNAPSHOT)
 
 
-@pytest.mark.parametrize("group_rows", [5, None])
-def test_peer_ranks(peers_input, rows, group_rows):
-    peers = {row["stock_id"]: row for row in rows(gold.peer_comparison(peers_input, group_rows))}
+def test_peer_ranks(peers_input, rows):
+    peers = {row["stock_id"]: row for row in rows(gold.peer_comparison(peers_input))}
     assert set(peers) == {"2344", "2330", "2303"}
     assert peers["2344"]["revenue_yoy_rank"] == 1.0 and peers["2330"]["volatility_rank"] == 1.0
     assert peers["2303"]["revenue_yoy_rank"] is None and peers["2303"]["volatility_rank"] is None
@@ -35,7 +34,7 @@ def test_peer_ranks(peers_input, rows, group_rows):
 
 
 def test_focus_snapshot_takes_peer_ranks(peers_input, rows):
-    peers = gold.peer_comparison(peers_input, 5)
+    peers = gold.peer_comparison(peers_input)
     (row,) = rows(gold.focus_snapshot(peers_input, peers))
     assert row["semiconductor_revenue_yoy_rank"] == 1.0 and row["semiconductor_health_score_rank"] == 2.0
     (outside,) = rows(gold.focus_snapshot(peers_input, peers, "2881"))
@@ -105,7 +104,7 @@ def test_dashboard_backfills_from_the_latest_known(tables, rows):
 
 
 def test_latest_peers_fall_back_to_the_whole_table(peers_input):
-    peers = gold.peer_comparison(peers_input, 5)
+    peers = gold.peer_comparison(peers_input)
     assert reports.latest_peers(peers, ("2030-01", "2030-12")).count() == 3
     assert [row.stock_id for row in reports.latest_peers(peers, None).collect()] == ["2330", "2303", "2344"]
 
