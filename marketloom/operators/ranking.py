@@ -92,7 +92,8 @@ def add_min_ranks(df: DataFrame, groups: Sequence[str], ranks: Sequence[Rank], k
     decimals as DOUBLE. The rows are computed once, for an exchange that all steps read.
     """
     columns = df.columns
-    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    # The aggregate needs every column, so nothing is pruned below it and all steps find the same exchange.
+    rows = df.repartition(*groups, key).groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
     values = [_sort_value(df, rank) for rank in ranks]
     marks = _marks(rows, [coarse for coarse, _ in values])
     # Rows that agree in these have the same ranks.

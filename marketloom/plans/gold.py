@@ -7,7 +7,7 @@ otherwise. Every join key has one row per stock, or per stock and month, on the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom import schemas
@@ -65,6 +65,10 @@ def scored_months(
         .join(monthly_valuation(valuation), keys, "left")
         .join(monthly_fundamentals(fundamentals), keys, "left")
     )
+    return _scored(joined)
+
+
+def _scored(joined: DataFrame) -> DataFrame:
     score = rules.health_score(
         F.col("revenue_yoy"),
         F.col("revenue_mom"),
@@ -117,9 +121,64 @@ def operating_dashboard(snapshot: DataFrame, prices: DataFrame, fundamentals: Da
     return conform(joined.withColumns(filled), schemas.GOLD_DASHBOARD)
 
 
+# --- both gold tables from one state per stock and month ---------------------------
+
+
+def price_states(prices: DataFrame) -> DataFrame:
+    """What a month of daily prices leaves behind, one row per stock and month: the last day's row (``*``) and the last known value
+    of every column (``known_*``). States merge: those of several months give a stock's latest values."""
+    dated = prices.dropna(subset=["date"]).withColumn("month", dates.month_of(F.col("date")))
+    ends = [F.max_by(name, "date").alias(name) for name in MONTH_PRICE_COLUMNS]
+    known = [
+        F.max_by(name, F.when(F.col(name).isNotNull(), F.col("date"))).alias(f"known_{name}")
+        for name in (*MONTH_PRICE_COLUMNS, *DAY_PRICE_COLUMNS)
+    ]
+    return dated.groupBy("stock_id", "month").agg(*ends, *known, F.max("date").alias("last_price_date"))
+
+
+def ratio_states(fundamentals: DataFrame) -> DataFrame:
+    """The last known ratios per stock and month, each with its statement date (``dated_*``). Statement dates that are no
+    calendar date share a state without month; they count for the latest values only."""
+    monthly = fundamentals.withColumn("month", dates.month_of(F.col("date").try_cast("date")))
+    held = [(name, F.when(F.col(name).isNotNull(), F.col("date"))) for name in RATIO_COLUMNS]
+    picks = [F.max_by(name, day).alias(name) for name, day in held]
+    days = [F.max(day).alias(f"dated_{name}") for name, day in held]
+    return monthly.groupBy("stock_id", "month").agg(*picks, *days, F.max("date").alias("last_fundamental_date"))
+
+
+def dashboard_months(
+    revenue: DataFrame, company: DataFrame, prices: DataFrame, valuation: DataFrame, fundamentals: DataFrame
+) -> DataFrame:
+    """The dashboard from silver tables in one pass over each: equal to ``operating_dashboard`` over the company snapshot.
+
+    Month-end and latest values both come from the states. A stock has one state per month, so the window over a stock is
+    bounded by the calendar.
+    """
+    keys = ["stock_id", "month"]
+    listed = revenue.withColumn("_listed", F.lit(True))
+    months = listed.join(price_states(prices), keys, "full").join(ratio_states(fundamentals), keys, "full")
+    stock = Window.partitionBy("stock_id")
+    all_months = stock.orderBy("month").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    latest = {
+        f"{name}_latest": F.last(f"known_{name}", ignorenulls=True).over(all_months)
+        for name in (*MONTH_PRICE_COLUMNS, *DAY_PRICE_COLUMNS)
+    }
+    latest |= {f"{name}_latest": F.max_by(name, f"dated_{name}").over(stock) for name in RATIO_COLUMNS}
+    latest["latest_price_date"] = F.max("last_price_date").over(stock)
+    latest["latest_fundamental_date"] = F.max("last_fundamental_date").over(stock)
+    held = months.withColumns(latest).where(F.col("_listed"))
+    scored = _scored(named_revenue(held, company).join(monthly_valuation(valuation), keys, "left"))
+    filled = {
+        name: F.coalesce(F.col(name), F.col(f"{name}_latest")) for name in (*MONTH_PRICE_COLUMNS, *RATIO_COLUMNS)
+    }
+    days = {name: F.col(f"{name}_latest") for name in DAY_PRICE_COLUMNS}
+    return conform(scored.withColumns(filled | days), schemas.GOLD_DASHBOARD)
+
+
 def peer_comparison(snapshot: DataFrame) -> DataFrame:
     """Monthly ranks within the peer industry."""
-    peers = snapshot.where(rules.in_peer_industry(F.col("industry_group")))
+    shown = [name for name in snapshot.columns if name in schemas.GOLD_PEERS.names]
+    peers = snapshot.where(rules.in_peer_industry(F.col("industry_group"))).select(*shown)
     return conform(add_min_ranks(peers, ["month"], PEER_RANKS), schemas.GOLD_PEERS)
 
 

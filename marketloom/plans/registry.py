@@ -76,7 +76,7 @@ class Market:
 
     @cached_property
     def dashboard(self) -> DataFrame:
-        return gold.operating_dashboard(self.snapshot, self.prices, self.fundamentals)
+        return gold.dashboard_months(self.revenue, self.company, self.prices, self.valuation, self.fundamentals)
 
     @cached_property
     def growth(self) -> DataFrame:

@@ -176,7 +176,8 @@ def industry_ranks(
 
     All stocks are ranked in one pass; ``stock_id`` selects one stock from the result.
     """
-    df = in_months(source, months)
+    columns = ["month", "stock_id", "stock_name", "industry_group", *[rank.value for rank in INDUSTRY_RANKS]]
+    df = in_months(source, months).select(*columns)
     # A maximum of structs, which does not mind repeated rows, lets Spark leave out the joins below that only add columns.
     last = F.max(F.when(F.col("industry_group").isNotNull(), F.struct("month", "industry_group")))
     industry = df.groupBy("stock_id").agg(last["industry_group"].alias("industry_group"))

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as engine
-from marketloom.plans import oracles, registry
+from marketloom.plans import gold, oracles, registry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="benchmark tables are not here")
@@ -100,6 +100,22 @@ def test_keep_last_combines_before_the_exchange(spark):
     assert "partial_max_by" in plan(registry.Market(spark, FOLDER).clean_prices)
 
 
+@pytest.mark.parametrize("kind", [registry.Market, registry.RawMarket])
+def test_dashboard_of_states_equals_dashboard_over_the_snapshot(spark, kind):
+    market = kind(spark, FOLDER)
+    two_passes = gold.operating_dashboard(market.snapshot, market.prices, market.fundamentals)
+    one_pass = market.dashboard
+    assert one_pass.schema == two_passes.schema
+    assert canonical(one_pass.columns, one_pass.collect()) == canonical(two_passes.columns, two_passes.collect())
+
+
+def test_dashboard_reads_each_feed_once(spark):
+    text = plan(QUERIES["operating_dashboard"](spark, FOLDER))
+    assert len(re.findall(r"FileScan[^\n]*lineitem", text)) <= 4
+    # Averages over 20 and 60 rows are the mark of the price windows.
+    assert len(re.findall(r"-59, currentrow\$\(\)\) AS ma_60|RowFrame, -59", text)) == 1
+
+
 def test_entry(spark):
     df = engine.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["date", "stock_id"]
