@@ -7,6 +7,7 @@ the whole lineage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketloom import schemas
 from marketloom.operators.headers import stack
@@ -47,6 +48,16 @@ class Lake:
     def folder(self, name: str) -> str:
         return self.silver if name in schemas.SILVER_TABLES else self.gold
 
+    def statements(self, dataset: str) -> DataFrame:
+        """A statement of all its templates, one file or folder each, in ``{dataset}.csv`` or ``{dataset}_{template}.csv``; rows know
+        their file as ``source_url``, unless a column of that name came with them."""
+        files = readers.read_raw_files(self.spark, f"{self.raw}/{dataset}{{,_*}}.csv", lineage="_source")
+        if "_source" not in files.columns:
+            return files
+        if "source_url" in files.columns:
+            return files.withColumn("source_url", F.coalesce("source_url", "_source")).drop("_source")
+        return files.withColumnRenamed("_source", "source_url")
+
     def feed(self, dataset: str, per_stock: bool = False) -> DataFrame:
         """A raw dataset: one file or folder, or one file per stock, or one folder per stock as
         ``write_raw(by_stock=True)`` lays them out; files and folders of one dataset are united."""
@@ -84,7 +95,7 @@ def build_silver(
     lake.store(silver.revenue_table(revenue, start[:7]), "silver_monthly_revenue")
 
     rows = {
-        category: silver.statement_rows(lake.feed(dataset), category)
+        category: silver.statement_rows(lake.statements(dataset), category)
         for category, dataset in STATEMENT_DATASETS.items()
     }
     for category, statement in rows.items():

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketloom.operators.headers import LANDING_ORDER, stack
+from marketloom.operators.headers import LANDING_ORDER, quoted
 
 # Marks of a landed body that is an error page and no table.
 ERROR_PAGE = r"(?i)<html"
@@ -17,7 +19,7 @@ ERROR_TEXT = "PAGE CANNOT BE ACCESSED"
 BYTE_ORDER_MARK = "\ufeff"
 PAYLOAD_OK = "OK"
 
-CSV_FIELD = ',("(?:[^"]|"")*"|[^,]*)'
+SLOTS = 16  # keys that the rows of one file spread over
 
 
 # --- paths ---------------------------------------------------------------------
@@ -73,44 +75,69 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def header_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """First line and files of each header layout under the path."""
+    """(file, header): the first line of every file that has one, in one pass over the text. Only the first line of a file's first part
+    leaves a task."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        "value",
+        F.translate("value", BYTE_ORDER_MARK, "").alias("value"),
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("row"),
     )
     headers = lines.where(F.col("row").isNotNull()).groupBy("file").agg(F.min_by("value", "row").alias("header"))
-    return headers.where(F.trim(F.translate("header", BYTE_ORDER_MARK, "")) != "")
+    return headers.where(F.trim("header") != "")
 
 
-def read_raw_files(spark: SparkSession, path: str, lineage: str | None = None) -> DataFrame:
-    """The union of raw files whose headers may differ, each column by its name.
+def _without_files(df: DataFrame, file: str, unwanted: DataFrame | None) -> DataFrame:
+    """Rows whose file is not among the unwanted ones, of which there is one row per file."""
+    return df if unwanted is None else df.join(unwanted.select(F.col("file").alias(file)), file, "left_anti")
 
-    One read per distinct header, not per file. A header is a list of column names in a feed's format, so
-    their number does not grow with the rows. ``lineage`` names a column for the source file. Landing order is one
-    order over all layouts: by file name, then place in the file.
+
+def read_raw_files(
+    spark: SparkSession, path: str, lineage: str | None = None, multiline: bool = False, unwanted: DataFrame | None = None
+) -> DataFrame:
+    """The union of raw files whose headers may differ, each column by its name; of equal names in a header the first counts.
+
+    A header index leads the rows: one pass over the text finds the header of every file, and one read parses all files, whose
+    rows take their layout from the index by their file. The driver gets the distinct headers, whose number does not grow
+    with the rows or files. A large file's rows spread over SLOTS keys of that join. ``lineage`` names a column for the source
+    file. ``multiline`` reads records with quoted line breaks; a file is then read by one task. ``unwanted`` holds files to leave
+    out. Landing order is one order over all layouts: by file name, then place in the file.
     """
     if not path_exists(spark, path):
         return empty(spark)
-    layouts = header_layouts(spark, path)
+    layouts = _without_files(header_layouts(spark, path), "file", unwanted)
     found = sorted(row.header for row in layouts.select("header").distinct().collect())
     if not found:
         return empty(spark)
-    if len(found) == 1:
-        scans = [path]
-    else:
-        # Names only; Spark's own listing of the path holds them on the driver as well.
-        scans = [
-            [row.file for row in layouts.where(F.col("header") == header).select("file").orderBy("file").collect()]
-            for header in found
+    names = [next(csv.reader([header])) for header in found]
+    cells = [f"_cell{i}" for i in range(max(map(len, names)))]
+    reader = spark.read.option("header", False).option("escape", '"').option("multiLine", multiline)
+    records = with_landing_order(reader.schema(", ".join(f"{cell} string" for cell in cells)).csv(path)).select(
+        *cells, LANDING_ORDER, F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).alias("_slot")
+    )
+    numbers = F.create_map(*[part for number, header in enumerate(found) for part in (F.lit(header), F.lit(number))])
+    index = layouts.select("file", numbers[F.col("header")].alias("_layout")).withColumn(
+        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))
+    )
+    placed = records.withColumn("file", F.col(LANDING_ORDER)["file"]).join(index, ["file", "_slot"])
+
+    def value(name: str) -> Column:
+        at = [(number, row.index(name)) for number, row in enumerate(names) if name in row]
+        if len(at) == len(names) and len({place for _, place in at}) == 1:
+            return F.col(cells[at[0][1]])
+        return F.coalesce(*[F.when(F.col("_layout") == number, F.col(cells[place])) for number, place in at])
+
+    def is_header() -> Column:
+        first = F.translate(cells[0], BYTE_ORDER_MARK, "")
+        same = [
+            (F.col("_layout") == number) & F.array(first, *cells[1 : len(row)]).eqNullSafe(F.array(*[F.lit(name or None) for name in row]))
+            for number, row in enumerate(names)
         ]
-    frames = []
-    for scan in scans:
-        frame = with_landing_order(_csv(spark, scan))
-        if lineage:
-            frame = frame.withColumn(lineage, F.col("_metadata.file_path"))
-        frames.append(frame)
-    return stack(frames)
+        return (F.col(LANDING_ORDER)["start"] == 0) & reduce(Column.__or__, same)
+
+    united = list(dict.fromkeys(name for row in names for name in row if name))
+    rows = placed.where(~is_header())
+    sources = [F.col("file").alias(lineage)] if lineage else []
+    return rows.select(*[value(name).alias(name) for name in united], *sources, LANDING_ORDER)
 
 
 def entity_id(dataset: str, file: Column) -> Column:
@@ -147,36 +174,14 @@ def rejected_bodies(bodies: DataFrame) -> DataFrame:
     return bodies.where(~is_tabular(F.col("body")))
 
 
-def csv_fields(line: Column) -> Column:
-    """The fields of one CSV line as an array, quotes removed. Every field follows a comma here, so
-    empty fields at either end are kept."""
-    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CSV_FIELD), F.lit(1))
-    return F.transform(
-        quoted,
-        lambda field: F.when(
-            field.startswith('"'), F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(field),
-    )
-
-
-def csv_body_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows of accepted CSV bodies with the wanted columns by header name; absent ones are null."""
-    passed = [name for name in bodies.columns if name != "body"]
-    lines = F.filter(F.split("body", r"\r?\n"), lambda line: F.trim(line) != "")
-    parsed = bodies.select(*passed, lines.alias("_lines")).select(
-        *passed,
-        csv_fields(F.col("_lines")[0]).alias("_header"),
-        F.posexplode("_lines").alias("_place", "_line"),
-    )
-    places = F.struct(*[F.array_position("_header", name).cast("int").alias(name) for name in columns])
-    rows = parsed.where(F.col("_place") > 0).select(*passed, places.alias("_at"), csv_fields(F.col("_line")).alias("_row"))
-
-    def value(name: str) -> Column:
-        place = F.col(f"_at.{name}")
-        field = F.when(place > 0, F.try_element_at("_row", place))
-        return F.when(field != "", field).alias(name)
-
-    return rows.select(*passed, *[value(name) for name in columns])
+def read_landed_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Rows of the landed CSV files that are tables, with the wanted columns by header name; absent ones are null. Quoted line
+    breaks stay in their field. Error pages and empty files, found by their text, are left out by their name."""
+    if not path_exists(spark, path):
+        return empty(spark, ", ".join(f"`{name}` string" for name in columns))
+    rejected = rejected_bodies(read_bodies(spark, path)).select(F.col("path").alias("file"))
+    rows = read_raw_files(spark, path, multiline=True, unwanted=rejected)
+    return rows.select(*[quoted(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in columns])
 
 
 OBJECTS = "array<map<string,string>>"

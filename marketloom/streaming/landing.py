@@ -28,9 +28,11 @@ def append_history(
     held: DataFrame, incoming: DataFrame, keys: Sequence[str] = HISTORY_KEY, order: Sequence[str] = ()
 ) -> DataFrame:
     """Held and new rows, the last per key: new beats held, then the given order within a load, which is the
-    landing order unless one is named."""
+    landing order unless one is named. Without any order the winner would be left to chance, so that is an error."""
     if not order and LANDING_ORDER in held.columns and LANDING_ORDER in incoming.columns:
         order = (LANDING_ORDER,)
+    if not order:
+        raise ValueError(f"rows of one key need an order: name columns, or give both sides a {LANDING_ORDER}")
     loads = stack([held.withColumn("_load", F.lit(0)), incoming.withColumn("_load", F.lit(1))])
     return keep_last(loads, keys, ["_load", *order]).drop("_load")
 

@@ -120,7 +120,7 @@ def test_tables_are_saved_in_the_catalog(spark, tmp_path, rows):
 
 def test_landed_csv_bodies(spark, tmp_path, rows):
     wide = ",".join(f"c{i}" for i in range(300))
-    put(tmp_path, "good.csv", '﻿id,name,amount\r\n1,"a, ""b""","1,000"\r\n,x,\r\n2\r\n')
+    put(tmp_path, "good.csv", '﻿id,name,amount\r\n1,"a, ""b""\nc","1,000"\r\n,x,\r\n2\r\n')
     put(tmp_path, "wide.csv", f"{wide},id\n{wide.replace('c', '')},w\n")
     put(tmp_path, "page.csv", "<HTML>busy</HTML>")
     put(tmp_path, "error.csv", "THE PAGE CANNOT BE ACCESSED")
@@ -130,11 +130,37 @@ def test_landed_csv_bodies(spark, tmp_path, rows):
     assert accepted.count() == 2
     rejected = {row.path.rsplit("/", 1)[1] for row in readers.rejected_bodies(bodies).collect()}
     assert {"page.csv", "error.csv"} <= rejected
-    result = rows(readers.csv_body_rows(accepted, ["id", "name", "amount", "absent"]))
+    result = rows(readers.read_landed_csv(spark, f"{tmp_path}/*.csv", ["id", "name", "amount", "absent"]))
     got = {(r["id"], r["name"], r["amount"], r["absent"]) for r in result}
     assert got == {
-        ("1", 'a, "b"', "1,000", None), (None, "x", None, None), ("2", None, None, None), ("w", None, None, None),
+        ("1", 'a, "b"\nc', "1,000", None), (None, "x", None, None), ("2", None, None, None), ("w", None, None, None),
     }
+    nothing = readers.read_landed_csv(spark, f"{tmp_path}/none*.csv", ["id"])
+    assert nothing.columns == ["id"] and nothing.count() == 0
+
+
+def test_six_statement_templates_take_one_header_pass(spark, tmp_path, rows, monkeypatch):
+    raw = tmp_path / "raw"
+    for template in range(6):
+        put(raw, f"TWSEIncomeStatement_{template}.csv", f"出表日期,公司代號,項目{template},營業收入\n1130331,000{template},{template},5\n")
+    passes = []
+    index = readers.header_layouts
+    monkeypatch.setattr(readers, "header_layouts", lambda *args: passes.append(args) or index(*args))
+    read = pipeline.Lake(spark, str(tmp_path)).statements("TWSEIncomeStatement")
+    got = rows(read, "公司代號")
+    assert len(passes) == 1 and len(got) == 6
+    assert [(r["公司代號"], r["營業收入"], r[f"項目{i}"]) for i, r in enumerate(got)] == [(f"000{i}", "5", str(i)) for i in range(6)]
+    assert [r["source_url"].rsplit("_", 1)[1] for r in got] == [f"{i}.csv" for i in range(6)]
+    text = read._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan csv") == 1 and text.count("FileScan text") == 1
+
+
+def test_headers_with_a_mark_repeated_lines_and_equal_names(spark, tmp_path, rows):
+    put(tmp_path, "d_1.csv", "a,b,a,\n1,2,3,4\n", encoding="utf-8-sig")
+    put(tmp_path, "d_2.csv", 'b,"c, d"\n5,"6\n7"\n')
+    df = readers.read_raw_files(spark, f"{tmp_path}/d_*.csv", multiline=True)
+    assert set(df.columns) == {"a", "b", "c, d", "landing_order"}
+    assert {(r["a"], r["b"], r["c, d"]) for r in rows(df)} == {("1", "2", None), (None, "5", "6\n7")}
 
 
 @pytest.mark.parametrize("file_format", ["parquet", "csv"])
@@ -181,9 +207,12 @@ def test_incremental_landing(spark, rows):
     assert grown.count() == 3
     assert landing.append_snapshot(grown, new, "2024-01-12").count() == 3
 
-    held = spark.createDataFrame([("1", "d1", "old"), ("1", "d2", "old")], "stock_id string, `日期` string, v string")
-    new = spark.createDataFrame([("1", "d2", "new"), ("1", "d3", "new")], "stock_id string, `日期` string, v string")
+    schema = "stock_id string, `日期` string, v string, landing_order long"
+    held = spark.createDataFrame([("1", "d1", "old", 1), ("1", "d2", "old", 2)], schema)
+    new = spark.createDataFrame([("1", "d2", "new", 1), ("1", "d3", "new", 2)], schema)
     assert [r["v"] for r in rows(landing.append_history(held, new), "日期")] == ["old", "new", "new"]
+    with pytest.raises(ValueError):
+        landing.append_history(held.drop("landing_order"), new)
 
     stocks = spark.createDataFrame([("1",), ("2",)], "stock_id string")
     done = spark.createDataFrame([("1", "2010-02"), ("2", None)], "stock_id string, query_month string")
