@@ -557,6 +557,23 @@ JOIN (SELECT stock_id, count(DISTINCT month) AS growth_months FROM growth_gold G
 WHERE snapshot_months >= 12 AND price_months >= 12 AND growth_months >= 12""",
         "dashboard", "features_gold", "growth_gold",
     )
+    sql["universe_configured"] = f"SELECT DISTINCT {_id('c_custkey')} AS stock_id FROM customer"
+    sql["universe_unconfigured"] = f"SELECT stock_id FROM ({sql['universe_qualified']})"
+    # The configured securities.
+    sql["security_list"] = _with(
+        """SELECT stock_id, stock_name, configured_name, CAST(place AS INTEGER) AS place, place IS NOT NULL AS configured FROM company
+        LEFT JOIN (VALUES ('2330', '台積電', 0), ('2308', '台達電', 1), ('2454', '聯發科', 2), ('2317', '鴻海', 3),
+            ('3711', '日月光投控', 4), ('2383', '台光電', 5), ('3037', '欣興', 6), ('2345', '智邦', 7), ('2881', '富邦金', 8),
+            ('2382', '廣達', 9), ('2303', '聯電', 10), ('6669', '緯穎', 11), ('3231', '緯創', 12), ('8299', '群聯', 13),
+            ('2344', '華邦電', 14), ('2337', '旺宏', 15)) AS listed(stock_id, configured_name, place) USING (stock_id)""",
+        "company",
+    )
+    sql["missing_tables"] = _with(
+        """SELECT unnest(['gold_company_monthly_snapshot', 'gold_stock_price_features', 'gold_operating_dashboard',
+            'gold_semiconductor_peer_comparison', 'gold_focus_snapshot']) AS missing_table, stocks
+        FROM (SELECT count(DISTINCT stock_id) AS stocks FROM growth_gold)""",
+        "growth_gold",
+    )
     sql["universe_snapshot"] = _with(
         f", universe AS (({universe}) UNION SELECT '{FOCUS}') SELECT {_cols(*SNAPSHOT)} FROM scored "
         "WHERE stock_id IN (SELECT stock_id FROM universe)",
@@ -613,6 +630,7 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
                                    ORDER BY CASE flag WHEN 'R' THEN 2 WHEN 'N' THEN 1 ELSE 0 END DESC) = 1""",
         "li",
     )
+    sql["history_merge"] = sql["history_append"]
     sql["payload_rows"] = _with(
         """SELECT stock_id, month AS query_month, CAST(date AS VARCHAR) AS date, CAST(sum(quantity) AS VARCHAR) AS volume
         FROM li WHERE (stock_id, month) IN (SELECT stock_id, month FROM li WHERE status = 'O') GROUP BY 1, 2, 3""",

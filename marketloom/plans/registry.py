@@ -200,6 +200,37 @@ def history_append(market: Market) -> DataFrame:
     return landing.append_history(held, incoming, ["stock_id", "date"], ["flag"])
 
 
+def history_merge(market: Market) -> DataFrame:
+    """The same loads merged into a stored table by month; the last load is repeated, which changes nothing."""
+    path = f"{shared_folder(market.spark)}/history-{uuid.uuid4().hex}"
+    for flags in (["A"], ["N", "R"], ["N", "R"]):
+        load = _landed_days(market, flags).withColumn("query_month", dates.month_of(F.col("date")))
+        landing.merge_history(load, path, ["stock_id", "date"], ["flag"])
+    return market.spark.read.parquet(path).select("stock_id", "date", "flag", "trading_money")
+
+
+def security_list(market: Market) -> DataFrame:
+    """Companies beside the configured securities; those of the list have its name and place."""
+    listed = readers.securities(market.spark).select("stock_id", F.col("stock_name").alias("configured_name"), "place")
+    named = market.company.select("stock_id", "stock_name").join(listed, "stock_id", "left")
+    return named.withColumn("configured", F.col("place").isNotNull())
+
+
+def missing_tables(market: Market) -> DataFrame:
+    """Gold tables that are not stored, where only growth is, with the stocks that a page without them still has."""
+    folder = f"{shared_folder(market.spark)}/gold-{uuid.uuid4().hex}"
+    writers.write_table(market.growth, "gold_revenue_growth", folder, sort=("stock_id",))
+    missing = readers.missing_tables(market.spark, schemas.GOLD_TABLES, folder)
+    growth = readers.read_table(market.spark, folder, "gold_revenue_growth", schemas.GOLD_REVENUE_GROWTH)
+    stocks = growth.agg(F.count_distinct("stock_id").alias("stocks"))
+    return stocks.select(F.explode(F.array(*map(F.lit, missing))).alias("missing_table"), "stocks")
+
+
+def app_universe(market: Market, configured: bool) -> DataFrame:
+    listed = market.feed(order_feeds.configured_companies).where(F.lit(configured))
+    return reports.app_universe(listed, market.dashboard, market.snapshot, market.features, market.growth, [FOCUS])
+
+
 def _month_bodies(market: Market, ok: Column, body: Callable[[Column], Column]) -> DataFrame:
     """One landed body per stock and month. A month holds at most 31 day rows."""
     rows = market.feed(order_feeds.shipments).withColumn("query_month", dates.month_of(F.col("date")))
@@ -381,6 +412,8 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     "top_volatility": lambda m: reports.top_rows(m.monitored, "volatility_20d"),
     "universe_top20": lambda m: m.universe,
     "universe_qualified": lambda m: reports.qualified_universe(m.universe, m.snapshot, m.features, m.growth),
+    "universe_configured": lambda m: app_universe(m, True),
+    "universe_unconfigured": lambda m: app_universe(m, False),
     "universe_snapshot": lambda m: reports.in_universe(m.snapshot, m.universe),
     "high_risk_sql": lambda m: sql_queries.high_risk(m.snapshot),
     "peer_sql": lambda m: sql_queries.latest_peers(m.peers),
@@ -392,6 +425,9 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     "month_gap_plan": month_gap_plan,
     "snapshot_append": snapshot_append,
     "history_append": history_append,
+    "history_merge": history_merge,
+    "security_list": security_list,
+    "missing_tables": missing_tables,
     "payload_rows": lambda m: readers.payload_rows(json_bodies(m), ["date", "volume"]),
     "payload_csv_rows": payload_csv_rows,
     "payload_valid": payload_valid,

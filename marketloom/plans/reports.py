@@ -307,23 +307,36 @@ def qualified_universe(
     return result
 
 
+def app_universe(
+    configured: DataFrame,
+    dashboard: DataFrame,
+    snapshot: DataFrame,
+    price_features: DataFrame,
+    growth: DataFrame,
+    required: Sequence[str] = (),
+) -> DataFrame:
+    """The stocks that the report pages show: the configured ones, or, if none is configured, the most traded and the required
+    ones that have enough months. The choice is a scalar subquery, so no job runs while the query is built."""
+    listed = configured.where(F.col("stock_id").isNotNull()).select("stock_id").distinct()
+    count = configured.agg(F.count("stock_id")).scalar()
+    traded = qualified_universe(traded_universe(dashboard, required), snapshot, price_features, growth)
+    return listed.union(traded.select("stock_id").where(count == 0))
+
+
 def value_lists(dashboard: DataFrame, price_features: DataFrame, growth: DataFrame) -> DataFrame:
-    """Distinct months, stock ids and industries to choose from, industries by their label."""
+    """Distinct months, stock ids and industries to choose from, industries by their label. Each table is read once and
+    gives its values as (kind, value) pairs, which fold inside the tasks."""
 
-    def values(kind: str, *columns: tuple[DataFrame, Column]) -> DataFrame:
-        parts = [df.select(F.lit(kind).alias("kind"), column.alias("value")) for df, column in columns]
-        result = parts[0]
-        for part in parts[1:]:
-            result = result.union(part)
-        return result
+    def values(df: DataFrame, month: Column, *kinds: str) -> DataFrame:
+        columns = {"month": month} | {kind: F.col(kind) for kind in kinds}
+        pairs = [F.struct(F.lit(kind).alias("kind"), column.alias("value")) for kind, column in columns.items()]
+        return df.select(F.inline(F.array(*pairs)))
 
-    month, stock, industry = F.col("month"), F.col("stock_id"), F.col("industry_group")
+    month = F.col("month")
     found = (
-        values(
-            "month", (dashboard, month), (price_features, dates.month_of(F.col("date"))), (growth, month)
-        )
-        .union(values("stock_id", (dashboard, stock), (price_features, stock)))
-        .union(values("industry_group", (dashboard, industry), (price_features, industry)))
+        values(dashboard, month, "stock_id", "industry_group")
+        .union(values(price_features, dates.month_of(F.col("date")), "stock_id", "industry_group"))
+        .union(values(growth, month))
     )
     label = F.when(F.col("kind") == "industry_group", rules.industry_label(F.col("value"))).otherwise(F.col("value"))
     return found.dropna().distinct().withColumn("label", label).orderBy("kind", "label", "value")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.dates import month_of
 from marketloom.operators.headers import LANDING_ORDER, stack
 from marketloom.operators.latest import keep_last
+from marketloom.sources.readers import path_exists
 
 # The earliest month the price feed serves, and the key columns of its rows.
 EARLIEST_MONTH = "2010-01-01"
@@ -37,6 +40,31 @@ def append_history(
     return keep_last(loads, keys, ["_load", *order]).drop("_load")
 
 
+def merge_history(
+    incoming: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], partition: str = "query_month"
+) -> None:
+    """Merges a load into a Parquet table with one row per key, partitioned by a column that the key decides.
+
+    Of the load, the last row per key in the given order counts, and it replaces the held row. Only partitions with a row
+    that is new or differs are read whole and written again, by dynamic overwrite; so a load that is repeated changes nothing.
+    """
+    if not order:
+        raise ValueError("rows of one key need an order")
+    spark = incoming.sparkSession
+    last = keep_last(incoming, keys, order).select(*incoming.columns)
+    merged = last
+    if path_exists(spark, path):
+        held = spark.read.schema(incoming.schema).parquet(path).select(*incoming.columns)
+        months = last.select(partition).distinct()
+        near = held.join(months, partition, "left_semi").select(*[F.col(name).alias(f"held_{name}") for name in held.columns])
+        same = [F.col(name).eqNullSafe(F.col(f"held_{name}")) for name in held.columns]
+        fresh = last.join(near, reduce(Column.__and__, same), "left_anti")
+        touched = held.join(fresh.select(partition).distinct(), partition, "left_semi").select(*incoming.columns)
+        merged = append_history(touched, fresh, keys, order).select(*incoming.columns)
+    writer = merged.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition)
+    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def missing_months(
     stocks: DataFrame, held: DataFrame, start: Column, end: Column, earliest: str = EARLIEST_MONTH
 ) -> DataFrame:

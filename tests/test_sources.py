@@ -224,6 +224,33 @@ def test_incremental_landing(spark, rows):
     assert landing.missing_months(stocks, done, day("2024-02-01"), day("2024-01-31")).count() == 0
 
 
+def test_merging_rewrites_only_months_that_change(spark, tmp_path, rows):
+    path = str(tmp_path / "history")
+    schema = "stock_id string, date string, v int, seq int, query_month string"
+
+    def files():
+        return {(p.parent.name, p.name, p.stat().st_mtime_ns) for p in (tmp_path / "history").glob("*/*.parquet")}
+
+    def merge(*data):
+        landing.merge_history(spark.createDataFrame(list(data), schema), path, ["stock_id", "date"], ["seq"])
+
+    merge(("1", "2024-01-02", 1, 1, "2024-01"), ("1", "2024-02-02", 2, 1, "2024-02"), ("2", "2024-02-02", None, 1, "2024-02"))
+    before = files()
+    load = [("1", "2024-02-02", 8, 1, "2024-02"), ("1", "2024-02-02", 9, 2, "2024-02"), ("3", "2024-03-01", 5, 1, "2024-03")]
+    merge(*load)
+    after = files()
+    assert {f for f in before if f[0].endswith("01")} == {f for f in after if f[0].endswith("01")}
+    assert not {f for f in before if f[0].endswith("02")} & after
+    merge(*load[::-1])
+    assert files() == after
+    got = rows(spark.read.parquet(path), "stock_id", "date")
+    assert [(r["stock_id"], r["date"], r["v"]) for r in got] == [
+        ("1", "2024-01-02", 1), ("1", "2024-02-02", 9), ("2", "2024-02-02", None), ("3", "2024-03-01", 5),
+    ]
+    with pytest.raises(ValueError):
+        landing.merge_history(spark.createDataFrame(load, schema), path, ["stock_id", "date"], [])
+
+
 def test_whole_run_from_raw_files_to_views(spark, tmp_path, rows):
     raw = tmp_path / "raw"
     start = date(2023, 11, 1)
