@@ -3,11 +3,14 @@
 Paragraphs give points for their length and commas to the elements around them, half as many to the next ones; an element's points
 are discounted by the share of its text that stands in links. The best container is kept with all of the article or main element around it but
 lists of links, and with those siblings of it that score well, without the parts that are no article (menus, forms, notices, comments and the like).
+Class names only hint at such parts: whole names count, a name that stands for content outweighs them, and they never take away what holds the
+page's longest article or main element, nor all paragraphs of a page.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -15,11 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAG = re.compile(r"<(?:!--(.*?)(?:-->|$)|([!?])[^>]*>|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
+# A quote counts after an equals sign only. No part is matched in two ways, and a tag that never ends takes the rest, so that time is linear.
+TAG = re.compile(
+    r"<(?:!--(.*?)(?:-->|\Z)|([!?])[^>]*>|(/?)([a-zA-Z][^\s/>]*)"
+    r"((?>[^>=]+|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z))",
+    re.S,
+)
 ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title".split())  # their content is no text
+RAW = frozenset("script style noscript template textarea iframe svg title".split())  # their content is no text
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -36,13 +44,20 @@ ENDED_BY = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select"}),
 }
-UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|breadcrumbs?|comments?|replies|respond|disqus|cookies?|consent|gdpr|"
-    r"footer|header|masthead|menu|nav|navbar|navigation|sidebar|side|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|"
-    r"popup|modal|overlay|notice|alert|toolbar|widget|pager|pagination|skip|login|search|copyright|legal)(?:$|[\s_-])",
-    re.I,
+# Words of class names and ids of parts that are no article, of parts that are, and words that leave the meaning to the others.
+UNLIKELY = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner banners promo promos promotion sponsor sponsors "
+    "sponsored breadcrumb breadcrumbs comment comments replies respond disqus cookie cookies consent gdpr footer header masthead menu menus "
+    "nav navbar navigation sidebar related recommend recommended recommendations share sharing social subscribe subscription newsletter "
+    "signup popup modal overlay notice notices alert toolbar widget widgets pager pagination skip login search copyright legal".split()
+)
+LIKELY = frozenset("article body content entry main post story text".split())
+NEUTRAL = frozenset(
+    "area bar block body box button buttons center col column container content first form group holder icons inner item items left links list "
+    "outer panel posts right row section text top bottom wrap wrapper".split()
 )
-LIKELY = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
+ABSENT = frozenset("has is no not with without hide show".split())
+WORD = re.compile(r"[a-z0-9]+")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 SCORED = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -51,33 +66,53 @@ START = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 3.0, "blockquote"
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "likely", "points", "length", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "unlikely", "likely", "points", "length", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, likely: bool = False):
-        self.tag, self.parent, self.dropped, self.likely = tag, parent, dropped, likely
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, unlikely: bool = False, likely: bool = False):
+        self.tag, self.parent, self.dropped, self.unlikely, self.likely = tag, parent, dropped, unlikely, likely
         self.children: list[Node | str] = []
         self.points, self.length, self.linked = 0.0, 0, 0
 
 
-def _is_dropped(tag: str, attributes: str, parent: Node) -> tuple[bool, bool]:
+def _is_unlikely(name: str) -> bool:
+    """Whether a class name or id stands for a part that is no article: by its last word, or by all words that say anything;
+    names like has-sidebar only speak of such a part."""
+    words = WORD.findall(name)
+    if not words or words[0] in ABSENT:
+        return False
+    telling = [word for word in words if word not in NEUTRAL and not word.isdigit()]
+    return words[-1] in UNLIKELY or bool(telling) and all(word in UNLIKELY for word in telling)
+
+
+def _kind(tag: str, attributes: str, parent: Node) -> tuple[bool, bool, bool]:
+    """(dropped, unlikely, likely) of an element."""
+    page_part = tag in DROPPED or tag == "header" and parent.tag not in ("article", "section", "main")
     if not attributes.strip():
-        return tag in DROPPED or tag == "header" and parent.tag not in ("article", "section", "main"), False
+        return page_part, False, False
     found = {k.lower(): (v or "").strip("\"'") for k, v in ATTRIBUTE.findall(attributes)}
-    names = f"{found.get('class', '')} {found.get('id', '')}"
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    likely = bool(LIKELY.search(names))
-    unlikely = bool(UNLIKELY.search(names)) and tag not in ("html", "body", "article", "main", "p", "a", "b", "i", "span", "em", "strong")
-    page_header = tag == "header" and parent.tag not in ("article", "section", "main")
-    return tag in DROPPED or page_header or hidden or found.get("role", "").lower() in ROLES or unlikely, likely
+    names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+    likely = any(words and LIKELY.issuperset(words) for words in map(WORD.findall, names))
+    unlikely = not likely and tag not in ("p", "a", "b", "i", "span", "em", "strong") and any(map(_is_unlikely, names))
+    return page_part or hidden or found.get("role", "").lower() in ROLES, unlikely, likely
 
 
 def parse(html: str) -> Node:
     """A forgiving tree: unclosed elements end with their parents, stray end tags are ignored."""
-    root = Node("html", None)
-    at, position = root, 0
-    depth_of_p = 0
+    root = at = Node("html", None)
+    position, last = 0, max(html.rfind(">"), html.rfind("<!--"))
+    opened: Counter[str] = Counter()  # open elements by tag, so that stray end tags need no search
+
+    def up_to(node: Node) -> Node:
+        """Closes all open elements up to the node and the node itself."""
+        here = at
+        while here is not node.parent:
+            opened[here.tag] -= 1
+            here = here.parent
+        return here
+
     while True:
-        match = TAG.search(html, position)
+        match = TAG.search(html, position) if position <= last else None
         text = html[position : match.start() if match else len(html)]
         if text:
             at.children.append(text)
@@ -89,20 +124,15 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if match[3]:
-            if tag == "p" and depth_of_p == 0:
+            if not opened[tag]:
                 continue
             node = at
-            while node is not root and node.tag != tag:
+            while node.tag != tag:
                 if node.tag in BLOCKS and tag not in BLOCKS:  # an inline end tag does not close a block
-                    node = root
                     break
                 node = node.parent
-            if node is not root:
-                while at is not node:
-                    depth_of_p -= at.tag == "p"
-                    at = at.parent
-                depth_of_p -= at.tag == "p"
-                at = at.parent
+            if node.tag == tag:
+                at = up_to(node)
             continue
         if tag in RAW:
             if not match[5].rstrip().endswith("/") or tag in ("script", "style", "textarea", "title"):
@@ -111,28 +141,23 @@ def parse(html: str) -> Node:
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P and depth_of_p:
+        if tag in CLOSES_P and opened["p"]:
             node = at
             while node.tag != "p":
                 node = node.parent
-            while at is not node.parent:
-                depth_of_p -= at.tag == "p"
-                at = at.parent
-        if tag in ENDED_BY:
+            at = up_to(node)
+        if tag in ENDED_BY and any(opened[other] for other in ENDED_BY[tag][0]):
             ended, within = ENDED_BY[tag]
             node = at
             while node is not root and node.tag not in ended and node.tag not in within:
                 node = node.parent
             if node.tag in ended:
-                while at is not node.parent:
-                    depth_of_p -= at.tag == "p"
-                    at = at.parent
-        dropped, likely = _is_dropped(tag, match[5], at)
-        child = Node(tag, at, dropped, likely)
+                at = up_to(node)
+        child = Node(tag, at, *_kind(tag, match[5], at))
         at.children.append(child)
         if tag not in VOID and not match[5].endswith("/"):
             at = child
-            depth_of_p += tag == "p"
+            opened[tag] += 1
 
 
 def _order(root: Node) -> list[Node]:
@@ -221,11 +246,33 @@ def _whole(best: Node) -> Node:
     return top
 
 
+def _drop_unlikely(root: Node) -> None:
+    """Drops elements whose names say that they are no article. Elements around the longest article or main element stay, and
+    all stay if no paragraph would be left."""
+    nodes = _order(root)
+    length: dict[Node, int] = {}
+    for node in reversed(nodes):
+        own = (len(child) if isinstance(child, str) else length.get(child, 0) for child in node.children)
+        length[node] = sum(own)
+    articles = [node for node in nodes if node.tag in ("article", "main") and not node.unlikely]
+    node = max(articles, key=length.__getitem__, default=None)
+    while node is not None:
+        node.unlikely, node = False, node.parent
+    dropped = [node for node in nodes if node.unlikely and node.tag not in ("article", "main")]
+    for node in dropped:
+        node.dropped = True
+    if not any(node.tag in SCORED and length[node] for node in _order(root)):
+        for node in dropped:
+            node.dropped = False
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, one to a line; empty if there are none."""
     if not html:
         return ""
-    nodes = _score(parse(html))
+    root = parse(html)
+    _drop_unlikely(root)
+    nodes = _score(root)
     holders = [n for n in nodes if n.length and (n.tag in BLOCKS) and n.tag not in SCORED]
     if not holders:
         return ""
@@ -236,9 +283,15 @@ def main_text(html: str | None) -> str:
     else:
         least = max(10.0, best.points * 0.2)
         kept = []
+        beside = [child for child in top.parent.children if isinstance(child, Node) and not child.dropped]
+        # The title and what follows it up to the container are the article's own, however short.
+        titles = [place for place, child in enumerate(beside[: beside.index(top)]) if child.tag in ("h1", "h2")]
+        lead = beside[titles[-1] : beside.index(top)] if titles else []
         for sibling in top.parent.children:
             if sibling is top:
                 kept.append(top)
+            elif sibling in lead and (sibling.tag in HEADINGS or sibling.tag == "p" and sibling.linked < 0.25 * sibling.length):
+                kept.append(sibling)
             elif isinstance(sibling, Node) and not sibling.dropped and sibling.length:
                 density = sibling.linked / sibling.length
                 prose = sibling.tag == "p" and sibling.length > 80 and density < 0.25
