@@ -97,9 +97,11 @@ def labelled_sample(labels: DataFrame, label: str, doc_id: str = "doc_id", rows:
 
 
 def sampled_texts(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(place, doc_id, label, text) of the sampled documents. The sample is bounded by its limit, hence the broadcast."""
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id")
+    """(doc_id, label, place, text) of the sampled documents, one row per id: of several texts with one id the one with the smallest hash,
+    so that the bound on ids bounds the rows. The sample is bounded by its limit, hence the broadcast."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id")
+    first = F.min(F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), "text"))["text"]
+    return texts.groupBy("doc_id", "label", "place").agg(first.alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> np.ndarray:
