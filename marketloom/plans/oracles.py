@@ -659,6 +659,7 @@ FROM lineitem WHERE {_id('l_suppkey')} <> '0050' GROUP BY 1, 2"""
         FROM growth_gold GROUP BY 1, 2""",
         "growth_gold",
     )
+    sql["snapshot_bucketed"] = sql["company_snapshot"]
     sql["snapshot_from_raw"] = _select("scored", SNAPSHOT, raw=True)
     sql["dashboard_from_raw"] = _select("dashboard", DASHBOARD, raw=True)
     sql["peers_from_raw"] = _select("peers", PEERS, raw=True)

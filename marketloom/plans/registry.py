@@ -18,12 +18,14 @@ from marketloom.functions import dates, rules
 from marketloom.functions.formats import report_table
 from marketloom.operators.headers import stack
 from marketloom.operators.latest import latest_month_rows, latest_per_stock
-from marketloom.plans import gold, reports, silver, sql_queries
+from marketloom.plans import gold, pipeline, reports, silver, sql_queries
 from marketloom.plans.settings import EARLIEST, END, FOCUS, INDUSTRY, MONTHS, START, TODAY
 from marketloom.session import shared_folder
 from marketloom.sources import order_feeds, readers, writers
 from marketloom.streaming import landing
 
+BUCKETS = 8
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -346,6 +348,22 @@ def catalog_growth(market: Market) -> DataFrame:
     )
 
 
+def snapshot_bucketed(market: Market) -> DataFrame:
+    """The company snapshot from silver tables that are stored in buckets by stock."""
+    lake = pipeline.Lake(market.spark, f"{shared_folder(market.spark)}/lake-{uuid.uuid4().hex}", buckets=BUCKETS)
+    stored = [
+        lake.store(table, name)
+        for name, table in (
+            ("silver_monthly_revenue", market.revenue),
+            ("silver_company", market.company),
+            ("silver_stock_price", market.prices),
+            ("silver_per_dividend", market.valuation),
+            ("silver_fundamental_metrics", market.fundamentals),
+        )
+    ]
+    return gold.company_snapshot(gold.scored_months(*stored))
+
+
 def latest_friday(market: Market) -> DataFrame:
     days = market.feed(order_feeds.shipments).select("date").distinct()
     return days.withColumn("latest_friday", dates.latest_friday(F.col("date")))
@@ -435,6 +453,7 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     "landed_files": landed_files,
     "statement_files": statement_files,
     "catalog_growth": catalog_growth,
+    "snapshot_bucketed": snapshot_bucketed,
     "snapshot_from_raw": lambda m: from_raw(m).snapshot,
     "dashboard_from_raw": lambda m: from_raw(m).dashboard,
     "peers_from_raw": lambda m: from_raw(m).peers,

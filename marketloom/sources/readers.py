@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import uuid
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -247,6 +248,29 @@ def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType
     return empty(spark, schema)
 
 
+def read_bucketed(
+    spark: SparkSession, name: str, folder: str, schema: T.StructType, buckets: int, key: str = "stock_id", sort: Sequence[str] = ()
+) -> DataFrame:
+    """A table as ``write_bucketed`` stored it, with the same buckets; an absent one is empty. The catalog entry that tells Spark of the
+    buckets is only needed until the frame is resolved."""
+    path = f"{folder}/{name}.parquet"
+    if not path_exists(spark, path):
+        return empty(spark, schema)
+    columns = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
+    order = ", ".join(f"`{column}`" for column in dict.fromkeys([key, *sort]))
+    stage = f"bucketed_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {stage} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY ({order}) INTO {buckets} BUCKETS"
+        f" LOCATION '{path}'"
+    )
+    try:
+        table = spark.table(stage)
+        table.schema  # resolves it
+        return table
+    finally:
+        spark.sql(f"DROP TABLE {stage}")
+
+
 def missing_tables(spark: SparkSession, names: Iterable[str], folder: str | None = None) -> list[str]:
     """Required tables that are neither in the folder nor, without one, in the catalog."""
     if folder is None:

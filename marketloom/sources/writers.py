@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from marketloom.operators.headers import LANDING_ORDER
-from marketloom.sources.readers import read_table
+from marketloom.sources.readers import read_bucketed, read_table
 
 
 def write_raw(df: DataFrame, dataset: str, folder: str, by_stock: bool = False) -> str:
@@ -49,6 +50,19 @@ def write_table(
     return path
 
 
+def write_bucketed(
+    df: DataFrame, name: str, folder: str, buckets: int, key: str = "stock_id", sort: Sequence[str] = ()
+) -> DataFrame:
+    """A table in ``buckets`` files by hash of the key, each sorted by the key and ``sort``, and the frame that reads it. Joins,
+    aggregates and windows by the key, or by keys that include it, then need no exchange."""
+    path = f"{folder}/{name}.parquet"
+    stage = f"bucketed_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key)
+    writer.sortBy(*dict.fromkeys([key, *sort])).option("path", path).saveAsTable(stage)
+    df.sparkSession.sql(f"DROP TABLE {stage}")  # the files stay; readers name the buckets themselves
+    return read_bucketed(df.sparkSession, name, folder, df.schema, buckets, key, sort)
+
+
 def publish_tables(
     spark: SparkSession, tables: dict[str, T.StructType], folder: str, names: Iterable[str] | None = None,
     views: bool = False,

@@ -116,6 +116,19 @@ def test_dashboard_reads_each_feed_once(spark):
     assert len(re.findall(r"-59, currentrow\$\(\)\) AS ma_60|RowFrame, -59", text)) == 1
 
 
+def test_gold_from_bucketed_silver_needs_no_exchange(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    snapshot = QUERIES["snapshot_bucketed"](spark, FOLDER)
+    before = spark.catalog.listTables()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(snapshot)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in text and "Exchange" not in text
+    assert not [table for table in before if table.name.startswith("bucketed_")]
+
+
 def test_entry(spark):
     df = engine.entry(spark)
     assert df.count() > 0 and df.columns[:2] == ["date", "stock_id"]

@@ -251,7 +251,8 @@ def test_merging_rewrites_only_months_that_change(spark, tmp_path, rows):
         landing.merge_history(spark.createDataFrame(load, schema), path, ["stock_id", "date"], [])
 
 
-def test_whole_run_from_raw_files_to_views(spark, tmp_path, rows):
+@pytest.mark.parametrize("buckets", [None, 3])
+def test_whole_run_from_raw_files_to_views(spark, tmp_path, rows, buckets):
     raw = tmp_path / "raw"
     start = date(2023, 11, 1)
     put(raw, "TWSECompanyInfo.csv", "公司代號,公司名稱,產業別,上市別\n2344,Winter,24,L\n2330,Tall,24,L\n2881,Bank,17,L\n")
@@ -266,7 +267,7 @@ def test_whole_run_from_raw_files_to_views(spark, tmp_path, rows):
     put(raw, "TWSEBalanceSheet.csv", "出表日期,公司代號,權益總額,資產總額\n1130331,2344,500,1000\n")
     put(raw, "TaiwanStockPER_2344.csv", "date,stock_id,PER,PBR,dividend_yield\n2024-02-01,2344,12,1.5,3\n")
 
-    lake = pipeline.Lake(spark, str(tmp_path))
+    lake = pipeline.Lake(spark, str(tmp_path), buckets)
     published = pipeline.run_all(lake)
     assert set(pipeline.TABLES) - set(published) == {"silver_cash_flow_statement"}
     assert readers.missing_tables(spark, schemas.GOLD_TABLES, lake.gold) == []
