@@ -105,7 +105,13 @@ def metric_name(account: Column) -> Column:
     return F.coalesce(_lookup(account, STATEMENT_METRICS), lower_snake(account))
 
 
+def known_number(value: Column) -> Column:
+    """Null for not a number, which Spark would take for more than any number."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 def growth_signal(mom: Column, yoy: Column) -> Column:
+    mom, yoy = known_number(mom), known_number(yoy)
     return (
         F.when(mom.isNull() & yoy.isNull(), "Unknown")
         .when((yoy > 0.2) & (mom > 0), "Strong Growth")
@@ -118,7 +124,8 @@ def growth_signal(mom: Column, yoy: Column) -> Column:
 def health_score(
     yoy: Column, mom: Column, above_ma60: Column, volatility: Column, pe: Column, dividend_yield: Column
 ) -> Column:
-    """0 to 100 around a base of 50; each part contributes 0 when its input is null."""
+    """0 to 100 around a base of 50; each part contributes 0 when its input is null or not a number."""
+    yoy, mom, volatility, pe, dividend_yield = map(known_number, (yoy, mom, volatility, pe, dividend_yield))
     parts = [
         F.when(yoy > 0.20, 20).when(yoy >= 0.05, 10).when(yoy >= 0, 5).when(yoy < 0, -15),
         F.when(mom > 0.05, 5).when(mom < -0.05, -5),

@@ -27,14 +27,20 @@ RATIO_DATASET = "TaiwanStockPER"
 DIVIDEND_DATASET = "TaiwanStockDividend"
 
 TABLES = {**schemas.SILVER_TABLES, **schemas.GOLD_TABLES}
-PARTITIONED = {"gold_company_monthly_snapshot": "month", "gold_revenue_growth": "month"}
+PARTITIONED = {
+    "gold_company_monthly_snapshot": "month",
+    "gold_operating_dashboard": "month",
+    "gold_revenue_growth": "month",
+    "gold_semiconductor_peer_comparison": "month",
+}
 SORTED = {
     "silver_stock_price": ("stock_id", "date"),
     "silver_fundamental_metrics": ("stock_id", "date"),
     "silver_per_dividend": ("stock_id", "date"),
     "gold_company_monthly_snapshot": ("stock_id",),
     "gold_revenue_growth": ("stock_id",),
-    "gold_semiconductor_peer_comparison": ("month", "health_score_rank", "stock_id"),
+    "gold_operating_dashboard": ("stock_id",),
+    "gold_semiconductor_peer_comparison": ("health_score_rank", "stock_id"),
 }
 
 

@@ -4,81 +4,97 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"s": T.StringType(), "d": T.DoubleType(), "b": T.BooleanType(), "i": T.IntegerType(), "t": T.DateType()}
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "int": T.IntegerType(),
+    "date": T.DateType(),
+}
 
 
-def _table(*columns: str) -> T.StructType:
-    """Columns as 'name:type' with s string, d double, b boolean, i int, t date."""
-    fields = [column.split(":") for column in columns]
-    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
+def _table(columns: str) -> T.StructType:
+    """A schema from 'name type, name type'."""
+    pairs = [column.split() for column in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 # Names, types and order of the table columns.
-SILVER_COMPANY = _table("stock_id:s", "stock_name:s", "industry_group:s", "market_type:s", "focus_flag:b")
+SILVER_COMPANY = _table(
+    "stock_id string, stock_name string, industry_group string, market_type string, focus_flag boolean"
+)
 
 PRICE_INPUT = _table(
-    "date:t", "stock_id:s", "open_price:d", "high_price:d", "low_price:d", "close_price:d", "price_change:d",
-    "trading_volume:d", "trading_money:d", "transaction_count:d",
+    "date date, stock_id string, open_price double, high_price double, low_price double, close_price double, "
+    "price_change double, trading_volume double, trading_money double, transaction_count double"
 )
 
 SILVER_STOCK_PRICE = _table(
-    "date:t", "stock_id:s", "open_price:d", "high_price:d", "low_price:d", "close_price:d", "price_change:d",
-    "trading_volume:d", "trading_money:d", "transaction_count:d", "daily_return:d", "monthly_return:d", "ma_20:d",
-    "ma_60:d", "volatility_20d:d", "price_above_ma20_flag:b", "price_above_ma60_flag:b",
+    "date date, stock_id string, open_price double, high_price double, low_price double, close_price double, "
+    "price_change double, trading_volume double, trading_money double, transaction_count double, "
+    "daily_return double, monthly_return double, ma_20 double, ma_60 double, volatility_20d double, "
+    "price_above_ma20_flag boolean, price_above_ma60_flag boolean"
 )
 
 SILVER_MONTHLY_REVENUE = _table(
-    "month:s", "stock_id:s", "revenue:d", "revenue_mom:d", "revenue_yoy:d", "revenue_growth_signal:s",
+    "month string, stock_id string, revenue double, revenue_mom double, revenue_yoy double, "
+    "revenue_growth_signal string"
 )
 
 SILVER_STATEMENT = _table(
-    "date:s", "stock_id:s", "statement_category:s", "type:s", "value:d", "normalized_metric_name:s",
+    "date string, stock_id string, statement_category string, type string, value double, "
+    "normalized_metric_name string"
 )
 
 SILVER_FUNDAMENTALS = _table(
-    "date:s", "stock_id:s", "roe:d", "roa:d", "gross_margin:d", "operating_margin:d", "debt_ratio:d",
-    "current_ratio:d", "eps:d",
+    "date string, stock_id string, roe double, roa double, gross_margin double, operating_margin double, "
+    "debt_ratio double, current_ratio double, eps double"
 )
 
-SILVER_VALUATION = _table("date:t", "stock_id:s", "pe_ratio:d", "dividend_yield:d", "price_book_ratio:d")
+SILVER_VALUATION = _table(
+    "date date, stock_id string, pe_ratio double, dividend_yield double, price_book_ratio double"
+)
 
 GOLD_SNAPSHOT = _table(
-    "month:s", "stock_id:s", "stock_name:s", "industry_group:s", "market_type:s", "focus_flag:b", "close_price:d",
-    "monthly_return:d", "revenue:d", "revenue_mom:d", "revenue_yoy:d", "pe_ratio:d", "dividend_yield:d", "roe:d",
-    "roa:d", "gross_margin:d", "operating_margin:d", "debt_ratio:d", "current_ratio:d", "eps:d", "volatility_20d:d",
-    "price_above_ma20_flag:b", "price_above_ma60_flag:b", "financial_health_score:i", "risk_level:s",
+    "month string, stock_id string, stock_name string, industry_group string, market_type string, "
+    "focus_flag boolean, close_price double, monthly_return double, revenue double, revenue_mom double, "
+    "revenue_yoy double, pe_ratio double, dividend_yield double, roe double, roa double, gross_margin double, "
+    "operating_margin double, debt_ratio double, current_ratio double, eps double, volatility_20d double, "
+    "price_above_ma20_flag boolean, price_above_ma60_flag boolean, financial_health_score int, risk_level string"
 )
 
 GOLD_PRICE_FEATURES = _table(
-    "date:t", "stock_id:s", "stock_name:s", "industry_group:s", "close_price:d", "open_price:d", "high_price:d",
-    "low_price:d", "price_change:d", "trading_volume:d", "trading_money:d", "transaction_count:d", "daily_return:d",
-    "monthly_return:d", "ma_20:d", "ma_60:d", "volatility_20d:d", "price_above_ma20_flag:b",
-    "price_above_ma60_flag:b",
+    "date date, stock_id string, stock_name string, industry_group string, close_price double, open_price double, "
+    "high_price double, low_price double, price_change double, trading_volume double, trading_money double, "
+    "transaction_count double, daily_return double, monthly_return double, ma_20 double, ma_60 double, "
+    "volatility_20d double, price_above_ma20_flag boolean, price_above_ma60_flag boolean"
 )
 
 GOLD_DASHBOARD = T.StructType(
     GOLD_SNAPSHOT.fields
     + _table(
-        "latest_price_date:t", "open_price:d", "high_price:d", "low_price:d", "price_change:d", "trading_volume:d",
-        "trading_money:d", "transaction_count:d", "daily_return:d", "ma_20:d", "ma_60:d", "latest_fundamental_date:s",
-    ).fields
+    "latest_price_date date, open_price double, high_price double, low_price double, price_change double, "
+    "trading_volume double, trading_money double, transaction_count double, daily_return double, ma_20 double, "
+    "ma_60 double, latest_fundamental_date string"
+).fields
 )
 
 GOLD_REVENUE_GROWTH = _table(
-    "month:s", "stock_id:s", "stock_name:s", "industry_group:s", "revenue:d", "revenue_mom:d", "revenue_yoy:d",
-    "revenue_growth_signal:s",
+    "month string, stock_id string, stock_name string, industry_group string, revenue double, revenue_mom double, "
+    "revenue_yoy double, revenue_growth_signal string"
 )
 
 GOLD_PEERS = _table(
-    "month:s", "stock_id:s", "stock_name:s", "revenue:d", "revenue_yoy:d", "monthly_return:d", "volatility_20d:d",
-    "pe_ratio:d", "financial_health_score:i", "risk_level:s", "revenue_yoy_rank:d", "monthly_return_rank:d",
-    "health_score_rank:d", "volatility_rank:d",
+    "month string, stock_id string, stock_name string, revenue double, revenue_yoy double, monthly_return double, "
+    "volatility_20d double, pe_ratio double, financial_health_score int, risk_level string, "
+    "revenue_yoy_rank double, monthly_return_rank double, health_score_rank double, volatility_rank double"
 )
 
 GOLD_FOCUS = _table(
-    "month:s", "stock_id:s", "stock_name:s", "close_price:d", "monthly_return:d", "revenue:d", "revenue_mom:d",
-    "revenue_yoy:d", "pe_ratio:d", "dividend_yield:d", "volatility_20d:d", "financial_health_score:i", "risk_level:s",
-    "semiconductor_revenue_yoy_rank:d", "semiconductor_health_score_rank:d",
+    "month string, stock_id string, stock_name string, close_price double, monthly_return double, revenue double, "
+    "revenue_mom double, revenue_yoy double, pe_ratio double, dividend_yield double, volatility_20d double, "
+    "financial_health_score int, risk_level string, semiconductor_revenue_yoy_rank double, "
+    "semiconductor_health_score_rank double"
 )
 
 SILVER_TABLES = {

@@ -143,3 +143,13 @@ def test_report_text(apply):
     assert apply(formats.percent_text, [0.1234, 12.5, -0.5, None], "double") == ["12.34%", "1250.00%", "-50.00%", "N/A"]
     assert apply(formats.whole_text, [1234567.6, None], "double") == ["1,234,568", "N/A"]
     assert apply(formats.price_text, [1234.5, None], "double") == ["1,234.50", "N/A"]
+
+
+def test_not_a_number_is_missing_to_score_and_signal(spark):
+    nan, none = F.lit(float("nan")), F.lit(None).cast("double")
+    flag = F.lit(None).cast("boolean")
+    row = spark.range(1).select(
+        rules.health_score(nan, nan, flag, nan, nan, nan).alias("a"), rules.health_score(none, none, flag, none, none, none).alias("b"),
+        rules.growth_signal(nan, nan).alias("c"), rules.growth_signal(F.lit(0.1), nan).alias("d"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d) == (50, 50, "Unknown", "Mixed")
