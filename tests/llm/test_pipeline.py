@@ -25,4 +25,4 @@ def test_run(spark):
 
 def test_oracles_name_registered_queries():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
-    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 11))
+    assert {int(name[2:].split("_")[0]) for name in queries.QUERIES} == set(range(1, 14))
