@@ -10,10 +10,11 @@ unknown words:
     P(word | context) = P(class | context) * P(word | class, context)                                in the dictionary (1 for a class of one word)
     P(word | context) = P(class | context) * (c + 1) / (N_class + V_class + 1)                       outside
 
-Training is distributed: every partition runs through its documents with noise samples, and the parameters are averaged, weighted by
-tokens; a first round over an eighth of the documents gives the second, over all of them, its start. Counts cover all training documents. The size
-of the dictionary is bounded by its words' share of the tokens, which also gives each of them many occurrences in a partition. Words too rare for it get their counts by
-a join.
+Training is distributed: texts are dealt, by a hash of the row, into rounds and in these into shards of about SHARD positions, however the table is
+partitioned. Every shard starts from the parameters of the round before and takes steps on each of its positions once; the parameters and the sums of
+squares that set their step sizes are then averaged, weighted by positions. All rounds together see every position once. Counts cover all
+training documents. The size of the dictionary is bounded by its words' share of the tokens, which also gives each of them several occurrences in a
+shard. Words too rare for it get their counts by a join.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,12 +38,16 @@ FOLDS, HELD_FOLD = 7, 2
 HEAD_SHARE = 100_000  # words that are at least one in so many tokens are in the shared dictionary: so many at most
 WORD_CLASSES, ENDING_CLASSES = 96, 32
 CLASSES = WORD_CLASSES + ENDING_CLASSES
-CONTEXT, WIDTH, NOISE, GROUP_NOISE = 4, 12, 24, 8
-BATCH, RATE = 1024, 0.07
-SCORED = 1024  # positions in one matrix product
-HELD_BATCHES = 64  # so many batches of positions are shuffled together
+CONTEXT, WIDTH, NOISE, GROUP_NOISE = 4, 12, 24, 16
+BATCH, RATE = 4096, 0.3
+SHARD = 1_000_000  # positions that are trained on one after another
+ROUNDS = (1, 4, 8, 16)  # where rounds end, in sixteenths of the texts
+TASKS = 20_000  # at most so many tasks train in a round; beyond it a task trains several shards
+SCORED = 512  # positions in one matrix product
+TOGETHER = 65_536  # positions that are scored together
+HELD_BATCHES = 32  # so many batches of positions are shuffled together
 PARTIAL_WORDS = 400_000  # distinct words that a task counts before it hands them on
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 LN10 = math.log(10)
 
 
@@ -192,47 +198,90 @@ class Parameters:
 
 
 def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at its own column; overwrites the scores."""
+    """Log of the softmax of each row at its own column, of scores within 80 of 0; overwrites the scores."""
+    np.clip(scores, -80, 80, out=scores)
     found = scores[np.arange(len(scores)), own].astype(np.float64)
-    top = float(scores.max())
-    scores -= top  # one shift for all: exponents stay in range unless scores differ by more than 80
-    np.exp(np.maximum(scores, -80, out=scores), out=scores)
-    return found - top - np.log(scores @ np.ones(scores.shape[1], np.float32))
+    np.exp(scores, out=scores)
+    return found - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
-def contexts(ids: np.ndarray, end: int) -> np.ndarray:
-    """For each distance, nearest first, the places that stand so far before each position; ends stand before the beginning."""
-    padded = np.concatenate([np.full(CONTEXT, end), ids])
-    return np.stack([padded[CONTEXT - k - 1 : CONTEXT - k - 1 + len(ids)] for k in range(CONTEXT)])
+def place_type(words: int) -> np.dtype:
+    """The type in which places are stored, for a dictionary of so many words."""
+    return np.dtype("<u2" if words + CLASSES <= 1 << 16 else "<u4")
+
+
+def contexts(texts: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all texts, one after another, and, for each distance, nearest first, the places that stand so far before each
+    in its text; ends, whose place is 0, stand before the beginning."""
+    ends = bytes(CONTEXT * kind.itemsize)
+    padded = np.frombuffer(ends + ends.join(texts), kind)
+    lengths = np.array([len(text) for text in texts]) // kind.itemsize
+    at = np.arange(lengths.sum()) + np.repeat(np.arange(1, len(texts) + 1) * CONTEXT, lengths)
+    return padded[at], np.stack([padded[at - k] for k in range(1, CONTEXT + 1)])
 
 
 def _sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     """Sums of the rows that belong to each of ``count`` numbers."""
-    cells = (at[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    return np.bincount(cells, rows.ravel(), count * WIDTH).astype(np.float32).reshape(count, WIDTH)
+    out = np.empty((count, WIDTH), np.float32)
+    for k in range(WIDTH):
+        out[:, k] = np.bincount(at, rows[:, k], count)
+    return out
+
+
+def _chance(scores: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.clip(scores, -30, 30, out=scores)
+    np.exp(np.negative(scores, out=scores), out=scores)
+    scores += 1
+    return np.reciprocal(scores, out=scores)
 
 
 class Trainer:
-    """Noise-contrastive estimation by AdaGrad steps on batches. Classes share their noise samples, which come from all classes; a word in a
-    group has samples of its own from that group. Of places and words only those of the batch move."""
+    """Noise-contrastive estimation by AdaGrad steps on batches. All positions of a batch share noise classes, which come from all classes, and all
+    those of a group share noise words of that group, so that their scores are matrix products. Of places and words only those of the batch move."""
 
-    def __init__(self, start: np.ndarray, share: np.ndarray, in_group: np.ndarray, class_at: np.ndarray):
+    def __init__(self, start: np.ndarray, squares: np.ndarray, share: np.ndarray, in_group: np.ndarray, class_at: np.ndarray, seed: int = 0):
         words = len(class_at) - CLASSES
-        self.p, self.class_at = Parameters(start.copy(), words), class_at
+        self.p, self.squares, self.class_at = Parameters(start.copy(), words), Parameters(squares.copy(), words), class_at
         self.log_noise = (np.log(share) + math.log(NOISE)).astype(np.float32)
         self.cumulative = np.cumsum(share)
         self.log_group_noise = (np.log(in_group) + math.log(GROUP_NOISE)).astype(np.float32)
         # Rises from g to g + 1 over the words of group g, so one search finds a word in any group.
         groups = [np.cumsum(in_group[low:high]) for low, high in zip(self.p.bounds[:-1], self.p.bounds[1:])]
         self.group_cumulative = np.concatenate([g + c / c[-1] for g, c in enumerate(groups)]) if groups else np.empty(0)
-        self.random = np.random.default_rng(11)
-        self.g = {name: np.full_like(getattr(self.p, name), 1e-2 if name in "CQb" else 1e-5) for name in "RCQbTt"}
+        self.random = np.random.default_rng([11, seed])
         self.slot = np.empty(max(len(self.p.R), len(self.p.T)), np.int64)
 
-    def _move(self, name: str, gradient: np.ndarray, at=...) -> None:
-        g = self.g[name]
-        g[at] += gradient * gradient
-        getattr(self.p, name)[at] += RATE * gradient / np.sqrt(g[at])
+    @staticmethod
+    def first_squares(words: int) -> np.ndarray:
+        """Sums of squared gradients before the first step."""
+        found = Parameters(np.full(sum(sizes_of(words)), 1e-5, np.float32), words)
+        for part in (found.C, found.Q, found.b):
+            part[:] = 1e-2
+        return found.flat
+
+    def _move(self, name: str, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
+        g, p = getattr(self.squares, name), getattr(self.p, name)
+        if at is None:
+            g += gradient * gradient
+            gradient *= RATE
+            gradient /= np.sqrt(g)
+            p += gradient
+        else:
+            now = g[at] + gradient * gradient
+            g[at] = now
+            p[at] += RATE * gradient / np.sqrt(now)
+
+    def _move_rows(self, vectors: str, at: np.ndarray, gradients: np.ndarray, biases: str = "", errors: np.ndarray | None = None) -> None:
+        """Moves the vectors, and biases, numbered ``at`` by the sums of their gradients. Where most rows of the table may occur, all
+        are moved, most by sums and some by 0, which is cheaper than picking them."""
+        count, ids, at = len(getattr(self.p, vectors)), None, at.astype(np.intp, copy=False)
+        if count > 2 * len(at):
+            ids, at = self._numbered(at)
+            count = len(ids)
+        self._move(vectors, _sums(at, gradients, count), ids)
+        if biases:
+            self._move(biases, np.bincount(at, errors, count).astype(np.float32), ids)
 
     def _numbered(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The distinct ids and, for each of ``ids``, the number of its own among them."""
@@ -243,67 +292,74 @@ class Trainer:
         return ids[chosen], (np.cumsum(chosen) - 1)[last]
 
     def step(self, before: np.ndarray, place: np.ndarray) -> None:
-        p, n, target = self.p, len(place), self.class_at[place]
+        p, n = self.p, len(place)
+        order = np.argsort(self.class_at[place].astype(np.int16), kind="stable")  # positions of one class stand together
+        before, place = before[:, order], place[order].astype(np.int64)
+        target = self.class_at[place]
         classes = len(p.b)
-        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), classes - 1)
         rows = p.R.take(before, axis=0)
-        h, q, false_q = np.einsum("knw,kw->nw", rows, p.C), p.Q.take(target, axis=0), p.Q[noise]
-        true_score = np.einsum("ij,ij->i", h, q) + (p.b - self.log_noise)[target]
-        data = 1 / (1 + np.exp(np.clip(true_score, -30, 30))) / n
-        false_score = h @ false_q.T
-        false_score += p.b[noise] - self.log_noise[noise]
-        false = -1 / (1 + np.exp(-np.clip(false_score, -30, 30))) / n
-        dq = _sums(target, h * data[:, None], classes)
-        db = np.bincount(target, data, classes).astype(np.float32)
+        h = rows[0] * p.C[0]
+        for k in range(1, CONTEXT):
+            h += rows[k] * p.C[k]
+        noise = np.minimum(np.searchsorted(self.cumulative, self.random.random(NOISE)), classes - 1)
+        q, false_q = p.Q.take(target, axis=0), p.Q[noise]
+        true = np.einsum("ij,ij->i", h, q) + (p.b - self.log_noise)[target]
+        data = (1 - _chance(true)) / n
+        false = h @ false_q.T
+        false += p.b[noise] - self.log_noise[noise]
+        _chance(false)
+        false *= -1 / n
+        firsts = np.flatnonzero(np.diff(target, prepend=-1))
+        dq, db = np.zeros_like(p.Q), np.zeros_like(p.b)
+        dq[target[firsts]] = np.add.reduceat(h * data[:, None], firsts)
+        db[target[firsts]] = np.add.reduceat(data, firsts)
         np.add.at(dq, noise, false.T @ h)
         np.add.at(db, noise, false.sum(axis=0))
-        dh = q * data[:, None] + false @ false_q
-        grouped = np.flatnonzero(target >= CLASSES)
-        if len(grouped):
-            dh[grouped] += self._words(h[grouped], place[grouped] - WORD_CLASSES, target[grouped] - CLASSES, n)
-        dc = np.einsum("knw,nw->kw", rows, dh)
-        ids, number = self._numbered(before.ravel())
-        dr = _sums(number, dh[None] * p.C[:, None], len(ids))
-        self._move("R", dr, ids)
+        dh = q * data[:, None]
+        dh += false @ false_q
+        grouped = np.searchsorted(target, CLASSES)
+        if grouped < n:
+            dh[grouped:] += self._words(h[grouped:], place[grouped:] - WORD_CLASSES, target[grouped:] - CLASSES, n)
+        dc = np.stack([np.einsum("nw,nw->w", rows[k], dh) for k in range(CONTEXT)])
+        self._move_rows("R", before.ravel(), (dh[None] * p.C[:, None]).reshape(-1, WIDTH))
         for name, gradient in (("C", dc), ("Q", dq), ("b", db)):
             self._move(name, gradient)
 
     def _words(self, h: np.ndarray, own: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
-        """Moves the vectors of words in groups; returns the gradient of their context vectors."""
+        """Moves the vectors of words in groups, which stand in order of their group; returns the gradient of their context vectors."""
         p = self.p
-        drawn = np.searchsorted(self.group_cumulative, group + self.random.random((GROUP_NOISE, len(own))))
-        ids = np.concatenate([own[None], np.minimum(drawn, p.bounds[group + 1] - 1)])
-        vectors = p.T.take(ids, axis=0)
-        score = np.einsum("kmw,mw->km", vectors, h) + (p.t - self.log_group_noise).take(ids)
-        chance = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        error = -chance / n
-        error[0] += 1 / n
-        found, number = self._numbered(ids.ravel())
-        dt = np.bincount(number, error.ravel(), len(found)).astype(np.float32)
-        self._move("T", _sums(number, error[:, :, None] * h, len(found)), found)
-        self._move("t", dt, found)
-        return np.einsum("km,kmw->mw", error, vectors)
-
-
-def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Parameters averaged by weight, as one row."""
-    total, weight = None, 0.0
-    for batch in batches:
-        for flat, w in zip(batch["flat"], batch["weight"]):
-            part = np.frombuffer(flat, np.float32) * np.float64(w)
-            total, weight = part if total is None else total + part, weight + w
-    if weight:
-        yield pd.DataFrame({"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
-
-
-def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places) -> int:
-    """Takes steps on every position of the texts once; returns how many there were."""
-    held: list[np.ndarray] = []
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        found = group[starts]
+        drawn = np.searchsorted(self.group_cumulative, found[:, None] + self.random.random((len(found), GROUP_NOISE)))
+        noise = np.minimum(drawn, (p.bounds[found + 1] - 1)[:, None])
+        vectors, biases = p.T[noise], p.t[noise] - self.log_group_noise[noise]
+        mine = p.T.take(own, axis=0)
+        data = (1 - _chance(np.einsum("ij,ij->i", h, mine) + (p.t - self.log_group_noise).take(own))) / n
+        false = np.empty((len(own), GROUP_NOISE), np.float32)
+        parts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(own)]))
+        for g, (first, last) in enumerate(parts):
+            np.dot(h[first:last], vectors[g].T, out=false[first:last])
+        false += np.repeat(biases, np.diff([*starts, len(own)]), axis=0)
+        _chance(false)
+        false *= -1 / n
+        dh = mine * data[:, None]
+        moved = np.empty_like(vectors)
+        for g, (first, last) in enumerate(parts):
+            np.dot(false[first:last].T, h[first:last], out=moved[g])
+            dh[first:last] += false[first:last] @ vectors[g]
+        errors = np.concatenate([data, np.add.reduceat(false, starts).ravel()])
+        gradients = np.concatenate([h * data[:, None], moved.reshape(-1, WIDTH)])
+        self._move_rows("T", np.concatenate([own, noise.ravel()]), gradients, "t", errors)
+        return dh
+
+
+def train_on(texts: Iterator[bytes], trainer: Trainer, kind: np.dtype) -> int:
+    """Takes steps on every position of the encoded texts once; returns how many there were."""
+    held: list[bytes] = []
     waiting = seen = 0
 
     def steps() -> None:
-        ids = np.concatenate(held)
-        before = contexts(ids, 0)
+        ids, before = contexts(held, kind)
         order = trainer.random.permutation(len(ids))  # neighbours in a batch come from many documents
         for first in range(0, len(order), BATCH):
             at = order[first : first + BATCH]
@@ -311,8 +367,8 @@ def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places) ->
         held.clear()
 
     for text in texts:
-        held.append(places.of(tokens(text)))
-        waiting += len(held[-1])
+        held.append(text)
+        waiting += len(text) // kind.itemsize
         if waiting >= HELD_BATCHES * BATCH:
             steps()
             seen, waiting = seen + waiting, 0
@@ -321,24 +377,90 @@ def train_on(texts: Iterator[bytes | None], trainer: Trainer, places: Places) ->
     return seen + waiting
 
 
-def train_round(docs: DataFrame, start: np.ndarray, share: np.ndarray, in_group: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """The parameters after one run of every partition through its documents, averaged in two steps."""
-    shared = docs.sparkSession.sparkContext.broadcast((start, share, in_group, words))
+def _mean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parameters averaged by weight, as one row."""
+    total, weight = None, 0.0
+    for batch in batches:
+        for flat, w in zip(batch["flat"], batch["weight"]):
+            part = np.frombuffer(flat, np.float32) * np.float64(w)
+            total, weight = part if total is None else total + part, weight + w
+    if weight:
+        yield pd.DataFrame({"flat": [(total / weight).astype(np.float32).tobytes()], "weight": [weight]})
+
+
+def train_round(texts: DataFrame, shards: int, start: np.ndarray, share: np.ndarray, in_group: np.ndarray, words: int) -> np.ndarray:
+    """Parameters and squares, one after the other, after one run through the encoded texts (uid, places), dealt into so many shards; averaged over
+    the shards, in two steps."""
+    tasks = min(shards, TASKS)
+    shared = texts.sparkSession.sparkContext.broadcast((start, share, in_group))
+    kind = place_type(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, noise, group_noise, known = shared.value
-        trainer = Trainer(flat, noise, group_noise, classes_of(known))
-        seen = train_on((text for batch in batches for text in batch["text"]), trainer, Places(known))
-        if seen:
-            yield pd.DataFrame({"flat": [trainer.p.flat.tobytes()], "weight": [float(seen)]})
+        flat, shares, in_groups = shared.value
+        class_at = classes_of([b""] * words)
+
+        def trained() -> Iterator[pd.DataFrame]:
+            rows = (row for batch in batches for row in zip(batch["shard"], batch["places"]))
+            for shard, of_shard in groupby(rows, key=lambda row: row[0]):
+                trainer = Trainer(*np.split(flat, 2), shares, in_groups, class_at, shard)
+                seen = train_on((places for _, places in of_shard), trainer, kind)
+                yield pd.DataFrame({"flat": [np.concatenate([trainer.p.flat, trainer.squares.flat]).tobytes()], "weight": [float(seen)]})
+
+        yield from _mean(trained())
 
     schema = "flat binary, weight double"
-    trained = docs.select("text").mapInPandas(run, schema)
-    groups = max(1, math.isqrt(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    row = trained.repartition(groups).mapInPandas(_mean, schema).repartition(1).mapInPandas(_mean, schema).first()
+    dealt = texts.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit("shard")), F.lit(shards)))
+    dealt = dealt.repartitionById(tasks, (F.col("shard") % tasks).cast("int")).sortWithinPartitions("shard", "uid")
+    mapped = dealt.select("shard", "places").mapInPandas(run, schema)
+    row = mapped.repartition(math.isqrt(tasks)).mapInPandas(_mean, schema).repartition(1).mapInPandas(_mean, schema).first()
     return np.frombuffer(row["flat"], np.float32) if row else start
 
 
+def train(texts: DataFrame, positions: int, share: np.ndarray, in_group: np.ndarray, words: int) -> np.ndarray:
+    """The parameters after all rounds over the encoded texts (uid, places) with so many positions in all."""
+    state = np.concatenate([Parameters.start(share, in_group, words).flat, Trainer.first_squares(words)])
+    sixteenth = F.pmod(F.xxhash64("uid", F.lit("round")), F.lit(ROUNDS[-1]))
+    for low, high in zip((0, *ROUNDS), ROUNDS):
+        shards = max(1, round(positions * (high - low) / ROUNDS[-1] / SHARD))
+        state = train_round(texts.where((sixteenth >= low) & (sixteenth < high)), shards, state, share, in_group, words)
+    return np.split(state, 2)[0]
+
+
+def encode(docs: DataFrame, words: list[bytes], logs: np.ndarray, known: np.ndarray) -> DataFrame:
+    """Every text as the places of its tokens, split and looked up once for training and scoring, with the sums over the words of the shared
+    dictionary and the rarer words with their numbers; stored, with a number for each row."""
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast((words, logs, known))
+    width = place_type(len(words))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found_words, log_of, is_known = shared.value
+        size, places = len(found_words), Places(found_words)
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                words_of = tokens(text)
+                at = places.of(words_of)
+                rare = Counter([words_of[i] for i in np.flatnonzero(at >= size)])
+                rows.append(
+                    {
+                        "n_tokens": len(at),
+                        "head_known": int(is_known[at].sum()),
+                        "head_log": float(log_of[at].sum()),
+                        "places": at.astype(width).tobytes(),
+                        "rare": [w.decode("utf-8", "replace") for w in rare],
+                        "times": list(rare.values()),
+                    }
+                )
+            if rows:
+                yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+
+    schema = (
+        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, places binary, rare array<string>, times array<long>"
+    )
+    return written(docs.select("doc_id", "held_out", "text").mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text under smoothed
     counts and under the model).
@@ -370,23 +492,20 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     others = own[WORD_CLASSES:] + 1
     in_group = others / np.repeat(np.add.reduceat(others, bounds[:-1]), np.diff(bounds)) if len(others) else others
 
-    flat = Parameters.start(share, in_group, len(words)).flat
-    flat = train_round(training.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0), flat, share, in_group, words)
-    flat = train_round(training, flat, share, in_group, words)
-
     # What is left of a word's probability once its class and, in a group, the word itself are scored.
     inside = np.zeros(len(size))
     inside[WORD_CLASSES:CLASSES] = np.log10((size + kinds + 1)[WORD_CLASSES:CLASSES])
-    shared = docs.sparkSession.sparkContext.broadcast((flat, words, inside, np.log10(own + 1)))
-    stats = written(_text_stats(base, shared).withColumn("uid", F.monotonically_increasing_id()))
+    # By place: log10(c + 1) of the words of the dictionary, nothing for classes.
+    encoded = encode(base, words, np.concatenate([np.log10(own + 1), np.zeros(CLASSES)]), np.concatenate([own > 0, np.zeros(CLASSES, bool)]))
+    flat = train(encoded.where(~F.col("held_out")).select("uid", "places"), n, share, in_group, len(words))
 
-    tail = stats.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", "t.rare", "t.times")
+    tail = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", "t.rare", "t.times")
     rare = rest.select(F.col("token").alias("rare"), "c").hint("shuffle_hash")
     found = tail.join(rare, "rare")
     sums = found.groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("times").alias("tail_known")
     )
-    joined = stats.drop("rare", "times").join(sums, "uid", "left")
+    joined = model_scores(encoded, flat, inside, len(words)).join(sums, "uid", "left")
     tail_log = F.coalesce("tail_log", F.lit(0.0))
     return joined.select(
         "doc_id",
@@ -399,52 +518,29 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def _text_stats(base: DataFrame, shared) -> DataFrame:
-    """Per document what needs no join: sums over the words of the shared dictionary, the model's scores, and the rarer
-    words with their numbers."""
-    kind = dict(base.dtypes)["doc_id"]
+def model_scores(encoded: DataFrame, flat: np.ndarray, inside: np.ndarray, words: int) -> DataFrame:
+    """The encoded rows without their places and rarer words, with the model's log10 probability of each text but for the counts of the rarer words."""
+    shared = encoded.sparkSession.sparkContext.broadcast((flat, inside))
+    kept = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log"]
+    kinds, width = dict(encoded.dtypes), place_type(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, words, inside, logs = shared.value
-        model, places, class_at = Parameters(flat, len(words)), Places(words), classes_of(words)
-        size = len(words)
-        in_class = inside[class_at]
-        # By place: log10(c + 1) of the words of the dictionary.
-        head_logs = np.concatenate([logs, np.zeros(CLASSES)])
+        parameters, left = shared.value
+        model, class_at = Parameters(parameters, words), classes_of([b""] * words)
+        in_class = left[class_at]
         for batch in batches:
-            texts = batch["text"].tolist()
-            parts = []
-            first = 0
+            texts, sums, first = batch["places"].tolist(), [], 0
             while first < len(texts):  # texts are scored together up to a bound, longer ones alone
-                found, total = [], 0
-                while first + len(found) < len(texts) and total < 64 * SCORED:
-                    found.append(tokens(texts[first + len(found)]))
-                    total += len(found[-1])
-                first += len(found)
-                at = [places.of(words_of) for words_of in found]
-                flat_at = np.concatenate(at)
-                classes = class_at[flat_at]
-                lengths = np.array([len(a) for a in at])
-                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-                before = np.concatenate([contexts(a, 0) for a in at], axis=1)
-                class_log = model.word_log_probabilities(before, flat_at, classes) / LN10 - in_class[flat_at]
-                rare = [Counter([w[i] for i in np.flatnonzero(a >= size)]) for w, a in zip(found, at)]
-                parts.append(
-                    {
-                        "n_tokens": lengths,
-                        "head_known": np.add.reduceat((head_logs[flat_at] > 0).astype(np.int64), starts),
-                        "head_log": np.add.reduceat(head_logs[flat_at], starts),
-                        "rare": [[w.decode("utf-8", "replace") for w in r] for r in rare],
-                        "times": [list(r.values()) for r in rare],
-                        "class_log": np.add.reduceat(class_log, starts),
-                    }
-                )
-            columns = {k: [x for part in parts for x in part[k]] for k in parts[0]} if parts else {}
-            if columns:
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], **columns})
-
-    return base.mapInPandas(
-        run,
-        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, rare array<string>, "
-        "times array<long>, class_log double",
-    )
+                last, total = first, 0
+                while last < len(texts) and total < TOGETHER:
+                    total += len(texts[last]) // width.itemsize
+                    last += 1
+                places, before = contexts(texts[first:last], width)
+                lengths = np.array([len(text) for text in texts[first:last]]) // width.itemsize
+                logs = model.word_log_probabilities(before, places.astype(np.int64), class_at[places]) / LN10 - in_class[places]
+                sums.append(np.add.reduceat(logs, np.cumsum(lengths) - lengths))
+                first = last
+            if texts:
+                yield batch[kept].assign(class_log=np.concatenate(sums))
+
+    return encoded.select(*kept, "places").mapInPandas(run, ", ".join(f"{name} {kinds[name]}" for name in kept) + ", class_log double")

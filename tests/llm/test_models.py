@@ -119,18 +119,23 @@ def test_a_training_round_steps_on_every_position_once():
             steps.append(Counter(zip(target.tolist(), *before.tolist())))
 
     words = [language_model.END.encode(), *(f"w{i}".encode() for i in range(70))]
-    texts = [" ".join(f"w{(i * j + j) % 70}" for j in range(500 + i)).encode() for i in range(300)] + [None, b""]
-    places = language_model.Places(words)
-    seen = language_model.train_on(iter(texts), Recorder(), places)
-    wanted = Counter()
+    texts = [" ".join(f"w{(i * j + j) % 70}" for j in range(500 + i)).encode() for i in range(450)] + [None, b""]
+    places, kind = language_model.Places(words), language_model.place_type(len(words))
+    encoded = [places.of(language_model.tokens(text)).astype(kind).tobytes() for text in texts]
+    seen = language_model.train_on(iter(encoded), Recorder(), kind)
+    wanted, with_contexts = Counter(), Counter()
     for text in texts:
-        wanted.update(places.of(language_model.tokens(text)).tolist())
+        at = places.of(language_model.tokens(text)).tolist()
+        wanted.update(at)
+        padded = [0] * language_model.CONTEXT + at  # contexts end where the text begins
+        with_contexts.update(zip(at, *(padded[language_model.CONTEXT - k : len(padded) - k] for k in range(1, language_model.CONTEXT + 1))))
     targets = Counter()
     for step in steps:
         for (target, *_), times in step.items():
             targets[target] += times
     assert seen == sum(wanted.values()) > 2 * language_model.HELD_BATCHES * language_model.BATCH
     assert targets == wanted and all(steps)  # and no empty step; here every word is a class of its own
+    assert sum(steps, Counter()) == with_contexts
 
 
 @pytest.mark.parametrize("words", [1, 96, 97, 98, 105, 106, 1500])
@@ -148,6 +153,67 @@ def test_language_model_is_normalised_over_words(words):
     assert abs(total - 1) < 1e-4
 
 
+def test_shards_do_not_depend_on_partitions(spark, tables, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARD", 20_000)
+    docs, losses = tables[0].select("doc_id", "text"), {}
+    for parts in (1, 4, 32):
+        rows = language_model.score_texts(docs.repartition(parts)).where("held_out").agg({"score": "sum", "base_score": "sum", "n_tokens": "sum"})
+        row = rows.first()
+        losses[parts] = -row["sum(score)"] / row["sum(n_tokens)"]
+        assert losses[parts] < -row["sum(base_score)"] / row["sum(n_tokens)"]
+    assert max(losses.values()) - min(losses.values()) < 0.02, losses
+
+
+def test_steps_follow_the_gradient_of_the_contrast():
+    """One step on a tiny model moves every parameter as the numerical gradient of the contrastive loss says."""
+    words, m = 100, language_model
+    class_at = m.classes_of([b""] * words)
+    bounds = m.group_bounds(words)
+    classes = m.CLASSES + len(bounds) - 1
+    share = np.full(classes, 1 / classes)
+    in_group = np.concatenate([np.full(high - low, 1 / (high - low)) for low, high in zip(bounds[:-1], bounds[1:])])
+    random = np.random.default_rng(2)
+    start = (random.standard_normal(sum(m.sizes_of(words))) * 0.3).astype(np.float32)
+    before, place = random.integers(0, words, (m.CONTEXT, 6)), np.array([3, 97, 98, 99, 97, 110])
+
+    class Recorder(m.Trainer):
+        def _move(self, name, gradient, at=None):
+            full = np.zeros_like(getattr(self.p, name), dtype=np.float64)
+            full[... if at is None else at] = gradient
+            self.moved[name] = full
+
+    trainer = Recorder(start, m.Trainer.first_squares(words), share, in_group, class_at)
+    trainer.moved = {}
+    drawn = np.random.default_rng([11, 0])
+    trainer.step(before, place)
+    noise = np.minimum(np.searchsorted(np.cumsum(share), drawn.random(m.NOISE)), classes - 1)
+    found = np.unique(class_at[place][class_at[place] >= m.CLASSES]) - m.CLASSES
+    picked = np.searchsorted(trainer.group_cumulative, found[:, None] + drawn.random((len(found), m.GROUP_NOISE)))
+    group_noise = dict(zip(found.tolist(), np.minimum(picked, (bounds[found + 1] - 1)[:, None])))
+
+    def gain(flat):
+        p, total = m.Parameters(flat, words), 0.0
+        log = lambda x: -np.log1p(np.exp(-x))
+        for i, word in enumerate(place):
+            h = sum(p.R[before[k, i]] * p.C[k] for k in range(m.CONTEXT))
+            score = lambda c: h @ p.Q[c] + p.b[c] - math.log(m.NOISE * share[c])
+            total += log(score(class_at[word])) + sum(log(-score(c)) for c in noise)
+            group = class_at[word] - m.CLASSES
+            if group >= 0:
+                inner = lambda w: h @ p.T[w] + p.t[w] - math.log(m.GROUP_NOISE * in_group[w])
+                total += log(inner(word - m.WORD_CLASSES)) + sum(log(-inner(w)) for w in group_noise[group])
+        return total / len(place)
+
+    got = np.concatenate([trainer.moved[name].ravel() for name in ("R", "C", "Q", "b", "T", "t")])
+    exact = start.astype(np.float64)
+    probes = np.concatenate([np.flatnonzero(got)[::7], np.flatnonzero(got == 0)[::97]])
+    for at in probes:
+        up, down = exact.copy(), exact.copy()
+        up[at] += 1e-5
+        down[at] -= 1e-5
+        assert abs((gain(up) - gain(down)) / 2e-5 - got[at]) < 1e-5, at
+
+
 def test_language_model_tells_words_of_one_ending_apart(spark):
     random = np.random.default_rng(5)
     frequent = [f"f{i}" for i in range(120)]
