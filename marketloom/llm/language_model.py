@@ -27,6 +27,7 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -433,32 +434,34 @@ def encode(docs: DataFrame, words: list[bytes], logs: np.ndarray, known: np.ndar
     shared = docs.sparkSession.sparkContext.broadcast((words, logs, known))
     width = place_type(len(words))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found_words, log_of, is_known = shared.value
         size, places = len(found_words), Places(found_words)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
+            columns: list[list] = [[], [], [], []]
+            rare_words: list[str] = []
+            times: list[int] = []
+            ends = [0]
+            for text in batch.column("text").to_pylist():
                 words_of = tokens(text)
                 at = places.of(words_of)
-                rare = Counter([words_of[i] for i in np.flatnonzero(at >= size)])
-                rows.append(
-                    {
-                        "n_tokens": len(at),
-                        "head_known": int(is_known[at].sum()),
-                        "head_log": float(log_of[at].sum()),
-                        "places": at.astype(width).tobytes(),
-                        "rare": [w.decode("utf-8", "replace") for w in rare],
-                        "times": list(rare.values()),
-                    }
-                )
-            if rows:
-                yield pd.concat([batch[["doc_id", "held_out"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
-
+                rare = Counter([words_of[i] for i in np.flatnonzero(at >= size).tolist()])
+                rare_words += [w.decode("utf-8", "replace") for w in rare]
+                times += rare.values()
+                ends.append(len(times))
+                for column, value in zip(columns, (len(at), np.count_nonzero(is_known[at]), log_of[at].sum(), at.astype(width).tobytes())):
+                    column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(*x)) for x in ((rare_words, pa.string()), (times, pa.int64()))]
+            arrays = [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns, kinds), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    names = ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "places", "rare", "times"]
     schema = (
         f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, places binary, rare array<string>, times array<long>"
     )
-    return written(docs.select("doc_id", "held_out", "text").mapInPandas(run, schema).withColumn("uid", F.monotonically_increasing_id()))
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
