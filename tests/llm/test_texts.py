@@ -1,3 +1,4 @@
+import time
 from hashlib import sha256
 
 import duckdb
@@ -207,19 +208,57 @@ def test_url_filter(spark):
         (11, "http://fakenet/", ""), (11, "http://fakenet/", ""),
     ]
     frame = spark.createDataFrame([(*r, "v") for r in rows], "page_id long, url string, html string, verdict string")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["by_alias"]) for r in url_filter.judge(frame).collect()}
+    judged = url_filter.judge(frame).collect()
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["by_alias"]) for r in judged}
     assert got == {
         1: ("a.example.net", "/en/x", "example.net/en/", "allow", False), 2: ("net", "/", "net/", "block", False), 3: ("net", "", None, "allow", False),
         4: ("x.example.com", "/de/1", "example.com/de/", "block", False), 5: ("b.org", "/fr/1", "org/fr/", "allow", False),
         6: ("b.org", "/xx", None, "block", True), 7: ("c.org", "/yy", None, "block", True), 8: ("", "", None, "allow", False),
         9: ("", "", None, "allow", False), 10: ("d.org", "/a/b", None, "allow", False), 11: ("fakenet", "/", None, "allow", False),
     }
+    assert url_twin(frame) == sorted(str(tuple(r)) for r in judged)
+    assert len(judged) == len(rows) and url_filter.judge(frame.limit(0)).collect() == []
+
+
+def url_twin(frame):
     connection = duckdb.connect()
-    pages = frame.drop("verdict").toPandas()
-    connection.register("pages", pages)
-    twin = connection.execute(url_filter.ORACLE_SQL).fetchall()
-    assert sorted(map(str, twin)) == sorted(str(tuple(r)) for r in url_filter.judge(frame).collect())
-    assert url_filter.judge(frame).count() == len(rows) and url_filter.judge(frame.limit(0)).collect() == []
+    connection.register("pages", frame.select("page_id", "url", "html").toPandas())
+    return sorted(map(str, connection.execute(url_filter.ORACLE_SQL).fetchall()))
+
+
+def test_one_page_under_several_names(spark):
+    """Targets beside the name that their page goes by: ports, dot segments, empty paths, relative links."""
+    names = {
+        "http://bad.net": "bad.net/", "http://bad.net:80": "bad.net/", "https://BAD.net:443?q": "bad.net/?q", "https://bad.net:80/": "bad.net:80/",
+        "http://bad.net:/x": "bad.net/x", "//bad.net:80/a": "bad.net/a", "../q": "{}.org/q", "./q": "{}.org/x/q", "/a/./b/../../..//c/.": "{}.org//c/",
+        "..": "{}.org/", ".": "{}.org/x/", "?z=1": "{}.org/x/y?z=1", "q/..": "{}.org/x/", "...": "{}.org/x/...", "/a/.b/..c": "{}.org/a/.b/..c",
+        "http://bad.net/a>b": "bad.net/a>b", "&#x20;": "{}.org/x/&", "mailto:a@bad.net": None, "#top": None, "": None,
+    }
+    rows = [(i, f"http://p{i}.org/x/y", f'<link title="a > b" rel="canonical" href="{target}">') for i, target in enumerate(names)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    edges = {r["a"]: r["b"] for r in url_filter.alias_edges(frame).collect()}
+    assert edges == {f"p{i}.org/x/y": name.format(f"p{i}") for i, name in enumerate(names.values()) if name}
+    blocked = [(100 + i, f"http://c{i}.org/x/y", f"<link rel=canonical href={t}>") for i, t in enumerate(("http://bad.net", "../../q"))]
+    pages = [*rows, *blocked, (200, "http://c1.org/q", "<link rel=canonical href=//bad.net>"), (201, "http://c1.org:80/a/../q", ""), (202, "https://c1.org:80/q", "")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    judged = url_filter.judge(frame).collect()
+    assert {r["page_id"] for r in judged if r["page_id"] >= 100 and r["by_alias"]} == {100, 101, 200, 201}
+    assert url_twin(frame) == sorted(str(tuple(r)) for r in judged)
+
+
+def test_markup_that_never_closes(spark):
+    """Half a megabyte each: no part is scanned again and again, and what stands in an open comment, script or tag is no link."""
+    link = "<link rel=canonical href=http://bad.net/>"
+    hostile = ["<link '" * 70_000, "<link a='" * 60_000, "<!--" * 120_000, "<script " * 60_000, "<link " + "a" * 500_000, "<meta " + "a='b' " * 80_000 + ">",
+               "<link " + "a=" * 250_000, "<link href=" + "/.." * 160_000 + "/q rel=canonical>", "<link" + " " * 500_000]
+    rows = [(i, f"http://p{i}.org/x", link + text + link) for i, text in enumerate(hostile)]
+    rows += [(20, "http://p20.org/x", "<script>a='<!--'</script>" + link), (21, "http://p21.org/x", "<!-- <script> -->" + link),
+             (22, "http://p22.org/x", "<!-- " + link), (23, "http://p23.org/x", "<script>" + link), (24, "http://p24.org/x", '<link title="' + link)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    start = time.monotonic()
+    found = {(r["a"], r["b"]) for r in url_filter.alias_edges(frame).collect()}
+    assert time.monotonic() - start < 30
+    assert found == {(f"p{i}.org/x", "bad.net/") for i in [*range(len(hostile)), 20, 21]} | {("p7.org/x", "p7.org/q")}
 
 
 def test_alias_links_in_any_quoting(spark):
