@@ -1,26 +1,39 @@
 """Chat formatting by quotation linking.
 
-Messages of a conversation quote earlier ones in lines that begin with ``>``, nested to any level. Quoted passages are normalised, hashed
-and joined to the passages of the messages they came from; a message answers the one that its outermost quote is from. What results is
-each conversation in the order of its replies, without the quotes.
+Messages of a conversation quote earlier ones in lines that begin with ``>``, nested to any level. A quoted passage is a paragraph of one level.
+Passages, their lines and their sentences are normalised, hashed and joined to those of the messages they came from, so that a passage is found
+if it was wrapped anew or cut out of a longer one at sentence or line ends. A message answers the one that its outermost quote is from. What
+results is each conversation in the order of its replies, without the quotes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import bound, durable
+from marketloom.llm.common import bound, durable, small_side
 
-MARK = r"^\s{0,3}((?:>\s?)+)"  # quote marks at the beginning of a line
+MARK = r"^\s{0,3}((?:>\s?+)++)"  # quote marks at the beginning of a line
+SENTENCE_END = r"(?<=[.!?\u2026\u3002\uff01\uff1f])\s+"
 SAID = r"(?i)^\s*(on\b.*\bwrote|.{1,80}\b(wrote|writes|said)|le\b.*a écrit|am\b.*schrieb|el\b.*escribió)\s*:\s*$"
 
 
+def _clean(text: Column) -> Column:
+    return F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  ")
+
+
+def _quoting(text: Column) -> Column:
+    """Whether any line may begin with a quote mark."""
+    return _clean(text).rlike(r"(?m)" + MARK)
+
+
 def _lines(text: Column) -> Column:
     """[(level, body)] of the lines of a text; level 0 is the message's own."""
     marks = lambda line: F.regexp_extract(line, MARK, 1)
     return F.transform(
-        F.split(F.translate(F.coalesce(text, F.lit("")), "\x01\x02", "  "), r"\r\n|\r|\n"),
+        F.split(_clean(text), r"\r\n|\r|\n"),
         lambda line: F.struct(
             F.length(F.regexp_replace(marks(line), r"[^>]", "")).alias("level"), F.regexp_replace(line, MARK, "").alias("body")
         ),
@@ -33,32 +46,33 @@ def _normal(body: Column) -> Column:
 
 
 def _passages(lines: Column) -> Column:
-    """[(level, passage)]: every line with words, and every run of lines of one level (joined lines), normalised. A blank line ends a run;
-    so a run is a paragraph, and a quoted paragraph is found even if it was wrapped anew.
+    """[(level, passage, piece)]: of every paragraph, which is a run of lines of one level without a blank one, its whole, its lines and its
+    sentences, each normalised; passage is the whole.
 
     Lines are written with their level at both ends, so that one replacement joins all neighbours of equal level.
     """
-
-    def both(known: Column) -> Column:
-        marked = F.transform(
-            known,
-            lambda x: F.when(F.trim(x["body"]) == "", "-").otherwise(
-                F.concat(x["level"].cast("string"), F.lit("\x01"), x["body"], F.lit("\x01"), x["level"].cast("string"))
-            ),
-        )
-        joined = F.regexp_replace(F.array_join(marked, "\x02"), r"\x01(\d+)\x02\1\x01", " ")
-        runs = F.transform(
-            F.filter(F.split(joined, "\x02"), lambda run: run != "-"),
-            lambda run: F.struct(
-                F.substring_index(run, "\x01", 1).cast("int").alias("level"), F.get(F.split(run, "\x01"), F.lit(1)).alias("body")
+    marked = F.transform(
+        lines,
+        lambda x: F.when(F.trim(x["body"]) == "", "-").otherwise(
+            F.concat(x["level"].cast("string"), F.lit("\x01"), x["body"], F.lit("\x01"), x["level"].cast("string"))
+        ),
+    )
+    joined = F.regexp_replace(F.array_join(marked, "\x02"), r"\x01(\d+)\x02\1\x01", "\n")
+
+    def pieces(run: Column) -> Column:
+        level = F.substring_index(run, "\x01", 1).cast("int")
+        body = F.get(F.split(run, "\x01"), F.lit(1))
+        parts = F.concat(F.array(body), F.split(body, "\n"), F.split(F.translate(body, "\n", " "), SENTENCE_END))
+        return bound(
+            F.struct(level.alias("level"), F.array_distinct(F.transform(parts, _normal)).alias("parts")),
+            lambda known: F.transform(
+                known["parts"],
+                lambda part: F.struct(known["level"].alias("level"), known["parts"][0].alias("passage"), part.alias("piece")),
             ),
         )
-        return F.concat(known, runs)
 
-    normal = F.transform(
-        bound(lines, both), lambda x: F.struct(x["level"].alias("level"), _normal(x["body"]).alias("passage"))
-    )
-    return F.array_distinct(F.filter(normal, lambda x: x["passage"] != ""))
+    runs = F.filter(F.split(joined, "\x02"), lambda run: run != "-")
+    return F.filter(F.flatten(F.transform(runs, pieces)), lambda x: x["piece"] != "")
 
 
 def unquoted(text: Column) -> Column:
@@ -74,46 +88,57 @@ def unquoted(text: Column) -> Column:
         )
         return F.transform(F.filter(marked, lambda x: ~x["goes"]), lambda x: x["body"])
 
-    bare = F.regexp_replace(F.array_join(bound(_lines(text), own), "\n"), r"\n{3,}", "\n\n")
-    return F.regexp_replace(bare, r"^\s+|\s+$", "")
+    whole = F.when(_quoting(text), F.array_join(bound(_lines(text), own), "\n")).otherwise(
+        F.regexp_replace(_clean(text), r"\r\n|\r", "\n")
+    )
+    return F.btrim(F.regexp_replace(whole, r"\n{3,}", "\n\n"), F.lit(" \t\n\x0b\f\r"))
 
 
 def linked_messages(
     messages: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text"
 ) -> DataFrame:
     """One row per message, sorted in reply order: conv_id, turn, role, text (without quotes), reply_to (the turn answered, or null),
-    thread (the turn that began the thread), depth (answers since then), quotes (quoted passages), linked (those found in an earlier
+    thread (the turn that began the thread), depth (answers since then), quotes (different quoted passages), linked (those found in an earlier
     message).
 
-    A quoted passage belongs to the earliest message of its conversation that wrote it itself; the message answers the latest such message
-    among its quotes of the lowest level found. Only earlier turns are linked, so threads have no cycles. In the order by (conv_id, thread,
-    turn) a thread stays together and every answer follows what it answers; a conversation without quotes keeps the order of its turns.
+    Of a passage the longest piece (whole, line or sentence) that another message wrote itself decides where it is from: the earliest such message
+    of its conversation. The message answers the latest message that its passages of the lowest level found are from. Only earlier turns are
+    linked, so threads have no cycles. In the order by (conv_id, thread, turn) a thread stays together and every answer follows what it answers; a
+    conversation without quotes keeps the order of its turns.
 
     Rows without conversation or turn are kept and linked to nothing; a null text is empty. Repeated turns share their links: the turn is what is answered.
-    An empty table gives no rows. Nothing gathers a conversation in one task: passages are keyed by their hash, messages by turn.
+    An empty table gives no rows. Nothing gathers a conversation in one task: pieces are keyed by their hash, messages by turn, and messages that
+    quote nothing take part in no join.
     """
     base = messages.select(
         F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
-    hinted = base.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    quoting = F.coalesce(F.col("text"), F.lit("")).rlike(r"(?m)" + MARK)
-
-    def spread(rows: DataFrame) -> DataFrame:
-        listed = rows.select("conv_id", "turn", F.explode(_passages(_lines(F.col("text")))).alias("p"))
-        return listed.select("conv_id", "turn", "p.level", F.md5("p.passage").alias("hash"))
-
-    quotes = durable(spread(hinted.where(quoting)).where("level > 0").distinct())
-    # Only passages that somebody quotes are looked for, each by its hash within its conversation.
-    asked = quotes.select("conv_id", "hash").distinct()
-    sources = hinted.join(asked.select("conv_id").distinct(), "conv_id", "left_semi")
-    said = spread(sources).where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    answering = placed & _quoting(F.col("text"))
+
+    def spread(rows: DataFrame, level: Callable[[Column], Column]) -> DataFrame:
+        """(conv_id, turn, level, passage, hash, size) of the pieces of that level."""
+        chosen = F.filter(_passages(_lines(F.col("text"))), lambda x: level(x["level"]))
+        listed = rows.select("conv_id", "turn", F.explode(chosen).alias("p"))
+        size = F.length("p.piece").alias("size")
+        return listed.select("conv_id", "turn", "p.level", F.md5("p.passage").alias("passage"), F.md5("p.piece").alias("hash"), size)
+
+    quotes = durable(spread(base.where(answering), lambda level: level > 0).distinct())
+    # Only pieces that somebody quotes are looked for, each by its hash within its conversation.
+    asked = small_side(durable(quotes.select("conv_id").distinct()))
+    sources = base.where(placed).join(asked, "conv_id", "left_semi")
+    said = spread(sources, lambda level: level == 0).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
     found = quotes.join(said, ["conv_id", "hash"]).where(F.col("source") < F.col("turn"))
+    longest = F.max(F.struct("size", (-F.col("source")).alias("early"), "source"))["source"].alias("source")
+    origins = found.groupBy("conv_id", "turn", "level", "passage").agg(longest)
     answer = F.max(F.struct((-F.col("level")).alias("near"), "source"))["source"]
-    links = durable(found.groupBy("conv_id", "turn").agg(answer.alias("reply_to"), F.countDistinct("hash").alias("linked")))
-    counts = quotes.groupBy("conv_id", "turn").agg(F.countDistinct("hash").alias("quotes"))
-    rooted = _threads(links)
+    links = durable(origins.groupBy("conv_id", "turn").agg(answer.alias("reply_to"), F.countDistinct("passage").alias("linked")))
+    counts = quotes.groupBy("conv_id", "turn").agg(F.countDistinct("passage").alias("quotes"))
 
-    joined = base.join(counts, ["conv_id", "turn"], "left").join(links, ["conv_id", "turn"], "left").join(rooted, ["conv_id", "turn"], "left")
+    keys = ["conv_id", "turn"]
+    answers = base.where(answering).join(counts, keys, "left").join(links, keys, "left").join(_threads(links), keys, "left")
+    others = base.where(~answering)
+    joined = answers.unionByName(others, allowMissingColumns=True)
     return joined.select(
         "conv_id",
         "turn",
