@@ -6,11 +6,89 @@ front of a final SELECT.
 
 from __future__ import annotations
 
-from marketloom.functions.formats import PERCENT_COLUMNS, PRICE_COLUMNS, WHOLE_COLUMNS
-from marketloom.functions.rules import INDUSTRY_LABELS, STATEMENT_METRICS
-from marketloom.plans.reports import RANK_TABLE_HEADERS
 from marketloom.plans.settings import EARLIEST, END, FOCUS, INDUSTRY, MONTHS, START, TODAY
 
+# Column kinds, labels, metric names and headers that a result must have, written out so that a wrong entry
+# in the library shows.
+PERCENT_COLUMNS = (
+    "revenue_yoy", "revenue_mom", "daily_return", "monthly_return", "volatility_20d", "dividend_yield", "roe", "roa",
+    "gross_margin", "operating_margin", "debt_ratio",
+)
+PRICE_COLUMNS = (
+    "close_price", "open_price", "high_price", "low_price", "price_change", "pe_ratio", "eps", "current_ratio",
+)
+WHOLE_COLUMNS = (
+    "revenue", "financial_health_score", "trading_volume", "trading_money", "transaction_count",
+)
+INDUSTRY_LABELS = {
+    "1": "Cement",
+    "2": "Food",
+    "3": "Plastics",
+    "4": "Textiles",
+    "5": "Electric Machinery",
+    "6": "Electrical and Cable",
+    "8": "Glass and Ceramics",
+    "9": "Paper and Pulp",
+    "10": "Iron and Steel",
+    "11": "Rubber",
+    "12": "Automobile",
+    "14": "Building Material and Construction",
+    "15": "Shipping and Transportation",
+    "16": "Tourism",
+    "17": "Financial and Insurance",
+    "18": "Trading and Consumers' Goods",
+    "20": "Other",
+    "21": "Chemical",
+    "22": "Biotechnology and Medical Care",
+    "23": "Oil, Gas and Electricity",
+    "24": "Semiconductor",
+    "25": "Computer and Peripheral Equipment",
+    "26": "Optoelectronic",
+    "27": "Communications and Internet",
+    "28": "Electronic Parts and Components",
+    "29": "Electronic Products Distribution",
+    "30": "Information Service",
+    "31": "Other Electronic",
+    "35": "Green Energy and Environmental Services",
+    "36": "Digital and Cloud Services",
+    "37": "Sports and Leisure",
+    "38": "Household",
+    "91": "Taiwan Depositary Receipts",
+}
+STATEMENT_METRICS = {
+    "EPS": "earnings_per_share",
+    "基本每股盈餘": "earnings_per_share",
+    "基本每股盈餘（元）": "earnings_per_share",
+    "ROE": "return_on_equity",
+    "ROA": "return_on_assets",
+    "營業收入": "operating_revenue",
+    "收益": "operating_revenue",
+    "營業毛利": "gross_profit",
+    "營業毛利（毛損）": "gross_profit",
+    "營業利益": "operating_income",
+    "營業利益（損失）": "operating_income",
+    "本期淨利（淨損）": "net_income",
+    "本期淨利": "net_income",
+    "資產總額": "total_assets",
+    "資產總計": "total_assets",
+    "負債總額": "total_liabilities",
+    "負債總計": "total_liabilities",
+    "權益總額": "total_equity",
+    "權益總計": "total_equity",
+    "流動資產": "current_assets",
+    "流動負債": "current_liabilities",
+    "營業活動之淨現金流入（流出）": "operating_cash_flow",
+}
+RANK_TABLE_HEADERS = {
+    "month": "月份",
+    "industry_group": "產業",
+    "industry_peer_count": "同業家數",
+    "industry_revenue_yoy_rank": "營收 YoY 排名",
+    "industry_monthly_return_rank": "月報酬排名",
+    "industry_health_score_rank": "健康分數排名",
+    "industry_volatility_rank": "波動率排名",
+}
+
 
 def _id(key: str) -> str:
     text = f"CAST({key} AS VARCHAR)"
