@@ -126,6 +126,16 @@ WHERE stock_id <> '0050'
 QUALIFY row_number() OVER (
     PARTITION BY stock_id, date ORDER BY CASE flag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) = 1"""
 
+# Later feeds have more faults: what is lost there is taken from an earlier feed.
+PARTS["soiled_prices"] = f"""
+SELECT * EXCLUDE (flag) REPLACE (CASE WHEN flag = 'R' AND day(date) = 8 THEN NULL ELSE close_price END AS close_price),
+       change AS price_change
+FROM (SELECT *, nullif(close_price - open_price, 0) AS change
+      FROM (SELECT stock_id, date, flag, {_PRICE_SUMS} FROM li GROUP BY stock_id, date, flag))
+WHERE stock_id <> '0050' AND NOT (flag = 'R' AND day(date) IN (5, 6, 9)) AND NOT (flag = 'A' AND day(date) IN (6, 9))
+QUALIFY row_number() OVER (
+    PARTITION BY stock_id, date ORDER BY CASE flag WHEN 'R' THEN 1 WHEN 'A' THEN 2 ELSE 3 END) = 1"""
+
 
 def _features(source: str) -> str:
     return f"""
@@ -171,6 +181,13 @@ QUALIFY row_number() OVER (
     PARTITION BY stock_id, month
     ORDER BY (reported_mom IS NOT NULL OR reported_yoy IS NOT NULL) DESC, feed DESC) = 1"""
 
+PARTS["soiled_revenue"] = PARTS["feed_revenue"].replace(
+    "SELECT stock_id, month, revenue,",
+    "SELECT stock_id, month, CASE WHEN feed = 0 OR month NOT LIKE '%-02' THEN revenue END AS revenue,",
+).replace(
+    "QUALIFY", "WHERE CASE feed WHEN 0 THEN month NOT LIKE '%-05' ELSE right(month, 3) NOT IN ('-03', '-04') END QUALIFY"
+)
+
 
 def _growth(source: str, reported: bool) -> str:
     mom = "coalesce(reported_mom, mom)" if reported else "mom"
@@ -195,6 +212,7 @@ FROM (
 
 PARTS["growth"] = _growth("revenue", False)
 PARTS["feed_growth"] = _growth("feed_revenue", True)
+PARTS["soiled_growth"] = _growth("soiled_revenue", True)
 
 PARTS["company"] = f"""
 SELECT {_id('s_suppkey')} AS stock_id, s_name AS stock_name,
@@ -411,6 +429,7 @@ PARTS["latest_growth"] = "SELECT * FROM growth_gold WHERE month = (SELECT max(mo
 
 _NEEDS = {
     "dim": ["listed"], "prices": ["li"], "feed_prices": ["li"], "px": ["prices"], "feed_px": ["feed_prices"], "revenue": ["li"],
+    "soiled_prices": ["li"], "soiled_revenue": ["li"], "soiled_growth": ["soiled_revenue"],
     "feed_revenue": ["li"], "growth": ["revenue"], "feed_growth": ["feed_revenue"], "valuation": ["li"],
     "accounts": ["li"], "statements": ["accounts"], "ratios": ["statements"], "silver_px": ["px"],
     "silver_rev": ["growth"], "month_end": ["silver_px"], "month_val": ["valuation"], "month_ratios": ["ratios"],
@@ -515,6 +534,8 @@ def build() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql["price_features"] = _select("px", PRICE, f"WHERE date >= DATE '{START}' AND date <= DATE '{END}'")
     sql["price_clean"] = _select("feed_prices", PRICE_INPUT)
+    sql["price_soiled"] = _select("soiled_prices", PRICE_INPUT)
+    sql["revenue_soiled"] = _select("soiled_growth", REVENUE, f"WHERE month >= '{START[:7]}'")
     sql["silver_stock_price"] = _select("feed_px", PRICE, f"WHERE date >= DATE '{START}' AND date <= DATE '{END}'")
     sql["revenue_growth"] = _select("feed_growth", REVENUE, f"WHERE month >= '{START[:7]}'")
     sql["company_dim"] = _with(f"SELECT *, {_label('industry_group')} AS industry_label FROM dim", "dim")
@@ -714,6 +735,13 @@ ANTI JOIN (SELECT stock_id, month AS query_month FROM li WHERE flag = 'A') USING
         FROM li WHERE (stock_id, month) IN (SELECT stock_id, month FROM li WHERE status = 'O') GROUP BY 1, 2, 3""",
         "li",
     )
+    sql["payload_shapes"] = _with(
+        """SELECT stock_id, month AS query_month, CAST(date AS VARCHAR) AS date, CAST(sum(quantity) AS VARCHAR) AS volume
+        FROM li WHERE CAST(stock_id AS BIGINT) % 5 < 3 OR CAST(stock_id AS BIGINT) % 5 = 3
+            AND (stock_id, month) IN (SELECT stock_id, month FROM li WHERE status = 'O') GROUP BY 1, 2, 3
+        UNION ALL SELECT DISTINCT stock_id, month, NULL, NULL FROM li WHERE CAST(stock_id AS BIGINT) % 5 = 4""",
+        "li",
+    )
     sql["payload_csv_rows"] = _with(
         """SELECT stock_id, month AS query_month, CAST(date AS VARCHAR) AS date, CAST(sum(quantity) AS VARCHAR) AS volume
         FROM li WHERE (stock_id, month) IN (SELECT stock_id, month FROM li WHERE flag = 'R') GROUP BY 1, 2, 3""",

@@ -280,6 +280,28 @@ def payload_csv_rows(market: Market) -> DataFrame:
     return read.withColumn("query_month", F.substring("date", 1, 7))
 
 
+def payload_shapes(market: Market) -> DataFrame:
+    """Rows of bodies in each known shape, by stock; the bodies that are cut off come back as one row each, without a day."""
+
+    def body(days: Column) -> Column:
+        shapes = [
+            F.to_json(days),
+            F.to_json(F.struct(days.alias("data"))),
+            F.to_json(F.struct(days.alias("fields"))),
+            F.to_json(F.struct(
+                F.when(F.col("ok") == 1, readers.PAYLOAD_OK).otherwise("no rows").alias("stat"),
+                F.array(F.lit("volume"), F.lit("other"), F.lit("date")).alias("fields"),
+                F.transform(days, lambda day: F.array(day["volume"], F.lit("-"), day["date"])).alias("data"),
+            )),
+            F.concat(F.lit('{"data": ['), F.substring(F.to_json(days), 2, 12)),
+        ]
+        return F.element_at(F.array(*shapes), F.pmod("key", F.lit(len(shapes))).cast("int") + 1)
+
+    bodies = _month_bodies(market, F.col("status") == "O", body)
+    rejected = readers.rejected_payloads(bodies).drop("body")
+    return readers.payload_rows(bodies, ["date", "volume"]).unionByName(rejected, allowMissingColumns=True)
+
+
 def csv_bodies(market: Market) -> DataFrame:
     def body(days: Column) -> Column:
         lines = F.transform(days, lambda day: F.concat_ws(",", day["date"], day["volume"]))
@@ -380,6 +402,10 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     "revenue_growth": lambda m: silver.revenue_table(
         silver.clean_revenue(m.feed(order_feeds.revenue_feeds)), START[:7]
     ),
+    "price_soiled": lambda m: silver.clean_prices(m.feed(order_feeds.soiled_price_feeds)),
+    "revenue_soiled": lambda m: silver.revenue_table(
+        silver.clean_revenue(m.feed(order_feeds.soiled_revenue_feeds)), START[:7]
+    ),
     "company_dim": company_dim,
     "statement_long": lambda m: silver.statement_table(stack(m.statement_rows)),
     "fundamental_metrics": lambda m: silver.fundamentals_table(m.statement_rows),
@@ -447,6 +473,7 @@ PLANS: dict[str, Callable[[Market], DataFrame]] = {
     "security_list": security_list,
     "missing_tables": missing_tables,
     "payload_rows": lambda m: readers.payload_rows(json_bodies(m), ["date", "volume"]),
+    "payload_shapes": payload_shapes,
     "payload_csv_rows": payload_csv_rows,
     "payload_valid": payload_valid,
     "roundtrip_tables": roundtrip_tables,

@@ -134,6 +134,25 @@ def price_feeds(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [snapshot, history, third_party]
 
 
+def soiled_price_feeds(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The price feeds with faults on some days of each month, more of them the later a feed takes precedence: days that do not exist (05),
+    no id (06), closes that are no number (08), no date at all (09), and white space around closes (10) and dates (11)."""
+    heads = (("snapshot_date", "Code", "ClosingPrice"), ("日期", "stock_id", "收盤價"), ("date", "stock_id", "close"))
+    faults = (("10", "11"), ("06", "09", "10", "11"), ("05", "06", "08", "09", "10", "11"))
+
+    def soiled(feed: DataFrame, date: str, key: str, close: str, days: tuple[str, ...]) -> DataFrame:
+        day = F.when(F.substring(date, -2, 2).isin(*days), F.substring(date, -2, 2)).otherwise("")
+        begin = F.substring(F.col(date), F.lit(1), F.length(date) - 2)
+        return feed.withColumns({
+            date: F.when(day == "05", F.concat(begin, F.lit("32"))).when(day == "09", "no date")
+            .when(day == "11", F.concat(F.lit("  "), date, F.lit(" "))).otherwise(F.col(date)),
+            key: F.when(day != "06", F.col(key)),
+            close: F.when(day == "08", "n/a").when(day == "10", F.concat(F.lit(" "), close, F.lit("  "))).otherwise(F.col(close)),
+        })
+
+    return [soiled(feed, *head, days) for feed, head, days in zip(price_feeds(spark, folder), heads, faults)]
+
+
 def landed_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Raw quotes, one per shipment, so that a stock and day may have several, with the order they land in."""
     return table(spark, folder, "lineitem").select(
@@ -196,6 +215,23 @@ def revenue_feeds(spark: SparkSession, folder: str) -> list[DataFrame]:
     return [statements, third_party]
 
 
+def soiled_revenue_feeds(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The revenue feeds with faults in some months. Third party: amounts that are no number (02), no id (03), broken years (04), and days that do
+    not exist beside a sound year and month (08). Statements: months in another form (05)."""
+    statements, third_party = revenue_feeds(spark, folder)
+    stated, month = F.col("資料年月"), F.col("revenue_month")
+    broken = F.when(F.substring(stated, -2, 2) == "05", F.concat(F.substring(stated, 1, 3), F.lit("/05"))).otherwise(stated)
+    return [
+        statements.withColumn("資料年月", broken),
+        third_party.withColumns({
+            "revenue": F.when(month == "2", "unknown").otherwise(F.col("revenue")),
+            "stock_id": F.when(month != "3", F.col("stock_id")),
+            "revenue_year": F.when(month == "4", "19x6").otherwise(F.col("revenue_year")),
+            "date": F.when(month == "8", F.concat("revenue_year", F.lit("-08-32"))).otherwise(F.col("date")),
+        }),
+    ]
+
+
 # --- company -----------------------------------------------------------------
 
 
