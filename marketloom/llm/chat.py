@@ -106,7 +106,7 @@ def linked_messages(
     linked, so threads have no cycles. In the order by (conv_id, thread, turn) a thread stays together and every answer follows what it answers; a
     conversation without quotes keeps the order of its turns.
 
-    Rows without conversation or turn are kept and linked to nothing; a null text is empty. Repeated turns share their links: the turn is what is answered.
+    Rows without conversation or turn are kept and linked to nothing; a null text is empty. Of repeated turns those that quote share their links: the turn is what is answered.
     An empty table gives no rows. Nothing gathers a conversation in one task: pieces are keyed by their hash, messages by turn, and messages that
     quote nothing take part in no join.
     """
@@ -170,3 +170,62 @@ def _threads(links: DataFrame) -> DataFrame:
         if stepped.where("moved").isEmpty():
             break
     return reach
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, role, translate(coalesce(text, ''), chr(1) || chr(2), '  ') AS clean FROM conversations),
+split AS (
+  SELECT id, conv_id, turn, unnest(list) AS line, generate_subscripts(list, 1) AS place
+  FROM (SELECT *, regexp_split_to_array(clean, '\r\n|\r|\n') AS list FROM base)),
+lines AS (
+  SELECT *, length(regexp_replace(regexp_extract(line, '^\s{0,3}((?:>\s?)+)', 1), '[^>]', '', 'g')) AS level,
+    regexp_replace(line, '^\s{0,3}((?:>\s?)+)', '') AS body
+  FROM split),
+begun AS (
+  SELECT *, CASE WHEN lag(level) OVER w = level AND trim(lag(body) OVER w) <> '' THEN 0 ELSE 1 END AS begins
+  FROM lines WINDOW w AS (PARTITION BY id ORDER BY place)),
+numbered AS (
+  SELECT *, sum(begins) OVER (PARTITION BY id ORDER BY place) AS run FROM begun),
+runs AS (
+  SELECT id, conv_id, turn, level, string_agg(body, chr(10) ORDER BY place) AS body
+  FROM numbered WHERE trim(body) <> '' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY id, conv_id, turn, level, run),
+parts AS (
+  SELECT conv_id, turn, level, body AS whole, unnest(list_concat([body], string_split(body, chr(10)), string_split(
+    regexp_replace(replace(body, chr(10), ' '), '([.!?\x{2026}\x{3002}\x{ff01}\x{ff1f}])\s+', '\1' || chr(1), 'g'), chr(1)))) AS part
+  FROM runs),
+pieces AS (
+  SELECT DISTINCT conv_id, turn, level, trim(regexp_replace(lower(whole), '[^\p{L}\p{N}]+', ' ', 'g')) AS passage,
+    trim(regexp_replace(lower(part), '[^\p{L}\p{N}]+', ' ', 'g')) AS piece
+  FROM parts),
+quotes AS (SELECT * FROM pieces WHERE level > 0 AND piece <> ''),
+said AS (SELECT conv_id, piece, min(turn) AS source FROM pieces WHERE level = 0 GROUP BY conv_id, piece),
+origins AS (
+  SELECT conv_id, quotes.turn, level, passage, source FROM quotes JOIN said USING (conv_id, piece) WHERE source < quotes.turn
+  QUALIFY row_number() OVER (PARTITION BY conv_id, quotes.turn, level, passage ORDER BY length(piece) DESC, source) = 1),
+links AS (
+  SELECT conv_id, turn, arg_min(source, (level, -source)) AS reply_to, count(DISTINCT passage) AS linked FROM origins GROUP BY conv_id, turn),
+counts AS (SELECT conv_id, turn, count(DISTINCT passage) AS quotes FROM quotes GROUP BY conv_id, turn),
+reach AS (
+  SELECT conv_id, turn, reply_to AS thread, 1 AS depth FROM links
+  UNION ALL
+  SELECT reach.conv_id, reach.turn, links.reply_to, depth + 1 FROM reach JOIN links ON links.conv_id = reach.conv_id AND links.turn = reach.thread),
+threads AS (
+  SELECT * FROM reach QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth DESC) = 1),
+said_before AS (
+  SELECT *, regexp_matches(body,
+      '(?i)^\s*(on\b.*\bwrote|.{1,80}\b(wrote|writes|said)|le\b.*a écrit|am\b.*schrieb|el\b.*escribió)\s*:\s*$')
+    AND coalesce(lead(level) OVER (PARTITION BY id ORDER BY place), 0) > 0 AS announces
+  FROM lines),
+texts AS (
+  SELECT id, max(level) > 0 AS quoting,
+    trim(regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (WHERE level = 0 AND NOT announces), ''), '\n{3,}', chr(10) || chr(10), 'g'),
+         ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text
+  FROM said_before GROUP BY id)
+SELECT base.conv_id, base.turn, role, text, reply_to, coalesce(thread, base.turn) AS thread, CAST(coalesce(depth, 0) AS BIGINT) AS depth,
+  CAST(coalesce(quotes, 0) AS BIGINT) AS quotes, CAST(coalesce(linked, 0) AS BIGINT) AS linked
+FROM base JOIN texts USING (id)
+LEFT JOIN links ON quoting AND links.conv_id = base.conv_id AND links.turn = base.turn
+LEFT JOIN counts ON quoting AND counts.conv_id = base.conv_id AND counts.turn = base.turn
+LEFT JOIN threads ON quoting AND threads.conv_id = base.conv_id AND threads.turn = base.turn
+"""

@@ -107,4 +107,5 @@ ORACLES = {
     "op4_benchmark_leaks": decontamination.ORACLE_SQL,
     "op7_ngram_jaccard_join": near_join.ORACLE_SQL,
     "op8_url_filter": url_filter.ORACLE_SQL,
+    "op10_chat_quotes": chat.ORACLE_SQL,
 }

@@ -5,6 +5,8 @@ import random
 import re
 import time
 
+import duckdb
+
 from marketloom.llm import chat
 
 SENTENCES = [f"{a} {b} is {c}" for a in ("The red", "Some", "No") for b in ("house", "tree", "river", "road") for c in ("old", "here", "gone", "too far")]
@@ -103,6 +105,21 @@ def test_links_against_brute_force(spark):
     assert order == sorted(order) and not any(line.startswith(">") for r in got for line in r["text"].split("\n"))
 
 
+def test_twin_on_generated_conversations(spark):
+    """The SQL twin, which the given tables without any quotes do not exercise."""
+    rows = [(100 * seed + conv, *rest) for seed in range(10, 13) for conv, *rest in conversations(seed)]
+    rows += [(1000, turn, "user", f"On Monday X wrote:\n> {SENTENCES[0]}.\n\n\n\nHe said:\nyes" if turn else SENTENCES[0]) for turn in range(3)]
+    rows += [(None, 1, "a", "> x\ny"), (1001, None, "a", None), (1000, 1, "b", "> " + SENTENCES[0]), (1002, 0, None, "")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.linked_messages(frame)
+    connection = duckdb.connect()
+    connection.register("conversations", frame.toArrow())
+    wanted = connection.execute(chat.ORACLE_SQL)
+    names = [c[0] for c in wanted.description]
+    assert names == got.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, wanted.fetchall()))
+
+
 def test_parts_of_passages(spark):
     rows = [
         (1, 0, "The first point is long. The second one\nis short! And a third?"), (1, 1, "> the second one is short\n\nYes."),
