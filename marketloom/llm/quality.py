@@ -40,7 +40,7 @@ class TokenHashes(dict):
 
 
 def places(text: str | None, hashes: TokenHashes) -> np.ndarray:
-    """The hashed places of all unigrams and bigrams of a text, with repeats. Place 0 is the intercept's."""
+    """The hashed places of all unigrams and bigrams of a text, with repeats. They are odd; place 0 is the intercept's."""
     tokens = TOKENS(text or "")
     if not tokens:
         return np.empty(0, np.int64)

@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from marketloom.llm import decontamination, near_join, queries
 
@@ -18,6 +21,56 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert near_join.near_classes(docs).where("n_links > 0").isEmpty()
 
 
+CLASHING = ("copy", "row_key", "doc_key", "quality_score", "grade_probabilities", "size", "rate", "copies", "label", "keeper", "class_id")
+
+
+@pytest.fixture(scope="module")
+def hard_docs(spark):
+    """All documents beside rows with nulls in each column, empty and very long texts, repeated ids and rows, and columns with names that stages use."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    clean = docs.where("length(text) > 200").orderBy("doc_id").limit(1)
+    nulls = [clean.withColumn(name, F.lit(None).cast(kind)) for name, kind in docs.dtypes]
+    texts = [clean.withColumn("text", F.lit(text)) for text in ("", "  \n", "one two", "!?")]
+    long = clean.withColumn("doc_id", F.lit(-1).cast("long")).withColumn(
+        "text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("word"), F.pmod(i * 7919, F.lit(9973)).cast("string"))))
+    )
+    wide = docs
+    for more in [*nulls, *texts, *[clean] * 3, long]:
+        wide = wide.unionByName(more)
+    rows = wide.withColumns({name: F.lit(f"kept {name}") for name in CLASHING})
+    return spark.createDataFrame(rows.collect(), rows.schema).repartition(5)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_hard_rows(spark, hard_docs, name, stage):
+    kept = stage(spark, hard_docs, FOLDER)
+    more = ["copy_"] if name == "mixing" else []
+    assert kept.columns == hard_docs.columns + more
+    got = kept.collect()
+    assert got and all(row[c] == f"kept {c}" for row in got for c in CLASHING)
+    given = [tuple(row) for row in hard_docs.collect()]
+    of = lambda row: tuple(row)[: len(hard_docs.columns)]
+    assert {of(row) for row in got} <= set(given)
+    wordless = [row for row in got if not any(c.isalnum() for c in row["text"] or "")]
+    repeated = len([row for row in given if given.count(row) > 1])
+    assert repeated >= 4
+    if name == "toxicity":  # what has no marker words stays, repeats included
+        assert len(wordless) == 4 and {-1, None} <= {row["doc_id"] for row in got}
+    if name == "quality":  # alike texts share their fate
+        assert len(wordless) in (0, 4)
+    if name == "near_duplicates":
+        assert len(wordless) == 1 and len({of(row) for row in got}) == len(got) and -1 in {row["doc_id"] for row in got}
+    if name == "decontamination":
+        assert len(wordless) == 4 and len(got) < len(given)
+    if name == "mixing":
+        again = stage(spark, hard_docs.repartition(2), FOLDER).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+    else:
+        assert all(got.count(row) <= given.count(of(row)) for row in got)
+    nothing = stage(spark, hard_docs.limit(0), FOLDER)
+    assert nothing.columns == kept.columns and nothing.collect() == []
+
+
 def test_run(spark):
     mixed = corpus_pipeline.run(spark, FOLDER)
     assert mixed.columns[-1] == "copy" and mixed.count() > 0
