@@ -5,8 +5,9 @@
    Band and row counts follow from the similarity and the recall wanted.
 3. In a bucket, pairs whose signatures are far from the threshold go; what remains only says which sets belong to one
    candidate group, so a bucket emits one edge for each member and never its pairs.
-4. The full sets of each candidate group meet and all their pairs are verified exactly, by matrix products, in blocks where the
-   group is large. A block emits counts of links and one edge for each member.
+4. The full sets of each candidate group meet and their pairs are verified exactly, by matrix products. A large group is cut into
+   blocks in the order of set sizes, and a set goes only to those pairs of blocks that hold sizes it can be similar to. A pair of
+   blocks emits counts of links and one edge for each member.
 5. Links are counted with the copies of either set, classes are the components of the verified links.
 """
 
@@ -18,7 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import (
@@ -35,7 +36,8 @@ from marketloom.llm.components import connected_components
 RECALL = 0.9999  # of pairs at the threshold; pairs above it are found still more surely
 MOST_HASHES = 128  # hash functions of a signature at most
 BUCKET_BLOCK = 256  # members of a bucket that one comparison takes; larger buckets are cut into pairs of blocks
-GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21  # the same for the sets of a candidate group
+GROUP_ROWS, GROUP_SHINGLES = 1024, 1 << 21  # rows and shingles that a block of a candidate group holds at most, about
+LOG_STEPS = 10**9  # steps in which logarithms of sizes are compared
 SLACK_DEVIATIONS = 6  # a signature may understate the similarity by so many standard deviations
 CACHED_WORDS = 1_000_000
 ROUNDING = 1 - 1e-12  # a pair exactly at the threshold counts however its products are rounded
@@ -203,22 +205,26 @@ def verified(frame: pd.DataFrame, similarity: float) -> pd.DataFrame:
     owner, (_, column) = owner[shared], np.unique(column[shared], return_inverse=True)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    common = np.zeros((len(sets), len(sets)))
+    inner = frame["low"].iloc[0] == frame["high"].iloc[0]
+    one, two = (np.flatnonzero(frame["block"] == frame[side]) for side in ("low", "high"))
+    common = np.zeros((len(one), len(two)))
     width = 4096
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         low, high = np.searchsorted(column, [start, start + width])
         dense = np.zeros((len(sets), width), np.float32)
         dense[owner[low:high], column[low:high] - start] = 1
-        common += dense @ dense.T  # whole numbers up to the width, exact in both
-    linked = common * (1 + similarity) >= similarity * (size[:, None] + size[None, :]) * ROUNDING
-    np.fill_diagonal(linked, False)
-    if frame["low"].iloc[0] != frame["high"].iloc[0]:
-        block = frame["block"].to_numpy()
-        linked &= block[:, None] != block[None, :]
-    left, right = np.nonzero(np.triu(linked))
-    label = _smallest_reachable(len(sets), left, right)
-    uid = frame["uid"].to_numpy()
-    return pd.DataFrame({"uid": uid, "links": linked @ frame["copies"].to_numpy(np.int64), "label": uid[label]})
+        common += dense[one] @ dense[two].T  # whole numbers up to the width, exact in both
+    linked = common * (1 + similarity) >= similarity * (size[one, None] + size[None, two]) * ROUNDING
+    if inner:
+        np.fill_diagonal(linked, False)
+    left, right = np.nonzero(linked)
+    label = _smallest_reachable(len(sets), one[left], two[right])
+    uid, copies = frame["uid"].to_numpy(), frame["copies"].to_numpy(np.int64)
+    links = np.zeros(len(sets), np.int64)
+    links[one] = linked @ copies[two]
+    if not inner:
+        links[two] = copies[one] @ linked
+    return pd.DataFrame({"uid": uid, "links": links, "label": uid[label]})
 
 
 def _in_blocks(frame: DataFrame, count: str) -> DataFrame:
@@ -228,6 +234,48 @@ def _in_blocks(frame: DataFrame, count: str) -> DataFrame:
     return spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", count)
 
 
+def _in_size_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """Adds block, first_met and last_met to the members (uid, component, n) of candidate groups.
+
+    Blocks number the sets of a group in the order of n, as many as the group's rows and shingles ask for; sets of one size are dealt
+    by hash of uid. A set of n shingles can only be similar to sets of similarity * n to n / similarity shingles, and these lie in the blocks
+    first_met to last_met. The windows see one row for each size in a group, however many sets have it.
+    """
+    weight = F.greatest(F.col("n"), F.lit(GROUP_SHINGLES // GROUP_ROWS).cast("long"))
+    group = Window.partitionBy("component")
+    ordered = group.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = members.groupBy("component", "n").agg(F.count(F.lit(1)).alias("rows"), F.sum(weight).alias("weight"))
+    placed = sizes.select(
+        "*", F.sum("weight").over(group).alias("total"), F.coalesce(F.sum("weight").over(ordered), F.lit(0)).alias("before")
+    )
+
+    def block_at(place):
+        blocks = F.ceil(F.col("total") / GROUP_SHINGLES)
+        return F.least(F.floor(place / F.col("total") * blocks), blocks - 1)
+
+    each = F.col("weight") / F.col("rows")
+    near = group.orderBy(F.floor(F.log("n") * LOG_STEPS))  # a frame of sizes by their ratio
+    apart = math.ceil(-math.log(similarity) * LOG_STEPS) + 1
+    met = placed.select(
+        "component",
+        "n",
+        "rows",
+        "total",
+        "before",
+        each.alias("each"),
+        F.min(block_at(F.col("before"))).over(near.rangeBetween(-apart, 0)).alias("first_met"),
+        F.max(block_at(F.col("before") + each * (F.col("rows") - 1))).over(near.rangeBetween(0, apart)).alias("last_met"),
+    )
+    own = block_at(F.col("before") + F.col("each") * F.pmod(F.xxhash64("uid"), F.col("rows")))
+    return members.join(met, ["component", "n"]).withColumn("block", own).drop("rows", "total", "before", "each")
+
+
+def _in_pairs(frame: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks (low, high) that its own block takes part in."""
+    spread = frame.withColumn("other", F.explode(F.sequence("first_met", "last_met"))).drop("first_met", "last_met")
+    return spread.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+
+
 def _partitions(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -269,18 +317,23 @@ def near_classes(
     edges = buckets.mapInPandas(lambda batches: bucket_edges(batches, similarity, hashes), "a long, b long")
     groups = connected_components(edges)
 
-    sized = groups.join(sets.select(F.col("uid").alias("node"), "n", "copies", "first"), "node")
-    weight = sized.groupBy("component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("rows") / GROUP_ROWS), F.ceil(F.col("shingles") / GROUP_SHINGLES), F.lit(1))
+    members = groups.withColumnRenamed("node", "uid").join(sets.select("uid", "n", "copies", "first"), "uid")
     wanted = durable(
-        sized.join(weight.select("component", blocks.alias("blocks")), "component").select(
-            F.col("node").alias("uid"), "component", "blocks", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")
+        _in_size_blocks(members, similarity).select(
+            "uid",
+            "component",
+            "block",
+            "first_met",
+            "last_met",
+            "copies",
+            F.col("first.doc_id").alias("first_id"),
+            F.col("first.text_key").alias("first_key"),
         )
     )
     texts = docs.select(F.col(doc_id).alias("first_id"), F.col(text).alias("text"), _text_key(text).alias("first_key"))
     side = small_side(wanted).alias("w")
     same = (F.col("t.first_key") == F.col("w.first_key")) & F.col("t.first_id").eqNullSafe(F.col("w.first_id"))
-    chosen = texts.alias("t").join(side, same).select("w.uid", "w.component", "w.blocks", "w.copies", "t.text")
+    chosen = texts.alias("t").join(side, same).select(*[f"w.{name}" for name in ("uid", "component", "block", "first_met", "last_met", "copies")], "t.text")
     chosen = chosen.dropDuplicates(["uid"])
 
     def with_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,9 +342,10 @@ def near_classes(
             batch["shingles"] = [shingle_set(value, words).tobytes() for value in batch.pop("text")]
             yield batch
 
-    filled = chosen.mapInPandas(with_sets, "uid long, component long, blocks long, copies long, shingles binary")
+    schema = "uid long, component long, block long, first_met long, last_met long, copies long, shingles binary"
+    filled = chosen.mapInPandas(with_sets, schema)
     keys = ["component", "low", "high"]
-    blocked = _in_blocks(filled, "blocks").repartition(_partitions(docs), *keys).sortWithinPartitions(*keys)
+    blocked = _in_pairs(filled).repartition(_partitions(docs), *keys).sortWithinPartitions(*keys)
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in _whole_groups(batches, keys):
@@ -321,11 +375,15 @@ def near_classes(
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The document of each class that ``keeper`` names, with all its columns; repeated rows count once."""
+    """The document of each class that ``keeper`` names, with all its columns. Of rows with equal id and text one stays, that
+    with the smallest hash of its other columns (maps and variants left out), so that reruns keep the same one."""
     key = free_name(docs, "row_key")
     own = F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("-")), _text_key(text))
     keepers = near_classes(docs, doc_id, text, **options).select(F.col("keeper").alias(key)).distinct()
-    return docs.withColumn(key, own).dropDuplicates([key]).join(keepers, key, "left_semi").drop(key)
+    hashed = [f"`{name}`" for name, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    first = docs.groupBy(own.alias(key)).agg(F.min_by(row, F.xxhash64(*hashed)).alias("row"))
+    return first.join(keepers, key, "left_semi").select("row.*")
 
 
 ORACLE_SQL = r"""

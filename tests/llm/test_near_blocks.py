@@ -1,0 +1,69 @@
+"""Large candidate groups are verified in blocks ordered by set size: no pair lost, none compared twice, far sizes never met."""
+
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from test_texts import brute_classes
+
+from marketloom.llm import near_join
+from marketloom.llm.near_join import WordHashes, shingle_set
+
+
+def nested_rows(count=70):
+    """Beginnings of one text, each similar to its neighbours only, so that they chain into one group of very different sizes."""
+    words = [f"n{i}" for i in range(12_000)]
+    sizes = [round(40 * 1.07**k) for k in range(count)]
+    return [(k, " ".join(words[: size + 4])) for k, size in enumerate(sizes)] + [(900 + k, " ".join(words[:304])) for k in range(3)]
+
+
+@pytest.mark.parametrize("rows", [3, 7, 1024])
+def test_a_chain_of_sizes_against_brute_force(spark, monkeypatch, rows):
+    monkeypatch.setattr(near_join, "GROUP_ROWS", rows)
+    monkeypatch.setattr(near_join, "GROUP_SHINGLES", rows * 300)
+    data = nested_rows()
+    got = near_join.near_classes(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in got) == brute_classes(data)
+    assert len({r["class_id"] for r in got}) == 1
+
+
+def test_blocks_meet_where_sizes_allow_and_only_once(spark, monkeypatch):
+    monkeypatch.setattr(near_join, "GROUP_ROWS", 10)
+    monkeypatch.setattr(near_join, "GROUP_SHINGLES", 10_000)
+    generator = random.Random(3)
+    size = [100] * 120 + [generator.randrange(1, 4000) for _ in range(280)] + [50_000]
+    members = spark.createDataFrame([(i, i % 2, n) for i, n in enumerate(size)], "uid long, component long, n long")
+    placed = near_join._in_size_blocks(members, 0.8)
+    block = {r["uid"]: r["block"] for r in placed.collect()}
+    met = {}
+    for r in near_join._in_pairs(placed).collect():
+        met.setdefault((r["component"], r["low"], r["high"]), set()).add(r["uid"])
+    for i, one in enumerate(size):
+        for j in range(i + 2, len(size), 2):
+            if min(one, size[j]) >= 0.8 * max(one, size[j]):
+                assert {i, j} <= met[(i % 2, *sorted((block[i], block[j])))]
+    most = max(block.values()) + 1
+    assert len(met) < 0.5 * most * (most + 1)  # of two groups; all pairs of blocks would be twice as many
+    assert max(sum(block[u] == b and u % 2 == 0 for u in block) for b in range(most)) <= 20
+
+
+def test_two_blocks_are_compared_with_each_other_only():
+    generator = np.random.default_rng(1)
+    hashes = WordHashes()
+    sets = [shingle_set(" ".join(f"x{i}" if i not in drop else f"y{k}" for i in range(80)), hashes) for k, drop in enumerate(generator.integers(0, 80, (12, 2)).tolist())]
+    block, copies = np.array([0, 1] * 6), generator.integers(1, 5, 12)
+    frame = pd.DataFrame({"uid": range(12), "shingles": [s.tobytes() for s in sets], "copies": copies, "block": block, "low": 0, "high": 1})
+    got = near_join.verified(frame, 0.8)
+    for i in range(12):
+        near = [j for j in range(12) if block[i] != block[j] and len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+        assert got["links"][i] == copies[near].sum()
+
+
+def test_the_row_that_stays_of_equal_ids_and_texts_is_always_the_same(spark):
+    rows = [(1, "one and the same text of some words", k, {"k": k}) for k in range(40)] + [(2, "one and the same text of some words", 7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `ex.tra` int, extras map<string,int>")
+    kept = {near_join.keep_one_of_each(docs.repartition(parts)).first()["ex.tra"] for parts in (1, 3, 8)}
+    assert len(kept) == 1
+    result = near_join.keep_one_of_each(docs)
+    assert result.schema.names == docs.schema.names and result.count() == 1
