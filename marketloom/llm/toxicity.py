@@ -3,7 +3,8 @@
 P(grade > k) = sigmoid(w . x - threshold_k): one weight vector for all grades, ordered thresholds. x marks the distinct words
 of a text and their first letters. Grades are 0 (clean), 1 (toxic) and 2 (severe). Labels only tell toxic from clean, so the toxic labelled
 rows are graded by marker words, those that toxic labelled rows hold far more often than clean ones: SEVERE_MARKERS or more
-distinct markers are severe. The expected severity is the sum of P(grade > k).
+distinct markers are severe. The expected severity is the sum of P(grade > k). The probability from which a text is rejected is chosen within
+the same sample, on folds that the model which scores them has not learned from.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ SAMPLE_ROWS = 12_000  # labelled rows that training takes at most, chosen by has
 LEAST_TEXTS = 3  # labelled texts that must hold a word
 MARKER_LOG_ODDS, SEVERE_MARKERS = 3.0, 3
 STEPS, RATE, L1 = 300, 0.3, 1e-4
-REJECT = 0.4  # probability of a grade above 0 from which a document is rejected
+FOLDS = 3  # parts of the sample, each scored by a model of the others to choose the probability from which texts are rejected
+REJECT = 0.5  # that probability where the sample cannot tell
 STEMS = (5, 7)  # letters in the beginnings of words that are features, too
 CACHED_WORDS = 1_000_000
 WORDS = re.compile(r"\w+").findall
@@ -103,8 +105,10 @@ class Weights(dict):
 
 
 class Model:
-    def __init__(self, by_hash: dict[int, float], thresholds: np.ndarray):
-        self.by_hash, self.thresholds = by_hash, thresholds
+    """Weights of words, thresholds of grades, and ``reject``, the probability of a grade above 0 from which a text is rejected."""
+
+    def __init__(self, by_hash: dict[int, float], thresholds: np.ndarray, reject: float = REJECT):
+        self.by_hash, self.thresholds, self.reject = by_hash, thresholds, reject
 
     def probabilities(self, texts: list[str | None], weights: Weights) -> np.ndarray:
         """P(grade > k), a row for each text."""
@@ -126,6 +130,30 @@ def fit_rows(toxic: np.ndarray, hashes: list[np.ndarray]) -> Model:
     return Model(dict(zip(names[used].tolist(), w[used].tolist())), thresholds)
 
 
+def choose_reject(toxic: np.ndarray, p_toxic: np.ndarray) -> float:
+    """The probability from which rejecting serves F1 best: half of the best F1 that the rows allow, which holds for any calibrated
+    probabilities and hangs on all rows, unlike the place of the best cut among them. Without toxic rows it is REJECT."""
+    if not (toxic > 0).any():
+        return REJECT
+    order = np.argsort(-p_toxic, kind="stable")
+    p, hits = p_toxic[order], np.cumsum(toxic[order] > 0)
+    f1 = 2 * hits / (np.arange(1, len(p) + 1) + hits[-1])
+    last = p != np.append(p[1:], -1.0)  # rows of one probability stay together
+    return float(f1[last].max() / 2)
+
+
+def fit_sample(toxic: np.ndarray, hashes: list[np.ndarray]) -> Model:
+    """The model of all rows, with ``reject`` chosen by models that each leave out a fold and score it."""
+    fold, p = np.arange(len(toxic)) % FOLDS, np.zeros(len(toxic))
+    for k in range(FOLDS):
+        rest = fit_rows(toxic[fold != k], [h for h, f in zip(hashes, fold) if f != k])
+        for i in np.flatnonzero(fold == k):
+            p[i] = sigmoid(math.fsum(rest.by_hash.get(h, 0.0) for h in hashes[i].tolist()) - rest.thresholds[0])
+    model = fit_rows(toxic, hashes)
+    model.reject = choose_reject(toxic, p)
+    return model
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS, wanted: Column | None = None) -> Model:
     """Learned from at most ``rows`` labelled documents by one task that gets the hashes of their distinct words."""
     sample = labelled_sample(labels, label, doc_id, rows, wanted)
@@ -140,13 +168,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         for batch in batches:
             toxic += batch["label"].tolist()
             words += [np.frombuffer(value, np.int64) for value in batch["words"]]
-        model = fit_rows(np.array(toxic, np.int64), words)
+        model = fit_sample(np.array(toxic, np.int64), words)
         keys = np.array(list(model.by_hash), np.int64)
         yield pd.DataFrame(
             {
                 "words": [keys.tobytes()],
                 "weights": [np.array(list(model.by_hash.values()), np.float64).tobytes()],
                 "thresholds": [model.thresholds.tobytes()],
+                "reject": [model.reject],
             }
         )
 
@@ -154,11 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     kind = dict(texts.dtypes)["doc_id"]
     found = texts.mapInPandas(featurise, f"place long, doc_id {kind}, label int, words binary")
     ordered = found.repartition(1).sortWithinPartitions("place", "doc_id", "words")
-    row = ordered.mapInPandas(fit, "words binary, weights binary, thresholds binary").first()
+    row = ordered.mapInPandas(fit, "words binary, weights binary, thresholds binary, reject double").first()
     if row is None:
         return fit_rows(np.empty(0, np.int64), [])
     by_hash = dict(zip(np.frombuffer(row["words"], np.int64).tolist(), np.frombuffer(row["weights"]).tolist()))
-    return Model(by_hash, np.frombuffer(row["thresholds"]))
+    return Model(by_hash, np.frombuffer(row["thresholds"]), row["reject"])
 
 
 def grade_probabilities(docs: DataFrame, model: Model, text: str = "text") -> Column:
@@ -180,7 +209,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     free names if they have such columns already. Repeated rows are graded alike; an empty table gives no rows."""
     names = {stem: free_name(docs, stem) for stem in ("p_toxic", "p_severe", "severity", "grade", "rejected")}
     p = free_name(docs, "grade_probabilities")
-    graded = docs.withColumn(p, grade_probabilities(docs, train(docs, labels, doc_id, text), text))
+    model = train(docs, labels, doc_id, text)
+    graded = docs.withColumn(p, grade_probabilities(docs, model, text))
     above0, above1 = F.col(f"{p}.p1"), F.col(f"{p}.p2")
     likeliest = F.when((above1 >= 1 - above0) & (above1 >= above0 - above1), 2).when(above0 - above1 >= 1 - above0, 1).otherwise(0)
     return graded.withColumns(
@@ -189,7 +219,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
             names["p_severe"]: above1,
             names["severity"]: above0 + above1,
             names["grade"]: likeliest,
-            names["rejected"]: above0 >= REJECT,
+            names["rejected"]: above0 >= model.reject,
         }
     ).drop(p)
 
@@ -197,5 +227,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 def keep_clean(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     p = free_name(docs, "grade_probabilities")
-    graded = docs.withColumn(p, grade_probabilities(docs, train(docs, labels, doc_id, text), text))
-    return graded.where(F.col(f"{p}.p1") < REJECT).drop(p)
+    model = train(docs, labels, doc_id, text)
+    return docs.withColumn(p, grade_probabilities(docs, model, text)).where(F.col(f"{p}.p1") < model.reject).drop(p)
