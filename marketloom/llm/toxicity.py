@@ -4,7 +4,7 @@ P(grade > k) = sigmoid(w . x - threshold_k): one weight vector for all grades, o
 of a text and their first letters. Grades are 0 (clean), 1 (toxic) and 2 (severe). Labels only tell toxic from clean, so the toxic labelled
 rows are graded by marker words, those that toxic labelled rows hold far more often than clean ones: SEVERE_MARKERS or more
 distinct markers are severe. The expected severity is the sum of P(grade > k). The probability from which a text is rejected is chosen within
-the same sample, on folds that the model which scores them has not learned from.
+the same sample, on a fold that the model which scores it has not learned from.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ SAMPLE_ROWS = 12_000  # labelled rows that training takes at most, chosen by has
 LEAST_TEXTS = 3  # labelled texts that must hold a word
 MARKER_LOG_ODDS, SEVERE_MARKERS = 3.0, 3
 STEPS, RATE, L1 = 300, 0.3, 1e-4
-FOLDS = 3  # parts of the sample, each scored by a model of the others to choose the probability from which texts are rejected
+FOLDS = 3  # one of so many parts of the sample is scored by a model of the others, to choose the probability from which texts are rejected
 REJECT = 0.5  # that probability where the sample cannot tell
 STEMS = (5, 7)  # letters in the beginnings of words that are features, too
 CACHED_WORDS = 1_000_000
@@ -143,14 +143,13 @@ def choose_reject(toxic: np.ndarray, p_toxic: np.ndarray) -> float:
 
 
 def fit_sample(toxic: np.ndarray, hashes: list[np.ndarray]) -> Model:
-    """The model of all rows, with ``reject`` chosen by models that each leave out a fold and score it."""
-    fold, p = np.arange(len(toxic)) % FOLDS, np.zeros(len(toxic))
-    for k in range(FOLDS):
-        rest = fit_rows(toxic[fold != k], [h for h, f in zip(hashes, fold) if f != k])
-        for i in np.flatnonzero(fold == k):
-            p[i] = sigmoid(math.fsum(rest.by_hash.get(h, 0.0) for h in hashes[i].tolist()) - rest.thresholds[0])
+    """The model of all rows, with ``reject`` chosen on a fold by a model of the other rows."""
+    fold = np.arange(len(toxic)) % FOLDS == 0
+    rest = fit_rows(toxic[~fold], [h for h, held in zip(hashes, fold) if not held])
+    z = [math.fsum(rest.by_hash.get(word, 0.0) for word in h.tolist()) for h, held in zip(hashes, fold) if held]
+    p = sigmoid(np.array(z) - rest.thresholds[0])
     model = fit_rows(toxic, hashes)
-    model.reject = choose_reject(toxic, p)
+    model.reject = choose_reject(toxic[fold], p)
     return model
 
 
