@@ -143,13 +143,14 @@ def choose_reject(toxic: np.ndarray, p_toxic: np.ndarray) -> float:
 
 
 def fit_sample(toxic: np.ndarray, hashes: list[np.ndarray]) -> Model:
-    """The model of all rows, with ``reject`` chosen on a fold by a model of the other rows."""
+    """The model of all rows, with ``reject`` chosen on a fold by a model of the other rows, where these tell anything."""
     fold = np.arange(len(toxic)) % FOLDS == 0
     rest = fit_rows(toxic[~fold], [h for h, held in zip(hashes, fold) if not held])
     z = [math.fsum(rest.by_hash.get(word, 0.0) for word in h.tolist()) for h, held in zip(hashes, fold) if held]
     p = sigmoid(np.array(z) - rest.thresholds[0])
     model = fit_rows(toxic, hashes)
-    model.reject = choose_reject(toxic[fold], p)
+    if rest.by_hash:
+        model.reject = choose_reject(toxic[fold], p)
     return model
 
 

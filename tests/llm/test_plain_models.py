@@ -130,3 +130,9 @@ def test_choice_of_the_rejecting_probability():
     toxic = [int(generator.random() < x) for x in p]
     best = max(2 * sum(t for t, x in zip(toxic, p) if x >= cut) / (sum(x >= cut for x in p) + sum(toxic)) for cut in set(p))
     assert choose(toxic, p) == pytest.approx(best / 2)
+
+
+@pytest.mark.parametrize("toxic", [[], [0], [1], [1, 0, 0], [0, 1, 1, 0]])
+def test_samples_too_small_to_choose_from(toxic):
+    words = [np.array([k], np.int64) for k in range(len(toxic))]
+    assert toxicity.fit_sample(np.array(toxic, np.int64), words).reject == toxicity.REJECT
