@@ -188,32 +188,41 @@ def read_landed_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
 OBJECTS = "array<map<string,string>>"
 
 
-def _payload_shape(body: Column) -> Column:
-    """Which of the known shapes a JSON body has: list, fields, matrix, data or answer; null for any other text.
+def _parsed(bodies: DataFrame) -> DataFrame:
+    """Adds what a JSON body holds, each in a column of its own, so that a body is parsed once however often the parts are used.
 
-    An answer is a status without rows, such as the one for a month without trading.
+    ``_shape`` is list, fields, matrix, data or answer; null for any other text. An answer is a status without rows, such as the
+    one for a month without trading.
     """
-    fields, data = F.get_json_object(body, "$.fields"), F.get_json_object(body, "$.data")
-    listed = F.ltrim(body).startswith("[") & F.from_json(body, OBJECTS).isNotNull()
-    return (
-        F.when(listed, "list")
+    body = F.col("body")
+    parts = bodies.withColumns({
+        "_list": F.when(F.ltrim(body).startswith("["), F.from_json(body, OBJECTS)),
+        "_fields": F.get_json_object(body, "$.fields"),
+        "_data": F.get_json_object(body, "$.data"),
+    })
+    fields, data = F.col("_fields"), F.col("_data")
+    shape = (
+        F.when(F.col("_list").isNotNull(), "list")
         .when(data.isNull() & F.get_json_object(body, "$.fields[0]").startswith("{"), "fields")
         .when(fields.startswith("[") & data.startswith("["), "matrix")
         .when(data.startswith("["), "data")
         .when(F.get_json_object(body, "$.stat").isNotNull(), "answer")
     )
+    return parts.withColumn("_shape", shape)
 
 
-def payload_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
+def payload_rows(bodies: DataFrame, columns: Sequence[str], keep_rejected: bool = False) -> DataFrame:
     """Rows of landed JSON bodies with the wanted columns by name.
 
     Four shapes have rows: a list of objects, ``{"data": [objects]}``, ``{"fields": [objects]}``, and a matrix
     ``{"stat": "OK", "fields": [names], "data": [[values]]}``. A matrix with another status gives no rows. The first
     of equal names in a matrix counts, values beyond the names are left out, and absent values are null.
+    With ``keep_rejected`` each of the ``rejected_payloads`` gives one row without values, in the same pass.
     """
     passed = [name for name in bodies.columns if name != "body"]
-    body, shape = F.col("body"), _payload_shape(F.col("body"))
-    matrix = F.from_json(body, "struct<stat:string,fields:array<string>,data:array<array<string>>>")
+    body, shape, matrix = F.col("body"), F.col("_shape"), F.col("_matrix")
+    table = F.from_json(body, "struct<stat:string,fields:array<string>,data:array<array<string>>>")
+    parsed = _parsed(bodies).withColumn("_matrix", F.when(shape == "matrix", table))
     names = F.array(*[F.lit(name) for name in columns])
 
     def picked(row: Column) -> Column:
@@ -221,18 +230,20 @@ def payload_rows(bodies: DataFrame, columns: Sequence[str]) -> DataFrame:
         return F.map_from_arrays(names, F.array(*[F.try_element_at(row, place) for place in places]))
 
     rows = (
-        F.when(shape == "list", F.from_json(body, OBJECTS))
+        F.when(shape == "list", F.col("_list"))
         .when(shape == "fields", F.from_json(body, f"struct<fields:{OBJECTS}>")["fields"])
         .when((shape == "matrix") & (matrix["stat"] == PAYLOAD_OK), F.transform(matrix["data"], picked))
         .when(shape == "data", F.from_json(body, f"struct<data:{OBJECTS}>")["data"])
     )
-    exploded = bodies.select(*passed, F.explode(rows).alias("_row"))
+    if keep_rejected:
+        rows = F.when(shape.isNull(), F.array(F.lit(None).cast("map<string,string>"))).otherwise(rows)
+    exploded = parsed.select(*passed, F.explode(rows).alias("_row"))
     return exploded.select(*passed, *[F.try_element_at("_row", F.lit(name)).alias(name) for name in columns])
 
 
 def rejected_payloads(bodies: DataFrame) -> DataFrame:
     """Bodies that are no JSON, or JSON of no known shape."""
-    return bodies.where(_payload_shape(F.col("body")).isNull())
+    return _parsed(bodies).where("_shape IS NULL").select(*bodies.columns)
 
 
 # --- tables ----------------------------------------------------------------------
