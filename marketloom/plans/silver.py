@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +115,17 @@ def company_table(feed: DataFrame, configured: DataFrame) -> DataFrame:
     return stack([conform(flagged, schemas.SILVER_COMPANY), conform(absent, schemas.SILVER_COMPANY)])
 
 
+def _last_wanted(rows: DataFrame, keys: Sequence[str], wanted: Column | None = None, order: Sequence = (FEED_ORDER,)) -> DataFrame:
+    """The last row of each key without nulls for which ``wanted``, a condition on the keys, holds.
+
+    The condition is aggregated along with the row and applied last. A filter in front would be pushed below the parsing of the
+    keys, so that their texts are parsed twice.
+    """
+    known = reduce(Column.__and__, [F.col(name).isNotNull() for name in keys])
+    marked = rows.withColumn("_wanted", known if wanted is None else known & wanted)
+    return keep_last(marked, keys, order).where("_wanted").drop("_wanted")
+
+
 # --- prices ------------------------------------------------------------------
 
 
@@ -128,8 +140,8 @@ def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_
         FEED_ORDER,
     )
     typed = stripped.withColumns({name: text.number(F.col(name)) for name in NUMERIC_PRICES})
-    kept = typed.dropna(subset=["date", "stock_id"]).where(~F.col("stock_id").isin(*excluded))
-    return conform(keep_last(kept, ["stock_id", "date"]), schemas.PRICE_INPUT)
+    wanted = ~F.col("stock_id").isin(*excluded) if excluded else None
+    return conform(_last_wanted(typed, ["stock_id", "date"], wanted), schemas.PRICE_INPUT)
 
 
 def price_table(prices: DataFrame, start: str | None = DEFAULT_START_DATE, end: str | None = None) -> DataFrame:
@@ -164,12 +176,11 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         FEED_ORDER,
     )
     reported = F.col("reported_mom").isNotNull() | F.col("reported_yoy").isNotNull()
-    kept = typed.dropna(subset=["month", "stock_id"])
-    if dict(kept.dtypes)[FEED_ORDER] == "bigint":  # one number, for hash aggregation
+    if dict(typed.dtypes)[FEED_ORDER] == "bigint":  # one number, for hash aggregation
         order = [F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)]
     else:
         order = [reported.alias("reported"), FEED_ORDER]
-    return keep_last(kept, ["stock_id", "month"], order).drop(FEED_ORDER)
+    return _last_wanted(typed, ["stock_id", "month"], order=order).drop(FEED_ORDER)
 
 
 def revenue_table(
