@@ -7,10 +7,9 @@ had, because the keep-last aggregate before it has already folded them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.dates import month_of
 from marketloom.functions.rules import above, change
 
 
@@ -18,25 +17,38 @@ def add_price_features(prices: DataFrame) -> DataFrame:
     """Returns, moving averages, volatility and flags for one row per (stock_id, date).
 
     Every window sorts by (stock_id, month, date): month follows from date, so this is also the
-    date order, and one exchange with one sort serves all of them.
+    date order, and one exchange with one sort serves all of them. Spark adds up a sliding frame anew
+    for every row, so the 60 rows are added up as three runs of 20, of which one is the row's own.
     """
     days = Window.partitionBy("stock_id").orderBy("month", "date")
     month = Window.partitionBy("stock_id", "month").orderBy("date")
     whole_month = month.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    twenty = days.rowsBetween(-19, 0)
     close = F.col("close_price")
+
+    def of_three(run: str) -> Column:
+        earlier = [F.coalesce(F.lag(run, back).over(days), F.lit(0)) for back in (40, 20)]
+        return earlier[0] + earlier[1] + F.coalesce(F.col(run), F.lit(0))
+
     return (
-        prices.withColumn("month", month_of(F.col("date")))
+        prices.withColumn("month", F.trunc("date", "month"))
         .withColumns(
             {
                 "_previous_close": F.lag(close).over(days),
-                "ma_20": F.avg(close).over(days.rowsBetween(-19, 0)),
-                "ma_60": F.avg(close).over(days.rowsBetween(-59, 0)),
+                "_sum": F.sum(close).over(twenty),
+                "_count": F.count(close).over(twenty),
             }
         )
         .withColumn("daily_return", change(close, F.col("_previous_close")))
         .withColumns(
             {
-                "volatility_20d": F.stddev_samp("daily_return").over(days.rowsBetween(-19, 0)),
+                "ma_20": F.col("_sum") / F.nullif("_count", F.lit(0)),
+                "ma_60": of_three("_sum") / F.nullif(of_three("_count"), F.lit(0)),
+                "volatility_20d": F.stddev_samp("daily_return").over(twenty),
+            }
+        )
+        .withColumns(
+            {
                 # The row before a month's first day is the previous month's last day.
                 "monthly_return": change(
                     F.last(close).over(whole_month), F.first("_previous_close").over(whole_month)
@@ -45,7 +57,7 @@ def add_price_features(prices: DataFrame) -> DataFrame:
                 "price_above_ma60_flag": above(close, F.col("ma_60")),
             }
         )
-        .drop("_previous_close", "month")
+        .drop("_previous_close", "_sum", "_count", "month")
     )
 
 
