@@ -105,6 +105,11 @@ def metric_name(account: Column) -> Column:
     return F.coalesce(_lookup(account, STATEMENT_METRICS), lower_snake(account))
 
 
+def account_metric(account: str) -> str:
+    """What ``metric_name`` gives for the account."""
+    return STATEMENT_METRICS.get(account) or account.lower().replace(" ", "_")
+
+
 def known_number(value: Column) -> Column:
     """Null for not a number, which Spark would take for more than any number."""
     return F.nanvl(value.cast("double"), F.lit(None).cast("double"))

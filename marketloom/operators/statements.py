@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.rules import ratio
-from marketloom.operators.headers import FEED_ORDER, LANDING_ORDER
+from marketloom.functions.rules import account_metric, ratio
+from marketloom.operators.headers import FEED_ORDER, LANDING_ORDER, quoted
 
 # Columns that identify a statement row; all others of a wide feed are accounts.
 STATEMENT_IDS = ("date", "year", "quarter", "stock_id", "stock_name", "statement_category", "source_url")
@@ -60,9 +60,27 @@ def pivot_metrics(long: DataFrame, items: Mapping[str, Sequence[str]]) -> DataFr
     return known.groupBy("stock_id", "date").agg(*[last(item) for item in items])
 
 
+def account_metrics(wide: DataFrame, items: Mapping[str, Sequence[str]]) -> DataFrame:
+    """What ``pivot_metrics`` gives for the accounts of typed statements with one row per (stock_id, date), without unpivoting them."""
+    accounts = [name for name in wide.columns if name not in STATEMENT_IDS]
+    held = {account_metric(name): quoted(name) for name in accounts}
+    if len(held) < len(accounts):
+        raise ValueError("accounts of one metric need landing orders, which only long rows have")
+
+    def known(item: str) -> Column:
+        return F.coalesce(*[held[name] for name in items[item] if name in held], F.lit(None).cast("double")).alias(item)
+
+    rows = wide.dropna(subset=["stock_id", "date"]).where(F.coalesce(*held.values()).isNotNull())
+    return rows.select("stock_id", "date", *[known(item) for item in items])
+
+
 def fundamental_ratios(long: DataFrame) -> DataFrame:
     """ROE, ROA, margins, debt and current ratio, EPS per (stock_id, date)."""
-    items = pivot_metrics(long, RATIO_INPUTS)
+    return item_ratios(pivot_metrics(long, RATIO_INPUTS))
+
+
+def item_ratios(items: DataFrame) -> DataFrame:
+    """The ratios on one row of items per (stock_id, date)."""
 
     def over(numerator: str, denominator: str) -> Column:
         return ratio(F.col(numerator), F.col(denominator))

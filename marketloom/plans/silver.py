@@ -21,7 +21,7 @@ from marketloom.operators.headers import (
 )
 from marketloom.operators.latest import keep_last, last_non_null
 from marketloom.operators.series import add_price_features, add_revenue_growth
-from marketloom.operators.statements import fundamental_ratios, unpivot_accounts
+from marketloom.operators.statements import RATIO_INPUTS, account_metrics, fundamental_ratios, item_ratios, unpivot_accounts
 
 # ---------------------------------------------------------------------------
 # Feed headers per canonical column, defaults.
@@ -187,6 +187,11 @@ def revenue_table(
     revenue: DataFrame, start_month: str | None = DEFAULT_START_DATE[:7], fill: str = "pad"
 ) -> DataFrame:
     """Monthly revenue with growth and signal. Reported growth replaces the computed one."""
+    return conform(grown_revenue(revenue, start_month, fill), schemas.SILVER_MONTHLY_REVENUE)
+
+
+def grown_revenue(revenue: DataFrame, start_month: str | None, fill: str = "pad") -> DataFrame:
+    """The rows of ``revenue_table`` with whatever other columns they have."""
     grown = add_revenue_growth(revenue, fill)
     for name in ("mom", "yoy"):
         if f"reported_{name}" in revenue.columns:
@@ -197,7 +202,7 @@ def revenue_table(
     grown = grown.withColumn("revenue_growth_signal", signal)
     if start_month:
         grown = grown.where(F.col("month") >= start_month)
-    return conform(grown, schemas.SILVER_MONTHLY_REVENUE)
+    return grown
 
 
 # --- statements --------------------------------------------------------------
@@ -246,6 +251,11 @@ def fundamentals_table(statements: Sequence[DataFrame]) -> DataFrame:
     return conform(fundamental_ratios(stack_sources(statements)), schemas.SILVER_FUNDAMENTALS)
 
 
+def fundamentals_of_accounts(wide: DataFrame) -> DataFrame:
+    """The same ratios from typed statements with one row per (stock_id, date) and one column per account."""
+    return conform(item_ratios(account_metrics(wide, RATIO_INPUTS)), schemas.SILVER_FUNDAMENTALS)
+
+
 # --- valuation ---------------------------------------------------------------
 
 
