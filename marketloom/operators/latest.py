@@ -23,15 +23,17 @@ def _order(columns: Sequence[str | Column]) -> Column:
     return items[0] if len(items) == 1 else F.struct(*items)
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = (FEED_ORDER,)) -> DataFrame:
-    """The whole row with the highest order value for each key; its nulls are kept.
+def keep_last(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str | Column] = (FEED_ORDER,), without: Sequence[str] = ()
+) -> DataFrame:
+    """The whole row, but for the columns of ``without``, with the highest order value for each key; its nulls are kept.
 
     Fixed-width columns are picked one by one under a fixed-width order, which Spark does with hash
     aggregation; all picks of a key follow the same comparisons, so they come from one row. Other
     rows travel as one struct through a sort aggregation.
     """
     types = dict(df.dtypes)
-    rest = [name for name in df.columns if name not in keys]
+    rest = [name for name in df.columns if name not in (*keys, *without)]
     if len(order) == 1 and all(types[name] in FIXED_WIDTH for name in [*rest, *order] if isinstance(name, str)):
         rank = _order(order)
         return df.groupBy(*keys).agg(*[F.max_by(name, rank).alias(name) for name in rest])

@@ -116,14 +116,15 @@ def company_table(feed: DataFrame, configured: DataFrame) -> DataFrame:
 
 
 def _last_wanted(rows: DataFrame, keys: Sequence[str], wanted: Column | None = None, order: Sequence = (FEED_ORDER,)) -> DataFrame:
-    """The last row of each key without nulls for which ``wanted``, a condition on the keys, holds.
+    """The last row of each key without nulls for which ``wanted``, a condition on the keys, holds; without its place, which for rows
+    of files is long.
 
     The condition is aggregated along with the row and applied last. A filter in front would be pushed below the parsing of the
     keys, so that their texts are parsed twice.
     """
     known = reduce(Column.__and__, [F.col(name).isNotNull() for name in keys])
     marked = rows.withColumn("_wanted", known if wanted is None else known & wanted)
-    return keep_last(marked, keys, order).where("_wanted").drop("_wanted")
+    return keep_last(marked, keys, order, without=[FEED_ORDER]).where("_wanted").drop("_wanted")
 
 
 # --- prices ------------------------------------------------------------------
@@ -180,7 +181,7 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         order = [F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)]
     else:
         order = [reported.alias("reported"), FEED_ORDER]
-    return _last_wanted(typed, ["stock_id", "month"], order=order).drop(FEED_ORDER)
+    return _last_wanted(typed, ["stock_id", "month"], order=order)
 
 
 def revenue_table(
