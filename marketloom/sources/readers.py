@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketloom.operators.headers import LANDING_ORDER, quoted
+from marketloom.session import shared_folder
 
 # Marks of a landed body that is an error page and no table.
 ERROR_PAGE = r"(?i)<html"
@@ -38,15 +39,19 @@ def empty(spark: SparkSession, schema: T.StructType | str = "stock_id string") -
     return spark.createDataFrame([], schema)
 
 
-def with_landing_order(df: DataFrame) -> DataFrame:
+def with_landing_order(df: DataFrame, whole: bool = False) -> DataFrame:
     """Adds a struct that orders the rows of a file scan: by the name of the file, the start of the part of it that
     a task reads, and the row in this part.
 
     Tasks read their parts in an order that depends on the sizes, so a running number alone would not do. The struct
-    depends on the files only, not on which executor reads them, in which order or how often.
+    depends on the files only, not on which executor reads them, in which order or how often. Files of one folder are known by
+    what stands after it, as every row carries the name through sorts and exchanges; ``whole`` keeps their paths.
     """
+    file = F.col("_metadata.file_path")
+    if not whole and len({name.rpartition("/")[0] for name in df.inputFiles()}) == 1:
+        file = F.substring_index(file, "/", -1)
     place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
+        file.alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("row"),
     )
@@ -75,25 +80,41 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return with_landing_order(df) if df.columns else empty(spark)
 
 
-def header_layouts(spark: SparkSession, path: str) -> DataFrame:
+def header_layouts(spark: SparkSession, path: str, tabular: bool = False) -> DataFrame:
     """(file, header): the first line of every file that has one, in one pass over the text. Only the first line of a file's first part
-    leaves a task."""
+    leaves a task. With ``tabular``, files with a line of an error page are left out, in the same pass."""
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
         F.translate("value", BYTE_ORDER_MARK, "").alias("value"),
         F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("row"),
     )
-    headers = lines.where(F.col("row").isNotNull()).groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    if tabular:  # the set of faults, unlike a flag, also lets Spark hash-aggregate the header, which is text
+        faults = F.collect_set(F.when((F.col("value") != "") & ~is_tabular(F.col("value")), F.lit(True)))
+        headers = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"), faults.alias("faults"))
+        headers = headers.where(F.size("faults") == 0).drop("faults")
+    else:
+        headers = lines.where(F.col("row").isNotNull()).groupBy("file").agg(F.min_by("value", "row").alias("header"))
     return headers.where(F.trim("header") != "")
 
 
+def _stored(index: DataFrame) -> DataFrame:
+    """The index, computed once, in the shared folder: what reads it sees how small it is. Without such a folder, the index as it is."""
+    try:
+        path = f"{shared_folder(index.sparkSession)}/index-{uuid.uuid4().hex}"
+    except RuntimeError:
+        return index
+    index.write.parquet(path)
+    return index.sparkSession.read.schema(index.schema).parquet(path)
+
+
 def _without_files(df: DataFrame, file: str, unwanted: DataFrame | None) -> DataFrame:
     """Rows whose file is not among the unwanted ones, of which there is one row per file."""
     return df if unwanted is None else df.join(unwanted.select(F.col("file").alias(file)), file, "left_anti")
 
 
 def read_raw_files(
-    spark: SparkSession, path: str, lineage: str | None = None, multiline: bool = False, unwanted: DataFrame | None = None
+    spark: SparkSession, path: str, lineage: str | None = None, multiline: bool = False, unwanted: DataFrame | None = None,
+    tabular: bool = False,
 ) -> DataFrame:
     """The union of raw files whose headers may differ, each column by its name; of equal names in a header the first counts.
 
@@ -101,18 +122,21 @@ def read_raw_files(
     rows take their layout from the index by their file. The driver gets the distinct headers, whose number does not grow
     with the rows or files. A large file's rows spread over SLOTS keys of that join. ``lineage`` names a column for the source
     file. ``multiline`` reads records with quoted line breaks; a file is then read by one task. ``unwanted`` holds files to leave
-    out. Landing order is one order over all layouts: by file name, then place in the file.
+    out, ``tabular`` those with a line of an error page. Landing order is one order over all layouts: by file name, then place in the file.
     """
     if not path_exists(spark, path):
         return empty(spark)
-    layouts = _without_files(header_layouts(spark, path), "file", unwanted)
+    if tabular:
+        layouts = _stored(_without_files(header_layouts(spark, path, tabular=True), "file", unwanted))
+    else:
+        layouts = _without_files(header_layouts(spark, path), "file", unwanted)
     found = sorted(row.header for row in layouts.select("header").distinct().collect())
     if not found:
         return empty(spark)
     names = [next(csv.reader([header])) for header in found]
     cells = [f"_cell{i}" for i in range(max(map(len, names)))]
     reader = spark.read.option("header", False).option("escape", '"').option("multiLine", multiline)
-    records = with_landing_order(reader.schema(", ".join(f"{cell} string" for cell in cells)).csv(path)).select(
+    records = with_landing_order(reader.schema(", ".join(f"{cell} string" for cell in cells)).csv(path), whole=True).select(
         *cells, LANDING_ORDER, F.pmod(F.monotonically_increasing_id(), F.lit(SLOTS)).alias("_slot")
     )
     numbers = F.create_map(*[part for number, header in enumerate(found) for part in (F.lit(header), F.lit(number))])
@@ -180,8 +204,7 @@ def read_landed_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> D
     breaks stay in their field. Error pages and empty files, found by their text, are left out by their name."""
     if not path_exists(spark, path):
         return empty(spark, ", ".join(f"`{name}` string" for name in columns))
-    rejected = rejected_bodies(read_bodies(spark, path)).select(F.col("path").alias("file"))
-    rows = read_raw_files(spark, path, multiline=True, unwanted=rejected)
+    rows = read_raw_files(spark, path, multiline=True, tabular=True)
     return rows.select(*[quoted(name) if name in rows.columns else F.lit(None).cast("string").alias(name) for name in columns])
 
 
