@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -200,7 +200,8 @@ class Parameters:
 
 def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row at its own column, of scores within 80 of 0; overwrites the scores."""
-    np.clip(scores, -80, 80, out=scores)
+    if scores.size and (scores.max() > 80 or scores.min() < -80):
+        np.clip(scores, -80, 80, out=scores)
     found = scores[np.arange(len(scores)), own].astype(np.float64)
     np.exp(scores, out=scores)
     return found - np.log(scores @ np.ones(scores.shape[1], np.float32))
@@ -221,11 +222,11 @@ def contexts(texts: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray
     return padded[at], np.stack([padded[at - k] for k in range(1, CONTEXT + 1)])
 
 
-def _sums(at: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    """Sums of the rows that belong to each of ``count`` numbers."""
+def _sums(at: np.ndarray, columns: Iterable[np.ndarray], count: int) -> np.ndarray:
+    """Sums of the rows, given by columns, that belong to each of ``count`` numbers."""
     out = np.empty((count, WIDTH), np.float32)
-    for k in range(WIDTH):
-        out[:, k] = np.bincount(at, rows[:, k], count)
+    for k, column in enumerate(columns):
+        out[:, k] = np.bincount(at, column, count)
     return out
 
 
@@ -273,8 +274,8 @@ class Trainer:
             g[at] = now
             p[at] += RATE * gradient / np.sqrt(now)
 
-    def _move_rows(self, vectors: str, at: np.ndarray, gradients: np.ndarray, biases: str = "", errors: np.ndarray | None = None) -> None:
-        """Moves the vectors, and biases, numbered ``at`` by the sums of their gradients. Where most rows of the table may occur, all
+    def _move_rows(self, vectors: str, at: np.ndarray, gradients: Iterable[np.ndarray], biases: str = "", errors: np.ndarray | None = None) -> None:
+        """Moves the vectors, and biases, numbered ``at`` by the sums of their gradients, which come by columns. Where most rows of the table may occur, all
         are moved, most by sums and some by 0, which is cheaper than picking them."""
         count, ids, at = len(getattr(self.p, vectors)), None, at.astype(np.intp, copy=False)
         if count > 2 * len(at):
@@ -322,7 +323,8 @@ class Trainer:
         if grouped < n:
             dh[grouped:] += self._words(h[grouped:], place[grouped:] - WORD_CLASSES, target[grouped:] - CLASSES, n)
         dc = np.stack([np.einsum("nw,nw->w", rows[k], dh) for k in range(CONTEXT)])
-        self._move_rows("R", before.ravel(), (dh[None] * p.C[:, None]).reshape(-1, WIDTH))
+        scales, of_contexts = p.C.T.copy(), np.ascontiguousarray(dh.T)
+        self._move_rows("R", before.ravel(), (np.multiply.outer(c, g).ravel() for c, g in zip(scales, of_contexts)))
         for name, gradient in (("C", dc), ("Q", dq), ("b", db)):
             self._move(name, gradient)
 
@@ -350,7 +352,7 @@ class Trainer:
             dh[first:last] += false[first:last] @ vectors[g]
         errors = np.concatenate([data, np.add.reduceat(false, starts).ravel()])
         gradients = np.concatenate([h * data[:, None], moved.reshape(-1, WIDTH)])
-        self._move_rows("T", np.concatenate([own, noise.ravel()]), gradients, "t", errors)
+        self._move_rows("T", np.concatenate([own, noise.ravel()]), gradients.T, "t", errors)
         return dh
 
 
