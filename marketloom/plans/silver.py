@@ -115,6 +115,12 @@ def company_table(feed: DataFrame, configured: DataFrame) -> DataFrame:
     return stack([conform(flagged, schemas.SILVER_COMPANY), conform(absent, schemas.SILVER_COMPANY)])
 
 
+def _by_stock(rows: DataFrame, wanted: bool) -> DataFrame:
+    """The rows, if wanted dealt by stock before anything is folded: the folds, windows and joins by stock after it then need no exchange of
+    their own. That is for feeds with few rows per stock and day (or month); feeds that repeat them are better folded first."""
+    return rows.repartition("stock_id") if wanted else rows
+
+
 def _last_wanted(rows: DataFrame, keys: Sequence[str], wanted: Column | None = None, order: Sequence = (FEED_ORDER,)) -> DataFrame:
     """The last row of each key without nulls for which ``wanted``, a condition on the keys, holds; without its place, which for rows
     of files is long.
@@ -130,8 +136,8 @@ def _last_wanted(rows: DataFrame, keys: Sequence[str], wanted: Column | None = N
 # --- prices ------------------------------------------------------------------
 
 
-def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_IDS) -> DataFrame:
-    """Typed daily prices, one row per (stock_id, date); later feeds and later rows win."""
+def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_IDS, by_stock: bool = False) -> DataFrame:
+    """Typed daily prices, one row per (stock_id, date); later feeds and later rows win. ``by_stock`` deals the rows as ``_by_stock`` says."""
     unified = [unify_headers(feed, PRICE_HEADERS, keep=[LANDING_ORDER]) for feed in feeds]
     # Two steps, so that each text is stripped once although the number rule reads it twice.
     stripped = stack_sources(unified).select(
@@ -140,7 +146,7 @@ def clean_prices(feeds: Sequence[DataFrame], excluded: Sequence[str] = EXCLUDED_
         *[text.price_text(F.col(name)).alias(name) for name in NUMERIC_PRICES],
         FEED_ORDER,
     )
-    typed = stripped.withColumns({name: text.number(F.col(name)) for name in NUMERIC_PRICES})
+    typed = _by_stock(stripped.withColumns({name: text.number(F.col(name)) for name in NUMERIC_PRICES}), by_stock)
     wanted = ~F.col("stock_id").isin(*excluded) if excluded else None
     return conform(_last_wanted(typed, ["stock_id", "date"], wanted), schemas.PRICE_INPUT)
 
@@ -159,8 +165,8 @@ def price_table(prices: DataFrame, start: str | None = DEFAULT_START_DATE, end:
 # --- revenue -----------------------------------------------------------------
 
 
-def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
-    """Typed monthly revenue, one row per (stock_id, month); rows with reported growth win."""
+def clean_revenue(feeds: Sequence[DataFrame], by_stock: bool = False) -> DataFrame:
+    """Typed monthly revenue, one row per (stock_id, month); rows with reported growth win. ``by_stock`` deals the rows as ``_by_stock`` says."""
     unified = [unify_headers(feed, REVENUE_HEADERS, keep=[LANDING_ORDER]) for feed in feeds]
     amount = text.plain_number(F.col("revenue"))
     month = F.coalesce(
@@ -181,7 +187,7 @@ def clean_revenue(feeds: Sequence[DataFrame]) -> DataFrame:
         order = [F.col(FEED_ORDER) + F.when(reported, F.lit(1 << REPORTED_BIT)).otherwise(0)]
     else:
         order = [reported.alias("reported"), FEED_ORDER]
-    return _last_wanted(typed, ["stock_id", "month"], order=order)
+    return _last_wanted(_by_stock(typed, by_stock), ["stock_id", "month"], order=order)
 
 
 def revenue_table(
@@ -263,8 +269,8 @@ def fundamentals_of_accounts(wide: DataFrame) -> DataFrame:
 VALUATION_VALUES = ("pe_ratio", "dividend_yield", "price_book_ratio")
 
 
-def clean_valuation(ratios: DataFrame | None, dividends: DataFrame | None) -> DataFrame:
-    """Typed ratio and dividend rows; dividend rows come after ratio rows."""
+def clean_valuation(ratios: DataFrame | None, dividends: DataFrame | None, by_stock: bool = False) -> DataFrame:
+    """Typed ratio and dividend rows; dividend rows come after ratio rows. ``by_stock`` deals them as ``_by_stock`` says."""
     feeds = []
     if ratios is not None:
         feeds.append(unify_headers(ratios, VALUATION_HEADERS, keep=[LANDING_ORDER]))
@@ -280,7 +286,7 @@ def clean_valuation(ratios: DataFrame | None, dividends: DataFrame | None) -> Da
         *[text.strict_number(F.col(name)).alias(name) for name in VALUATION_VALUES],
         FEED_ORDER,
     )
-    return typed.dropna(subset=["date", "stock_id"])
+    return _by_stock(typed.dropna(subset=["date", "stock_id"]), by_stock)
 
 
 def valuation_table(valuation: DataFrame) -> DataFrame:
