@@ -14,7 +14,7 @@ Training is distributed: texts are dealt, by a hash of the row, into rounds and
 partitioned. Every shard starts from the parameters of the round before and takes steps on each of its positions once; the parameters and the sums of
 squares that set their step sizes are then averaged, weighted by positions. All rounds together see every position once. Counts cover all
 training documents. The size of the dictionary is bounded by its words' share of the tokens, which also gives each of them several occurrences in a
-shard. Words too rare for it get their counts by a join.
+shard. Of the words outside it, those above a smaller share are looked up with their counts, too; words too rare for that get their counts by a join.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ from marketloom.llm.quality import is_held_out
 END = "\n"  # the token after the last word; no word has white space
 FOLDS, HELD_FOLD = 7, 2
 HEAD_SHARE = 100_000  # words that are at least one in so many tokens are in the shared dictionary: so many at most
+COUNTED_SHARE = 400_000  # words that are at least one in so many tokens are looked up with their counts: so many at most
 WORD_CLASSES, ENDING_CLASSES = 96, 32
 CLASSES = WORD_CLASSES + ENDING_CLASSES
 CONTEXT, WIDTH, NOISE, GROUP_NOISE = 4, 12, 24, 16
@@ -64,22 +65,34 @@ def ending_class(word: Column) -> Column:
 
 
 class Places(dict):
-    """Place of a word in the shared dictionary; of any other word, the size of the dictionary plus its class. Other words are remembered
-    up to a bound."""
-
-    def __init__(self, words: list[bytes]):
-        super().__init__(zip(words, range(len(words))))
-        self.words = words
+    """Place of a word in the shared dictionary; of any other word, the size of the dictionary plus its class. Words that are only ``counted``
+    have numbers of their own above all places. Other words are remembered up to a bound."""
+
+    def __init__(self, words: list[bytes], counted: list[bytes] = ()):
+        super().__init__()
+        self.words, self.counted = words, counted
+        self._restart()
+        places = np.array([self._class_place(word) for word in counted], np.int64)
+        self.place_of = np.concatenate([np.arange(len(words) + CLASSES), places])
+
+    def _restart(self) -> None:
+        self.clear()
+        self.update(zip(self.words, range(len(self.words))))
+        first = len(self.words) + CLASSES
+        self.update(zip(self.counted, range(first, first + len(self.counted))))
+
+    def _class_place(self, word: bytes) -> int:
+        end = word.decode("utf-8", "replace")[-2:].encode()
+        return len(self.words) + WORD_CLASSES + zlib.crc32(end) % ENDING_CLASSES
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS + len(self.words):
-            self.clear()
-            self.update(zip(self.words, range(len(self.words))))
-        end = word.decode("utf-8", "replace")[-2:].encode()
-        self[word] = value = len(self.words) + WORD_CLASSES + zlib.crc32(end) % ENDING_CLASSES
+        if len(self) >= CACHED_WORDS + len(self.words) + len(self.counted):
+            self._restart()
+        self[word] = value = self._class_place(word)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of the words; ``place_of`` has the place of each number."""
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
@@ -170,12 +183,13 @@ class Parameters:
         grouped = np.flatnonzero(target >= CLASSES)
         grouped = grouped[np.argsort(target[grouped], kind="stable")]
         first = np.searchsorted(target[grouped], np.arange(CLASSES, CLASSES + len(self.bounds)))
+        bound = _longest(h) * _longest(self.T) + np.abs(self.t).max(initial=0)
         for group, (low, high) in enumerate(zip(self.bounds[:-1], self.bounds[1:])):
             for start in range(first[group], first[group + 1], SCORED):
                 at = grouped[start : min(start + SCORED, first[group + 1])]
                 scores = h[at] @ self.T[low:high].T
                 scores += self.t[low:high]
-                out[at] += _normalised(scores, place[at] - WORD_CLASSES - low)
+                out[at] += _normalised(scores, place[at] - WORD_CLASSES - low, bound)
         return out
 
     def _contexts_in_parts(self, before: np.ndarray) -> np.ndarray:
@@ -190,17 +204,22 @@ class Parameters:
 
     def _of_classes(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         out = np.empty(len(target))
+        bound = _longest(h) * _longest(self.Q) + np.abs(self.b).max(initial=0)
         for start in range(0, len(target), SCORED):
             part = slice(start, start + SCORED)
             scores = h[part] @ self.Q.T
             scores += self.b
-            out[part] = _normalised(scores, target[part])
+            out[part] = _normalised(scores, target[part], bound)
         return out
 
 
-def _normalised(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at its own column, of scores within 80 of 0; overwrites the scores."""
-    if scores.size and (scores.max() > 80 or scores.min() < -80):
+def _longest(vectors: np.ndarray) -> float:
+    return math.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0))
+
+
+def _normalised(scores: np.ndarray, own: np.ndarray, bound: float = math.inf) -> np.ndarray:
+    """Log of the softmax of each row at its own column, of scores within 80 of 0, if not within the ``bound`` anyway; overwrites the scores."""
+    if not bound < 79 and scores.size and (scores.max() > 80 or scores.min() < -80):
         np.clip(scores, -80, 80, out=scores)
     found = scores[np.arange(len(scores)), own].astype(np.float64)
     np.exp(scores, out=scores)
@@ -253,6 +272,7 @@ class Trainer:
         self.group_cumulative = np.concatenate([g + c / c[-1] for g, c in enumerate(groups)]) if groups else np.empty(0)
         self.random = np.random.default_rng([11, seed])
         self.slot = np.empty(max(len(self.p.R), len(self.p.T)), np.int64)
+        self.scratch = np.empty(max(map(np.size, (self.p.R, self.p.C, self.p.Q, self.p.b, self.p.T, self.p.t))), np.float32)
 
     @staticmethod
     def first_squares(words: int) -> np.ndarray:
@@ -265,9 +285,10 @@ class Trainer:
     def _move(self, name: str, gradient: np.ndarray, at: np.ndarray | None = None) -> None:
         g, p = getattr(self.squares, name), getattr(self.p, name)
         if at is None:
-            g += gradient * gradient
+            held = self.scratch[: g.size].reshape(g.shape)
+            g += np.multiply(gradient, gradient, out=held)
             gradient *= RATE
-            gradient /= np.sqrt(g)
+            gradient /= np.sqrt(g, out=held)
             p += gradient
         else:
             now = g[at] + gradient * gradient
@@ -296,7 +317,7 @@ class Trainer:
     def step(self, before: np.ndarray, place: np.ndarray) -> None:
         p, n = self.p, len(place)
         order = np.argsort(self.class_at[place].astype(np.int16), kind="stable")  # positions of one class stand together
-        before, place = before[:, order], place[order].astype(np.int64)
+        before, place = before.take(order, axis=1), place[order].astype(np.int64)
         target = self.class_at[place]
         classes = len(p.b)
         rows = p.R.take(before, axis=0)
@@ -366,7 +387,7 @@ def train_on(texts: Iterator[bytes], trainer: Trainer, kind: np.dtype) -> int:
         order = trainer.random.permutation(len(ids))  # neighbours in a batch come from many documents
         for first in range(0, len(order), BATCH):
             at = order[first : first + BATCH]
-            trainer.step(before[:, at], ids[at])
+            trainer.step(before.take(at, axis=1), ids.take(at))
         held.clear()
 
     for text in texts:
@@ -429,39 +450,45 @@ def train(texts: DataFrame, positions: int, share: np.ndarray, in_group: np.ndar
     return np.split(state, 2)[0]
 
 
-def encode(docs: DataFrame, words: list[bytes], logs: np.ndarray, known: np.ndarray) -> DataFrame:
+def encode(docs: DataFrame, words: list[bytes], logs: np.ndarray, known: np.ndarray, counted: list[bytes], counted_logs: np.ndarray) -> DataFrame:
     """Every text as the places of its tokens, split and looked up once for training and scoring, with the sums over the words of the shared
-    dictionary and the rarer words with their numbers; stored, with a number for each row."""
+    dictionary and over those that are only counted, and the rarer words with their numbers; stored, with a number for each row."""
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast((words, logs, known))
+    shared = docs.sparkSession.sparkContext.broadcast((words, logs, known, counted, counted_logs))
     width = place_type(len(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_words, log_of, is_known = shared.value
-        size, places = len(found_words), Places(found_words)
+        found_words, log_of, is_known, counted_words, counted_log_of = shared.value
+        size, places = len(found_words), Places(found_words, counted_words)
+        log_of = np.concatenate([log_of, np.zeros(len(counted_words))])
+        is_known = np.concatenate([is_known, np.ones(len(counted_words), bool)])
+        place_of = places.place_of.astype(width)
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             rare_words: list[str] = []
             times: list[int] = []
             ends = [0]
             for text in batch.column("text").to_pylist():
                 words_of = tokens(text)
                 at = places.of(words_of)
-                rare = Counter([words_of[i] for i in np.flatnonzero(at >= size).tolist()])
+                rare = Counter([words_of[i] for i in np.flatnonzero((at >= size) & (at < size + CLASSES)).tolist()])
+                counted_at = at[at >= size + CLASSES] - (size + CLASSES)
                 rare_words += [w.decode("utf-8", "replace") for w in rare]
                 times += rare.values()
                 ends.append(len(times))
-                for column, value in zip(columns, (len(at), np.count_nonzero(is_known[at]), log_of[at].sum(), at.astype(width).tobytes())):
+                values = (len(at), np.count_nonzero(is_known[at]), log_of[at].sum(), counted_log_of[counted_at].sum(), place_of[at].tobytes())
+                for column, value in zip(columns, values):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
             offsets = pa.array(ends, pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(*x)) for x in ((rare_words, pa.string()), (times, pa.int64()))]
             arrays = [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns, kinds), *lists]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    names = ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "places", "rare", "times"]
+    names = ["doc_id", "held_out", "n_tokens", "head_known", "head_log", "counted_log", "places", "rare", "times"]
     schema = (
-        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, places binary, rare array<string>, times array<long>"
+        f"doc_id {kind}, held_out boolean, n_tokens long, head_known long, head_log double, counted_log double, places binary,"
+        " rare array<string>, times array<long>"
     )
     return written(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()))
 
@@ -481,7 +508,10 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     totals = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     n, v = totals[0] or 0, totals[1]
     in_head = (F.col("c") * HEAD_SHARE >= n) | (F.col("token") == END)
-    head = sorted(((r["token"], r["c"]) for r in counts.where(in_head).collect()), key=lambda x: (-x[1], x[0]))
+    is_counted = ~in_head & (F.col("c") * COUNTED_SHARE >= n)
+    found = [(r["token"], r["c"], r["counted"]) for r in counts.where(in_head | is_counted).select("token", "c", is_counted.alias("counted")).collect()]
+    head = sorted(((w, c) for w, c, only_counted in found if not only_counted), key=lambda x: (-x[1], x[0]))
+    looked_up = sorted((w, c) for w, c, only_counted in found if only_counted)
     vocabulary = [END] + [w for w, _ in head if w != END]  # the end has place and class 0
     words = [w.encode() for w in vocabulary]
     rest = counts.where(~in_head)
@@ -501,17 +531,18 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     inside = np.zeros(len(size))
     inside[WORD_CLASSES:CLASSES] = np.log10((size + kinds + 1)[WORD_CLASSES:CLASSES])
     # By place: log10(c + 1) of the words of the dictionary, nothing for classes.
-    encoded = encode(base, words, np.concatenate([np.log10(own + 1), np.zeros(CLASSES)]), np.concatenate([own > 0, np.zeros(CLASSES, bool)]))
+    logs, known = np.concatenate([np.log10(own + 1), np.zeros(CLASSES)]), np.concatenate([own > 0, np.zeros(CLASSES, bool)])
+    counted_logs = np.log10(np.array([c for _, c in looked_up], np.float64) + 1)
+    encoded = encode(base, words, logs, known, [w.encode() for w, _ in looked_up], counted_logs)
     flat = train(encoded.where(~F.col("held_out")).select("uid", "places"), n, share, in_group, len(words))
 
     tail = encoded.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("t")).select("uid", "t.rare", "t.times")
     rare = rest.select(F.col("token").alias("rare"), "c").hint("shuffle_hash")
-    found = tail.join(rare, "rare")
-    sums = found.groupBy("uid").agg(
+    sums = tail.join(rare, "rare").groupBy("uid").agg(
         F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("tail_log"), F.sum("times").alias("tail_known")
     )
     joined = model_scores(encoded, flat, inside, len(words)).join(sums, "uid", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
+    tail_log = F.col("counted_log") + F.coalesce("tail_log", F.lit(0.0))
     return joined.select(
         "doc_id",
         "held_out",
@@ -526,7 +557,7 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def model_scores(encoded: DataFrame, flat: np.ndarray, inside: np.ndarray, words: int) -> DataFrame:
     """The encoded rows without their places and rarer words, with the model's log10 probability of each text but for the counts of the rarer words."""
     shared = encoded.sparkSession.sparkContext.broadcast((flat, inside))
-    kept = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log"]
+    kept = ["uid", "doc_id", "held_out", "n_tokens", "head_known", "head_log", "counted_log"]
     kinds, width = dict(encoded.dtypes), place_type(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
